@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authscope.functions.durations import duration_seconds
@@ -31,6 +31,21 @@ def _stacked(logs: DataFrame, keys: list[str], window: str) -> DataFrame:
     )
 
 
+def _filled_columns(logs: DataFrame) -> Column:
+    """Bits of the counted columns that hold a value somewhere in the input."""
+    known, asked = 0, []
+    for field in logs.schema:
+        bit = DIMENSIONS.get(field.name)
+        if bit and not field.nullable:
+            known |= bit
+        elif bit:
+            asked.append(F.max(F.when(F.col(field.name).isNotNull(), bit).otherwise(0)))
+    if not asked:
+        return F.lit(known)
+    total = sum((F.coalesce(a, F.lit(0)) for a in asked), F.lit(known))
+    return logs.agg(total.alias("bits")).scalar()
+
+
 def window_features(
     logs: DataFrame,
     window: str = DEFAULT_WINDOW,
@@ -47,7 +62,7 @@ def window_features(
     from the same rows as the plain counts.
 
     A counted column without any value in the whole input gives 1 in every window. The
-    test for it reads the shuffled first aggregate again, not the input.
+    test for it is a one-row aggregate over those columns alone, without a shuffle of rows.
     """
     if approx_distinct:
         return _approx_features(logs, window, by_app, min_fail)
@@ -75,8 +90,7 @@ def window_features(
             F.sum(F.when(first & named, F.col("c") * F.log2(F.col("c")))).alias("u_weighted"),
         )
     )
-    filled = values.where(named).agg(F.coalesce(F.bit_or("dim"), F.lit(0)).alias("bits")).scalar()
-    counts = counts.withColumn("bits", filled)
+    counts = counts.withColumn("bits", _filled_columns(logs))
     entropy = F.when(
         F.col("n_users") > 1, F.log2("u_total") - F.col("u_weighted") / F.col("u_total")
     ).otherwise(0.0)

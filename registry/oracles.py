@@ -69,3 +69,166 @@ ORACLES["top_sources"] = f"""WITH {LOGS}
 SELECT src_ip, count(*) AS n_attempts, count(*) FILTER (WHERE result = 'fail') AS n_fail,
        count(DISTINCT "user") AS n_users
 FROM logs GROUP BY src_ip ORDER BY n_fail DESC, n_attempts DESC, src_ip LIMIT 20"""
+
+# --- flows -------------------------------------------------------------------------------
+
+KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, ship_s, price_c"
+KEY_TEXT = f"concat_ws(':', {KEY})"
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def draw(text: str) -> str:
+    """The keyed draw in [0, 1)."""
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def bucket(seconds: int, ts: str = "ts") -> str:
+    return f"to_timestamp(floor(epoch({ts}) / {seconds}) * {seconds})::TIMESTAMP"
+
+
+ORACLES["flow_windows"] = f"""WITH {FLOWS}, w AS (
+  SELECT *, {bucket(600)} AS win, CAST(label <> 'BENIGN' AS INTEGER) AS is_fail FROM flows)
+SELECT src_ip, win AS ts, count(dst_port) AS n_flows, count(DISTINCT dst_port) AS n_dst_ports,
+       count(DISTINCT dst_port) AS n_dst_ips, sum(is_fail) AS n_fail, round(avg(is_fail), 6) AS fail_rate,
+       count(dst_port) * 6 AS flows_x6, count(DISTINCT dst_port) * 6 AS dst_x6,
+       round(count(dst_port) / 10.0, 6) AS flows_per_min, round(count(DISTINCT dst_port) / 10.0, 6) AS dst_per_min,
+       round(ln(count(DISTINCT dst_port) + 1), 6) AS log_distinct,
+       coalesce(first(label ORDER BY ts, {KEY}) FILTER (WHERE label <> 'BENIGN'), 'BENIGN') AS true_label
+FROM w GROUP BY src_ip, win"""
+
+
+def _logins(rows: str, second: str, name: str) -> str:
+    return f"""{rows}
+SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, count(*) AS n_flows, count(DISTINCT "user") AS n_users,
+       count(DISTINCT {second}) AS {name}, sum(is_fail) AS n_fail, round(avg(is_fail), 6) AS fail_rate,
+       count(*) * 6 AS flows_x6, count(DISTINCT "user") * 6 AS dst_x6,
+       round(count(*) / 1440.0, 6) AS flows_per_min, round(count(DISTINCT "user") / 1440.0, 6) AS dst_per_min,
+       round(ln(count(DISTINCT {second}) + 1), 6) AS log_distinct, max(is_attack) AS is_attack_window
+FROM logins GROUP BY 1, 2"""
+
+
+ORACLES["login_windows"] = _logins(
+    """WITH logins AS (
+  SELECT date_trunc('second', ts) AS ts, user_id AS "user", 'ip_' || json_extract_string(props, '$.k') AS src_ip,
+         ['FR','DE','ES','GB','US','NL'][user_id % 6 + 1] AS country,
+         CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_fail,
+         CASE WHEN event_type = 'view' THEN 0 ELSE CAST(value > 50 AS INTEGER) END AS is_attack
+  FROM events)""",
+    "country",
+    "n_countries",
+)
+_APP_LOGINS = f"""WITH {LOGS}, logins AS (
+  SELECT *, CAST(result = 'fail' AS INTEGER) AS is_fail, CAST(result = 'fail' AS INTEGER) AS is_attack FROM logs)"""
+ORACLES["app_login_windows"] = _logins(_APP_LOGINS, "app", "n_apps")
+ORACLES["app_login_windows_without_app"] = f"""{_APP_LOGINS}
+SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, count(DISTINCT "user") AS n_users, count(*) AS n_apps
+FROM logins GROUP BY 1, 2"""
+ORACLES["flow_clean"] = f"""WITH {FLOWS}
+SELECT {KEY}, l_quantity, l_extendedprice,
+       CASE WHEN l_quantity < 10 THEN 0 ELSE l_discount END AS l_discount,
+       CASE WHEN l_quantity > 40 THEN 0 ELSE l_tax END AS l_tax FROM flows"""
+ORACLES["flow_align"] = f"""WITH {FLOWS}
+SELECT {KEY}, CAST(dst_port AS DOUBLE) AS dst_port, l_quantity, l_extendedprice, l_discount, 0.0::DOUBLE AS l_tax
+FROM flows WHERE {draw(f"'42:split:' || {KEY_TEXT}")} >= 0.7"""
+ORACLES["flow_pseudo_source"] = f"""WITH {FLOWS}
+SELECT 'IP_' || substr(label, 1, 3) || (('0x' || substr(md5(label), 1, 8))::BIGINT % 1000) AS src_ip, label, count(*) AS n
+FROM flows GROUP BY 1, 2"""
+ORACLES["flow_sequence_time"] = f"""WITH {FLOWS}
+SELECT {KEY}, TIMESTAMP '2021-01-01' + to_seconds(row_number() OVER (ORDER BY {KEY}) - 1) AS ts FROM flows"""
+ORACLES["running_quantity"] = f"""WITH {FLOWS}
+SELECT {KEY}, CAST(sum(price_c) OVER (ORDER BY {KEY} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_cents FROM flows"""
+ORACLES["drop_null_keys"] = """SELECT event_id, date_trunc('second', ts) AS ts FROM events WHERE event_type <> 'view'"""
+ORACLES["bounded_scan"] = "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 5000"
+ORACLES["sample_keyed"] = f"""WITH {FLOWS}
+SELECT {KEY}, label FROM flows ORDER BY {draw(f"'42:sample:' || {KEY_TEXT}")}, {KEY_TEXT} LIMIT 10000"""
+
+# --- scaler and forest -------------------------------------------------------------------
+
+SCALED = f"""{FLOWS},
+stats AS (SELECT count(*) AS n_rows, {", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(NUMBERS))}
+          FROM flows WHERE label = 'BENIGN'),
+scaled AS (SELECT {KEY}, label, n_rows, {KEY_TEXT} AS k,
+             {", ".join(f"({c} - m{i}) / s{i} AS f{i}" for i, c in enumerate(NUMBERS))} FROM flows, stats)"""
+ORACLES["scaler_fit"] = f"""WITH {SCALED} """ + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column, round(m{i}, 6) AS mean, round(s{i}, 6) AS scale FROM stats"
+    for i, c in enumerate(NUMBERS)
+)
+ORACLES["scaler_apply"] = f"""WITH {SCALED}
+SELECT {KEY}, {", ".join(f"round(f{i}, 6) AS {c}" for i, c in enumerate(NUMBERS))} FROM scaled"""
+
+
+def forest_ctes(source: str, width: int, trees: int, sample: int, depth: int, where: str, seed: int = 42) -> str:
+    """Node table of an isolation forest, one set of CTEs per level. Ends in ``nodes``."""
+    prime = 2147483647
+    fs = [f"f{i}" for i in range(width)]
+    out = [
+        f"""trees AS (SELECT t AS tree,
+              ('0x' || substr(md5('{seed}:mul:' || t), 1, 8))::BIGINT % {prime - 1} + 1 AS a,
+              ('0x' || substr(md5('{seed}:add:' || t), 1, 8))::BIGINT % {prime} AS b FROM range({trees}) r(t))""",
+        f"""fitted AS (SELECT *, ('0x' || substr(md5('{seed}:row:' || k), 1, 8))::BIGINT % {prime} AS x FROM {source}
+              WHERE {where} AND {draw(f"'{seed}:pool:' || k")} < 65536.0 / n_rows)""",
+        f"""ranked AS (SELECT tree, {", ".join(fs)},
+              row_number() OVER (PARTITION BY tree ORDER BY (a * x + b) % {prime}, k) AS rnk FROM fitted, trees)""",
+        f"l0 AS (SELECT tree, 0::BIGINT AS node, {', '.join(fs)} FROM ranked WHERE rnk <= {sample})",
+    ]
+    lows = ", ".join(f"min({f}) OVER w AS lo{i}, max({f}) OVER w AS hi{i}" for i, f in enumerate(fs))
+    usable = ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(width))
+    pick_lo = "[" + ", ".join(f"lo{i}" for i in range(width)) + "][feature + 1]"
+    pick_hi = "[" + ", ".join(f"hi{i}" for i in range(width)) + "][feature + 1]"
+    pick_x = "[" + ", ".join(fs) + "][feature + 1]"
+    u_feature = draw(f"'{seed}:feature:' || tree || ':' || node")
+    u_threshold = draw(f"'{seed}:threshold:' || tree || ':' || node")
+    for d in range(depth + 1):
+        may = "true" if d < depth else "false"
+        out += [
+            f"""s{d} AS (SELECT *, {lows}, count(*) OVER w AS size FROM l{d} WINDOW w AS (PARTITION BY tree, node))""",
+            f"""u{d} AS (SELECT *, list_filter([{usable}], lambda v: v IS NOT NULL) AS usable FROM s{d})""",
+            f"""c{d} AS (SELECT *, CASE WHEN {may} AND size > 1 AND len(usable) > 0
+                  THEN usable[CAST(floor({u_feature} * len(usable)) AS INTEGER) + 1] ELSE -1 END AS feature FROM u{d})""",
+            f"""t{d} AS (SELECT *, CASE WHEN feature >= 0 THEN {pick_lo} + {u_threshold} * ({pick_hi} - {pick_lo}) END AS threshold FROM c{d})""",
+            f"""n{d} AS (SELECT DISTINCT tree, node, {d} AS depth, feature, threshold, size, feature < 0 AS is_leaf FROM t{d})""",
+            f"""l{d + 1} AS (SELECT tree, node * 2 + 1 + CASE WHEN {pick_x} > threshold THEN 1 ELSE 0 END AS node,
+                  {", ".join(fs)} FROM t{d} WHERE feature >= 0)""",
+        ]
+    out.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(depth + 1)) + ")")
+    return ",\n".join(out)
+
+
+def path_length(n: str) -> str:
+    return f"""(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0
+        ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END)"""
+
+
+def score_ctes(source: str, key: str, width: int, trees: int, sample: int, depth: int) -> str:
+    """Scores of all rows of ``source`` from ``nodes``. Ends in ``scores``."""
+    fs = ", ".join(f"f{i}" for i in range(width))
+    out = [f"w0 AS (SELECT {key}, {fs}, tree, 0::BIGINT AS node FROM {source}, (SELECT DISTINCT tree FROM nodes))"]
+    for d in range(depth + 1):
+        out += [
+            f"""x{d} AS (SELECT w{d}.*, n{d}.feature, n{d}.threshold, n{d}.size FROM w{d} JOIN n{d} USING (tree, node))""",
+            f"""w{d + 1} AS (SELECT {key}, {fs}, tree, node * 2 + 1 + CASE WHEN [{fs}][feature + 1] > threshold THEN 1 ELSE 0 END AS node
+                  FROM x{d} WHERE feature >= 0)""",
+        ]
+    leaves = " UNION ALL ".join(
+        f"SELECT {key}, {d} + {path_length('size')} AS path FROM x{d} WHERE feature < 0" for d in range(depth + 1)
+    )
+    out.append(f"leaves AS ({leaves})")
+    out.append(
+        f"""scores AS (SELECT {key}, pow(2.0, -(sum(path) / {trees}) / {path_length(str(float(sample)))}) AS anomaly_score
+             FROM leaves GROUP BY {key})"""
+    )
+    return ",\n".join(out)
+
+
+SMALL = f"WITH {SCALED},\n" + forest_ctes("scaled", 4, 10, 64, 6, "label = 'BENIGN'")
+SMALL_SCORED = SMALL + ",\n" + score_ctes("scaled", KEY, 4, 10, 64, 6)
+ORACLES["forest_nodes_small"] = SMALL + """
+SELECT tree, node, depth, feature, round(threshold, 6) AS threshold, size, is_leaf FROM nodes"""
+ORACLES["forest_scores_small"] = SMALL_SCORED + f"""
+SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score FROM scores"""
+FLAGGED = SMALL_SCORED + f""",
+cut AS (SELECT quantile_cont(anomaly_score, 0.9) AS c FROM scores JOIN flows USING ({KEY}) WHERE label = 'BENIGN'),
+flagged AS (SELECT {KEY}, label, anomaly_score, CAST(anomaly_score > c AS INTEGER) AS is_anomaly
+            FROM scores JOIN flows USING ({KEY}), cut)"""
+ORACLES["forest_flags_small"] = FLAGGED + f"""
+SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"""

@@ -8,7 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authscope.operators import features, normalize
+from authscope.functions.scalars import pseudo_source
+from authscope.operators import features, forest, normalize, prefix, quantile, sampling, scaler
+from authscope.operators import flows as flow_ops
 from authscope.session import use_utc
 from authscope.sources import adapters
 
@@ -103,3 +105,150 @@ def features_approx(spark, sf_dir):
 @query
 def top_sources(spark, sf_dir):
     return features.top_sources(_logs(spark, sf_dir))
+
+
+# --- flows -------------------------------------------------------------------------------
+
+
+@query
+def flow_windows(spark, sf_dir):
+    out = flow_ops.flow_windows(_flows(spark, sf_dir), ["ts", *adapters.FLOW_KEY])
+    return rounded(out, "fail_rate", "flows_per_min", "dst_per_min", "log_distinct")
+
+
+@query
+def login_windows(spark, sf_dir):
+    rba = adapters.rba_logins(adapters.table(spark, sf_dir, "events"))
+    out = flow_ops.login_windows(flow_ops.login_records(rba), "1 day")
+    return rounded(out, "fail_rate", "flows_per_min", "dst_per_min", "log_distinct")
+
+
+@query
+def app_login_windows(spark, sf_dir):
+    out = flow_ops.login_windows(flow_ops.log_records(_logs(spark, sf_dir)), "1 day", second="app")
+    return rounded(out, "fail_rate", "flows_per_min", "dst_per_min", "log_distinct")
+
+
+@query
+def app_login_windows_without_app(spark, sf_dir):
+    """Without an application column the row count stands in."""
+    rows = flow_ops.log_records(_logs(spark, sf_dir)).drop("app")
+    return flow_ops.login_windows(rows, "1 day", second="app").select("src_ip", "ts", "n_users", "n_apps")
+
+
+def _gappy(spark, sf_dir):
+    """Flows with missing, undefined and infinite numbers."""
+    q = F.col("l_quantity")
+    return _flows(spark, sf_dir).withColumns(
+        {
+            "l_tax": F.when(q > 45, F.lit(float("inf"))).when(q > 40, F.lit(float("nan"))).otherwise(F.col("l_tax")),
+            "l_discount": F.when(q < 5, F.lit(None).cast("double")).when(q < 10, F.lit(float("-inf"))).otherwise(F.col("l_discount")),
+        }
+    )
+
+
+@query
+def flow_clean(spark, sf_dir):
+    cleaned = flow_ops.clean_columns(_gappy(spark, sf_dir), adapters.FLOW_NUMBERS)
+    return cleaned.select(*adapters.FLOW_KEY, *adapters.FLOW_NUMBERS)
+
+
+@query
+def flow_align(spark, sf_dir):
+    """Train columns on the test split: one column is missing there, one is extra."""
+    rows = _flows(spark, sf_dir)
+    train = rows.where(adapters.train_draw() < 0.7).drop("ts", "src_ip", "label")
+    test = rows.where(adapters.train_draw() >= 0.7).drop("l_tax").withColumn("extra", F.lit(1.0))
+    columns = flow_ops.numeric_columns(train, drop=adapters.FLOW_KEY)
+    return flow_ops.align_columns(test, columns, keep=adapters.FLOW_KEY)
+
+
+@query
+def flow_pseudo_source(spark, sf_dir):
+    rows = _flows(spark, sf_dir)
+    return rows.groupBy(pseudo_source(F.col("label")).alias("src_ip"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def flow_sequence_time(spark, sf_dir):
+    rows = prefix.sequence_time(_flows(spark, sf_dir).drop("ts"), list(adapters.FLOW_KEY))
+    return rows.select(*adapters.FLOW_KEY, "ts")
+
+
+@query
+def running_quantity(spark, sf_dir):
+    rows = prefix.running_totals(
+        _flows(spark, sf_dir), list(adapters.FLOW_KEY), {"total_cents": "price_c"}
+    )
+    return rows.select(*adapters.FLOW_KEY, "total_cents")
+
+
+@query
+def drop_null_keys(spark, sf_dir):
+    """Lenient times: text that is no time becomes null, and such rows go."""
+    events = adapters.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "view", "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = events.select("event_id", F.try_to_timestamp(text).alias("ts"))
+    return rows.dropna(subset=["ts"])
+
+
+@query
+def bounded_scan(spark, sf_dir):
+    return quantile.bounded_rows(adapters.table(spark, sf_dir, "orders"), "o_orderkey", 5000).select(
+        "o_orderkey", "o_custkey"
+    )
+
+
+@query
+def sample_keyed(spark, sf_dir):
+    rows = _flows(spark, sf_dir)
+    return sampling.sample_rows(rows, 10000, adapters.FLOW_KEY).select(*adapters.FLOW_KEY, "label")
+
+
+# --- scaler and forest -------------------------------------------------------------------
+
+
+def _benign(spark, sf_dir):
+    return _flows(spark, sf_dir).where(F.col("label") == "BENIGN")
+
+
+@query
+def scaler_fit(spark, sf_dir):
+    table = scaler.fit_scaler(_benign(spark, sf_dir), adapters.FLOW_NUMBERS).table(spark)
+    return rounded(table, "mean", "scale")
+
+
+@query
+def scaler_apply(spark, sf_dir):
+    fitted = scaler.fit_scaler(_benign(spark, sf_dir), adapters.FLOW_NUMBERS)
+    out = fitted.transform(_flows(spark, sf_dir)).select(*adapters.FLOW_KEY, *adapters.FLOW_NUMBERS)
+    return rounded(out, *adapters.FLOW_NUMBERS)
+
+
+SMALL_TREES, SMALL_SAMPLE, SMALL_CONTAMINATION = 10, 64, 0.1
+
+
+def _small_forest(spark, sf_dir):
+    return forest.fit_forest(
+        _benign(spark, sf_dir), adapters.FLOW_NUMBERS, adapters.FLOW_KEY, SMALL_TREES, SMALL_SAMPLE
+    )
+
+
+@query
+def forest_nodes_small(spark, sf_dir):
+    return rounded(_small_forest(spark, sf_dir).nodes, "threshold")
+
+
+@query
+def forest_scores_small(spark, sf_dir):
+    rows = _flows(spark, sf_dir)
+    out = forest.score_by_joins(rows, _small_forest(spark, sf_dir), adapters.FLOW_KEY)
+    return rounded(out, "anomaly_score")
+
+
+@query
+def forest_flags_small(spark, sf_dir):
+    """Scores by the broadcast walk, cut at a quantile of the training scores."""
+    model = forest.fit_cut(_small_forest(spark, sf_dir), _benign(spark, sf_dir), SMALL_CONTAMINATION)
+    out = forest.score_and_flag(_flows(spark, sf_dir), model)
+    return rounded(out.select(*adapters.FLOW_KEY, "anomaly_score", "is_anomaly"), "anomaly_score")
