@@ -34,6 +34,12 @@ def uniform(seed: int, purpose: str, *key: str | Column) -> Column:
     return digest32(F.lit(f"{seed}:{purpose}"), *key) / F.lit(SPAN)
 
 
+def uniform_sql(seed: int, purpose: str, *names: str) -> str:
+    """The same draw as SQL text, for columns given by name."""
+    text = f"concat_ws(':', '{seed}:{purpose}', {', '.join(names)})"
+    return f"(cast(conv(substring(md5({text}), 1, 8), 16, 10) as bigint) / {SPAN:.1f}D)"
+
+
 def categorical(draw: Column, values: Sequence[str], weights: Sequence[float]) -> Column:
     """Pick a value by cumulative weight."""
     if len(values) != len(weights) or abs(sum(weights) - 1.0) > 1e-9:

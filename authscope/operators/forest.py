@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from authscope.functions.draws import digest32, key_text, uniform
+from authscope.functions.draws import digest32, key_text, uniform, uniform_sql
 from authscope.operators.quantile import exact_percentile
 from authscope.operators.scaler import Scaler, fit_scaler
 from authscope.schemas import AUTO_SAMPLE, DEFAULT_SEED, DEFAULT_TREES
-from authscope.session import cut_lineage
+from authscope.session import cut_lineage, shuffle_width, spread
 
 GROUP_ROWS = 4096
 POOL_ROWS = 65536
@@ -95,17 +95,15 @@ def _multipliers(seed: int, trees: int) -> list[tuple[int, int, int]]:
 
 def _per_tree(rows: DataFrame, seed: int, trees: int) -> DataFrame:
     """Each row once per tree with its draw there: one digest per row, a linear hash per tree."""
-    numbers = F.array(
-        *[
-            F.struct(F.lit(t).alias("tree"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
-            for t, a, b in _multipliers(seed, trees)
-        ]
+    numbers = ", ".join(
+        f"named_struct('tree', {t}, 'a', {a}L, 'b', {b}L)" for t, a, b in _multipliers(seed, trees)
     )
     return (
         rows.withColumn("_x", digest32(F.lit(f"{seed}:row"), "_key") % F.lit(PRIME))
-        .withColumn("_m", F.explode(numbers))
-        .withColumn("draw", (F.col("_m.a") * F.col("_x") + F.col("_m.b")) % F.lit(PRIME))
-        .withColumn("tree", F.col("_m.tree"))
+        .withColumn("_m", F.explode(F.expr(f"array({numbers})")))
+        .withColumns(
+            {"draw": (F.col("_m.a") * F.col("_x") + F.col("_m.b")) % F.lit(PRIME), "tree": F.col("_m.tree")}
+        )
         .drop("_m", "_x")
     )
 
@@ -121,9 +119,12 @@ def _tree_samples(rows: DataFrame, total: int, sample: int, trees: int, seed: in
         rows = rows.where(uniform(seed, "pool", "_key") < F.lit(pool / total))
     likely = min(1.0, (4 * sample + 64) / min(pool, total))
     order = W.partitionBy("tree").orderBy("draw", "_key")
+    # Both shuffles move a bounded number of rows; given widths keep them from being coalesced.
+    width = shuffle_width(rows.sparkSession)
     return (
-        _per_tree(rows, seed, trees)
+        _per_tree(rows.repartition(width, "_key"), seed, trees)
         .where(F.col("draw") < F.lit(int(likely * PRIME) + 1))
+        .repartition(width, "tree")
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= sample)
         .drop("_rank", "draw", "_key")
@@ -131,57 +132,63 @@ def _tree_samples(rows: DataFrame, total: int, sample: int, trees: int, seed: in
     )
 
 
-def _choice(seed: int, width: int, low: list[Column], high: list[Column], size: Column, may_split: Column) -> Column:
-    """Split of a node: a random column that is not constant, a random value in its range."""
-    usable = F.array_compact(F.array(*[F.when(high[i] > low[i], F.lit(i)) for i in range(width)]))
-    pick = F.floor(uniform(seed, "feature", "tree", "node") * F.size(usable)).cast("int") + 1
-    feature = F.when(may_split & (size > 1) & (F.size(usable) > 0), F.get(usable, pick - 1)).otherwise(-1)
-    return feature
+def _split_sql(seed: int, width: int) -> tuple[str, str]:
+    """Split of a node as SQL over lo*, hi*, size and depth.
+
+    The feature is a random one among those that are not constant in the node, -1 if there
+    is none or the node may not be split; the threshold is a random value in its range.
+    """
+    usable = "array_compact(array(" + ", ".join(f"if(hi{i} > lo{i}, {i}, null)" for i in range(width)) + "))"
+    pick = f"cast(floor({uniform_sql(seed, 'feature', 'tree', 'node')} * size({usable})) as int)"
+    feature = f"coalesce(if(size > 1 and depth < {{limit}}, get({usable}, {pick}), -1), -1)"
+    lows = "array(" + ", ".join(f"lo{i}" for i in range(width)) + ")"
+    highs = "array(" + ", ".join(f"hi{i}" for i in range(width)) + ")"
+    u = uniform_sql(seed, "threshold", "tree", "node")
+    threshold = f"get({lows}, feature) + {u} * (get({highs}, feature) - get({lows}, feature))"
+    return feature, threshold
+
 
+def _names(width: int) -> list[str]:
+    return [f"f{i}" for i in range(width)]
 
-def _threshold(seed: int, feature: Column, low: list[Column], high: list[Column]) -> Column:
-    lo, hi = F.get(F.array(*low), feature), F.get(F.array(*high), feature)
-    return lo + uniform(seed, "threshold", "tree", "node") * (hi - lo)
+
+def _value_sql(width: int) -> str:
+    return f"get(array({', '.join(_names(width))}), feature)"
 
 
 def _grow(rows: DataFrame, width: int, limit: int, levels: int, seed: int) -> DataFrame:
-    """Finish all subtrees whose rows share ``(tree, root)``, by windows. Returns their nodes."""
-    cols = [f"f{i}" for i in range(width)]
-    # ANSI-safe: every row walks to its leaf and remembers the nodes it met.
-    empty = F.array().cast(
-        "array<struct<node:bigint,depth:int,feature:int,threshold:double,size:bigint,is_leaf:boolean>>"
-    )
-    rows = rows.withColumns({"open": F.lit(True), "path": empty})
+    """Finish all subtrees whose rows share ``(tree, root)``, by windows. Returns their nodes.
+
+    Every row walks down to its leaf and keeps the nodes it met. All levels are one plan,
+    without a shuffle between them.
+    """
+    cols = _names(width)
+    feature, threshold = _split_sql(seed, width)
+    w = "over (partition by tree, root, node)"
+    ranges = [f"{f}(f{i}) {w} as {n}{i}" for i in range(width) for f, n in (("min", "lo"), ("max", "hi"))]
+    beyond = f"if({_value_sql(width)} > threshold, 1, 0)"
+    step = """named_struct('node', node, 'depth', depth, 'feature', feature, 'threshold', threshold,
+              'size', size, 'is_leaf', feature < 0)"""
+    met = "array<struct<node: bigint, depth: int, feature: int, threshold: double, size: bigint, is_leaf: boolean>>"
+    rows = rows.selectExpr("*", "true as open", f"cast(array() as {met}) as path")
     for _ in range(levels + 1):
-        w = W.partitionBy("tree", "root", "node")
-        rows = rows.withColumns(
-            {
-                **{f"lo{i}": F.min(c).over(w) for i, c in enumerate(cols)},
-                **{f"hi{i}": F.max(c).over(w) for i, c in enumerate(cols)},
-                "size": F.count(F.lit(1)).over(w),
-            }
-        )
-        low = [F.col(f"lo{i}") for i in range(width)]
-        high = [F.col(f"hi{i}") for i in range(width)]
-        rows = rows.withColumn("feature", _choice(seed, width, low, high, F.col("size"), F.col("depth") < limit))
-        rows = rows.withColumn("threshold", F.when(F.col("feature") >= 0, _threshold(seed, F.col("feature"), low, high)))
-        split = F.col("open") & (F.col("feature") >= 0)
-        step = F.struct(
-            "node", "depth", "feature", "threshold", "size", (F.col("feature") < 0).alias("is_leaf")
-        )
-        beyond = (F.get(F.array(*cols), F.col("feature")) > F.col("threshold")).cast("long")
-        rows = rows.select(
-            "tree",
-            "root",
-            *cols,
-            F.when(split, F.col("node") * 2 + 1 + beyond).otherwise(F.col("node")).alias("node"),
-            F.when(split, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(F.col("open"), F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
-            split.alias("open"),
+        rows = (
+            rows.selectExpr("*", *ranges, f"count(1) {w} as size")
+            .selectExpr("*", f"{feature.format(limit=limit)} as feature")
+            .selectExpr("*", f"if(feature >= 0, {threshold}, null) as threshold")
+            .selectExpr(
+                "tree",
+                "root",
+                *cols,
+                f"if(open and feature >= 0, node * 2 + 1 + {beyond}, node) as node",
+                "if(open and feature >= 0, depth + 1, depth) as depth",
+                "open and feature >= 0 as open",
+                f"if(open, array_append(path, {step}), path) as path",
+            )
         )
-    met = rows.select("tree", "root", F.explode("path").alias("p")).select("tree", "root", "p.*")
     return (
-        met.groupBy("tree", "root", "node")
+        rows.selectExpr("tree", "root", "inline(path)")
+        .groupBy("tree", "root", "node")
         .agg(*[F.any_value(c).alias(c) for c in NODE_COLUMNS[2:]])
         .select(*NODE_COLUMNS)
     )
@@ -189,9 +196,9 @@ def _grow(rows: DataFrame, width: int, limit: int, levels: int, seed: int) -> Da
 
 def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows: int) -> DataFrame:
     """Level by level for nodes above ``group_rows`` rows, then the rest by windows."""
-    cols = [f"f{i}" for i in range(width)]
-    low = [F.col(f"lo{i}") for i in range(width)]
-    high = [F.col(f"hi{i}") for i in range(width)]
+    cols = _names(width)
+    feature, threshold = _split_sql(seed, width)
+    beyond = (F.expr(_value_sql(width)) > F.col("threshold")).cast("long")
     rows = rows.withColumns(
         {"node": F.lit(0).cast("long"), "depth": F.lit(0), "state": F.lit("open")}
     )
@@ -206,9 +213,9 @@ def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows:
                 *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
             )
         )
-        stats = stats.withColumn(
-            "feature", _choice(seed, width, low, high, F.col("size"), F.col("depth") < limit)
-        ).withColumn("threshold", F.when(F.col("feature") >= 0, _threshold(seed, F.col("feature"), low, high)))
+        stats = stats.withColumn("feature", F.expr(feature.format(limit=limit))).withColumn(
+            "threshold", F.when(F.col("feature") >= 0, F.expr(threshold))
+        )
         # A small node is left for the windows, split or not; a large one is decided here.
         picked = cut_lineage(
             stats.select(
@@ -230,7 +237,6 @@ def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows:
         side = picked.select("tree", "node", "feature", "threshold", "small", F.lit(True).alias("seen"))
         if counts["n"] <= BROADCAST_NODES // 4:
             side = F.broadcast(side)
-        beyond = (F.get(F.array(*cols), F.col("feature")) > F.col("threshold")).cast("long")
         hit = F.col("seen").isNotNull() & (F.col("state") == "open")
         goes_on = hit & ~F.col("small") & (F.col("feature") >= 0)
         rows = rows.join(side, ["tree", "node"], "left").select(
@@ -252,7 +258,7 @@ def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows:
         rows.where(F.col("state") == "small")
         .drop("state")
         .withColumn("root", F.col("node"))
-        .repartition("tree", "root")
+        .repartition(shuffle_width(rows.sparkSession), "tree", "root")
     )
     finished.append(_grow(small, width, limit, limit - shallowest, seed))
     out = finished[0]
@@ -320,17 +326,16 @@ def _packed(forest: Forest) -> dict[str, np.ndarray]:
     feature = t["feature"].to_numpy()[order].astype(np.int32)
     threshold = t["threshold"].to_numpy(dtype=np.float64, na_value=np.inf)[order]
     threshold[feature < 0] = np.inf
-    # Dense rank of (tree, node) without building one wide number.
     starts = np.searchsorted(tree, np.arange(forest.trees))
     left = np.arange(len(tree), dtype=np.int64)
     for t0, t1 in zip(starts, np.append(starts[1:], len(tree))):
         inner = feature[t0:t1] >= 0
         left[t0:t1][inner] = t0 + np.searchsorted(node[t0:t1], node[t0:t1][inner] * 2 + 1)
     return {
-        "root": starts.astype(np.int32),
-        "feature": np.maximum(feature, 0),
+        "root": starts.astype(np.intp),
+        "feature": np.maximum(feature, 0).astype(np.intp),
         "threshold": threshold,
-        "left": left.astype(np.int32),
+        "left": left.astype(np.intp),
         "path": t["path"].to_numpy(dtype=np.float64)[order],
     }
 
@@ -348,16 +353,17 @@ def score_column(forest: Forest) -> Column:
     def walk(*columns: pd.Series) -> pd.Series:
         m = model.value
         x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
-        out = np.empty(len(x))
-        block = max(1, 2_000_000 // len(m["root"]))
-        for a in range(0, len(x), block):
-            part = x[a : a + block]
-            at = np.broadcast_to(m["root"], (len(part), len(m["root"])))
-            row = np.arange(len(part))[:, None]
+        first = np.arange(len(x)) * x.shape[1]
+        x = x.ravel()
+        total = np.zeros(len(first))
+        # Tree by tree, so that the arrays of one tree stay in the processor's cache.
+        for root in m["root"]:
+            at = np.full(len(first), root)
             for _ in range(steps):
-                at = m["left"][at] + (part[row, m["feature"][at]] > m["threshold"][at])
-            mean = m["path"][at].mean(axis=1)
-            out[a : a + block] = 0.5 if norm == 0 else np.power(2.0, -mean / norm)
+                beyond = x.take(first + m["feature"].take(at)) > m["threshold"].take(at)
+                at = m["left"].take(at) + beyond
+            total += m["path"].take(at)
+        out = np.full(len(first), 0.5) if norm == 0 else np.power(2.0, -total / (len(m["root"]) * norm))
         return pd.Series(out)
 
     return walk(*[forest.scaler.expr(c) for c in forest.scaler.columns])
@@ -366,7 +372,7 @@ def score_column(forest: Forest) -> Column:
 def score(df: DataFrame, forest: Forest, key: Sequence[str] | None = None, name: str = "anomaly_score") -> DataFrame:
     """Add the score to every row: a broadcast walk, or joins when the forest is too large for it."""
     if forest.nodes.count() <= BROADCAST_NODES:
-        return df.withColumn(name, score_column(forest))
+        return spread(df).withColumn(name, score_column(forest))
     if not key:
         raise ValueError("this forest is scored by joins and needs a unique row key")
     return df.join(score_by_joins(df, forest, key, name), list(key))
@@ -374,7 +380,9 @@ def score(df: DataFrame, forest: Forest, key: Sequence[str] | None = None, name:
 
 def score_by_joins(df: DataFrame, forest: Forest, key: Sequence[str], name: str = "anomaly_score") -> DataFrame:
     """The same scores by one join per level. ``key`` must be unique. Exact on any forest size."""
-    cols = [f"f{i}" for i in range(len(forest.scaler.columns))]
+    width = len(forest.scaler.columns)
+    cols = _names(width)
+    beyond = (F.expr(_value_sql(width)) > F.col("threshold")).cast("long")
     at = df.select(
         *key, *[forest.scaler.expr(c).alias(f"f{i}") for i, c in enumerate(forest.scaler.columns)]
     ).withColumns(
@@ -384,7 +392,6 @@ def score_by_joins(df: DataFrame, forest: Forest, key: Sequence[str], name: str
     nodes = node_paths(forest).select("tree", "node", "feature", "threshold", F.col("path").alias("leaf_path"))
     for level in range(forest.depth + 1):
         here = nodes.where((F.col("node") >= 2**level - 1) & (F.col("node") < 2 ** (level + 1) - 1))
-        beyond = (F.get(F.array(*cols), F.col("feature")) > F.col("threshold")).cast("long")
         at = at.join(here, ["tree", "node"], "left").select(
             *key,
             *cols,
@@ -399,7 +406,7 @@ def fit_cut(forest: Forest, train: DataFrame, contamination: float, approximate:
     """Set the cut at the score quantile of the training rows."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination lies in (0, 0.5]")
-    scored = train.select(score_column(forest).alias("s"))
+    scored = spread(train).select(score_column(forest).alias("s"))
     return replace(forest, cut=score_cut(scored, "s", contamination, approximate))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,27 +15,46 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder of the session.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A folder on this machine is
-    used only in local mode; on a cluster a missing setting is an error, since
-    executors would each write to a disk the others cannot read.
+    The cluster names it in ``spark.checkpoint.dir``. A folder on this machine is used only
+    in local mode; on a cluster a missing setting is an error, since executors would each
+    write to a disk the others cannot read.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-        named = tempfile.mkdtemp(prefix="authscope-checkpoint-")
-    sc.setCheckpointDir(named)
-    return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="authscope-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and go on from that copy.
+
+    Unlike ``checkpoint()``, which runs the last stage once to count and once to write, this
+    computes the rows once, and later reads prune columns. The copy outlives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/authscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on input that comes in fewer pieces than there are cores.
+
+    Large inputs already come in many pieces and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
