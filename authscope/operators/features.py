@@ -19,12 +19,16 @@ def group_keys(by_app: bool) -> list[str]:
 
 
 def _stacked(logs: DataFrame, keys: list[str], window: str) -> DataFrame:
+    return stack_values(logs, keys, {"win": floor_time(F.col("ts"), window)})
+
+
+def stack_values(logs: DataFrame, keys: list[str], time: dict[str, Column]) -> DataFrame:
     """One row per log row and counted column."""
     present = [c for c in DIMENSIONS if c in logs.columns]
     pairs = [e for c in present for e in (F.lit(DIMENSIONS[c]), F.col(c).cast("string"))]
     return logs.select(
         *keys,
-        floor_time(F.col("ts"), window).alias("win"),
+        *[c.alias(n) for n, c in time.items()],
         flag(F.col("result") == "fail").alias("is_fail"),
         flag(F.col("result") == "success").alias("is_success"),
         F.stack(F.lit(len(present)), *pairs).alias("dim", "val"),
@@ -67,17 +71,29 @@ def window_features(
     if approx_distinct:
         return _approx_features(logs, window, by_app, min_fail)
     keys = group_keys(by_app)
-    group = [*keys, "win"]
-    values = (
-        _stacked(logs, keys, window)
-        .groupBy(*group, "dim", "val")
-        .agg(F.count(F.lit(1)).alias("c"), F.sum("is_fail").alias("f"), F.sum("is_success").alias("s"))
+    counts = count_values(_stacked(logs, keys, window), keys, ["win"])
+    counts = sum_values(counts, keys, ["win"]).withColumn("bits", _filled_columns(logs))
+    distinct = {
+        DISTINCT_NAMES[c]: F.when(F.col("bits").bitwiseAND(F.lit(bit)) != 0, F.col(DISTINCT_NAMES[c])).otherwise(1)
+        for c, bit in DIMENSIONS.items()
+    }
+    return finish_features(counts.withColumns(distinct), keys, window, min_fail)
+
+
+def count_values(stacked: DataFrame, keys: list[str], time: list[str]) -> DataFrame:
+    """Rows, failures and successes per source, window and counted value."""
+    return stacked.groupBy(*keys, *time, "dim", "val").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("is_fail").alias("f"), F.sum("is_success").alias("s")
     )
+
+
+def sum_values(values: DataFrame, keys: list[str], time: list[str]) -> DataFrame:
+    """All counts of a source and window from its counted values."""
     first = F.col("dim") == DIMENSIONS["user"]
     named = F.col("val").isNotNull()
-    counts = (
+    sums = (
         values.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-        .groupBy(*group)
+        .groupBy(*keys, *time)
         .agg(
             F.sum(F.when(first, F.col("c"))).alias("n_attempts"),
             F.sum(F.when(first, F.col("f"))).alias("n_fail"),
@@ -90,15 +106,8 @@ def window_features(
             F.sum(F.when(first & named, F.col("c") * F.log2(F.col("c")))).alias("u_weighted"),
         )
     )
-    counts = counts.withColumn("bits", _filled_columns(logs))
-    entropy = F.when(
-        F.col("n_users") > 1, F.log2("u_total") - F.col("u_weighted") / F.col("u_total")
-    ).otherwise(0.0)
-    distinct = {
-        DISTINCT_NAMES[c]: F.when(F.col("bits").bitwiseAND(F.lit(bit)) != 0, F.col(DISTINCT_NAMES[c])).otherwise(1)
-        for c, bit in DIMENSIONS.items()
-    }
-    return _finish(counts.withColumn("user_entropy", entropy).withColumns(distinct), keys, window, min_fail)
+    spread = F.log2("u_total") - F.col("u_weighted") / F.col("u_total")
+    return sums.withColumn("user_entropy", F.when(F.col("n_users") > 1, spread).otherwise(0.0))
 
 
 def _approx_features(logs: DataFrame, window: str, by_app: bool, min_fail: int) -> DataFrame:
@@ -127,10 +136,10 @@ def _approx_features(logs: DataFrame, window: str, by_app: bool, min_fail: int)
         )
         .withColumn("user_entropy", F.lit(None).cast("double"))
     )
-    return _finish(counts, keys, window, min_fail)
+    return finish_features(counts, keys, window, min_fail)
 
 
-def _finish(counts: DataFrame, keys: list[str], window: str, min_fail: int) -> DataFrame:
+def finish_features(counts: DataFrame, keys: list[str], window: str, min_fail: int) -> DataFrame:
     """Derived columns and the fixed column order."""
     minutes = duration_seconds(window) / 60.0
     return counts.select(

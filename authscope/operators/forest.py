@@ -340,35 +340,48 @@ def _packed(forest: Forest) -> dict[str, np.ndarray]:
     }
 
 
-def score_column(forest: Forest) -> Column:
-    """Anomaly score in (0, 1] as a column, higher is stranger. Needs a forest of checked size."""
+def prefix_scores(forest: Forest, prefixes: Sequence[int]) -> Column:
+    """Scores by the first k trees for each k in ``prefixes``, as an array, in one walk.
+
+    Needs a forest of checked size.
+    """
     spark = forest.nodes.sparkSession
     held = forest.nodes.count()
     if held > BROADCAST_NODES:
         raise ValueError(f"{held} nodes are too many to send to every task; use score_by_joins")
+    if sorted(prefixes) != list(prefixes) or not 0 < prefixes[0] <= prefixes[-1] <= forest.trees:
+        raise ValueError("prefixes rise and end within the forest")
     model = spark.sparkContext.broadcast(_packed(forest))
     steps, norm = forest.depth, average_path_number(forest.sample)
+    marks = list(prefixes)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def walk(*columns: pd.Series) -> pd.Series:
         m = model.value
         x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
         first = np.arange(len(x)) * x.shape[1]
         x = x.ravel()
         total = np.zeros(len(first))
+        out = np.full((len(first), len(marks)), 0.5)
         # Tree by tree, so that the arrays of one tree stay in the processor's cache.
-        for root in m["root"]:
+        for t, root in enumerate(m["root"][: marks[-1]], start=1):
             at = np.full(len(first), root)
             for _ in range(steps):
                 beyond = x.take(first + m["feature"].take(at)) > m["threshold"].take(at)
                 at = m["left"].take(at) + beyond
             total += m["path"].take(at)
-        out = np.full(len(first), 0.5) if norm == 0 else np.power(2.0, -total / (len(m["root"]) * norm))
-        return pd.Series(out)
+            if norm and t in marks:
+                out[:, marks.index(t)] = np.power(2.0, -total / (t * norm))
+        return pd.Series(list(out))
 
     return walk(*[forest.scaler.expr(c) for c in forest.scaler.columns])
 
 
+def score_column(forest: Forest) -> Column:
+    """Anomaly score in (0, 1] as a column, higher is stranger. Needs a forest of checked size."""
+    return prefix_scores(forest, [forest.trees])[0]
+
+
 def score(df: DataFrame, forest: Forest, key: Sequence[str] | None = None, name: str = "anomaly_score") -> DataFrame:
     """Add the score to every row: a broadcast walk, or joins when the forest is too large for it."""
     if forest.nodes.count() <= BROADCAST_NODES:

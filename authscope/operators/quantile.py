@@ -1,14 +1,15 @@
-"""Exact order statistics of one numeric column by repeated histograms.
+"""Exact order statistics by repeated histograms.
 
 The built-in ``percentile`` keeps every distinct value in one aggregation buffer, which is
-the whole column for continuous scores. Here each pass counts at most ``BINS`` ranges, then
-looks only at the range that holds the wanted rank, so no task or driver holds more than
-``BINS`` rows whatever the size of the data, and repeated values end the search at once.
+the whole column for continuous scores. Here each pass counts at most ``BINS`` ranges per
+wanted rank and then looks only at the range that holds it, so no task or driver holds more
+than that whatever the size of the data. Repeated values end a search at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,72 +17,100 @@ from pyspark.sql import functions as F
 BINS = 1024
 
 
-def _value_at(values: DataFrame, rank: int, low: float, high: float) -> tuple[float, int]:
-    """Value at a zero-based rank, and how many values are at or below it."""
-    below = 0
-    while True:
-        width = (high - low) / BINS
-        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
-        slot = (
-            F.least(F.lit(BINS - 1).cast("double"), F.floor((F.col("v") - low) / width))
-            if width > 0
-            else F.col("v")
-        )
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, NaN as null."""
+    picked = [F.col(c).cast("double") for c in columns]
+    return df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(picked)])
+
+
+def _ends(values: DataFrame, width: int) -> list[tuple[int, float, float]]:
+    aggs = [f(f"v{i}").alias(f"{n}{i}") for i in range(width) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    row = values.agg(*aggs).first()
+    return [(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in range(width)]
+
+
+def _at_ranks(values: DataFrame, ends: list[tuple[int, float, float]], wanted: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Value at each (column, zero-based rank). All searches share their passes."""
+    found: dict[tuple[int, int], float] = {}
+    search = {}
+    for i, rank in wanted:
+        _, lo, hi = ends[i]
+        if lo == hi:
+            found[i, rank] = lo
+        else:
+            search[i, rank] = (lo, hi, 0)
+    while search:
+        ranges = {key: n for n, key in enumerate({(i, lo, hi) for (i, _), (lo, hi, _) in search.items()})}
+        slots = []
+        for (i, lo, hi), n in ranges.items():
+            v, width = F.col(f"v{i}"), (hi - lo) / BINS
+            slot = F.least(F.lit(BINS - 1.0), F.floor((v - lo) / F.lit(width)).cast("double")) if width > 0 else v
+            inside = (v >= lo) & (v <= hi)
+            slots.append(F.when(inside, F.struct(F.lit(n).alias("range"), slot.alias("bin"), v.alias("v"))))
         bins = (
-            inside.groupBy(slot.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("bin")
+            values.select(F.explode(F.array_compact(F.array(*slots))).alias("s"))
+            .groupBy("s.range", "s.bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
             .collect()
         )
-        for b in bins:
-            if rank < below + b["n"]:
-                if b["lo"] == b["hi"]:
-                    return b["lo"], below + b["n"]
-                low, high = b["lo"], b["hi"]
-                break
-            below += b["n"]
-        else:
-            raise ValueError("values changed between passes; persist or write them first")
+        by_range: dict[int, list] = {n: [] for n in ranges.values()}
+        for b in sorted(bins, key=lambda b: (b["range"], b["bin"])):
+            by_range[b["range"]].append(b)
+        for (i, rank), (lo, hi, below) in list(search.items()):
+            for b in by_range[ranges[i, lo, hi]]:
+                if rank < below + b["n"]:
+                    break
+                below += b["n"]
+            else:
+                raise ValueError("values changed between passes; write them first")
+            if b["lo"] == b["hi"]:
+                found[i, rank] = b["lo"]
+                del search[i, rank]
+            else:
+                search[i, rank] = (b["lo"], b["hi"], below)
+    return found
+
+
+def exact_percentiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float | None]:
+    """For each column and share, linear interpolation between the two ranks around it.
+
+    Null and NaN are left out; a column without values gives None.
+    """
+    columns = list(wanted)
+    values = _numbers(df, columns)
+    ends = _ends(values, len(columns))
+    places = {(i, s): (ends[i][0] - 1) * s for i, c in enumerate(columns) for s in wanted[c] if ends[i][0]}
+    ranks = {(i, r) for (i, _), p in places.items() for r in (math.floor(p), math.ceil(p))}
+    found = _at_ranks(values, ends, ranks)
+    out: dict[tuple[str, float], float | None] = {(c, s): None for c in columns for s in wanted[c]}
+    for (i, s), p in places.items():
+        low, high = found[i, math.floor(p)], found[i, math.ceil(p)]
+        out[columns[i], s] = low + (high - low) * (p - math.floor(p))
+    return out
 
 
-def _numbers(df: DataFrame, column: str) -> DataFrame:
-    v = F.col(column).cast("double")
-    return df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+def exact_percentile(df: DataFrame, column: str, share: float) -> float | None:
+    return exact_percentiles(df, {column: [share]})[column, share]
 
 
 def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
-    """The value with ``rank`` smaller or equal ones before it in ascending order."""
-    values = _numbers(df, column)
-    seen = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if rank >= seen["n"]:
-        return None
-    if seen["lo"] == seen["hi"]:
-        return seen["lo"]
-    return _value_at(values, rank, seen["lo"], seen["hi"])[0]
-
-
-def exact_percentile(df: DataFrame, column: str, share: float) -> float | None:
-    """Linear interpolation between the two ranks around ``share``. Null and NaN are left out."""
-    values = _numbers(df, column)
-    seen = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = seen["n"]
-    if n == 0:
+    """The value with ``rank`` values before it in ascending order, None beyond the end."""
+    values = _numbers(df, [column])
+    ends = _ends(values, 1)
+    if not 0 <= rank < ends[0][0]:
         return None
-    if seen["lo"] == seen["hi"]:
-        return seen["lo"]
-    place = (n - 1) * share
-    lower = math.floor(place)
-    value, up_to = _value_at(values, lower, seen["lo"], seen["hi"])
-    if place == lower or up_to > lower + 1:
-        return value
-    following = values.where(F.col("v") > value).agg(F.min("v")).first()[0]
-    return value + (following - value) * (place - lower)
+    return _at_ranks(values, ends, {(0, rank)})[0, rank]
 
 
 def bounded_rows(df: DataFrame, column: str, n: int) -> DataFrame:
     """The ``n`` rows with the smallest values of a unique numeric column.
 
     A filter at the exact cut value: nothing is gathered and the filter reaches the scan.
+    Numbers beyond 2^53 are not exact as doubles and are refused.
     """
     cut = value_at_rank(df, column, n - 1)
-    return df if cut is None else df.where(F.col(column) <= F.lit(cut).cast(df.schema[column].dataType))
+    if cut is None:
+        return df
+    if abs(cut) >= 2**53:
+        raise ValueError(f"{column} is too large for an exact cut")
+    return df.where(F.col(column) <= F.lit(cut).cast(df.schema[column].dataType))

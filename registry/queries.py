@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -9,10 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authscope.functions.scalars import pseudo_source
-from authscope.operators import features, forest, normalize, prefix, quantile, sampling, scaler
+from authscope.operators import (
+    alerts,
+    evaluate,
+    features,
+    forest,
+    neighbors,
+    normalize,
+    oneclass,
+    prefix,
+    quantile,
+    sampling,
+    scaler,
+)
 from authscope.operators import flows as flow_ops
-from authscope.session import use_utc
-from authscope.sources import adapters
+from authscope.plans import evaluation, grid
+from authscope.plans.detect import detect
+from authscope.session import checkpoint_dir, cut_lineage, use_utc
+from authscope.sources import adapters, generated
+from authscope.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,3 +268,359 @@ def forest_flags_small(spark, sf_dir):
     model = forest.fit_cut(_small_forest(spark, sf_dir), _benign(spark, sf_dir), SMALL_CONTAMINATION)
     out = forest.score_and_flag(_flows(spark, sf_dir), model)
     return rounded(out.select(*adapters.FLOW_KEY, "anomaly_score", "is_anomaly"), "anomaly_score")
+
+
+# --- detection and alerts ----------------------------------------------------------------
+
+DETECT = {"window": "1 day", "contamination": 0.05, "n_estimators": 10, "min_fail": 2, "max_samples": 64}
+
+
+@query
+def detect_scores(spark, sf_dir):
+    """Scored windows; a small forest, so that the SQL stays readable."""
+    out = detect(_logs(spark, sf_dir), **DETECT).scored
+    return rounded(out.select("src_ip", "ts", "n_attempts", "anomaly_score", "is_anomaly"), "anomaly_score")
+
+
+@query
+def detect_alerts(spark, sf_dir):
+    found = detect(_logs(spark, sf_dir), "1 day", contamination=0.01, min_fail=2)
+    return alerts.ranked(found.alerts)
+
+
+@query
+def detect_by_app(spark, sf_dir):
+    found = detect(_logs(spark, sf_dir), "1 day", by_app=True, contamination=0.01, n_estimators=100, min_fail=2)
+    return alerts.top_alerts(found.alerts, keys=("src_ip", "app"))
+
+
+def _rule_scored(spark, sf_dir):
+    """Window features scored by a plain rule, flagged when every fourth attempt fails."""
+    out = features.window_features(_logs(spark, sf_dir), "1 day", min_fail=2)
+    score = F.col("n_fail") + F.col("n_users") / F.lit(8)
+    return out.withColumn("anomaly_score", score.cast("double")).withColumn(
+        "is_anomaly", (F.col("n_fail") * 4 >= F.col("n_attempts")).cast("int")
+    )
+
+
+@query
+def alert_rows(spark, sf_dir):
+    rows = alerts.alert_table(_rule_scored(spark, sf_dir))
+    return rounded(rows, "fail_rate", "attempts_per_min", "user_entropy").drop("summary")
+
+
+@query
+def alert_text(spark, sf_dir):
+    """Summary text without the rate, whose ties print differently per engine."""
+    rows = alerts.alert_table(_rule_scored(spark, sf_dir))
+    return rows.select("src_ip", "ts", F.regexp_replace("summary", r"fail_rate=[0-9.]+, ", "").alias("summary"))
+
+
+@query
+def top_alerts(spark, sf_dir):
+    rows = alerts.top_alerts(alerts.alert_table(_rule_scored(spark, sf_dir)), 20)
+    return rows.select("src_ip", "ts", "anomaly_score", "n_fail", "n_users")
+
+
+@query
+def no_alerts(spark, sf_dir):
+    """No window is flagged: an empty table with every column."""
+    scored = _rule_scored(spark, sf_dir).withColumn("is_anomaly", F.lit(0))
+    return alerts.alert_table(scored)
+
+
+# --- evaluation --------------------------------------------------------------------------
+
+
+def _rule_flows(spark, sf_dir):
+    """Flows with a rule's score, flagged above its 0.8 quantile."""
+    rows = _flows(spark, sf_dir).withColumn("y", (F.col("label") != "BENIGN").cast("int"))
+    rows = rows.withColumn("anomaly_score", F.col("l_extendedprice") / F.col("l_quantity"))
+    cut = quantile.exact_percentile(rows, "anomaly_score", 0.8)
+    return rows.withColumn("is_anomaly", (F.col("anomaly_score") > cut).cast("int"))
+
+
+@query
+def prevalence(spark, sf_dir):
+    return rounded(evaluate.prevalence(_rule_flows(spark, sf_dir)), "share", "contamination")
+
+
+@query
+def recall_by_label(spark, sf_dir):
+    return evaluate.recall_by_label(_rule_flows(spark, sf_dir), "flows", "BENIGN")
+
+
+@query
+def overall_recall(spark, sf_dir):
+    return evaluate.overall_recall(_rule_flows(spark, sf_dir), "flows", "attack")
+
+
+@query
+def class_report(spark, sf_dir):
+    out = evaluate.class_report(_rule_flows(spark, sf_dir))
+    return rounded(out, "precision", "recall", "f1")
+
+
+@query
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_rule_flows(spark, sf_dir))
+
+
+@query
+def quality(spark, sf_dir):
+    out = evaluate.quality(evaluate.cells(_rule_flows(spark, sf_dir)))
+    return rounded(out, "f1", "recall", "precision", "false_positive_rate")
+
+
+@query
+def pr_curve(spark, sf_dir):
+    return rounded(evaluate.pr_curve(_rule_flows(spark, sf_dir)), "score", "precision", "recall")
+
+
+@query
+def pr_curve_binned(spark, sf_dir):
+    return rounded(evaluate.pr_curve_binned(_rule_flows(spark, sf_dir)), "score", "precision", "recall")
+
+
+@query
+def average_precision(spark, sf_dir):
+    return rounded(evaluate.average_precision(_rule_flows(spark, sf_dir)), "average_precision")
+
+
+@query
+def score_hist(spark, sf_dir):
+    return rounded(evaluate.score_histogram(_rule_flows(spark, sf_dir)), "left_edge", "density")
+
+
+@query
+def score_cut(spark, sf_dir):
+    """Cut of the training scores beside the same quantile of all scores."""
+    rows = _rule_flows(spark, sf_dir)
+    held = cut_lineage(
+        rows.select("anomaly_score", F.when(F.col("y") == 0, F.col("anomaly_score")).alias("train_score"))
+    )
+    share = 1 - 0.499
+    cuts = quantile.exact_percentiles(held, {"train_score": [share], "anomaly_score": [share]})
+    return held.limit(1).select(
+        F.round(F.lit(cuts["train_score", share]), 6).alias("train_cut"),
+        F.round(F.lit(cuts["anomaly_score", share]), 6).alias("test_cut"),
+    )
+
+
+def _rule_grid(spark, sf_dir):
+    """Three rules in place of models, each at three shares."""
+    rows = _flows(spark, sf_dir).select(
+        (F.col("label") != "BENIGN").cast("int").alias("y"),
+        F.col("l_extendedprice").alias("price"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"),
+        (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("taxed"),
+    )
+    held = cut_lineage(rows)
+    names = ["price", "ratio", "taxed"]
+    cuts = quantile.exact_percentiles(held, {n: [1 - c for c in grid.CONTAMINATIONS] for n in names})
+    lines = [
+        grid.Line(n, None, None, c, n, cuts[n, 1 - c]) for n in names for c in grid.CONTAMINATIONS
+    ]
+    return grid.measured(held, lines)
+
+
+@query
+def rule_grid(spark, sf_dir):
+    return _rule_grid(spark, sf_dir)
+
+
+@query
+def best_per_model(spark, sf_dir):
+    return evaluate.best_per_model(_rule_grid(spark, sf_dir))
+
+
+@query
+def top_of_grid(spark, sf_dir):
+    return evaluate.top_of_grid(_rule_grid(spark, sf_dir), 4)
+
+
+def _rule_summary(spark, sf_dir):
+    """Recall by shipping month in two data sets, the two line states."""
+    rows = _rule_flows(spark, sf_dir)
+    month = F.concat(F.lit("m"), F.date_format("ts", "yyyy-MM"))
+    label = F.when(F.col("y") == 0, "BENIGN").otherwise(month)
+    parts = [
+        evaluate.recall_by_label(rows.withColumn("label", label).where(F.col("src_ip").endswith(end)), end, "BENIGN")
+        for end in ("1", "2")
+    ]
+    return evaluation.summary(parts)
+
+
+@query
+def eval_summary(spark, sf_dir):
+    return evaluate.sorted_summary(_rule_summary(spark, sf_dir))
+
+
+@query
+def recall_bands(spark, sf_dir):
+    return evaluate.recall_bands(_rule_summary(spark, sf_dir))
+
+
+@query
+def label_overlap(spark, sf_dir):
+    return evaluate.label_overlap(_rule_summary(spark, sf_dir), "1", "2")
+
+
+@query
+def common_labels(spark, sf_dir):
+    return evaluate.common_labels(_rule_summary(spark, sf_dir), "1", "2")
+
+
+@query
+def compare_routes(spark, sf_dir):
+    return evaluate.compare_routes(_rule_summary(spark, sf_dir), ["1", "2"])
+
+
+# --- evaluation routes -------------------------------------------------------------------
+
+FIT = evaluation.Fit(trees=10, max_samples=64)
+
+
+def _numeric_flows(spark, sf_dir):
+    return _flows(spark, sf_dir).drop("dst_port")
+
+
+@query
+def eval_flows_raw(spark, sf_dir):
+    return evaluation.raw_flows(
+        _numeric_flows(spark, sf_dir), adapters.FLOW_KEY, drop=adapters.FLOW_KEY, fit=FIT
+    ).recalls
+
+
+@query
+def eval_flows_raw_report(spark, sf_dir):
+    out = evaluation.raw_flows(
+        _numeric_flows(spark, sf_dir), adapters.FLOW_KEY, drop=adapters.FLOW_KEY, fit=FIT
+    ).report
+    return rounded(out, "precision", "recall", "f1")
+
+
+@query
+def eval_flows_windowed(spark, sf_dir):
+    return evaluation.windowed_flows(
+        _flows(spark, sf_dir), ["ts", *adapters.FLOW_KEY], window="7 days", fit=FIT
+    ).recalls
+
+
+@query
+def eval_flows_leaky(spark, sf_dir):
+    return evaluation.windowed_flows(_flows(spark, sf_dir), list(adapters.FLOW_KEY), leaky=True, fit=FIT).recalls
+
+
+@query
+def eval_logins(spark, sf_dir):
+    rba = adapters.rba_logins(adapters.table(spark, sf_dir, "events"))
+    return evaluation.risk_logins(rba, window="1 day", fit=FIT).recalls
+
+
+@query
+def eval_logs(spark, sf_dir):
+    return evaluation.auth_logs(_logs(spark, sf_dir), window="1 day", fit=FIT).recalls
+
+
+@query
+def eval_split(spark, sf_dir):
+    """Fixed split: train and test tables with a category and a 0 / 1 label."""
+    rows = _flows(spark, sf_dir).select(
+        *adapters.FLOW_KEY,
+        *adapters.FLOW_NUMBERS,
+        F.when(F.col("label") == "BENIGN", "Normal").otherwise(F.col("label")).alias("attack_cat"),
+        (F.col("label") != "BENIGN").cast("int").alias("label"),
+    )
+    train, test = rows.where(adapters.train_draw() < 0.7), rows.where(adapters.train_draw() >= 0.7)
+    return evaluation.split_flows(train, test.drop("l_tax"), adapters.FLOW_KEY, drop=adapters.FLOW_KEY, fit=FIT).recalls
+
+
+# --- neighbours, one-class, grid ---------------------------------------------------------
+
+
+@query
+def knn_topk(spark, sf_dir):
+    vectors = adapters.labelled_vectors(adapters.table(spark, sf_dir, "embeddings"))
+    return rounded(neighbors.nearest_neighbors(vectors, 10), "distance")
+
+
+@query
+def lof(spark, sf_dir):
+    vectors = adapters.labelled_vectors(adapters.table(spark, sf_dir, "embeddings"))
+    factors = neighbors.local_outlier_factor(vectors, 10)
+    out = neighbors.flag_outliers(factors, 0.1)
+    return rounded(out.select("vec_id", "lof", "is_anomaly"), "lof")
+
+
+def _vector_columns(spark, sf_dir):
+    vectors = adapters.labelled_vectors(adapters.table(spark, sf_dir, "embeddings"))
+    columns = [f"x{i}" for i in range(64)]
+    return vectors.select("vec_id", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(columns)]), columns
+
+
+@query
+def oneclass_rff(spark, sf_dir):
+    rows, columns = _vector_columns(spark, sf_dir)
+    model = oneclass.fit_one_class(rows.where("y = 0"), columns, (0.3,), steps=20)[0]
+    out = oneclass.score_one_class(rows, model)
+    return rounded(out.select("vec_id", "y", "anomaly_score", "is_anomaly"), "anomaly_score")
+
+
+@query
+def grid_forest(spark, sf_dir):
+    """Forests on large shares of the rows, few trees: every cell of the grid."""
+    rows = _flows(spark, sf_dir).withColumn("y", (F.col("label") != "BENIGN").cast("int"))
+    train = rows.where((adapters.train_draw() < 0.7) & (F.col("y") == 0))
+    test = rows.where(adapters.train_draw() >= 0.7)
+    return grid.forest_grid(train, test, adapters.FLOW_NUMBERS, adapters.FLOW_KEY, estimators=(2, 4, 6))[0]
+
+
+@query
+def grid_neighbors(spark, sf_dir):
+    rows, columns = _vector_columns(spark, sf_dir)
+    return grid.neighbor_grid(rows, columns, ["vec_id"], rows=None)
+
+
+@query
+def grid_oneclass(spark, sf_dir):
+    rows, columns = _vector_columns(spark, sf_dir)
+    return grid.one_class_grid(rows.where("y = 0"), rows, columns, ["vec_id"], rows=None)
+
+
+# --- generated logs and streams ----------------------------------------------------------
+
+
+def _generated(spark, sf_dir):
+    """A log as long as the event table, over as many users and sources as there are customers and suppliers."""
+    slots = adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("minute"))
+    plan = generated.LogPlan(
+        users=adapters.table(spark, sf_dir, "customer").count(),
+        sources=adapters.table(spark, sf_dir, "supplier").count(),
+    )
+    return generated.generated_logs(spark, plan, slots)
+
+
+@query
+def synth_logs(spark, sf_dir):
+    return _generated(spark, sf_dir)
+
+
+@query
+def synth_scenarios(spark, sf_dir):
+    return _generated(spark, sf_dir).groupBy("scenario", "result", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("n_users")
+    )
+
+
+@query
+def stream_features(spark, sf_dir):
+    """Closed windows of the events replayed as a stream."""
+    events = adapters.table(spark, sf_dir, "events")
+    rows = windows.read_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
+    logs = normalize.canonical_logs(adapters.raw_logs(rows), adapters.RAW_COLUMNS)
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = windows.stream_features(logs, "1 day", "1 hour", min_fail=2)
+    windows.write_stream(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return rounded(out, "fail_rate", "attempts_per_min", "user_entropy")
