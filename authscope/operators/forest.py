@@ -3,9 +3,10 @@
 Two ways to grow, chosen by the size of a tree's sample:
 
 * up to ``GROUP_ROWS`` rows per tree (the default of 256 is far below): rows are
-  partitioned by tree once and every level is a window over ``(tree, node)``. Spark keeps
-  that partitioning for all levels, so the whole forest is one job with one shuffle, and
-  no group holds more than a tree's sample.
+  partitioned by tree and a level is a window over ``(tree, node)``. Spark keeps that
+  partitioning, so ``LEVELS_PER_JOB`` levels are one job with one shuffle; the rows still
+  open are then partitioned again by the nodes they have reached. No group holds more than
+  a tree's sample.
 * larger samples: each level aggregates ``(tree, node)`` with map-side combine and sends
   the chosen splits back to the rows; a node is left alone once it is small, and all small
   nodes are finished together by the first way.
@@ -33,12 +34,15 @@ from authscope.operators.scaler import Scaler, fit_scaler
 from authscope.schemas import AUTO_SAMPLE, DEFAULT_SEED, DEFAULT_TREES
 from authscope.session import cut_lineage, shuffle_width, spread
 
-GROUP_ROWS = 4096
+GROUP_ROWS = 65536
 POOL_ROWS = 65536
 BROADCAST_NODES = 4_000_000
 LEVELS_PER_WRITE = 4
+LEVELS_PER_JOB = 3
+ROWS_PER_TASK = 20_000
 PRIME = 2147483647  # 2 ** 31 - 1
 EULER = 0.5772156649015329
+PATH_PLACES = 9
 
 NODE_COLUMNS = ("tree", "node", "depth", "feature", "threshold", "size", "is_leaf")
 
@@ -93,10 +97,16 @@ def _multipliers(seed: int, trees: int) -> list[tuple[int, int, int]]:
     return [(t, number("mul", t) % (PRIME - 1) + 1, number("add", t) % PRIME) for t in range(trees)]
 
 
-def _per_tree(rows: DataFrame, seed: int, trees: int) -> DataFrame:
-    """Each row once per tree with its draw there: one digest per row, a linear hash per tree."""
+def _per_tree(rows: DataFrame, seed: int, trees: int, groups: int) -> DataFrame:
+    """Each row once per tree with its draw there: one digest per row, a linear hash per tree.
+
+    Tree numbers run on over the groups; the same tree of two groups has the same draws, so
+    its smaller sample lies within the larger one.
+    """
     numbers = ", ".join(
-        f"named_struct('tree', {t}, 'a', {a}L, 'b', {b}L)" for t, a, b in _multipliers(seed, trees)
+        f"named_struct('tree', {g * trees + t}, 'a', {a}L, 'b', {b}L)"
+        for g in range(groups)
+        for t, a, b in _multipliers(seed, trees)
     )
     return (
         rows.withColumn("_x", digest32(F.lit(f"{seed}:row"), "_key") % F.lit(PRIME))
@@ -108,25 +118,38 @@ def _per_tree(rows: DataFrame, seed: int, trees: int) -> DataFrame:
     )
 
 
-def _tree_samples(rows: DataFrame, total: int, sample: int, trees: int, seed: int, pool: int) -> DataFrame:
-    """``sample`` rows per tree, uniform without replacement.
+def _by_group(values: Sequence[int], trees: int) -> str:
+    """A number per group of trees, as SQL."""
+    if len(values) == 1:
+        return str(values[0])
+    return f"get(array({', '.join(str(v) for v in values)}), cast(tree div {trees} as int))"
+
+
+def _tasks(rows: int, df: DataFrame) -> int:
+    """Tasks for a known number of rows, whatever the size of the cluster."""
+    return min(shuffle_width(df.sparkSession), max(8, rows // ROWS_PER_TASK))
+
+
+def _tree_samples(rows: DataFrame, total: int, samples: Sequence[int], trees: int, seed: int, pool: int) -> DataFrame:
+    """A sample per tree, uniform without replacement, of the size its group asks for.
 
     One digest per input row picks a common pool of bounded size; each tree then takes its
     smallest draws from it. Up to ``pool`` input rows the pool is the whole input.
     """
-    pool = max(pool, 16 * sample)
+    pool = max(pool, 16 * max(samples))
     if total > pool:
         rows = rows.where(uniform(seed, "pool", "_key") < F.lit(pool / total))
-    likely = min(1.0, (4 * sample + 64) / min(pool, total))
+    held = min(pool, total)
+    likely = [int(min(1.0, (4 * s + 64) / held) * PRIME) + 1 for s in samples]
     order = W.partitionBy("tree").orderBy("draw", "_key")
     # Both shuffles move a bounded number of rows; given widths keep them from being coalesced.
-    width = shuffle_width(rows.sparkSession)
+    spread_out = rows.repartition(_tasks(held * trees * len(samples) // 20, rows), "_key")
     return (
-        _per_tree(rows.repartition(width, "_key"), seed, trees)
-        .where(F.col("draw") < F.lit(int(likely * PRIME) + 1))
-        .repartition(width, "tree")
+        _per_tree(spread_out, seed, trees, len(samples))
+        .where(f"draw < {_by_group(likely, trees)}")
+        .repartition(_tasks(trees * sum(samples), rows), "tree")
         .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= sample)
+        .where(f"_rank <= {_by_group(samples, trees)}")
         .drop("_rank", "draw", "_key")
         .withColumns({"root": F.lit(0).cast("long"), "node": F.lit(0).cast("long"), "depth": F.lit(0)})
     )
@@ -156,11 +179,11 @@ def _value_sql(width: int) -> str:
     return f"get(array({', '.join(_names(width))}), feature)"
 
 
-def _grow(rows: DataFrame, width: int, limit: int, levels: int, seed: int) -> DataFrame:
+def _grow(rows: DataFrame, width: int, limit: str, levels: int, seed: int) -> DataFrame:
     """Finish all subtrees whose rows share ``(tree, root)``, by windows. Returns their nodes.
 
-    Every row walks down to its leaf and keeps the nodes it met. All levels are one plan,
-    without a shuffle between them.
+    Every row walks down and keeps the nodes it met. A few levels make one job; its rows are
+    written, their nodes read from there, and the open rows go on from the nodes they are at.
     """
     cols = _names(width)
     feature, threshold = _split_sql(seed, width)
@@ -170,31 +193,38 @@ def _grow(rows: DataFrame, width: int, limit: int, levels: int, seed: int) -> Da
     step = """named_struct('node', node, 'depth', depth, 'feature', feature, 'threshold', threshold,
               'size', size, 'is_leaf', feature < 0)"""
     met = "array<struct<node: bigint, depth: int, feature: int, threshold: double, size: bigint, is_leaf: boolean>>"
-    rows = rows.selectExpr("*", "true as open", f"cast(array() as {met}) as path")
-    for _ in range(levels + 1):
-        rows = (
-            rows.selectExpr("*", *ranges, f"count(1) {w} as size")
-            .selectExpr("*", f"{feature.format(limit=limit)} as feature")
-            .selectExpr("*", f"if(feature >= 0, {threshold}, null) as threshold")
-            .selectExpr(
-                "tree",
-                "root",
-                *cols,
-                f"if(open and feature >= 0, node * 2 + 1 + {beyond}, node) as node",
-                "if(open and feature >= 0, depth + 1, depth) as depth",
-                "open and feature >= 0 as open",
-                f"if(open, array_append(path, {step}), path) as path",
+    parts = []
+    for _ in range(0, levels + 1, LEVELS_PER_JOB):
+        rows = rows.selectExpr("tree", "root", "node", "depth", *cols, "true as open", f"cast(array() as {met}) as path")
+        for _ in range(LEVELS_PER_JOB):
+            rows = (
+                rows.selectExpr("*", *ranges, f"count(1) {w} as size")
+                .selectExpr("*", f"{feature.format(limit=limit)} as feature")
+                .selectExpr("*", f"if(feature >= 0, {threshold}, null) as threshold")
+                .selectExpr(
+                    "tree",
+                    "root",
+                    f"if(open and feature >= 0, node * 2 + 1 + {beyond}, node) as node",
+                    "if(open and feature >= 0, depth + 1, depth) as depth",
+                    *cols,
+                    "open and feature >= 0 as open",
+                    f"if(open, array_append(path, {step}), path) as path",
+                )
             )
-        )
-    return (
-        rows.selectExpr("tree", "root", "inline(path)")
-        .groupBy("tree", "root", "node")
-        .agg(*[F.any_value(c).alias(c) for c in NODE_COLUMNS[2:]])
-        .select(*NODE_COLUMNS)
-    )
+        written = cut_lineage(rows)
+        parts.append(written.selectExpr("tree", "inline(path)"))
+        rows = written.where("open").drop("root", "path", "open")
+        left = rows.count()
+        if not left:
+            break
+        rows = rows.withColumn("root", F.col("node")).repartition(_tasks(left, rows), "tree", "root")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("tree", "node").agg(*[F.any_value(c).alias(c) for c in NODE_COLUMNS[2:]]).select(*NODE_COLUMNS)
 
 
-def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows: int) -> DataFrame:
+def _grow_large(rows: DataFrame, width: int, limit: str, levels: int, seed: int, group_rows: int) -> DataFrame:
     """Level by level for nodes above ``group_rows`` rows, then the rest by windows."""
     cols = _names(width)
     feature, threshold = _split_sql(seed, width)
@@ -202,8 +232,8 @@ def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows:
     rows = rows.withColumns(
         {"node": F.lit(0).cast("long"), "depth": F.lit(0), "state": F.lit("open")}
     )
-    finished, shallowest = [], limit
-    for level in range(limit + 1):
+    finished, shallowest, small_rows = [], levels, 0
+    for level in range(levels + 1):
         stats = (
             rows.where(F.col("state") == "open")
             .groupBy("tree", "node", "depth")
@@ -227,12 +257,14 @@ def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows:
         counts = picked.agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if("small").alias("small"),
+            F.coalesce(F.sum(F.when(F.col("small"), F.col("size"))), F.lit(0)).alias("small_rows"),
             F.count_if(~F.col("small") & ~F.col("is_leaf")).alias("splits"),
         ).first()
         if not counts["n"]:
             break
         if counts["small"]:
             shallowest = min(shallowest, level)
+            small_rows += counts["small_rows"]
         finished.append(picked.where(~F.col("small")).select(*NODE_COLUMNS))
         side = picked.select("tree", "node", "feature", "threshold", "small", F.lit(True).alias("seen"))
         if counts["n"] <= BROADCAST_NODES // 4:
@@ -258,15 +290,53 @@ def _grow_large(rows: DataFrame, width: int, limit: int, seed: int, group_rows:
         rows.where(F.col("state") == "small")
         .drop("state")
         .withColumn("root", F.col("node"))
-        .repartition(shuffle_width(rows.sparkSession), "tree", "root")
+        .repartition(_tasks(small_rows, rows), "tree", "root")
     )
-    finished.append(_grow(small, width, limit, limit - shallowest, seed))
+    finished.append(_grow(small, width, limit, levels - shallowest, seed))
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
     return out
 
 
+def fit_forests(
+    df: DataFrame,
+    columns: Sequence[str],
+    key: Sequence[str | Column],
+    n_estimators: int,
+    sizes: Sequence[str | int | float],
+    seed: int = DEFAULT_SEED,
+    scaler: Scaler | None = None,
+    pool_rows: int = POOL_ROWS,
+    group_rows: int = GROUP_ROWS,
+) -> list[Forest]:
+    """One forest per sample size, grown together in the same jobs."""
+    scaler = scaler or fit_scaler(df, columns)
+    total = scaler.rows
+    samples = [sample_size(m, total) for m in sizes]
+    limits = [math.ceil(math.log2(max(s, 2))) for s in samples]
+    limit, width = _by_group(limits, n_estimators), len(columns)
+    rows = df.select(
+        key_text(*key).alias("_key"), *[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)]
+    )
+    if max(samples) <= group_rows:
+        rows = _tree_samples(rows, total, samples, n_estimators, seed, pool_rows)
+        nodes = _grow(rows, width, limit, max(limits), seed)
+    else:
+        # Every row takes part in a tree with the share's probability.
+        shares = [m if isinstance(m, float) else s / total for m, s in zip(sizes, samples)]
+        rows = _per_tree(spread(rows), seed, n_estimators, len(sizes))
+        rows = rows.where(f"draw < {_by_group([int(s * PRIME) for s in shares], n_estimators)}")
+        nodes = _grow_large(rows.drop("draw", "_key"), width, limit, max(limits), seed, group_rows)
+    nodes = cut_lineage(nodes)
+    out = []
+    for g, (sample, depth) in enumerate(zip(samples, limits)):
+        own = nodes.where((F.col("tree") >= g * n_estimators) & (F.col("tree") < (g + 1) * n_estimators))
+        own = own.withColumn("tree", F.col("tree") - g * n_estimators) if g else own
+        out.append(Forest(own, scaler, n_estimators, sample, depth, seed))
+    return out
+
+
 def fit_forest(
     df: DataFrame,
     columns: Sequence[str],
@@ -282,24 +352,7 @@ def fit_forest(
 
     The scaler is fitted on the same rows unless one is given.
     """
-    scaler = scaler or fit_scaler(df, columns)
-    total = scaler.rows
-    sample = sample_size(max_samples, total)
-    limit = math.ceil(math.log2(max(sample, 2)))
-    width = len(columns)
-    rows = df.select(
-        key_text(*key).alias("_key"), *[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)]
-    )
-    if sample <= group_rows:
-        rows = _tree_samples(rows, total, sample, n_estimators, seed, pool_rows)
-        nodes = _grow(rows, width, limit, limit, seed)
-    else:
-        share = max_samples if isinstance(max_samples, float) else sample / total
-        rows = _per_tree(rows, seed, n_estimators)
-        if share < 1:
-            rows = rows.where(F.col("draw") < F.lit(int(share * PRIME)))
-        nodes = _grow_large(rows.drop("draw", "_key"), width, limit, seed, group_rows)
-    return Forest(cut_lineage(nodes), scaler, n_estimators, sample, limit, seed)
+    return fit_forests(df, columns, key, n_estimators, [max_samples], seed, scaler, pool_rows, group_rows)[0]
 
 
 def node_paths(forest: Forest) -> DataFrame:
@@ -311,7 +364,8 @@ def node_paths(forest: Forest) -> DataFrame:
 
 def _score_of(mean_path: Column, sample: int) -> Column:
     norm = average_path_number(sample)
-    return F.lit(0.5) if norm == 0 else F.pow(F.lit(2.0), -mean_path / F.lit(norm))
+    # Rounded, so that rows with the same paths tie in whatever order those were added.
+    return F.lit(0.5) if norm == 0 else F.pow(F.lit(2.0), -F.round(mean_path, PATH_PLACES) / F.lit(norm))
 
 
 def _packed(forest: Forest) -> dict[str, np.ndarray]:
@@ -371,7 +425,7 @@ def prefix_scores(forest: Forest, prefixes: Sequence[int]) -> Column:
                 at = m["left"].take(at) + beyond
             total += m["path"].take(at)
             if norm and t in marks:
-                out[:, marks.index(t)] = np.power(2.0, -total / (t * norm))
+                out[:, marks.index(t)] = np.power(2.0, -np.round(total / t, PATH_PLACES) / norm)
         return pd.Series(list(out))
 
     return walk(*[forest.scaler.expr(c) for c in forest.scaler.columns])

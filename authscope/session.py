@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL_INPUT = 2**30
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Window starts and naive times are read as UTC throughout the library."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -54,12 +57,16 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on input that comes in fewer pieces than there are cores.
+    """Split small input over the cores before costly row work.
 
-    Large inputs already come in many pieces and are left as they are.
+    Judged by the optimizer's size estimate, so nothing runs to find out. Large inputs come in
+    many pieces already and are left as they are.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(min(cores, max(8, size // 2**22)))
 
 
 @contextmanager

@@ -39,8 +39,9 @@ ORACLES["bad_log_rows"] = f"""WITH {RBA}
 SELECT app, country, count(*) AS n FROM rba WHERE result IS NULL GROUP BY app, country"""
 
 
-def _features(seconds: int, min_fail: int, keys: str) -> str:
-    return f"""WITH {LOGS},
+def feature_ctes(seconds: int, min_fail: int, keys: str) -> str:
+    """Window features, ending in ``f``."""
+    return f"""{LOGS},
 w AS (SELECT *, to_timestamp(floor(epoch(ts) / {seconds}) * {seconds})::TIMESTAMP AS win FROM logs),
 a AS (SELECT {keys}, win, count(*) AS n_attempts,
         count(*) FILTER (WHERE result = 'fail') AS n_fail,
@@ -49,13 +50,19 @@ a AS (SELECT {keys}, win, count(*) AS n_attempts,
         count(DISTINCT user_agent) AS n_user_agents, count(DISTINCT country) AS n_countries
       FROM w GROUP BY {keys}, win),
 u AS (SELECT {keys}, win, "user", count(*) AS c FROM w GROUP BY {keys}, win, "user"),
-e AS (SELECT {keys}, win, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS user_entropy FROM u GROUP BY {keys}, win),
+e AS (SELECT {keys}, win,
+        CASE WHEN count(*) > 1 THEN log2(sum(c)) - sum(c * log2(c)) / sum(c) ELSE 0.0 END AS user_entropy
+      FROM u GROUP BY {keys}, win),
 f AS (SELECT a.*, n_fail / n_attempts AS fail_rate, n_attempts / ({seconds} / 60.0) AS attempts_per_min,
         CAST(n_success > 0 AND n_fail >= {min_fail} AS INTEGER) AS success_after_fail, user_entropy
-      FROM a JOIN e USING ({keys}, win))
+      FROM a JOIN e USING ({keys}, win))"""
+
+
+def _features(seconds: int, min_fail: int, keys: str) -> str:
+    return f"""WITH {feature_ctes(seconds, min_fail, keys)}
 SELECT {keys}, win AS ts, n_attempts, n_fail, n_success, n_users, n_apps, n_user_agents, n_countries,
        round(fail_rate, 6) AS fail_rate, round(attempts_per_min, 6) AS attempts_per_min,
-       success_after_fail, round(greatest(user_entropy, 0), 6) AS user_entropy FROM f"""
+       success_after_fail, round(user_entropy, 6) AS user_entropy FROM f"""
 
 
 ORACLES["features_1d"] = _features(86400, 2, "src_ip")
@@ -86,41 +93,46 @@ def bucket(seconds: int, ts: str = "ts") -> str:
     return f"to_timestamp(floor(epoch({ts}) / {seconds}) * {seconds})::TIMESTAMP"
 
 
-ORACLES["flow_windows"] = f"""WITH {FLOWS}, w AS (
-  SELECT *, {bucket(600)} AS win, CAST(label <> 'BENIGN' AS INTEGER) AS is_fail FROM flows)
-SELECT src_ip, win AS ts, count(dst_port) AS n_flows, count(DISTINCT dst_port) AS n_dst_ports,
-       count(DISTINCT dst_port) AS n_dst_ips, sum(is_fail) AS n_fail, round(avg(is_fail), 6) AS fail_rate,
+def flow_window_cte(seconds: int, order: str, source: str = "flows") -> str:
+    """Flows per source and window as ``fw``, unrounded."""
+    minutes = seconds / 60.0
+    return f"""fw AS (SELECT src_ip, {bucket(seconds)} AS ts, count(dst_port) AS n_flows,
+       count(DISTINCT dst_port) AS n_dst_ports, count(DISTINCT dst_port) AS n_dst_ips,
+       sum(CAST(label <> 'BENIGN' AS INTEGER)) AS n_fail, avg(CAST(label <> 'BENIGN' AS INTEGER)) AS fail_rate,
        count(dst_port) * 6 AS flows_x6, count(DISTINCT dst_port) * 6 AS dst_x6,
-       round(count(dst_port) / 10.0, 6) AS flows_per_min, round(count(DISTINCT dst_port) / 10.0, 6) AS dst_per_min,
-       round(ln(count(DISTINCT dst_port) + 1), 6) AS log_distinct,
-       coalesce(first(label ORDER BY ts, {KEY}) FILTER (WHERE label <> 'BENIGN'), 'BENIGN') AS true_label
-FROM w GROUP BY src_ip, win"""
+       count(dst_port) / {minutes} AS flows_per_min, count(DISTINCT dst_port) / {minutes} AS dst_per_min,
+       ln(count(DISTINCT dst_port) + 1) AS log_distinct,
+       coalesce(first(label ORDER BY {order}) FILTER (WHERE label <> 'BENIGN'), 'BENIGN') AS true_label
+FROM {source} GROUP BY 1, 2)"""
 
 
-def _logins(rows: str, second: str, name: str) -> str:
-    return f"""{rows}
-SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, count(*) AS n_flows, count(DISTINCT "user") AS n_users,
-       count(DISTINCT {second}) AS {name}, sum(is_fail) AS n_fail, round(avg(is_fail), 6) AS fail_rate,
+ROUND_WINDOWS = """* REPLACE (round(fail_rate, 6) AS fail_rate, round(flows_per_min, 6) AS flows_per_min,
+  round(dst_per_min, 6) AS dst_per_min, round(log_distinct, 6) AS log_distinct)"""
+ORACLES["flow_windows"] = f"""WITH {FLOWS}, {flow_window_cte(600, f"ts, {KEY}")} SELECT {ROUND_WINDOWS} FROM fw"""
+
+
+def login_window_cte(second: str, name: str) -> str:
+    """Logins per source and day as ``lw``, unrounded."""
+    return f"""lw AS (SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, count(*) AS n_flows,
+       count(DISTINCT "user") AS n_users,
+       count(DISTINCT {second}) AS {name}, sum(is_fail) AS n_fail, avg(is_fail) AS fail_rate,
        count(*) * 6 AS flows_x6, count(DISTINCT "user") * 6 AS dst_x6,
-       round(count(*) / 1440.0, 6) AS flows_per_min, round(count(DISTINCT "user") / 1440.0, 6) AS dst_per_min,
-       round(ln(count(DISTINCT {second}) + 1), 6) AS log_distinct, max(is_attack) AS is_attack_window
-FROM logins GROUP BY 1, 2"""
+       count(*) / 1440.0 AS flows_per_min, count(DISTINCT "user") / 1440.0 AS dst_per_min,
+       ln(count(DISTINCT {second}) + 1) AS log_distinct, max(is_attack) AS is_attack_window
+FROM logins GROUP BY 1, 2)"""
 
 
-ORACLES["login_windows"] = _logins(
-    """WITH logins AS (
+RBA_LOGINS = """logins AS (
   SELECT date_trunc('second', ts) AS ts, user_id AS "user", 'ip_' || json_extract_string(props, '$.k') AS src_ip,
          ['FR','DE','ES','GB','US','NL'][user_id % 6 + 1] AS country,
          CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_fail,
          CASE WHEN event_type = 'view' THEN 0 ELSE CAST(value > 50 AS INTEGER) END AS is_attack
-  FROM events)""",
-    "country",
-    "n_countries",
-)
-_APP_LOGINS = f"""WITH {LOGS}, logins AS (
+  FROM events)"""
+APP_LOGINS = f"""{LOGS}, logins AS (
   SELECT *, CAST(result = 'fail' AS INTEGER) AS is_fail, CAST(result = 'fail' AS INTEGER) AS is_attack FROM logs)"""
-ORACLES["app_login_windows"] = _logins(_APP_LOGINS, "app", "n_apps")
-ORACLES["app_login_windows_without_app"] = f"""{_APP_LOGINS}
+ORACLES["login_windows"] = f"WITH {RBA_LOGINS}, {login_window_cte('country', 'n_countries')} SELECT {ROUND_WINDOWS} FROM lw"
+ORACLES["app_login_windows"] = f"WITH {APP_LOGINS}, {login_window_cte('app', 'n_apps')} SELECT {ROUND_WINDOWS} FROM lw"
+ORACLES["app_login_windows_without_app"] = f"""WITH {APP_LOGINS}
 SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, count(DISTINCT "user") AS n_users, count(*) AS n_apps
 FROM logins GROUP BY 1, 2"""
 ORACLES["flow_clean"] = f"""WITH {FLOWS}
@@ -214,7 +226,7 @@ def score_ctes(source: str, key: str, width: int, trees: int, sample: int, depth
     )
     out.append(f"leaves AS ({leaves})")
     out.append(
-        f"""scores AS (SELECT {key}, pow(2.0, -(sum(path) / {trees}) / {path_length(str(float(sample)))}) AS anomaly_score
+        f"""scores AS (SELECT {key}, pow(2.0, -round(sum(path) / {trees}, 9) / {path_length(str(float(sample)))}) AS anomaly_score
              FROM leaves GROUP BY {key})"""
     )
     return ",\n".join(out)
@@ -232,3 +244,206 @@ flagged AS (SELECT {KEY}, label, anomaly_score, CAST(anomaly_score > c AS INTEGE
             FROM scores JOIN flows USING ({KEY}), cut)"""
 ORACLES["forest_flags_small"] = FLAGGED + f"""
 SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"""
+
+
+# --- detection and alerts ----------------------------------------------------------------
+
+CLAMPED = "least(0.499, greatest(0.001, (SELECT avg(y) FROM rws WHERE tested)))"
+
+
+def model_ctes(rows: str, key: str, columns: tuple[str, ...], share: str = CLAMPED) -> str:
+    """Scale, grow, score, cut and flag. ``rows`` selects key, columns, y, fitted and tested."""
+    stats = ", ".join(
+        f"""CASE WHEN min({c}) = max({c}) THEN min({c}) ELSE avg({c}) END AS m{i},
+            CASE WHEN min({c}) = max({c}) THEN 1.0 ELSE stddev_pop({c}) END AS s{i}"""
+        for i, c in enumerate(columns)
+    )
+    scaled = ", ".join(f"({c} - m{i}) / s{i} AS f{i}" for i, c in enumerate(columns))
+    width = len(columns)
+    return f"""rws AS ({rows}),
+stats AS (SELECT count(*) AS n_rows, {stats} FROM rws WHERE fitted),
+scaled AS (SELECT {key}, fitted, n_rows, concat_ws(':', {key}) AS k, {scaled} FROM rws, stats),
+{forest_ctes("scaled", width, 10, 64, 6, "fitted")},
+{score_ctes("scaled", key, width, 10, 64, 6)},
+ordered AS (SELECT anomaly_score AS v, row_number() OVER (ORDER BY anomaly_score) - 1 AS rn, count(*) OVER () AS n
+            FROM scores JOIN rws USING ({key}) WHERE fitted),
+place AS (SELECT (any_value(n) - 1) * (1 - {share}) AS p FROM ordered),
+ends AS (SELECT max(v) FILTER (WHERE rn = floor(p)) AS lo, max(v) FILTER (WHERE rn = ceil(p)) AS hi, any_value(p) AS p
+         FROM ordered, place),
+cut AS (SELECT lo + (hi - lo) * (p - floor(p)) AS c FROM ends),
+flagged AS (SELECT rws.*, anomaly_score, CAST(anomaly_score > c AS INTEGER) AS is_anomaly
+            FROM scores JOIN rws USING ({key}), cut WHERE tested)"""
+
+
+FEATURES = (
+    "n_attempts", "n_fail", "n_success", "n_users", "n_apps", "n_user_agents", "n_countries",
+    "fail_rate", "attempts_per_min", "success_after_fail", "user_entropy",
+)
+ORACLES["detect_scores"] = f"""WITH {feature_ctes(86400, 2, "src_ip")},
+{model_ctes("SELECT * EXCLUDE (win), win AS ts, 0 AS y, true AS fitted, true AS tested FROM f", "src_ip, ts", FEATURES, "0.05")}
+SELECT src_ip, ts, n_attempts, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"""
+
+RULE_WINDOWS = f"""WITH {feature_ctes(86400, 2, "src_ip")},
+rule AS (SELECT * EXCLUDE (win), win AS ts, n_fail + n_users / 8 AS anomaly_score FROM f WHERE n_fail * 4 >= n_attempts)"""
+ALERT = """src_ip, ts, anomaly_score, n_attempts, n_fail, n_success, n_users, round(fail_rate, 6) AS fail_rate,
+       round(attempts_per_min, 6) AS attempts_per_min, success_after_fail, round(user_entropy, 6) AS user_entropy"""
+ORACLES["alert_rows"] = f"{RULE_WINDOWS} SELECT {ALERT} FROM rule"
+ORACLES["alert_text"] = f"""{RULE_WINDOWS}
+SELECT src_ip, ts, format('score={{:.3f}}, attempts={{}}, fail={{}}, users={{}}, success_after_fail={{}}',
+       anomaly_score, n_attempts, n_fail, n_users, success_after_fail) AS summary FROM rule"""
+ORACLES["top_alerts"] = f"""{RULE_WINDOWS}
+SELECT src_ip, ts, anomaly_score, n_fail, n_users FROM rule ORDER BY anomaly_score DESC, src_ip, ts LIMIT 20"""
+ORACLES["no_alerts"] = f"{RULE_WINDOWS} SELECT {ALERT}, '' AS summary FROM rule WHERE false"
+
+# --- evaluation --------------------------------------------------------------------------
+
+RULE = f"""WITH {FLOWS},
+scored AS (SELECT *, CAST(label <> 'BENIGN' AS INTEGER) AS y, l_extendedprice / l_quantity AS anomaly_score FROM flows),
+rule AS (SELECT *, CAST(anomaly_score > (SELECT quantile_cont(anomaly_score, 0.8) FROM scored) AS INTEGER) AS is_anomaly
+         FROM scored)"""
+CELLS = """cells AS (SELECT count(*) FILTER (WHERE y = 0 AND is_anomaly = 0) AS tn,
+                 count(*) FILTER (WHERE y = 0 AND is_anomaly = 1) AS fp,
+                 count(*) FILTER (WHERE y = 1 AND is_anomaly = 0) AS fn,
+                 count(*) FILTER (WHERE y = 1 AND is_anomaly = 1) AS tp FROM {rows})"""
+ORACLES["prevalence"] = f"""{RULE} SELECT round(avg(y), 6) AS share,
+  round(greatest(0.001, least(0.499, avg(y))), 6) AS contamination FROM rule"""
+ORACLES["recall_by_label"] = f"""{RULE} SELECT 'flows' AS dataset, label, round(avg(is_anomaly), 4) AS recall, count(*) AS n
+FROM rule WHERE label <> 'BENIGN' GROUP BY label"""
+ORACLES["overall_recall"] = f"""{RULE} SELECT 'flows' AS dataset, 'attack' AS label,
+  round(coalesce(avg(is_anomaly) FILTER (WHERE y = 1), 0), 4) AS recall, count(*) FILTER (WHERE y = 1) AS n FROM rule"""
+
+
+def report_select(rows: str) -> str:
+    return f""",
+{CELLS.format(rows=rows)},
+c AS (SELECT 'BENIGN' AS name, tn / (tn + fn) AS p, tn / (tn + fp) AS r, 2 * tn / (2 * tn + fn + fp) AS f, tn + fp AS s FROM cells
+      UNION ALL
+      SELECT 'ATTACK', tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), tp + fn FROM cells),
+lines AS (SELECT * FROM c
+  UNION ALL SELECT 'accuracy', (tn + tp) / (tn + fp + fn + tp), (tn + tp) / (tn + fp + fn + tp),
+                   (tn + tp) / (tn + fp + fn + tp), tn + fp + fn + tp FROM cells
+  UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(s) FROM c
+  UNION ALL SELECT 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM c)
+SELECT name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(s AS BIGINT) AS support FROM lines"""
+
+
+ORACLES["class_report"] = RULE + report_select("rule")
+ORACLES["confusion"] = f"""{RULE}, grid AS (SELECT a AS actual, p AS predicted FROM range(2) x(a), range(2) z(p))
+SELECT CAST(actual AS INTEGER) AS actual, CAST(predicted AS INTEGER) AS predicted, count(rule.y) AS n
+FROM grid LEFT JOIN rule ON y = actual AND is_anomaly = predicted GROUP BY 1, 2"""
+ORACLES["quality"] = f"""{RULE}, {CELLS.format(rows="rule")}
+SELECT tn, fp, fn, tp, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fn), 6) AS recall,
+       round(tp / (tp + fp), 6) AS precision, round(fp / (fp + tn), 6) AS false_positive_rate FROM cells"""
+CURVE = f"""{RULE}, g AS (SELECT anomaly_score AS score, count(*) AS n, sum(y) AS hits FROM rule GROUP BY 1),
+run AS (SELECT score, hits, sum(n) OVER w AS said, sum(hits) OVER w AS found FROM g WINDOW w AS (ORDER BY score DESC)),
+curve AS (SELECT score, hits, found / said AS precision, found / (SELECT sum(y) FROM rule) AS recall FROM run)"""
+ORACLES["pr_curve"] = f"""{CURVE}
+SELECT score, CAST(hits AS BIGINT) AS hits, round(precision, 6) AS precision, round(recall, 6) AS recall FROM curve
+UNION ALL SELECT NULL, 0, 1.0, 0.0"""
+ORACLES["average_precision"] = f"""{CURVE}
+SELECT round(sum(hits * precision) / sum(hits), 6) AS average_precision FROM curve"""
+ORACLES["pr_curve_binned"] = f"""{RULE}, e AS (SELECT min(anomaly_score) AS lo, (max(anomaly_score) - min(anomaly_score)) / 1000 AS w FROM rule),
+b AS (SELECT least(999, floor((anomaly_score - lo) / w)) AS bin, count(*) AS n, sum(y) AS hits, min(anomaly_score) AS score
+      FROM rule, e GROUP BY 1)
+SELECT round(score, 6) AS score, round(sum(hits) OVER d / sum(n) OVER d, 6) AS precision,
+       round(sum(hits) OVER d / sum(hits) OVER (), 6) AS recall
+FROM b WINDOW d AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)"""
+ORACLES["score_hist"] = f"""{RULE}, e AS (SELECT y, min(anomaly_score) AS lo, (max(anomaly_score) - min(anomaly_score)) / 80 AS w,
+  count(*) AS n_class FROM rule GROUP BY y)
+SELECT y, CAST(least(79, floor((anomaly_score - lo) / w)) AS INTEGER) AS bin,
+       round(any_value(lo) + CAST(least(79, floor((anomaly_score - lo) / w)) AS INTEGER) * any_value(w), 6) AS left_edge,
+       count(*) AS n, round(count(*) / (any_value(n_class) * any_value(w)), 6) AS density
+FROM rule JOIN e USING (y) GROUP BY y, 2"""
+ORACLES["score_cut"] = f"""{RULE}
+SELECT round(quantile_cont(anomaly_score, 1 - 0.499) FILTER (WHERE y = 0), 6) AS train_cut,
+       round(quantile_cont(anomaly_score, 1 - 0.499), 6) AS test_cut FROM rule"""
+RULE_GRID = f"""WITH {FLOWS},
+wide AS (SELECT CAST(label <> 'BENIGN' AS INTEGER) AS y, l_extendedprice AS price, l_extendedprice / l_quantity AS ratio,
+           l_quantity * (1 + l_tax) AS taxed FROM flows),
+long AS (UNPIVOT wide ON price, ratio, taxed INTO NAME model VALUE v),
+cuts AS (SELECT model, unnest([0.3, 0.4, 0.499]::DOUBLE[]) AS contamination,
+           unnest(quantile_cont(v, [0.7, 0.6, 0.501])) AS cut FROM long GROUP BY model),
+cells AS (SELECT model, contamination, count(*) FILTER (WHERE y = 1 AND v > cut) AS tp,
+            count(*) FILTER (WHERE y = 0 AND v > cut) AS fp, count(*) FILTER (WHERE y = 1 AND v <= cut) AS fn
+          FROM long JOIN cuts USING (model) GROUP BY model, contamination),
+grid AS (SELECT model, CAST(NULL AS INTEGER) AS n_estimators, CAST(NULL AS DOUBLE) AS max_samples, contamination,
+           round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(tp / (tp + fn), 4) AS recall,
+           round(tp / (tp + fp), 4) AS precision FROM cells)"""
+ORACLES["rule_grid"] = f"{RULE_GRID} SELECT * FROM grid"
+ORACLES["best_per_model"] = f"""{RULE_GRID}
+SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, contamination) = 1"""
+ORACLES["top_of_grid"] = f"{RULE_GRID} SELECT * FROM grid ORDER BY f1 DESC, model, contamination LIMIT 4"
+SUMMARY = f"""{RULE}, s AS (
+  SELECT CASE WHEN {draw(f"'42:split:' || {KEY_TEXT}")} < 0.7 THEN 'train' ELSE 'test' END AS dataset,
+         'm' || strftime(ts, '%Y-%m') AS label, round(avg(is_anomaly), 4) AS recall, count(*) AS n
+  FROM rule WHERE y = 1 GROUP BY 1, 2),
+l AS (SELECT label, recall, n FROM s WHERE dataset = 'train'),
+r AS (SELECT label, recall, n FROM s WHERE dataset = 'test')"""
+ORACLES["eval_summary"] = f"{SUMMARY} SELECT * FROM s"
+ORACLES["recall_bands"] = f"""{SUMMARY}
+SELECT *, CASE WHEN recall >= 0.8 THEN 'good' WHEN recall >= 0.5 THEN 'medium' ELSE 'poor' END AS band FROM s"""
+ORACLES["label_overlap"] = f"""{SUMMARY}
+SELECT label, l.recall AS left_recall, r.recall AS right_recall FROM l JOIN r USING (label)"""
+ORACLES["common_labels"] = f"{SUMMARY} SELECT label FROM l INTERSECT SELECT label FROM r"
+ORACLES["compare_routes"] = f"""{SUMMARY}
+SELECT label, l.recall AS train_recall, l.n AS train_n, r.recall AS test_recall, r.n AS test_n FROM l FULL JOIN r USING (label)"""
+
+# --- evaluation routes -------------------------------------------------------------------
+
+
+def by_label(dataset: str, benign: str = "BENIGN") -> str:
+    return f"""
+SELECT '{dataset}' AS dataset, label, round(avg(is_anomaly), 4) AS recall, count(*) AS n
+FROM flagged WHERE label <> '{benign}' GROUP BY label"""
+
+
+def overall(dataset: str, name: str) -> str:
+    return f"""
+SELECT '{dataset}' AS dataset, '{name}' AS label, round(coalesce(avg(is_anomaly) FILTER (WHERE y = 1), 0), 4) AS recall,
+       count(*) FILTER (WHERE y = 1) AS n FROM flagged"""
+
+
+RAW_MODEL = f"""WITH {FLOWS},
+{model_ctes("SELECT *, CAST(label <> 'BENIGN' AS INTEGER) AS y, label = 'BENIGN' AS fitted, true AS tested FROM flows", KEY, NUMBERS)}"""
+ORACLES["eval_flows_raw"] = RAW_MODEL + by_label("flows-raw")
+ORACLES["eval_flows_raw_report"] = RAW_MODEL + report_select("flagged")
+FLOW_COLUMNS = ("n_flows", "n_dst_ports", "n_dst_ips", "n_fail", "fail_rate", "flows_x6", "dst_x6", "log_distinct")
+FLOW_ROWS = """SELECT *, true_label AS label, CAST(true_label <> 'BENIGN' AS INTEGER) AS y,
+  true_label = 'BENIGN' AS fitted, true AS tested FROM fw"""
+ORACLES["eval_flows_windowed"] = f"""WITH {FLOWS}, {flow_window_cte(604800, f"ts, {KEY}")},
+{model_ctes(FLOW_ROWS, "src_ip, ts", FLOW_COLUMNS)}""" + by_label("flows-windowed")
+ORACLES["eval_flows_leaky"] = f"""WITH {FLOWS}, placed AS (
+  SELECT * REPLACE (TIMESTAMP '2021-01-01' + to_seconds(row_number() OVER (ORDER BY {KEY}) - 1) AS ts,
+    'IP_' || substr(label, 1, 3) || (('0x' || substr(md5(label), 1, 8))::BIGINT % 1000) AS src_ip) FROM flows),
+{flow_window_cte(600, KEY, "placed")},
+{model_ctes(FLOW_ROWS, "src_ip, ts", FLOW_COLUMNS)}""" + by_label("flows-windowed")
+LOGIN_ROWS = "SELECT *, is_attack_window AS y, is_attack_window = 0 AS fitted, true AS tested FROM lw"
+ORACLES["eval_logins"] = f"""WITH {RBA_LOGINS}, {login_window_cte("country", "n_countries")},
+{model_ctes(LOGIN_ROWS, "src_ip, ts", ("n_flows", "n_users", "n_countries", "n_fail", "fail_rate", "flows_x6", "dst_x6", "log_distinct"))}""" + overall("logins", "Is Attack IP")
+ORACLES["eval_logs"] = f"""WITH {APP_LOGINS}, {login_window_cte("app", "n_apps")},
+{model_ctes(LOGIN_ROWS, "src_ip, ts", ("n_flows", "n_users", "n_apps", "n_fail", "fail_rate", "flows_x6", "dst_x6", "log_distinct"))}""" + overall("logs", "attack")
+_TRAIN = f"{draw(f"'42:split:' || {KEY_TEXT}")} < 0.7"
+ORACLES["eval_split"] = f"""WITH {FLOWS},
+{model_ctes(f"""SELECT * REPLACE (CASE WHEN {_TRAIN} THEN l_tax ELSE 0.0 END AS l_tax,
+    CASE WHEN label = 'BENIGN' THEN 'Normal' ELSE label END AS label),
+  CAST(label <> 'BENIGN' AS INTEGER) AS y, label = 'BENIGN' AND {_TRAIN} AS fitted, NOT ({_TRAIN}) AS tested FROM flows""", KEY, NUMBERS)}""" + by_label("flows-split", "Normal")
+
+# --- neighbours --------------------------------------------------------------------------
+
+NEAREST = """WITH pairs AS (
+  SELECT a.vec_id AS point, b.vec_id AS neighbor,
+         list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY point ORDER BY distance, neighbor) <= 10)"""
+ORACLES["knn_topk"] = f"{NEAREST} SELECT point, neighbor, round(distance, 6) AS distance, 1 AS weight FROM near"
+ORACLES["lof"] = f"""{NEAREST},
+kd AS (SELECT point AS neighbor, max(distance) AS kd FROM near GROUP BY point),
+dens AS (SELECT point, 1.0 / (avg(greatest(kd, distance)) + 1e-10) AS d FROM near JOIN kd USING (neighbor) GROUP BY point),
+fac AS (SELECT near.point, avg(o.d) / any_value(p.d) AS lof
+        FROM near JOIN dens o ON o.point = near.neighbor JOIN dens p ON p.point = near.point GROUP BY near.point)
+SELECT point AS vec_id, round(lof, 6) AS lof, CAST(lof > (SELECT quantile_cont(lof, 0.9) FROM fac) AS INTEGER) AS is_anomaly FROM fac"""
+
+# --- stream ------------------------------------------------------------------------------
+
+ORACLES["stream_features"] = f"""SELECT * FROM ({_features(86400, 2, "src_ip")})
+WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""

@@ -374,7 +374,7 @@ def quality(spark, sf_dir):
 
 @query
 def pr_curve(spark, sf_dir):
-    return rounded(evaluate.pr_curve(_rule_flows(spark, sf_dir)), "score", "precision", "recall")
+    return rounded(evaluate.pr_curve(_rule_flows(spark, sf_dir)), "precision", "recall")
 
 
 @query
@@ -440,13 +440,14 @@ def top_of_grid(spark, sf_dir):
 
 
 def _rule_summary(spark, sf_dir):
-    """Recall by shipping month in two data sets, the two line states."""
-    rows = _rule_flows(spark, sf_dir)
+    """Recall by shipping month in the two parts of a keyed split."""
+    rows = _rule_flows(spark, sf_dir).withColumn("train", adapters.train_draw() < 0.7)
     month = F.concat(F.lit("m"), F.date_format("ts", "yyyy-MM"))
     label = F.when(F.col("y") == 0, "BENIGN").otherwise(month)
+    rows = rows.withColumn("label", label)
     parts = [
-        evaluate.recall_by_label(rows.withColumn("label", label).where(F.col("src_ip").endswith(end)), end, "BENIGN")
-        for end in ("1", "2")
+        evaluate.recall_by_label(rows.where(F.col("train") == side), name, "BENIGN")
+        for name, side in (("train", True), ("test", False))
     ]
     return evaluation.summary(parts)
 
@@ -463,17 +464,17 @@ def recall_bands(spark, sf_dir):
 
 @query
 def label_overlap(spark, sf_dir):
-    return evaluate.label_overlap(_rule_summary(spark, sf_dir), "1", "2")
+    return evaluate.label_overlap(_rule_summary(spark, sf_dir), "train", "test")
 
 
 @query
 def common_labels(spark, sf_dir):
-    return evaluate.common_labels(_rule_summary(spark, sf_dir), "1", "2")
+    return evaluate.common_labels(_rule_summary(spark, sf_dir), "train", "test")
 
 
 @query
 def compare_routes(spark, sf_dir):
-    return evaluate.compare_routes(_rule_summary(spark, sf_dir), ["1", "2"])
+    return evaluate.compare_routes(_rule_summary(spark, sf_dir), ["train", "test"])
 
 
 # --- evaluation routes -------------------------------------------------------------------
