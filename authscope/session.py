@@ -62,6 +62,8 @@ def spread(df: DataFrame) -> DataFrame:
     Judged by the optimizer's size estimate, so nothing runs to find out. Large inputs come in
     many pieces already and are left as they are.
     """
+    if df.isStreaming:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > SMALL_INPUT:
         return df
