@@ -36,18 +36,21 @@ def stack_values(logs: DataFrame, keys: list[str], time: dict[str, Column]) -> D
 
 
 def _filled_columns(logs: DataFrame) -> Column:
-    """Bits of the counted columns that hold a value somewhere in the input."""
-    known, asked = 0, []
+    """Bits of the counted columns that hold a value somewhere in the input.
+
+    Each column is asked for one row with a value, so a task stops at the first it meets.
+    """
+    known, found = 0, None
     for field in logs.schema:
         bit = DIMENSIONS.get(field.name)
         if bit and not field.nullable:
             known |= bit
         elif bit:
-            asked.append(F.max(F.when(F.col(field.name).isNotNull(), bit).otherwise(0)))
-    if not asked:
+            one = logs.where(F.col(field.name).isNotNull()).select(F.lit(bit).alias("bit")).limit(1)
+            found = one if found is None else found.unionAll(one)
+    if found is None:
         return F.lit(known)
-    total = sum((F.coalesce(a, F.lit(0)) for a in asked), F.lit(known))
-    return logs.agg(total.alias("bits")).scalar()
+    return found.agg((F.coalesce(F.sum("bit"), F.lit(0)) + F.lit(known)).alias("bits")).scalar()
 
 
 def window_features(
@@ -65,8 +68,8 @@ def window_features(
     adds up those groups, again with a map-side part. Distinct counts and entropy come
     from the same rows as the plain counts.
 
-    A counted column without any value in the whole input gives 1 in every window. The
-    test for it is a one-row aggregate over those columns alone, without a shuffle of rows.
+    A counted column without any value in the whole input gives 1 in every window; looking
+    for one value per column costs next to nothing unless a column really is empty.
     """
     if approx_distinct:
         return _approx_features(logs, window, by_app, min_fail)

@@ -84,8 +84,8 @@ def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def _lookup(by_region: dict[int, int], region: str) -> Column:
     """Per-region number as a column; at most ``MAX_PIVOTS`` entries."""
-    held = F.array(*[F.lit(by_region.get(r, 1)) for r in range(max(by_region) + 1)])
-    return F.get(held, F.col(region))
+    held = ", ".join(str(by_region.get(r, 1)) for r in range(max(by_region) + 1))
+    return F.get(F.expr(f"array({held})"), F.col(region))
 
 
 def _parts(rows: int) -> int:

@@ -56,7 +56,7 @@ def minute_slots(spark: SparkSession, minutes: int) -> DataFrame:
 
 
 def user_name(number: Column) -> Column:
-    return F.concat(F.lit("user"), F.lpad(number.cast("string"), 4, "0"))
+    return F.format_string("user%04d", number)
 
 
 def _draw(plan: LogPlan, scenario: str, what: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from authscope.functions.draws import poisson_cdf
+
 ORACLES: dict[str, str] = {}
 
 LOGS = """logs AS (
@@ -251,7 +253,9 @@ SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"
 CLAMPED = "least(0.499, greatest(0.001, (SELECT avg(y) FROM rws WHERE tested)))"
 
 
-def model_ctes(rows: str, key: str, columns: tuple[str, ...], share: str = CLAMPED) -> str:
+def model_ctes(
+    rows: str, key: str, columns: tuple[str, ...], share: str = CLAMPED, trees: int = 10, sample: int = 64, depth: int = 6
+) -> str:
     """Scale, grow, score, cut and flag. ``rows`` selects key, columns, y, fitted and tested."""
     stats = ", ".join(
         f"""CASE WHEN min({c}) = max({c}) THEN min({c}) ELSE avg({c}) END AS m{i},
@@ -263,8 +267,8 @@ def model_ctes(rows: str, key: str, columns: tuple[str, ...], share: str = CLAMP
     return f"""rws AS ({rows}),
 stats AS (SELECT count(*) AS n_rows, {stats} FROM rws WHERE fitted),
 scaled AS (SELECT {key}, fitted, n_rows, concat_ws(':', {key}) AS k, {scaled} FROM rws, stats),
-{forest_ctes("scaled", width, 10, 64, 6, "fitted")},
-{score_ctes("scaled", key, width, 10, 64, 6)},
+{forest_ctes("scaled", width, trees, sample, depth, "fitted")},
+{score_ctes("scaled", key, width, trees, sample, depth)},
 ordered AS (SELECT anomaly_score AS v, row_number() OVER (ORDER BY anomaly_score) - 1 AS rn, count(*) OVER () AS n
             FROM scores JOIN rws USING ({key}) WHERE fitted),
 place AS (SELECT (any_value(n) - 1) * (1 - {share}) AS p FROM ordered),
@@ -283,6 +287,23 @@ ORACLES["detect_scores"] = f"""WITH {feature_ctes(86400, 2, "src_ip")},
 {model_ctes("SELECT * EXCLUDE (win), win AS ts, 0 AS y, true AS fitted, true AS tested FROM f", "src_ip, ts", FEATURES, "0.05")}
 SELECT src_ip, ts, n_attempts, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"""
 
+
+
+def detect_alerts(keys: str, trees: int, tail: str) -> str:
+    rows = "SELECT * EXCLUDE (win), win AS ts, 0 AS y, true AS fitted, true AS tested FROM f"
+    return f"""WITH {feature_ctes(86400, 2, keys)},
+{model_ctes(rows, f"{keys}, ts", FEATURES, "0.01", trees, 256, 8)}
+SELECT {keys}, ts, round(anomaly_score, 6) AS anomaly_score, n_attempts, n_fail, n_success, n_users,
+       round(fail_rate, 6) AS fail_rate, round(attempts_per_min, 6) AS attempts_per_min, success_after_fail,
+       round(user_entropy, 6) AS user_entropy,
+       format('score={{:.3f}}, attempts={{}}, fail={{}}, users={{}}, fail_rate={{:.2f}}, success_after_fail={{}}',
+         anomaly_score, n_attempts, n_fail, n_users, round(fail_rate, 2), success_after_fail) AS summary
+FROM flagged WHERE is_anomaly = 1 {tail}"""
+
+
+ORACLES["detect_alerts"] = detect_alerts("src_ip", 300, "")
+ORACLES["detect_by_app"] = detect_alerts("src_ip, app", 100, "ORDER BY flagged.anomaly_score DESC, src_ip, app, ts LIMIT 20")
+
 RULE_WINDOWS = f"""WITH {feature_ctes(86400, 2, "src_ip")},
 rule AS (SELECT * EXCLUDE (win), win AS ts, n_fail + n_users / 8 AS anomaly_score FROM f WHERE n_fail * 4 >= n_attempts)"""
 ALERT = """src_ip, ts, anomaly_score, n_attempts, n_fail, n_success, n_users, round(fail_rate, 6) AS fail_rate,
@@ -443,6 +464,168 @@ fac AS (SELECT near.point, avg(o.d) / any_value(p.d) AS lof
         FROM near JOIN dens o ON o.point = near.neighbor JOIN dens p ON p.point = near.point GROUP BY near.point)
 SELECT point AS vec_id, round(lof, 6) AS lof, CAST(lof > (SELECT quantile_cont(lof, 0.9) FROM fac) AS INTEGER) AS is_anomaly FROM fac"""
 
+
+# The neighbour grid: all rows scaled, lists of 50, factors for 10, 20 and 50.
+LOF_GRID = """WITH parts AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM parts GROUP BY i),
+sc AS (SELECT vec_id, CAST(any_value(label) = 9 AS INTEGER) AS y, list((v - m) / s ORDER BY i) AS x FROM parts JOIN st USING (i) GROUP BY vec_id),
+pairs AS (SELECT a.vec_id AS point, b.vec_id AS neighbor, list_distance(a.x, b.x) AS distance
+          FROM sc a JOIN sc b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY distance, neighbor) AS rnk FROM pairs),
+ks AS (SELECT unnest([10, 20, 50]) AS k),
+near AS (SELECT k, point, neighbor, distance FROM ranked JOIN ks ON rnk <= k),
+kd AS (SELECT k, point AS neighbor, max(distance) AS kd FROM near GROUP BY k, point),
+dens AS (SELECT k, point, 1.0 / (avg(greatest(kd, distance)) + 1e-10) AS d FROM near JOIN kd USING (k, neighbor) GROUP BY k, point),
+fac AS (SELECT near.k, near.point, avg(o.d) / any_value(p.d) AS lof FROM near
+        JOIN dens o ON o.k = near.k AND o.point = near.neighbor JOIN dens p ON p.k = near.k AND p.point = near.point
+        GROUP BY near.k, near.point),
+ordered AS (SELECT k, lof, y, row_number() OVER (PARTITION BY k ORDER BY lof) - 1 AS rn, count(*) OVER (PARTITION BY k) AS n
+            FROM fac JOIN sc ON sc.vec_id = fac.point),
+place AS (SELECT (count(*) - 1) * (1 - least(0.499, greatest(0.001, avg(y)))) AS p FROM sc),
+cut AS (SELECT k, max(lof) FILTER (WHERE rn = floor(p)) AS lo, max(lof) FILTER (WHERE rn = ceil(p)) AS hi, any_value(p) AS p
+        FROM ordered, place GROUP BY k),
+cells AS (SELECT k, count(*) FILTER (WHERE y = 1 AND lof > c) AS tp, count(*) FILTER (WHERE y = 0 AND lof > c) AS fp,
+            count(*) FILTER (WHERE y = 1 AND lof <= c) AS fn
+          FROM ordered JOIN (SELECT k, lo + (hi - lo) * (p - floor(p)) AS c FROM cut) USING (k) GROUP BY k)"""
+ORACLES["grid_neighbors"] = f"""{LOF_GRID}
+SELECT 'LOF' AS model, k AS n_estimators, CAST(NULL AS DOUBLE) AS max_samples, CAST(NULL AS DOUBLE) AS contamination,
+       round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(tp / (tp + fn), 4) AS recall,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision FROM cells"""
+
+
+def grid_sql(trees: int, prefixes: tuple[int, ...], shares: tuple[float, ...], levels: int) -> str:
+    """Forests on shares of the training rows: every tree of every share, level by level."""
+    fs = [f"f{i}" for i in range(4)]
+    cols = ", ".join(fs)
+    prime = 2147483647
+    shares_sql = f"({list(shares)}::DOUBLE[])"
+    out = [
+        FLOWS,
+        f"""rws AS (SELECT *, CAST(label <> 'BENIGN' AS INTEGER) AS y, {_TRAIN} AS train, {KEY_TEXT} AS k FROM flows)""",
+        f"""stats AS (SELECT count(*) AS n_rows, {", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(NUMBERS))}
+             FROM rws WHERE train AND y = 0)""",
+        f"""scaled AS (SELECT k, y, train, n_rows, {", ".join(f"({c} - m{i}) / s{i} AS f{i}" for i, c in enumerate(NUMBERS))}
+             FROM rws, stats WHERE NOT train OR y = 0)""",
+        f"""trees AS (SELECT g * {trees} + t AS tree, g, t,
+              ('0x' || substr(md5('42:mul:' || t), 1, 8))::BIGINT % {prime - 1} + 1 AS a,
+              ('0x' || substr(md5('42:add:' || t), 1, 8))::BIGINT % {prime} AS b,
+              CAST(floor({shares_sql}[g + 1] * n_rows) AS BIGINT) AS sample,
+              ceil(log2(floor({shares_sql}[g + 1] * n_rows))) AS lim
+              FROM range({trees}) r(t), range({len(shares)}) q(g), stats)""",
+        f"""ranked AS (SELECT tree, lim, sample, {cols}, row_number() OVER (PARTITION BY tree
+              ORDER BY (a * (('0x' || substr(md5('42:row:' || k), 1, 8))::BIGINT % {prime}) + b) % {prime}, k) AS rnk
+              FROM scaled, trees WHERE train)""",
+        f"l0 AS (SELECT tree, lim, 0::BIGINT AS node, {cols} FROM ranked WHERE rnk <= sample)",
+        f"w0 AS (SELECT k, {cols}, tree, 0::BIGINT AS node FROM scaled, trees)",
+    ]
+    usable = ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(4))
+    ends = ", ".join(f"min({f}) OVER w AS lo{i}, max({f}) OVER w AS hi{i}" for i, f in enumerate(fs))
+    lo, hi = "[lo0, lo1, lo2, lo3][feature + 1]", "[hi0, hi1, hi2, hi3][feature + 1]"
+    uf, ut = draw("'42:feature:' || tree || ':' || node"), draw("'42:threshold:' || tree || ':' || node")
+    for d in range(levels + 1):
+        out += [
+            f"s{d} AS (SELECT *, {ends}, count(*) OVER w AS size FROM l{d} WINDOW w AS (PARTITION BY tree, node))",
+            f"u{d} AS (SELECT *, list_filter([{usable}], lambda v: v IS NOT NULL) AS usable FROM s{d})",
+            f"""c{d} AS (SELECT *, CASE WHEN {d} < lim AND size > 1 AND len(usable) > 0
+                  THEN usable[CAST(floor({uf} * len(usable)) AS INTEGER) + 1] ELSE -1 END AS feature FROM u{d})""",
+            f"t{d} AS MATERIALIZED (SELECT *, CASE WHEN feature >= 0 THEN {lo} + {ut} * ({hi} - {lo}) END AS threshold FROM c{d})",
+            f"n{d} AS (SELECT DISTINCT tree, node, feature, threshold, size FROM t{d})",
+            f"""l{d + 1} AS (SELECT tree, lim, node * 2 + 1 + CASE WHEN [{cols}][feature + 1] > threshold THEN 1 ELSE 0 END AS node,
+                  {cols} FROM t{d} WHERE feature >= 0)""",
+            f"x{d} AS MATERIALIZED (SELECT w{d}.*, n{d}.feature, n{d}.threshold, n{d}.size FROM w{d} JOIN n{d} USING (tree, node))",
+            f"""w{d + 1} AS (SELECT k, {cols}, tree, node * 2 + 1 + CASE WHEN [{cols}][feature + 1] > threshold THEN 1 ELSE 0 END AS node
+                  FROM x{d} WHERE feature >= 0)""",
+        ]
+    leaves = " UNION ALL ".join(
+        f"SELECT k, tree, {d} + {path_length('size')} AS path FROM x{d} WHERE feature < 0" for d in range(levels + 1)
+    )
+    out += [
+        f"leaves AS ({leaves})",
+        f"prefixes AS (SELECT unnest({list(prefixes)}) AS p)",
+        f"""scores AS (SELECT k, g, p, pow(2.0, -round(sum(path) / p, 9) / {path_length("any_value(sample)::DOUBLE")}) AS s
+             FROM leaves JOIN trees USING (tree) JOIN prefixes ON t < p GROUP BY k, g, p)""",
+        """cuts AS (SELECT g, p, unnest([0.3, 0.4, 0.499]::DOUBLE[]) AS contamination,
+             unnest(quantile_cont(s, [0.7, 0.6, 0.501])) AS cut FROM scores JOIN scaled USING (k) WHERE train GROUP BY g, p)""",
+        """cells AS (SELECT g, p, contamination, count(*) FILTER (WHERE y = 1 AND s > cut) AS tp,
+             count(*) FILTER (WHERE y = 0 AND s > cut) AS fp, count(*) FILTER (WHERE y = 1 AND s <= cut) AS fn
+             FROM scores JOIN scaled USING (k) JOIN cuts USING (g, p) WHERE NOT train GROUP BY g, p, contamination)""",
+    ]
+    return f"""WITH {", ".join(out)}
+SELECT 'IsolationForest' AS model, CAST(p AS INTEGER) AS n_estimators, {shares_sql}[g + 1] AS max_samples, contamination,
+       round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(tp / (tp + fn), 4) AS recall,
+       round(tp / (tp + fp), 4) AS precision FROM cells"""
+
+
+ORACLES["grid_forest"] = grid_sql(6, (2, 4, 6), (0.5, 0.8, 1.0), 18)
+
+# --- generated logs ----------------------------------------------------------------------
+
+U = "('0x' || substr(md5('42:{what}:' || {place}), 1, 8))::BIGINT / 4294967296.0"
+
+
+def _u(what: str) -> str:
+    return "(" + U.format(what=what, place="minute || ':' || i") + ")"
+
+
+def _count(what: str, mean: float) -> str:
+    u = "(" + U.format(what=f"{what}-count", place="minute") + ")"
+    return f"len(list_filter({poisson_cdf(mean)}::DOUBLE[], lambda p: p <= {u}))"
+
+
+def _among(u: str, values: tuple[str, ...], shares: tuple[float, ...]) -> str:
+    total, whens = 0.0, ""
+    for v, s in list(zip(values, shares))[:-1]:
+        total += s
+        whens += f" WHEN {u} < {total!r} THEN '{v}'"
+    return f"(CASE{whens} ELSE '{values[-1]}' END)"
+
+
+def _events(name: str, count: str, where: str) -> str:
+    start = "epoch(TIMESTAMP '2026-02-01 08:00:00')"
+    return f"""{name}_n AS (SELECT minute, {count} AS n FROM slots WHERE {where}),
+{name}_e AS (SELECT minute, unnest(range(1, n + 1)) AS i FROM {name}_n WHERE n > 0),
+{name} AS (SELECT minute, i, to_timestamp({start} + minute * 60 + floor({_u(name + "-second")} * 60))::TIMESTAMP AS ts FROM {name}_e)"""
+
+
+def _users(name: str, n: int) -> str:
+    u = "(" + U.format(what=f"{name}-users", place="id") + ")"
+    return f"""{name}_u AS (SELECT row_number() OVER (ORDER BY {u}, id) - 1 AS place, printf('user%04d', id) AS "user"
+  FROM range((SELECT count(*) FROM customer)) r(id) ORDER BY {u}, id LIMIT {n})"""
+
+
+_APPS = ("SSO", "VPN", "MAIL")
+_IP = "'198.51.100.' || CAST(floor({u} * (SELECT count(*) FROM supplier)) + 1 AS BIGINT)"
+_HOUR = "(floor((epoch(TIMESTAMP '2026-02-01 08:00:00') + minute * 60) / 3600) % 24)"
+GENERATED = f"""WITH slots AS (SELECT event_id AS minute FROM events),
+{_events("normal", f"CASE WHEN {_HOUR} BETWEEN 9 AND 18 THEN {_count('normal', 10)} ELSE {_count('normal', 4)} END", "true")},
+{_events("spray", _count("spray", 18), "minute >= 200 AND minute < 245")},
+{_events("brute", _count("brute", 55), "minute >= 370 AND minute < 390")},
+{_events("outage", _count("outage", 35), "minute >= 540 AND minute < 565")},
+{_users("spray", 140)}, {_users("brute", 1)}, {_users("outage", 60)},
+normal_a AS (SELECT *, {_among(_u("normal-app"), _APPS, (0.65, 0.2, 0.15))} AS app FROM normal),
+normal_f AS (SELECT *, {_u("normal-fail")} < CASE app WHEN 'SSO' THEN 0.06 WHEN 'VPN' THEN 0.10 ELSE 0.04 END AS failed FROM normal_a),
+spray_f AS (SELECT *, {_u("spray-success")} < 0.012 AS good,
+   CAST(floor({_u("spray-user")} * least(140, (SELECT count(*) FROM customer))) AS BIGINT) AS place FROM spray),
+outage_f AS (SELECT *, CAST(floor({_u("outage-user")} * least(60, (SELECT count(*) FROM customer))) AS BIGINT) AS place FROM outage),
+made AS (
+  SELECT ts, printf('user%04d', CAST(floor({_u("normal-user")} * (SELECT count(*) FROM customer)) AS BIGINT)) AS "user",
+    {_IP.format(u=_u("normal-source"))} AS src_ip, app, CASE WHEN failed THEN 'fail' ELSE 'success' END AS result,
+    CASE WHEN failed THEN {_among(_u("normal-reason"), ("bad_password", "mfa_required", "user_typo"), (0.75, 0.05, 0.20))} ELSE 'ok' END AS reason,
+    {_among(_u("normal-agent"), ("Chrome", "Firefox", "Edge", "MobileSafari", "python-requests", "curl"), (0.35, 0.25, 0.2, 0.1, 0.07, 0.03))} AS user_agent,
+    {_among(_u("normal-country"), ("FR", "DE", "ES", "GB", "US", "NL"), (0.45, 0.2, 0.08, 0.1, 0.12, 0.05))} AS country, 'normal' AS scenario
+  FROM normal_f
+  UNION ALL SELECT ts, "user", '203.0.113.50', {_among(_u("spray-app"), _APPS, (0.85, 0.1, 0.05))},
+    CASE WHEN good THEN 'success' ELSE 'fail' END, CASE WHEN good THEN 'ok' ELSE 'bad_password' END, 'python-requests', 'US', 'spray'
+  FROM spray_f JOIN spray_u USING (place)
+  UNION ALL SELECT ts, "user", '203.0.113.99', {_among(_u("brute-app"), _APPS, (0.7, 0.2, 0.1))}, 'fail', 'bad_password',
+    {_among(_u("brute-agent"), ("curl", "python-requests"), (0.4, 0.6))}, 'NL', 'brute' FROM brute, brute_u
+  UNION ALL SELECT ts, "user", {_IP.format(u=_u("outage-source"))}, 'VPN', 'fail', 'mfa_required',
+    {_among(_u("outage-agent"), ("Chrome", "Edge", "MobileSafari"), (0.5, 0.3, 0.2))},
+    {_among(_u("outage-country"), ("FR", "DE", "GB"), (0.6, 0.25, 0.15))}, 'outage' FROM outage_f JOIN outage_u USING (place))"""
+ORACLES["synth_logs"] = f"{GENERATED} SELECT * FROM made"
+ORACLES["synth_scenarios"] = f"""{GENERATED}
+SELECT scenario, result, reason, count(*) AS n, count(DISTINCT "user") AS n_users FROM made GROUP BY ALL"""
+
 # --- stream ------------------------------------------------------------------------------
 
 ORACLES["stream_features"] = f"""SELECT * FROM ({_features(86400, 2, "src_ip")})

@@ -272,6 +272,7 @@ def forest_flags_small(spark, sf_dir):
 
 # --- detection and alerts ----------------------------------------------------------------
 
+ALERT_NUMBERS = ("anomaly_score", "fail_rate", "attempts_per_min", "user_entropy")
 DETECT = {"window": "1 day", "contamination": 0.05, "n_estimators": 10, "min_fail": 2, "max_samples": 64}
 
 
@@ -285,13 +286,13 @@ def detect_scores(spark, sf_dir):
 @query
 def detect_alerts(spark, sf_dir):
     found = detect(_logs(spark, sf_dir), "1 day", contamination=0.01, min_fail=2)
-    return alerts.ranked(found.alerts)
+    return rounded(alerts.ranked(found.alerts), *ALERT_NUMBERS)
 
 
 @query
 def detect_by_app(spark, sf_dir):
     found = detect(_logs(spark, sf_dir), "1 day", by_app=True, contamination=0.01, n_estimators=100, min_fail=2)
-    return alerts.top_alerts(found.alerts, keys=("src_ip", "app"))
+    return rounded(alerts.top_alerts(found.alerts, keys=("src_ip", "app")), *ALERT_NUMBERS)
 
 
 def _rule_scored(spark, sf_dir):
