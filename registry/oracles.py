@@ -493,6 +493,60 @@ SELECT 'LOF' AS model, k AS n_estimators, CAST(NULL AS DOUBLE) AS max_samples, C
        round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision FROM cells"""
 
 
+def one_class_ctes(nu: float, steps: int, features: int = 256, width: int = 64) -> str:
+    """Boundary over random cosine features, one set of CTEs per step. Ends in ``m``, ``cut``."""
+
+    def u(what: str, place: str) -> str:
+        return f"((('0x' || substr(md5('42:{what}:' || {place}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+    place = "i || ':' || j"
+    out = [
+        """parts AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS j FROM embeddings)""",
+        "st AS (SELECT j, avg(v) AS m, stddev_pop(v) AS s FROM parts WHERE label <> 9 GROUP BY j)",
+        """flat AS (SELECT vec_id, CAST(label = 9 AS INTEGER) AS y, j, (v - m) / s AS v FROM parts JOIN st USING (j))""",
+        "sc AS (SELECT vec_id, y, list(v ORDER BY j) AS x FROM flat GROUP BY vec_id, y)",
+        f"gam AS (SELECT 1.0 / ({width} * (avg(v * v) - avg(v) * avg(v))) AS g, count(DISTINCT vec_id) AS n FROM flat WHERE y = 0)",
+        f"""dirs AS MATERIALIZED (SELECT i, list(sqrt(-2.0 * ln({u("radius", place)})) * cos(2.0 * pi() * {u("angle", place)}) * sqrt(2.0 * g) ORDER BY j) AS d,
+              2.0 * pi() * {u("shift", "i")} AS b FROM range({features}) r(i), range({width}) q(j), gam GROUP BY i)""",
+        f"""z AS MATERIALIZED (SELECT vec_id, y, list(cos(list_inner_product(x, d) + b) * sqrt(2.0 / {features}) ORDER BY i) AS z
+              FROM sc, dirs GROUP BY vec_id, y)""",
+        f"zt AS MATERIALIZED (SELECT vec_id, unnest(z) AS v, unnest(range({features})) AS i FROM z WHERE y = 0)",
+        "a0 AS MATERIALIZED (SELECT i, avg(v) AS w FROM zt GROUP BY i)",
+        "p0 AS MATERIALIZED (SELECT list(w ORDER BY i) AS wl, sum(w * w) AS rho FROM a0)",
+    ]
+    for t in range(1, steps + 1):
+        o = t - 1
+        out += [
+            f"i{t} AS MATERIALIZED (SELECT vec_id FROM z, p{o} WHERE y = 0 AND list_inner_product(z, wl) < rho)",
+            f"g{t} AS (SELECT i, sum(v) AS s FROM zt JOIN i{t} USING (vec_id) GROUP BY i)",
+            f"""a{t} AS MATERIALIZED (SELECT i, w - 1.0 / {t + 1} * (w - coalesce(s, 0) / ({nu} * n)) AS w
+                  FROM a{o} LEFT JOIN g{t} USING (i), gam)""",
+            f"""p{t} AS MATERIALIZED (SELECT (SELECT list(w ORDER BY i) FROM a{t}) AS wl,
+                  rho - 1.0 / {t + 1} * ((SELECT count(*) FROM i{t}) / ({nu} * n) - 1.0) * greatest(rho, 1e-3) AS rho FROM p{o}, gam)""",
+        ]
+    out += [
+        f"m AS MATERIALIZED (SELECT vec_id, y, list_inner_product(z, wl) AS margin FROM z, p{steps})",
+        f"cut AS (SELECT quantile_cont(margin, {nu}) AS c FROM m WHERE y = 0)",
+    ]
+    return "WITH " + ", ".join(out)
+
+
+ORACLES["oneclass_rff"] = f"""{one_class_ctes(0.3, 20)}
+SELECT vec_id, y, round(c - margin, 6) AS anomaly_score, CAST(c - margin > 0 AS INTEGER) AS is_anomaly FROM m, cut"""
+
+
+def _one_class_line(nu: float) -> str:
+    return f"""({one_class_ctes(nu, 40)},
+cells AS (SELECT count(*) FILTER (WHERE y = 1 AND margin < c) AS tp, count(*) FILTER (WHERE y = 0 AND margin < c) AS fp,
+            count(*) FILTER (WHERE y = 1 AND margin >= c) AS fn FROM m, cut)
+SELECT 'OneClassSVM' AS model, CAST(NULL AS INTEGER) AS n_estimators, CAST(NULL AS DOUBLE) AS max_samples,
+       {nu}::DOUBLE AS contamination, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(tp / (tp + fn), 4) AS recall,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision FROM cells)"""
+
+
+ORACLES["grid_oneclass"] = " UNION ALL ".join(_one_class_line(nu) for nu in (0.1, 0.3, 0.5))
+
+
 def grid_sql(trees: int, prefixes: tuple[int, ...], shares: tuple[float, ...], levels: int) -> str:
     """Forests on shares of the training rows: every tree of every share, level by level."""
     fs = [f"f{i}" for i in range(4)]
