@@ -2,11 +2,9 @@
 
 Two ways to grow, chosen by the size of a tree's sample:
 
-* up to ``GROUP_ROWS`` rows per tree (the default of 256 is far below): rows are
-  partitioned by tree and a level is a window over ``(tree, node)``. Spark keeps that
-  partitioning, so ``LEVELS_PER_JOB`` levels are one job with one shuffle; the rows still
-  open are then partitioned again by the nodes they have reached. No group holds more than
-  a tree's sample.
+* up to ``GROUP_ROWS`` rows per tree (the default of 256 is far below): the samples are
+  partitioned by tree and each is grown in its own group. The whole forest is one job, and
+  no group holds more than a tree's sample.
 * larger samples: each level aggregates ``(tree, node)`` with map-side combine and sends
   the chosen splits back to the rows; a node is left alone once it is small, and all small
   nodes are finished together by the first way.
@@ -28,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from authscope.functions.draws import digest32, key_text, uniform, uniform_sql
+from authscope.functions.draws import SPAN, digest32, key_text, uniform, uniform_sql
 from authscope.operators.quantile import exact_percentile
 from authscope.operators.scaler import Scaler, fit_scaler
 from authscope.schemas import AUTO_SAMPLE, DEFAULT_SEED, DEFAULT_TREES
@@ -38,7 +36,6 @@ GROUP_ROWS = 65536
 POOL_ROWS = 65536
 BROADCAST_NODES = 4_000_000
 LEVELS_PER_WRITE = 4
-LEVELS_PER_JOB = 3
 ROWS_PER_TASK = 20_000
 PRIME = 2147483647  # 2 ** 31 - 1
 EULER = 0.5772156649015329
@@ -151,7 +148,7 @@ def _tree_samples(rows: DataFrame, total: int, samples: Sequence[int], trees: in
         .withColumn("_rank", F.row_number().over(order))
         .where(f"_rank <= {_by_group(samples, trees)}")
         .drop("_rank", "draw", "_key")
-        .withColumns({"root": F.lit(0).cast("long"), "node": F.lit(0).cast("long"), "depth": F.lit(0)})
+        .withColumn("root", F.lit(0).cast("long"))
     )
 
 
@@ -179,60 +176,74 @@ def _value_sql(width: int) -> str:
     return f"get(array({', '.join(_names(width))}), feature)"
 
 
-def _grow(rows: DataFrame, width: int, limit: str, levels: int, seed: int) -> DataFrame:
-    """Finish all subtrees whose rows share ``(tree, root)``, by windows. Returns their nodes.
+def _subtree(tree: int, root: int, x: np.ndarray, limit: int, seed: int) -> pd.DataFrame:
+    """Nodes below ``root`` for the rows of one group, level by level."""
+
+    def draw(purpose: str, node: int) -> float:
+        return int(hashlib.md5(f"{seed}:{purpose}:{tree}:{node}".encode()).hexdigest()[:8], 16) / SPAN
+
+    met = []
+    depth = (root + 1).bit_length() - 1
+    rows, at = np.arange(len(x)), np.full(len(x), root)
+    while len(rows):
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        names, starts, sizes = np.unique(at, return_index=True, return_counts=True)
+        low = np.minimum.reduceat(x[rows], starts)
+        high = np.maximum.reduceat(x[rows], starts)
+        feature, threshold = np.full(len(names), -1), np.full(len(names), np.nan)
+        for j, name in enumerate(names.tolist()):
+            usable = np.flatnonzero(high[j] > low[j])
+            if depth < limit and len(usable):
+                f = feature[j] = usable[int(draw("feature", name) * len(usable))]
+                threshold[j] = low[j, f] + draw("threshold", name) * (high[j, f] - low[j, f])
+        met.append(pd.DataFrame({"node": names, "depth": depth, "feature": feature, "threshold": threshold, "size": sizes}))
+        row_feature = np.repeat(feature, sizes)
+        split = row_feature >= 0
+        beyond = x[rows[split], row_feature[split]] > np.repeat(threshold, sizes)[split]
+        rows, at, depth = rows[split], at[split] * 2 + 1 + beyond, depth + 1
+    out = pd.concat(met, ignore_index=True)
+    out.insert(0, "tree", tree)
+    return out
+
+
+def _grow(rows: DataFrame, width: int, limits: Sequence[int], trees: int, seed: int) -> DataFrame:
+    """Finish all subtrees whose rows share ``(tree, root)``. Returns their nodes.
 
-    Every row walks down and keeps the nodes it met. A few levels make one job; its rows are
-    written, their nodes read from there, and the open rows go on from the nodes they are at.
+    A group holds at most a tree's sample, or a node already small, so it fits a task; the
+    groups are what Spark spreads.
     """
-    cols = _names(width)
-    feature, threshold = _split_sql(seed, width)
-    w = "over (partition by tree, root, node)"
-    ranges = [f"{f}(f{i}) {w} as {n}{i}" for i in range(width) for f, n in (("min", "lo"), ("max", "hi"))]
-    beyond = f"if({_value_sql(width)} > threshold, 1, 0)"
-    step = """named_struct('node', node, 'depth', depth, 'feature', feature, 'threshold', threshold,
-              'size', size, 'is_leaf', feature < 0)"""
-    met = "array<struct<node: bigint, depth: int, feature: int, threshold: double, size: bigint, is_leaf: boolean>>"
-    parts = []
-    for _ in range(0, levels + 1, LEVELS_PER_JOB):
-        rows = rows.selectExpr("tree", "root", "node", "depth", *cols, "true as open", f"cast(array() as {met}) as path")
-        for _ in range(LEVELS_PER_JOB):
-            rows = (
-                rows.selectExpr("*", *ranges, f"count(1) {w} as size")
-                .selectExpr("*", f"{feature.format(limit=limit)} as feature")
-                .selectExpr("*", f"if(feature >= 0, {threshold}, null) as threshold")
-                .selectExpr(
-                    "tree",
-                    "root",
-                    f"if(open and feature >= 0, node * 2 + 1 + {beyond}, node) as node",
-                    "if(open and feature >= 0, depth + 1, depth) as depth",
-                    *cols,
-                    "open and feature >= 0 as open",
-                    f"if(open, array_append(path, {step}), path) as path",
-                )
-            )
-        written = cut_lineage(rows)
-        parts.append(written.selectExpr("tree", "inline(path)"))
-        rows = written.where("open").drop("root", "path", "open")
-        left = rows.count()
-        if not left:
-            break
-        rows = rows.withColumn("root", F.col("node")).repartition(_tasks(left, rows), "tree", "root")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("tree", "node").agg(*[F.any_value(c).alias(c) for c in NODE_COLUMNS[2:]]).select(*NODE_COLUMNS)
+    cols, limits = _names(width), list(limits)
 
+    def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        tree, root = int(key[0]), int(key[1])
+        return _subtree(tree, root, group[cols].to_numpy(dtype=np.float64), limits[tree // trees], seed)
 
-def _grow_large(rows: DataFrame, width: int, limit: str, levels: int, seed: int, group_rows: int) -> DataFrame:
-    """Level by level for nodes above ``group_rows`` rows, then the rest by windows."""
+    schema = "tree int, node long, depth int, feature int, threshold double, size long"
+    return (
+        rows.select("tree", "root", *cols)
+        .groupBy("tree", "root")
+        .applyInPandas(grow, schema)
+        .select(
+            "tree", "node", "depth", "feature",
+            F.when(F.col("feature") >= 0, F.col("threshold")).alias("threshold"),
+            "size", (F.col("feature") < 0).alias("is_leaf"),
+        )
+    )
+
+
+def _grow_large(
+    rows: DataFrame, width: int, limits: Sequence[int], trees: int, seed: int, group_rows: int
+) -> DataFrame:
+    """Level by level for nodes above ``group_rows`` rows, then the rest as groups."""
+    limit, levels = _by_group(limits, trees), max(limits)
     cols = _names(width)
     feature, threshold = _split_sql(seed, width)
     beyond = (F.expr(_value_sql(width)) > F.col("threshold")).cast("long")
     rows = rows.withColumns(
         {"node": F.lit(0).cast("long"), "depth": F.lit(0), "state": F.lit("open")}
     )
-    finished, shallowest, small_rows = [], levels, 0
+    finished, small_rows = [], 0
     for level in range(levels + 1):
         stats = (
             rows.where(F.col("state") == "open")
@@ -246,7 +257,7 @@ def _grow_large(rows: DataFrame, width: int, limit: str, levels: int, seed: int,
         stats = stats.withColumn("feature", F.expr(feature.format(limit=limit))).withColumn(
             "threshold", F.when(F.col("feature") >= 0, F.expr(threshold))
         )
-        # A small node is left for the windows, split or not; a large one is decided here.
+        # A small node is left for its group, split or not; a large one is decided here.
         picked = cut_lineage(
             stats.select(
                 "tree", "node", "depth", "feature", "threshold", "size",
@@ -256,15 +267,12 @@ def _grow_large(rows: DataFrame, width: int, limit: str, levels: int, seed: int,
         )
         counts = picked.agg(
             F.count(F.lit(1)).alias("n"),
-            F.count_if("small").alias("small"),
             F.coalesce(F.sum(F.when(F.col("small"), F.col("size"))), F.lit(0)).alias("small_rows"),
             F.count_if(~F.col("small") & ~F.col("is_leaf")).alias("splits"),
         ).first()
         if not counts["n"]:
             break
-        if counts["small"]:
-            shallowest = min(shallowest, level)
-            small_rows += counts["small_rows"]
+        small_rows += counts["small_rows"]
         finished.append(picked.where(~F.col("small")).select(*NODE_COLUMNS))
         side = picked.select("tree", "node", "feature", "threshold", "small", F.lit(True).alias("seen"))
         if counts["n"] <= BROADCAST_NODES // 4:
@@ -292,7 +300,7 @@ def _grow_large(rows: DataFrame, width: int, limit: str, levels: int, seed: int,
         .withColumn("root", F.col("node"))
         .repartition(_tasks(small_rows, rows), "tree", "root")
     )
-    finished.append(_grow(small, width, limit, levels - shallowest, seed))
+    finished.append(_grow(small, width, limits, trees, seed))
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
@@ -315,19 +323,19 @@ def fit_forests(
     total = scaler.rows
     samples = [sample_size(m, total) for m in sizes]
     limits = [math.ceil(math.log2(max(s, 2))) for s in samples]
-    limit, width = _by_group(limits, n_estimators), len(columns)
+    width = len(columns)
     rows = df.select(
         key_text(*key).alias("_key"), *[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)]
     )
     if max(samples) <= group_rows:
         rows = _tree_samples(rows, total, samples, n_estimators, seed, pool_rows)
-        nodes = _grow(rows, width, limit, max(limits), seed)
+        nodes = _grow(rows, width, limits, n_estimators, seed)
     else:
         # Every row takes part in a tree with the share's probability.
         shares = [m if isinstance(m, float) else s / total for m, s in zip(sizes, samples)]
         rows = _per_tree(spread(rows), seed, n_estimators, len(sizes))
         rows = rows.where(f"draw < {_by_group([int(s * PRIME) for s in shares], n_estimators)}")
-        nodes = _grow_large(rows.drop("draw", "_key"), width, limit, max(limits), seed, group_rows)
+        nodes = _grow_large(rows.drop("draw", "_key"), width, limits, n_estimators, seed, group_rows)
     nodes = cut_lineage(nodes)
     out = []
     for g, (sample, depth) in enumerate(zip(samples, limits)):
@@ -459,6 +467,9 @@ def score_by_joins(df: DataFrame, forest: Forest, key: Sequence[str], name: str
     nodes = node_paths(forest).select("tree", "node", "feature", "threshold", F.col("path").alias("leaf_path"))
     for level in range(forest.depth + 1):
         here = nodes.where((F.col("node") >= 2**level - 1) & (F.col("node") < 2 ** (level + 1) - 1))
+        # Near the root all rows meet few nodes; those go to the rows. Deeper, rows spread out.
+        if forest.trees * 2**level <= BROADCAST_NODES // 4:
+            here = F.broadcast(here)
         at = at.join(here, ["tree", "node"], "left").select(
             *key,
             *cols,
@@ -496,3 +507,19 @@ def score_and_flag(df: DataFrame, forest: Forest, key: Sequence[str] | None = No
     return score(df, forest, key).withColumn(
         "is_anomaly", (F.col("anomaly_score") > F.lit(forest.cut)).cast("int")
     )
+
+
+def score_cut_and_flag(
+    df: DataFrame, forest: Forest, contamination: float, fitted: Column | None = None
+) -> tuple[Forest, DataFrame]:
+    """Score once, cut at the quantile over the fitted rows of ``df``, flag all of it.
+
+    For data that holds its own training rows: those are the rows where ``fitted`` holds, or
+    all. The scored rows are written, so select only the columns still needed.
+    """
+    if not 0 < contamination <= 0.5:
+        raise ValueError("contamination lies in (0, 0.5]")
+    scored = cut_lineage(score(df, forest))
+    cut = exact_percentile(scored if fitted is None else scored.where(fitted), "anomaly_score", 1 - contamination)
+    flagged = scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(cut)).cast("int"))
+    return replace(forest, cut=cut), flagged

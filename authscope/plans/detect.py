@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from authscope.operators.alerts import alert_table
 from authscope.operators.features import group_keys, window_features
-from authscope.operators.forest import Forest, fit_cut, fit_forest, score_and_flag
+from authscope.operators.forest import Forest, fit_cut, fit_forest, score_and_flag, score_cut_and_flag
 from authscope.schemas import (
     DEFAULT_CONTAMINATION,
     DEFAULT_MIN_FAIL,
@@ -49,6 +49,9 @@ def detect(
     features = cut_lineage(window_features(logs, window, by_app, min_fail))
     fitted = features if train is None else cut_lineage(window_features(train, window, by_app, min_fail))
     model = fit_forest(fitted, FEATURE_COLUMNS, [*keys, "ts"], n_estimators, max_samples, seed)
-    model = fit_cut(model, fitted, contamination)
-    scored = score_and_flag(features, model)
+    if train is None:
+        model, scored = score_cut_and_flag(features, model, contamination)
+    else:
+        model = fit_cut(model, fitted, contamination)
+        scored = score_and_flag(features, model)
     return Detection(features, scored, alert_table(scored, keys), model)

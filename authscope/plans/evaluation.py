@@ -18,7 +18,7 @@ from authscope.operators.flows import (
     login_windows,
     numeric_columns,
 )
-from authscope.operators.forest import Forest, fit_cut, fit_forest, score_and_flag
+from authscope.operators.forest import Forest, fit_cut, fit_forest, score_and_flag, score_cut_and_flag
 from authscope.operators.prefix import sequence_time
 from authscope.schemas import (
     APP_LOGIN_FEATURES,
@@ -59,11 +59,14 @@ def _flags(
     harmless = train.where(F.col("y") == 0)
     share = clamp_share(test.agg(F.avg("y")).first()[0])
     model = fit_forest(harmless, columns, key, fit.trees, fit.max_samples, fit.seed)
-    model = fit_cut(model, harmless, share)
     kept = [c for c in ("label", "y") if c in test.columns]
-    flagged = score_and_flag(test.select(*kept, *columns), model)
+    rows = test.select(*kept, *columns)
+    if train is test:
+        model, flagged = score_cut_and_flag(rows, model, share, F.col("y") == 0)
+        return model, flagged.drop(*columns)
+    model = fit_cut(model, harmless, share)
     # Labels and flags only: every metric reads this narrow table, not the scores again.
-    return model, cut_lineage(flagged.select(*kept, "anomaly_score", "is_anomaly"))
+    return model, cut_lineage(score_and_flag(rows, model).select(*kept, "anomaly_score", "is_anomaly"))
 
 
 def _by_label(model: Forest, flags: DataFrame, dataset: str, benign: str) -> Evaluation:
