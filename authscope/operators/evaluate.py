@@ -137,7 +137,7 @@ def pr_curve(df: DataFrame, y: str = "y", score: str = "anomaly_score", closing_
     use range partitions. The closing point has no score, precision 1 and recall 0.
     """
     running = running_totals(_by_score(df, y, score), [F.desc("score")], {"said": "rows", "right": "hits"})
-    total = running.agg(F.max("right")).first()[0] or 0
+    total = df.agg(F.sum(F.col(y).cast("long"))).first()[0] or 0
     found = _or_zero(F.col("right") / F.lit(total)) if total else F.lit(1.0)
     curve = running.select(
         "score",

@@ -307,6 +307,19 @@ def _grow_large(
     return out
 
 
+def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Row keys that occur more than once, with their counts. Such rows share their draws."""
+    return df.groupBy(*key).count().where("count > 1")
+
+
+def check_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Raise if ``key`` does not name single rows, else return ``df``."""
+    seen = repeated_keys(df, key).agg(F.count(F.lit(1)).alias("keys"), F.sum("count").alias("rows")).first()
+    if seen["keys"]:
+        raise ValueError(f"{seen['keys']} values of the key {list(key)} stand for {seen['rows']} rows")
+    return df
+
+
 def fit_forests(
     df: DataFrame,
     columns: Sequence[str],

@@ -135,9 +135,10 @@ def _search(asked: DataFrame, points: DataFrame, region_rows: dict[int, int], k:
                 yield pd.DataFrame(picked, columns=["point", "neighbor", "distance", "weight"])
 
     pairs = ask.join(have, ["region", "block"]).select("ap", "ax", "hp", "hx", "hc")
+    tasks = min(shuffle_width(spark), sum(n * blocks.get(r, 1) for r, n in slots.items()))
     with arrow_batches(spark, PAIRS_PER_BATCH):
         return cut_lineage(
-            pairs.repartition(shuffle_width(spark)).mapInPandas(
+            pairs.repartition(max(1, tasks)).mapInPandas(
                 run, "point bigint, neighbor bigint, distance double, weight bigint"
             )
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from authscope.session import cut_lineage, shuffle_width
+from authscope.session import cut_lineage, pieces
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
@@ -20,9 +20,8 @@ def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     is still split by the later columns. Planning twice could pick other bounds, hence the
     written copy. The written rows are in range order, so the built-in id numbers them.
     """
-    parts = shuffle_width(df.sparkSession)
     return cut_lineage(
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(pieces(df), *order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_id", _INDEX_BITS))

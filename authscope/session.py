@@ -56,15 +56,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; nothing runs to find out."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def pieces(df: DataFrame, each: int = 2**24) -> int:
+    """Partitions for a shuffle of ``df``: the session's width, fewer for small data."""
+    return min(shuffle_width(df.sparkSession), max(8, estimated_bytes(df) // each))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split small input over the cores before costly row work.
 
-    Judged by the optimizer's size estimate, so nothing runs to find out. Large inputs come in
-    many pieces already and are left as they are.
+    Large inputs come in many pieces already and are left as they are.
     """
     if df.isStreaming:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = estimated_bytes(df)
     if size > SMALL_INPUT:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism

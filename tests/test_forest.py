@@ -124,3 +124,10 @@ def test_sample_size():
     with pytest.raises(ValueError):
         fo.sample_size(1.5, 10)
     assert fo.average_path_number(256) == pytest.approx(10.2447, abs=1e-3)
+
+
+def test_repeated_keys_are_reported(points):
+    assert fo.check_key(points, ["id"]) is points
+    twice = points.withColumn("id", F.floor(F.col("id") / 2))
+    with pytest.raises(ValueError, match="300 values.*600 rows"):
+        fo.check_key(twice, ["id"])
