@@ -187,16 +187,13 @@ def flow_pseudo_source(spark, sf_dir):
 
 @query
 def flow_sequence_time(spark, sf_dir):
-    rows = prefix.sequence_time(_flows(spark, sf_dir).drop("ts"), list(adapters.FLOW_KEY))
-    return rows.select(*adapters.FLOW_KEY, "ts")
+    return prefix.sequence_time(_flows(spark, sf_dir).select(*adapters.FLOW_KEY), list(adapters.FLOW_KEY))
 
 
 @query
 def running_quantity(spark, sf_dir):
-    rows = prefix.running_totals(
-        _flows(spark, sf_dir), list(adapters.FLOW_KEY), {"total_cents": "price_c"}
-    )
-    return rows.select(*adapters.FLOW_KEY, "total_cents")
+    rows = _flows(spark, sf_dir).select(*adapters.FLOW_KEY)
+    return prefix.running_totals(rows, list(adapters.FLOW_KEY), {"total_cents": "price_c"})
 
 
 @query
@@ -333,17 +330,22 @@ def no_alerts(spark, sf_dir):
 # --- evaluation --------------------------------------------------------------------------
 
 
-def _rule_flows(spark, sf_dir):
-    """Flows with a rule's score, flagged above its 0.8 quantile."""
+def _rule_scores(spark, sf_dir):
+    """Flows with a rule's score."""
     rows = _flows(spark, sf_dir).withColumn("y", (F.col("label") != "BENIGN").cast("int"))
-    rows = rows.withColumn("anomaly_score", F.col("l_extendedprice") / F.col("l_quantity"))
+    return rows.withColumn("anomaly_score", F.col("l_extendedprice") / F.col("l_quantity"))
+
+
+def _rule_flows(spark, sf_dir):
+    """The same flows flagged above the 0.8 quantile of the score."""
+    rows = _rule_scores(spark, sf_dir)
     cut = quantile.exact_percentile(rows, "anomaly_score", 0.8)
     return rows.withColumn("is_anomaly", (F.col("anomaly_score") > cut).cast("int"))
 
 
 @query
 def prevalence(spark, sf_dir):
-    return rounded(evaluate.prevalence(_rule_flows(spark, sf_dir)), "share", "contamination")
+    return rounded(evaluate.prevalence(_rule_scores(spark, sf_dir)), "share", "contamination")
 
 
 @query
@@ -375,28 +377,28 @@ def quality(spark, sf_dir):
 
 @query
 def pr_curve(spark, sf_dir):
-    return rounded(evaluate.pr_curve(_rule_flows(spark, sf_dir)), "precision", "recall")
+    return rounded(evaluate.pr_curve(_rule_scores(spark, sf_dir)), "precision", "recall")
 
 
 @query
 def pr_curve_binned(spark, sf_dir):
-    return rounded(evaluate.pr_curve_binned(_rule_flows(spark, sf_dir)), "score", "precision", "recall")
+    return rounded(evaluate.pr_curve_binned(_rule_scores(spark, sf_dir)), "score", "precision", "recall")
 
 
 @query
 def average_precision(spark, sf_dir):
-    return rounded(evaluate.average_precision(_rule_flows(spark, sf_dir)), "average_precision")
+    return rounded(evaluate.average_precision(_rule_scores(spark, sf_dir)), "average_precision")
 
 
 @query
 def score_hist(spark, sf_dir):
-    return rounded(evaluate.score_histogram(_rule_flows(spark, sf_dir)), "left_edge", "density")
+    return rounded(evaluate.score_histogram(_rule_scores(spark, sf_dir)), "left_edge", "density")
 
 
 @query
 def score_cut(spark, sf_dir):
     """Cut of the training scores beside the same quantile of all scores."""
-    rows = _rule_flows(spark, sf_dir)
+    rows = _rule_scores(spark, sf_dir)
     held = cut_lineage(
         rows.select("anomaly_score", F.when(F.col("y") == 0, F.col("anomaly_score")).alias("train_score"))
     )
