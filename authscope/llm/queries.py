@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from authscope.llm.fingerprints import fingerprint_with_edits
+from authscope.llm.packing import pack
 from authscope.llm.sharding import shard_by_bytes
 
 
@@ -24,9 +25,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_sharding": op3_sharding,
+    "op6_packing": op6_packing,
 }
 
 ORACLES: dict[str, str] = {}
