@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from authscope.llm.fingerprints import fingerprint_with_edits
 from authscope.llm.packing import pack
+from authscope.llm.rules import judge
 from authscope.llm.sharding import shard_by_bytes
 
 
@@ -29,10 +30,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_documents(spark, sf_dir), _labels(spark, sf_dir))[0]
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_sharding": op3_sharding,
     "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
