@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from authscope.llm.fingerprints import fingerprint_with_edits
+from authscope.llm.jaccard import near_duplicates
 from authscope.llm.packing import pack
 from authscope.llm.rules import judge
 from authscope.llm.sharding import shard_by_bytes
@@ -22,6 +23,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir))
 
@@ -36,6 +41,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
