@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from authscope.llm.fingerprints import fingerprint_with_edits
 from authscope.llm.jaccard import near_duplicates
 from authscope.llm.packing import pack
+from authscope.llm.passages import repeated_passages
 from authscope.llm.rules import judge
 from authscope.llm.sharding import shard_by_bytes
 
@@ -39,12 +40,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir), _labels(spark, sf_dir))[0]
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
