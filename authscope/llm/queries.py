@@ -8,6 +8,7 @@ from authscope.llm.fingerprints import fingerprint_with_edits
 from authscope.llm.jaccard import near_duplicates
 from authscope.llm.packing import pack
 from authscope.llm.passages import repeated_passages
+from authscope.llm.quality_model import resample
 from authscope.llm.rules import judge
 from authscope.llm.sharding import shard_by_bytes
 
@@ -32,6 +33,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
