@@ -7,16 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authscope.llm.text import draws, mix, slices, span_hashes, text_buffer
+from authscope.llm.text import draws, mix, slices, token_hashes
 from authscope.session import cut_lineage
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 SEED = 11
-# Blank, word and other bytes; bytes from 0x80 on belong to letters of some script.
-_CLASS = np.full(256, 2, np.uint8)
-_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
-_CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 
 
 def ngram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -24,19 +20,7 @@ def ngram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray,
 
     A token is a run of letters and digits or a run of other visible characters.
     """
-    data, offsets = text_buffer(texts)
-    lo, hi = int(offsets[0]), int(offsets[-1])
-    kind = _CLASS[data[lo:hi]]
-    new = np.ones(hi - lo, bool)
-    new[1:] = kind[1:] != kind[:-1]
-    borders = offsets[:-1] - lo
-    new[borders[borders < hi - lo]] = True
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], hi - lo)
-    seen = kind[starts] > 0
-    starts, ends = starts[seen], ends[seen]
-    h = span_hashes(data[lo:hi], starts, ends)
-    first = np.searchsorted(starts, offsets - lo)
+    h, first = token_hashes(texts)
     # Token pairs: all but the one that reaches into the next text. A pair stands after its first token.
     inside = np.ones(len(h), bool)
     last = first[1:][first[1:] > first[:-1]] - 1

@@ -11,6 +11,7 @@ from authscope.llm.passages import repeated_passages
 from authscope.llm.quality_model import resample
 from authscope.llm.rules import judge
 from authscope.llm.sharding import shard_by_bytes
+from authscope.llm.toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir), _labels(spark, sf_dir))[0]
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_importance_resampling": op5_importance_resampling,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
 }
 

@@ -105,6 +105,39 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), first
 
 
+# Blank, word and other bytes; bytes from 0x80 on belong to letters of some script.
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def token_hashes(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and for each text the number of its first one.
+
+    A token is a run of letters and digits or a run of other visible characters. ``fold``
+    makes no difference between upper and lower case of Latin letters up to U+00FF.
+    """
+    data, offsets = text_buffer(texts)
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    data = data[lo:hi]
+    if fold:
+        after = np.zeros(hi - lo, bool)
+        after[1:] = data[:-1] == 0xC3  # the second byte of U+00C0 to U+00FF
+        data = np.where(after & (data < 0x9F) & (data != 0x97), data | 0x20, _LOWER[data])
+    kind = _CLASS[data]
+    new = np.ones(hi - lo, bool)
+    new[1:] = kind[1:] != kind[:-1]
+    borders = offsets[:-1] - lo
+    new[borders[borders < hi - lo]] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], hi - lo) if len(starts) else starts
+    seen = kind[starts] > 0
+    starts, ends = starts[seen], ends[seen]
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets - lo)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the ``k``-word windows of one text; its whole text if it has fewer words."""
     if not len(words):
