@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from authscope.llm.fingerprints import fingerprint_with_edits
 from authscope.llm.jaccard import near_duplicates
+from authscope.llm.language import identify
 from authscope.llm.packing import pack
 from authscope.llm.passages import repeated_passages
 from authscope.llm.quality_model import resample
@@ -54,6 +55,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
@@ -63,6 +68,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
