@@ -225,3 +225,13 @@ def near_duplicates(
             F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
         )
     )
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, less those whose class is named by another row.
+
+    A row with a null key stays. Rows with equal keys stay or go by their own texts' classes.
+    """
+    classes = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", **how)
+    named = classes.where(F.col("class_id") != F.col("id")).select(F.col("id").alias(key)).distinct()
+    return docs.join(named, key, "left_anti").select(*docs.columns)

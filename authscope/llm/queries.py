@@ -9,6 +9,7 @@ from authscope.llm.jaccard import near_duplicates
 from authscope.llm.language import identify
 from authscope.llm.packing import pack
 from authscope.llm.passages import repeated_passages
+from authscope.llm.pieces import sample_pieces
 from authscope.llm.quality_model import resample
 from authscope.llm.rules import judge
 from authscope.llm.sharding import shard_by_bytes
@@ -35,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir))
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(_documents(spark, sf_dir))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_sentencepiece_sampling": op4_sentencepiece_sampling,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,

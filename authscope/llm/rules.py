@@ -63,20 +63,25 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return _let(words, lambda w: F.when(F.size(w) < width, 0).otherwise(_let(hashes(w), count)))
 
 
-def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of words, symbols, lines and repeats of every whole text, in one narrow pass."""
+def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", rest: Column | None = None) -> DataFrame:
+    """Counts of words, symbols, lines and repeats of every whole text, in one narrow pass.
+
+    ``rest`` is carried along under that name.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def number(pattern: str) -> Column:
         return F.regexp_count("t", F.lit(pattern)).cast("long")
 
-    rows = docs.select(F.col(key).alias("key"), whole.alias("t"), _words(whole).alias("w"))
+    carried = [] if rest is None else [rest.alias("rest")]
+    rows = docs.select(F.col(key).alias("key"), whole.alias("t"), _words(whole).alias("w"), *carried)
     lines = _let(
         F.filter(F.split("t", "\n"), lambda line: F.regexp_like(line, F.lit(WORD))),
         lambda kept: F.struct(F.size(kept).alias("lines"), F.size(F.array_distinct(kept)).alias("distinct")),
     )
     return rows.select(
         "key",
+        *(["rest"] if carried else []),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         number(r"[#*$%&|<>]").alias("n_symbols"),
@@ -227,6 +232,14 @@ def learn_decision_list(
     return rules
 
 
+FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+
+
+def _learned(counts: DataFrame, labels: DataFrame, key: str, label: str) -> list[list[Term]]:
+    bad = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.min(label) == 0).alias("bad"))
+    return learn_decision_list(counts.join(bad, "key"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[DataFrame, list[list[Term]]]:
     """Counts, base rules and the learned verdict for every document; and the learned rules.
 
@@ -237,9 +250,19 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     read for learning and for judging. Only the key and the text are read from ``docs``.
     """
     counts = cut_lineage(text_counts(docs, key, text))
-    bad = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.min(label) == 0).alias("bad"))
-    rules = learn_decision_list(counts.join(bad, "key"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = counts.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejects(rules))
+    rules = _learned(counts, labels, key, label)
+    judged = counts.withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & ~rejects(rules))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select(F.col("key").alias(key), *names), rules
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all columns.
+
+    Texts are not shuffled: counts are written for learning, and each row is counted again
+    where it lies to judge it.
+    """
+    rules = _learned(cut_lineage(text_counts(docs, key, text)), labels, key, label)
+    rest = F.struct(*(F.col(f"`{n}`") for n in docs.columns))
+    kept = text_counts(docs, key, text, rest).where(~F.expr(FAILED) & ~rejects(rules))
+    return kept.select(*(F.col(f"rest.`{n}`").alias(n) for n in docs.columns))

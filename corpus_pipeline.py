@@ -3,10 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from authscope.llm.jaccard import keep_one_of_each
+from authscope.llm.packing import pack
+from authscope.llm.passages import cut_passages, repeated_passages
+from authscope.llm.quality_model import keep_resampled
+from authscope.llm.rules import keep_good
 from authscope.session import cut_lineage
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
+
+
+def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = cut_passages(docs, repeated_passages(docs))
+    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_text),
+    ("best-fit packing", packing),
+]
 
 #: The stages learn from the data and search it, which SQL does not express; see tests/llm.
 ORACLE_SQL = None
