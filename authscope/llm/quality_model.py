@@ -46,14 +46,19 @@ def _counts(batches, buckets: int):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
+def _target_half(key: str):
+    return F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(2)) == 0
+
+
 def log_ratio(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, bound: int, buckets: int) -> np.ndarray:
     """Log ratio of the target's to the raw model's chance, for each bucket.
 
     The raw model counts all rows. The target model counts the texts of at most ``bound`` rows
-    labelled 1, the first ones by a hash of their key.
+    labelled 1, the first ones by a hash of their key in one half of them; the other half is
+    left to find the cut.
     """
     good = (
-        labels.where((F.col(label) == 1) & F.col(key).isNotNull())
+        labels.where((F.col(label) == 1) & F.col(key).isNotNull() & _target_half(key))
         .select(F.col(key).alias("_good"))
         .distinct()
         .orderBy(F.xxhash64("_good", F.lit(SEED)), "_good")
@@ -114,8 +119,8 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
 
 
 def _best_cut(scores: DataFrame, labels: DataFrame, key: str, label: str, keep: float) -> float | None:
-    """The weight that all but a share of ``1 - keep`` of the rows labelled 1 reach."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.min(label) == 1).alias("good"))
+    """The weight that a share ``keep`` of the rows labelled 1 reach, of those not in the target."""
+    known = labels.where(F.col(label).isNotNull() & ~_target_half(key)).groupBy(F.col(key).alias("key")).agg((F.min(label) == 1).alias("good"))
     held = cut_lineage(scores.join(known, "key").where("good").select("weight"))
     n = held.count()
     return kth_largest(held, "weight", max(1, min(n, int(np.ceil(keep * n))))) if n else None
@@ -127,7 +132,7 @@ def resampler(
     key: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    keep: float = 0.999,
+    keep: float = 0.998,
     bound: int = TARGET_ROWS,
     buckets: int = BUCKETS,
     seed: int = SEED,
@@ -135,8 +140,9 @@ def resampler(
     """Weights of all rows (key, weight, noisy), the log ratios, and the cut of the Gumbel top-k.
 
     A row's weight is the log ratio of its text under the target and the raw model. As many
-    rows are drawn as have a weight that a share ``keep`` of the rows labelled 1 reaches. The
-    draw, without replacement and in proportion to the weights, takes the rows with the
+    rows are drawn as have a weight that a share ``keep`` of the rows labelled 1 reaches; the
+    labels for that are others than the target's, which fit their own model better. The draw,
+    without replacement and in proportion to the weights, takes the rows with the
     largest weight plus Gumbel noise; the noise follows from the row's key alone. Rows tied
     with the last one drawn are drawn too.
     """
