@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn hang every node on the least one of its neighbourhood, until
     each component is one star. A step is two aggregates of minima, combined on the map side,
-    and joins with one row a node on one side, so a node with many edges is no hot spot. The
+    and joins with one row a node on one side; as the minima are written first, a join can
+    part the edges of a node that has many. The
     graph never leaves the cluster; only a count and a checksum do. Self-loops and nulls are
     dropped, so a node without another neighbour is not in the result.
     """
@@ -21,9 +22,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

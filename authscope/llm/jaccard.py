@@ -15,7 +15,7 @@ TREES = 24
 DEPTH = 6
 #: A block of a component has about this many shingles and sets; blocks are compared in pairs.
 BLOCK_SHINGLES = 1 << 18
-BLOCK_SETS = 1500
+BLOCK_SETS = 512
 
 
 def matched_depth(threshold: float, target: float, trees: int, depth: int) -> int:
@@ -193,14 +193,16 @@ def near_duplicates(
     )
     entries = sets.select("sid", F.explode(nodes).alias("node"))
     shared = entries.groupBy("node").agg(F.count("*").alias("size"), F.min("sid").alias("head")).where("size > 1")
-    met = entries.join(shared, "node").where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
+    shared = cut_lineage(shared)  # apart from the join, which can then part the sets of a large node
+    # Both joins by shuffle at any size: what they are joined with grows with the input.
+    met = entries.join(shared.hint("merge"), "node").where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
     candidates = connected_components(met).select(F.col("node").alias("sid"), "component").join(sets.drop("labels"), "sid")
     extent = candidates.groupBy("component").agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks")
     )
     asked = cut_lineage(candidates.join(extent, "component").select("sid", "component", "copies", "least", "blocks"))
     payload = (
-        rows.join(asked, rows["key"] == asked["least"])
+        rows.join(asked.hint("merge"), rows["key"] == asked["least"])
         .select("key", "text", "sid", "component", "copies", "blocks")
         .mapInArrow(lambda b: _payload(b, k), "sid long, component long, copies long, blocks long, shingles binary")
         .withColumn("block", F.expr("pmod(xxhash64(sid, 1), blocks)"))
