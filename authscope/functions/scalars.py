@@ -31,10 +31,16 @@ def recode_result(c: Column) -> Column:
 
 def boolean_result(c: Column) -> Column:
     """true / 1 to success, false / 0 to fail, anything else to null."""
-    text = F.lower(c.cast("string"))
+    text = strip_lower(c)
     return F.when(text.isin("true", "1", "1.0"), "success").when(text.isin("false", "0", "0.0"), "fail")
 
 
+def truth(c: Column) -> Column:
+    """1 for true, 0 for false, null for anything else, from booleans, numbers or their text."""
+    result = boolean_result(c)
+    return F.when(result == "success", 1).when(result == "fail", 0)
+
+
 def parse_time(c: Column, kind: str) -> Column:
     """Time of any input type as a timestamp; text that is no time becomes null."""
     return F.try_to_timestamp(c) if kind == "string" else c.cast("timestamp")
@@ -74,7 +80,7 @@ def success_after_fail(n_success: Column, n_fail: Column, min_fail: int) -> Colu
 
 def failure_from_success(c: Column) -> Column:
     """1 for a failed login; an unknown outcome counts as a success."""
-    return F.lit(1) - F.coalesce(c.cast("int"), F.lit(1))
+    return F.lit(1) - F.coalesce(truth(c), F.lit(1))
 
 
 def pseudo_source(label: Column, buckets: int = 1000) -> Column:

@@ -60,41 +60,26 @@ def quality(counts: DataFrame) -> DataFrame:
 
 
 def class_report(df: DataFrame, y: str = "y", flagged: str = "is_anomaly", names: Sequence[str] = ("BENIGN", "ATTACK")) -> DataFrame:
-    """Precision, recall, F1 and support by class, with accuracy and both means."""
-    c = cells(df, y, flagged)
-    by_class = c.select(
-        F.stack(
-            F.lit(2),
-            F.lit(names[0]), F.col("tn"), F.col("fn"), F.col("fp"),
-            F.lit(names[1]), F.col("tp"), F.col("fp"), F.col("fn"),
-        ).alias("name", "right", "wrongly_in", "wrongly_out"),
-        F.col("tn").alias("right0"),
-        F.col("tp").alias("right1"),
-    )
-    right, inn, out = F.col("right"), F.col("wrongly_in"), F.col("wrongly_out")
-    scored = by_class.select(
-        "name",
-        _or_zero(ratio(right, right + inn)).alias("precision"),
-        _or_zero(ratio(right, right + out)).alias("recall"),
-        _or_zero(ratio(2 * right, 2 * right + inn + out)).alias("f1"),
-        (right + out).alias("support"),
-        (F.col("right0") + F.col("right1")).alias("all_right"),
-    )
-    means = scored.agg(
-        *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
-        *[
-            _or_zero(ratio(F.sum(F.col(m) * F.col("support")), F.sum("support"))).alias(f"weighted_{m}")
-            for m in ("precision", "recall", "f1")
-        ],
-        _or_zero(ratio(F.max("all_right"), F.sum("support"))).alias("accuracy"),
-        F.sum("support").alias("support"),
-    ).selectExpr(
-        """stack(3, 'accuracy', accuracy, accuracy, accuracy, support,
-                    'macro avg', macro_precision, macro_recall, macro_f1, support,
-                    'weighted avg', weighted_precision, weighted_recall, weighted_f1, support)
-           as (name, precision, recall, f1, support)"""
-    )
-    return scored.drop("all_right").unionByName(means)
+    """Precision, recall, F1 and support by class, with accuracy and both means: one scan."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    parts = [(tn, fn, fp), (tp, fp, fn)]  # right, wrongly in, wrongly out
+    share = [
+        [_or_zero(ratio(r, r + i)), _or_zero(ratio(r, r + o)), _or_zero(ratio(2 * r, 2 * r + i + o))] for r, i, o in parts
+    ]
+    support = [r + o for r, _, o in parts]
+    total = support[0] + support[1]
+    accuracy = _or_zero(ratio(tn + tp, total))
+    macro = [(x + z) / 2 for x, z in zip(*share)]
+    weighted = [_or_zero(ratio(x * support[0] + z * support[1], total)) for x, z in zip(*share)]
+    lines = [
+        (names[0], *share[0], support[0]),
+        (names[1], *share[1], support[1]),
+        ("accuracy", accuracy, accuracy, accuracy, total),
+        ("macro avg", *macro, total),
+        ("weighted avg", *weighted, total),
+    ]
+    cell = [F.lit(v) if isinstance(v, str) else v for line in lines for v in line]
+    return cells(df, y, flagged).select(F.stack(F.lit(len(lines)), *cell).alias("name", "precision", "recall", "f1", "support"))
 
 
 def recall_by_label(

@@ -13,6 +13,8 @@ from authscope.functions.scalars import clean_number, flag, floor_time, is_attac
 from authscope.schemas import BENIGN_FLOW
 
 WINDOW = "10min"
+#: Label of a window whose attack flows all lack one.
+UNKNOWN_ATTACK = "UNKNOWN"
 
 
 def numeric_columns(df: DataFrame, drop: Sequence[str] = ()) -> list[str]:
@@ -99,30 +101,31 @@ def flow_windows(
 ) -> DataFrame:
     """Flows per source and window, with the first attack label in ``order_key`` order.
 
-    Keyed by destination port first, then by source and window.
+    The counts are keyed by destination port first, then by source and window, and both steps
+    are hash aggregates. The label is looked for among attack rows with a label alone; a
+    window with attacks but no label gets ``UNKNOWN_ATTACK``.
     """
-    attack = F.col("is_fail") == 1
-    ports = (
-        flows.withColumns(
-            {"win": floor_time(F.col("ts"), window), "is_fail": is_attack(F.col("label"), benign)}
-        )
-        .dropna(subset=["src_ip"])
-        .groupBy("src_ip", "win", "dst_port")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum("is_fail").alias("n_fail"),
-            F.min(F.when(attack, F.struct(*order_key, "label"))).alias("first_attack"),
-        )
+    rows = flows.withColumns(
+        {"win": floor_time(F.col("ts"), window), "is_fail": is_attack(F.col("label"), benign)}
+    ).dropna(subset=["src_ip"])
+    ports = rows.groupBy("src_ip", "win", "dst_port").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("is_fail").alias("n_fail")
     )
     has_port = F.col("dst_port").isNotNull()
-    windows = ports.groupBy("src_ip", "win").agg(
+    counts = ports.groupBy("src_ip", "win").agg(
         F.coalesce(F.sum(F.when(has_port, F.col("n_rows"))), F.lit(0)).alias("n_flows"),
         F.count_if(has_port).alias("n_dst_ports"),
         F.count_if(has_port).alias("n_dst_ips"),
         F.sum("n_fail").alias("n_fail"),
         F.sum("n_rows").alias("n_rows"),
-        F.coalesce(F.min("first_attack")["label"], F.lit(benign)).alias("true_label"),
     )
+    attacks = rows.where((F.col("is_fail") == 1) & F.col("label").isNotNull())
+    labels = attacks.groupBy(F.col("src_ip").alias("_src"), F.col("win").alias("_win")).agg(
+        F.min(F.struct(*order_key, "label"))["label"].alias("_label")
+    )
+    same = F.col("src_ip").eqNullSafe(F.col("_src")) & F.col("win").eqNullSafe(F.col("_win"))
+    label = F.when(F.col("n_fail") == 0, benign).otherwise(F.coalesce("_label", F.lit(UNKNOWN_ATTACK)))
+    windows = counts.join(labels, same, "left").withColumn("true_label", label)
     return _rates(windows, "n_dst_ips", "n_dst_ports", window).select(
         "src_ip",
         F.col("win").alias("ts"),
@@ -179,7 +182,7 @@ def login_windows(logins: DataFrame, window: str = WINDOW, second: str = "countr
 
 def login_records(rba: DataFrame) -> DataFrame:
     """Risk-based login rows as the input of ``login_windows``; unknown marks count as harmless."""
-    from authscope.functions.scalars import failure_from_success, parse_time
+    from authscope.functions.scalars import failure_from_success, parse_time, truth
     from authscope.schemas import RBA_ATTACK, RBA_COLUMNS
 
     kinds = dict(rba.dtypes)
@@ -190,7 +193,7 @@ def login_records(rba: DataFrame) -> DataFrame:
         F.col(f"`{RBA_COLUMNS['src_ip']}`").alias("src_ip"),
         F.col(f"`{RBA_COLUMNS['country']}`").alias("country"),
         failure_from_success(F.col(f"`{RBA_COLUMNS['result']}`")).alias("is_fail"),
-        F.coalesce(F.col(f"`{RBA_ATTACK}`").cast("int"), F.lit(0)).alias("is_attack"),
+        F.coalesce(truth(F.col(f"`{RBA_ATTACK}`")), F.lit(0)).alias("is_attack"),
     )
 
 

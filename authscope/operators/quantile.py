@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,28 +24,49 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(picked)])
 
 
-def _ends(values: DataFrame, width: int) -> list[tuple[int, float, float]]:
-    aggs = [f(f"v{i}").alias(f"{n}{i}") for i in range(width) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+class _Ends(NamedTuple):
+    """Values of a column: how many, how many below and above all finite ones, and the finite range."""
+
+    n: int
+    n_below: int
+    n_above: int
+    lo: float | None
+    hi: float | None
+
+
+def _ends(values: DataFrame, width: int) -> list[_Ends]:
+    aggs = []
+    for i in range(width):
+        v = F.col(f"v{i}")
+        finite = F.when(F.abs(v) < math.inf, v)
+        aggs += [F.count(v), F.count_if(v == -math.inf), F.count_if(v == math.inf), F.min(finite), F.max(finite)]
     row = values.agg(*aggs).first()
-    return [(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in range(width)]
+    return [_Ends(*row[5 * i : 5 * i + 5]) for i in range(width)]
 
 
-def _at_ranks(values: DataFrame, ends: list[tuple[int, float, float]], wanted: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
-    """Value at each (column, zero-based rank). All searches share their passes."""
+def _at_ranks(values: DataFrame, ends: list[_Ends], wanted: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Value at each (column, zero-based rank). All searches share their passes.
+
+    Infinities are set aside by their counts; only finite values are searched.
+    """
     found: dict[tuple[int, int], float] = {}
     search = {}
     for i, rank in wanted:
-        _, lo, hi = ends[i]
-        if lo == hi:
+        n, n_below, n_above, lo, hi = ends[i]
+        if rank < n_below:
+            found[i, rank] = -math.inf
+        elif rank >= n - n_above:
+            found[i, rank] = math.inf
+        elif lo == hi:
             found[i, rank] = lo
         else:
-            search[i, rank] = (lo, hi, 0)
+            search[i, rank] = (lo, hi, n_below)
     while search:
         ranges = {key: n for n, key in enumerate({(i, lo, hi) for (i, _), (lo, hi, _) in search.items()})}
         slots = []
         for (i, lo, hi), n in ranges.items():
-            v, width = F.col(f"v{i}"), (hi - lo) / BINS
-            slot = F.least(F.lit(BINS - 1.0), F.floor((v - lo) / F.lit(width)).cast("double")) if width > 0 else v
+            v, width = F.col(f"v{i}"), hi / BINS - lo / BINS  # the whole range may be beyond a double
+            slot = F.least(F.lit(BINS - 1.0), F.floor(v / F.lit(width) - F.lit(lo / width)).cast("double")) if width > 0 else v
             inside = (v >= lo) & (v <= hi)
             slots.append(F.when(inside, F.struct(F.lit(n).alias("range"), slot.alias("bin"), v.alias("v"))))
         bins = (
@@ -63,6 +85,8 @@ def _at_ranks(values: DataFrame, ends: list[tuple[int, float, float]], wanted: s
                 below += b["n"]
             else:
                 raise ValueError("values changed between passes; write them first")
+            if (b["lo"], b["hi"]) == (lo, hi):
+                raise ValueError("the search for a rank does not narrow")
             if b["lo"] == b["hi"]:
                 found[i, rank] = b["lo"]
                 del search[i, rank]
@@ -74,18 +98,20 @@ def _at_ranks(values: DataFrame, ends: list[tuple[int, float, float]], wanted: s
 def exact_percentiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float | None]:
     """For each column and share, linear interpolation between the two ranks around it.
 
-    Null and NaN are left out; a column without values gives None.
+    Null and NaN are left out, infinities count; a column without values gives None. Between
+    two values whose difference is beyond a double the result is infinite, between the two
+    infinities it is NaN.
     """
     columns = list(wanted)
     values = _numbers(df, columns)
     ends = _ends(values, len(columns))
-    places = {(i, s): (ends[i][0] - 1) * s for i, c in enumerate(columns) for s in wanted[c] if ends[i][0]}
+    places = {(i, s): (ends[i].n - 1) * s for i, c in enumerate(columns) for s in wanted[c] if ends[i].n}
     ranks = {(i, r) for (i, _), p in places.items() for r in (math.floor(p), math.ceil(p))}
     found = _at_ranks(values, ends, ranks)
     out: dict[tuple[str, float], float | None] = {(c, s): None for c in columns for s in wanted[c]}
     for (i, s), p in places.items():
-        low, high = found[i, math.floor(p)], found[i, math.ceil(p)]
-        out[columns[i], s] = low + (high - low) * (p - math.floor(p))
+        low, high, part = found[i, math.floor(p)], found[i, math.ceil(p)], p - math.floor(p)
+        out[columns[i], s] = low if low == high or not part else low + (high - low) * part
     return out
 
 
@@ -97,7 +123,7 @@ def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
     """The value with ``rank`` values before it in ascending order, None beyond the end."""
     values = _numbers(df, [column])
     ends = _ends(values, 1)
-    if not 0 <= rank < ends[0][0]:
+    if not 0 <= rank < ends[0].n:
         return None
     return _at_ranks(values, ends, {(0, rank)})[0, rank]
 
