@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from authscope.llm.text import shingle_hashes, slices, text_buffer, word_hashes, word_spans
+from authscope.llm.text import mix, shingle_hashes, slices, text_buffer, word_hashes, word_spans
 from authscope.session import cut_lineage, shuffle_width
 
 SEED_WORDS = 8
@@ -37,6 +37,19 @@ def minimizers(seeds: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, window, np.maximum) == seeds)
 
 
+def _numbered(seeds: np.ndarray) -> np.ndarray:
+    """Seeds of one document, the second occurrence of a seed told from the first, and so on."""
+    order = np.argsort(seeds, kind="stable")
+    ordered = seeds[order]
+    new = np.ones(len(seeds), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if new.all():
+        return seeds
+    nth = np.empty(len(seeds), np.uint64)
+    nth[order] = np.arange(len(seeds)) - np.maximum.accumulate(np.where(new, np.arange(len(seeds)), 0))
+    return np.where(nth > 0, mix(seeds + nth), seeds)
+
+
 def _seeds(batches, k: int, window: int):
     for piece in slices(batches):
         words, first = word_hashes(piece.column("text"))
@@ -44,7 +57,7 @@ def _seeds(batches, k: int, window: int):
         for a, b in zip(first[:-1], first[1:]):
             s = shingle_hashes(words[a:b], k) if b - a >= k else words[:0]
             at = minimizers(s, window)
-            found.append(s[at])
+            found.append(_numbered(s[at]))
             places.append(at)
         keys = piece.column("key").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
         yield pa.RecordBatch.from_arrays(
@@ -295,7 +308,7 @@ def repeated_passages(
     Seeds are ``k``-word windows, thinned to the least one in any ``window`` of them, so two
     equal stretches of k + 2 * window words or more share at least two. A seed is joined with its
     occurrence in the lowest document alone, so a passage in n documents gives n - 1 matches a
-    seed and not all pairs. The matches of two documents are chained with gap costs; chains
+    seed and not all pairs; the second one in a document meets the second one there, and so on. The matches of two documents are chained with gap costs; chains
     are aligned word by word within a margin around them.
 
     Rows with equal keys are taken as one document. A row with a null key is not searched. A
@@ -306,7 +319,8 @@ def repeated_passages(
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     seeds = cut_lineage(rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int"))
     first = seeds.groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
-    matches = seeds.join(first, "seed").where("key > ref").select("key", "ref", F.col("at").alias("x"), "y")
+    first = cut_lineage(first)  # apart from the join, which can then part the rows of a frequent seed
+    matches = seeds.join(first.hint("merge"), "seed").where("key > ref").select("key", "ref", F.col("at").alias("x"), "y")
     width = shuffle_width(docs.sparkSession)
     chained = cut_lineage(
         matches.repartition(width, "key", "ref")
@@ -321,7 +335,7 @@ def repeated_passages(
     )
     asked = chained.select(F.col("key").alias("owner"), "ref", F.col("lo").alias("own_lo"), "rlo", "xs", "ys", both)
     parts = (
-        rows.join(asked, rows["key"] == asked["of"])
+        rows.join(asked.hint("merge"), rows["key"] == asked["of"])
         .select("key", "text", "owner", "ref", "own_lo", "rlo", F.when(F.col("role") == 1, F.col("xs")).alias("xs"), F.when(F.col("role") == 1, F.col("ys")).alias("ys"), "role", F.col("from").alias("lo"), F.col("to").alias("hi"))
         .mapInArrow(_cut_out, "owner long, ref long, own_lo long, rlo long, xs binary, ys binary, role int, lo long, hi long, words binary")
         .select("owner", "ref", F.col("own_lo").alias("lo"), "rlo", "role", "xs", "ys", "words")
@@ -367,6 +381,6 @@ def cut_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text
     rest = [n for n in docs.columns if n != text]
     # Other columns travel in one struct, so that none can clash with the names used here.
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"), F.struct(*rest).alias("rest"))
-    held = rows.join(spans, rows["_id"] == spans["_key"], "left").select("rest", "spans", "text")
+    held = rows.join(spans.hint("merge"), rows["_id"] == spans["_key"], "left").select("rest", "spans", "text")
     cut = held.mapInArrow(_without, f"rest {rows.schema['rest'].dataType.simpleString()}, text string")
     return cut.select(*(F.col("text").alias(text) if n == text else F.col(f"rest.`{n}`").alias(n) for n in docs.columns))
