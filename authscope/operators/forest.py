@@ -5,7 +5,7 @@ Two ways to grow, chosen by the size of a tree's sample:
 * up to ``GROUP_ROWS`` rows per tree (the default of 256 is far below): the samples are
   partitioned by tree and each is grown in its own group. The whole forest is one job, and
   no group holds more than a tree's sample.
-* larger samples: each level aggregates ``(tree, node)`` with map-side combine and sends
+* larger samples are drawn by the same rule; each level aggregates ``(tree, node)`` with map-side combine and sends
   the chosen splits back to the rows; a node is left alone once it is small, and all small
   nodes are finished together by the first way.
 
@@ -33,9 +33,9 @@ from authscope.schemas import AUTO_SAMPLE, DEFAULT_SEED, DEFAULT_TREES
 from authscope.session import cut_lineage, shuffle_width, spread
 
 GROUP_ROWS = 65536
-POOL_ROWS = 65536
 BROADCAST_NODES = 4_000_000
 LEVELS_PER_WRITE = 4
+CUT_BINS = 2048
 ROWS_PER_TASK = 20_000
 PRIME = 2147483647  # 2 ** 31 - 1
 EULER = 0.5772156649015329
@@ -127,43 +127,76 @@ def _tasks(rows: int, df: DataFrame) -> int:
     return min(shuffle_width(df.sparkSession), max(8, rows // ROWS_PER_TASK))
 
 
-def _tree_samples(rows: DataFrame, total: int, samples: Sequence[int], trees: int, seed: int, pool: int) -> DataFrame:
-    """A sample per tree, uniform without replacement, of the size its group asks for.
+def _tree_samples(rows: DataFrame, total: int, samples: Sequence[int], trees: int, seed: int, group_rows: int) -> DataFrame:
+    """A sample per tree without replacement: the rows first by (draw, key), as many as its group asks for.
 
-    One digest per input row picks a common pool of bounded size; each tree then takes its
-    smallest draws from it. Up to ``pool`` input rows the pool is the whole input.
+    One narrow pass emits a row for those trees alone where its draw is low enough to count.
+    Up to ``group_rows`` rows a tree, a tree's few candidates are ranked in one task; beyond
+    that its cut is searched for by counts. Either way the rows are the same.
     """
-    pool = max(pool, 16 * max(samples))
-    if total > pool:
-        rows = rows.where(uniform(seed, "pool", "_key") < F.lit(pool / total))
-    held = min(pool, total)
-    likely = [int(min(1.0, (4 * s + 64) / held) * PRIME) + 1 for s in samples]
+    likely = [int(min(1.0, (4 * s + 64) / total) * PRIME) + 1 for s in samples]
+    drawn = _per_tree(rows, seed, trees, len(samples)).where(f"draw < {_by_group(likely, trees)}")
+    if max(samples) <= group_rows:
+        first = _first_by_rank(drawn.repartition(_tasks(trees * sum(4 * s + 64 for s in samples), rows), "tree"), samples, trees)
+    else:
+        first = _first_by_cut(cut_lineage(drawn), samples, trees, max(likely))
+    return first.drop("draw", "_key").withColumn("root", F.lit(0).cast("long"))
+
+
+def _first_by_rank(drawn: DataFrame, samples: Sequence[int], trees: int) -> DataFrame:
     order = W.partitionBy("tree").orderBy("draw", "_key")
-    # Both shuffles move a bounded number of rows; given widths keep them from being coalesced.
-    spread_out = rows.repartition(_tasks(held * trees * len(samples) // 20, rows), "_key")
-    return (
-        _per_tree(spread_out, seed, trees, len(samples))
-        .where(f"draw < {_by_group(likely, trees)}")
-        .repartition(_tasks(trees * sum(samples), rows), "tree")
-        .withColumn("_rank", F.row_number().over(order))
-        .where(f"_rank <= {_by_group(samples, trees)}")
-        .drop("_rank", "draw", "_key")
-        .withColumn("root", F.lit(0).cast("long"))
-    )
+    return drawn.withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {_by_group(samples, trees)}").drop("_rank")
 
 
-def _split_sql(seed: int, width: int) -> tuple[str, str]:
+def _first_by_cut(drawn: DataFrame, samples: Sequence[int], trees: int, span: int) -> DataFrame:
+    """The same rows by the exact draw at which each tree's sample is full.
+
+    Every pass counts ``CUT_BINS`` ranges of draws for all trees and goes on in the range that
+    holds the cut; only rows tied at it are ranked.
+    """
+    wanted = {t: samples[t // trees] for t in range(trees * len(samples))}
+    at = {t: (0, span, 0) for t in wanted}  # first draw of the range, its width, rows before it
+    while max(width for _, width, _ in at.values()) > 1:
+        step = -(-max(width for _, width, _ in at.values()) // CUT_BINS)
+        low = f"get(array({', '.join(f'{at[t][0]}L' for t in sorted(at))}), tree)"
+        counts = (
+            drawn.withColumn("_bin", F.expr(f"(draw - {low}) div {step}"))
+            .where(f"draw >= {low} AND _bin < {CUT_BINS}")
+            .groupBy("tree", "_bin")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .collect()
+        )  # trees x bins
+        by_tree: dict[int, list] = {t: [] for t in at}
+        for r in counts:
+            by_tree[r["tree"]].append((r["_bin"], r["n"]))
+        for t, (first, _, before) in list(at.items()):
+            for n_bin, n in sorted(by_tree[t]):
+                if before + n >= wanted[t]:
+                    break
+                before += n
+            else:
+                raise ValueError(f"tree {t} has {before} rows to draw from, not {wanted[t]}: do rows share their keys?")
+            at[t] = (first + n_bin * step, step, before)
+    cut = f"get(array({', '.join(f'{at[t][0]}L' for t in sorted(at))}), tree)"
+    left = f"get(array({', '.join(str(wanted[t] - at[t][2]) for t in sorted(at))}), tree)"
+    tied = drawn.where(f"draw = {cut}").withColumn("_rank", F.row_number().over(W.partitionBy("tree").orderBy("_key")))
+    return drawn.where(f"draw < {cut}").unionByName(tied.where(f"_rank <= {left}").drop("_rank"))
+
+
+def _split_sql(seed: int, width: int, trees: int) -> tuple[str, str]:
     """Split of a node as SQL over lo*, hi*, size and depth.
 
     The feature is a random one among those that are not constant in the node, -1 if there
-    is none or the node may not be split; the threshold is a random value in its range.
+    is none or the node may not be split; the threshold is a random value in its range. A
+    tree's draws are those of its number within its forest, ``trees`` to a forest.
     """
+    own = f"tree % {trees}"
     usable = "array_compact(array(" + ", ".join(f"if(hi{i} > lo{i}, {i}, null)" for i in range(width)) + "))"
-    pick = f"cast(floor({uniform_sql(seed, 'feature', 'tree', 'node')} * size({usable})) as int)"
+    pick = f"cast(floor({uniform_sql(seed, 'feature', own, 'node')} * size({usable})) as int)"
     feature = f"coalesce(if(size > 1 and depth < {{limit}}, get({usable}, {pick}), -1), -1)"
     lows = "array(" + ", ".join(f"lo{i}" for i in range(width)) + ")"
     highs = "array(" + ", ".join(f"hi{i}" for i in range(width)) + ")"
-    u = uniform_sql(seed, "threshold", "tree", "node")
+    u = uniform_sql(seed, "threshold", own, "node")
     threshold = f"get({lows}, feature) + {u} * (get({highs}, feature) - get({lows}, feature))"
     return feature, threshold
 
@@ -176,11 +209,14 @@ def _value_sql(width: int) -> str:
     return f"get(array({', '.join(_names(width))}), feature)"
 
 
-def _subtree(tree: int, root: int, x: np.ndarray, limit: int, seed: int) -> pd.DataFrame:
-    """Nodes below ``root`` for the rows of one group, level by level."""
+def _subtree(tree: int, own: int, root: int, x: np.ndarray, limit: int, seed: int) -> pd.DataFrame:
+    """Nodes below ``root`` for the rows of one group, level by level.
+
+    ``own`` is the tree's number within its forest, which keys its draws.
+    """
 
     def draw(purpose: str, node: int) -> float:
-        return int(hashlib.md5(f"{seed}:{purpose}:{tree}:{node}".encode()).hexdigest()[:8], 16) / SPAN
+        return int(hashlib.md5(f"{seed}:{purpose}:{own}:{node}".encode()).hexdigest()[:8], 16) / SPAN
 
     met = []
     depth = (root + 1).bit_length() - 1
@@ -217,7 +253,7 @@ def _grow(rows: DataFrame, width: int, limits: Sequence[int], trees: int, seed:
 
     def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tree, root = int(key[0]), int(key[1])
-        return _subtree(tree, root, group[cols].to_numpy(dtype=np.float64), limits[tree // trees], seed)
+        return _subtree(tree, tree % trees, root, group[cols].to_numpy(dtype=np.float64), limits[tree // trees], seed)
 
     schema = "tree int, node long, depth int, feature int, threshold double, size long"
     return (
@@ -238,7 +274,7 @@ def _grow_large(
     """Level by level for nodes above ``group_rows`` rows, then the rest as groups."""
     limit, levels = _by_group(limits, trees), max(limits)
     cols = _names(width)
-    feature, threshold = _split_sql(seed, width)
+    feature, threshold = _split_sql(seed, width, trees)
     beyond = (F.expr(_value_sql(width)) > F.col("threshold")).cast("long")
     rows = rows.withColumns(
         {"node": F.lit(0).cast("long"), "depth": F.lit(0), "state": F.lit("open")}
@@ -320,6 +356,15 @@ def check_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df
 
 
+def _check_roots(nodes: DataFrame, samples: Sequence[int], trees: int) -> None:
+    """Every tree must have been grown on exactly its sample."""
+    size = F.expr(_by_group(samples, trees))
+    short = nodes.where((F.col("node") == 0) & (F.col("size") != size)).count()
+    grown = nodes.where(F.col("node") == 0).count()
+    if short or grown != trees * len(samples):
+        raise ValueError(f"{short + trees * len(samples) - grown} trees lack rows: do rows share their keys?")
+
+
 def fit_forests(
     df: DataFrame,
     columns: Sequence[str],
@@ -328,7 +373,6 @@ def fit_forests(
     sizes: Sequence[str | int | float],
     seed: int = DEFAULT_SEED,
     scaler: Scaler | None = None,
-    pool_rows: int = POOL_ROWS,
     group_rows: int = GROUP_ROWS,
 ) -> list[Forest]:
     """One forest per sample size, grown together in the same jobs."""
@@ -340,16 +384,13 @@ def fit_forests(
     rows = df.select(
         key_text(*key).alias("_key"), *[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)]
     )
+    rows = _tree_samples(spread(rows), total, samples, n_estimators, seed, group_rows)
     if max(samples) <= group_rows:
-        rows = _tree_samples(rows, total, samples, n_estimators, seed, pool_rows)
         nodes = _grow(rows, width, limits, n_estimators, seed)
     else:
-        # Every row takes part in a tree with the share's probability.
-        shares = [m if isinstance(m, float) else s / total for m, s in zip(sizes, samples)]
-        rows = _per_tree(spread(rows), seed, n_estimators, len(sizes))
-        rows = rows.where(f"draw < {_by_group([int(s * PRIME) for s in shares], n_estimators)}")
-        nodes = _grow_large(rows.drop("draw", "_key"), width, limits, n_estimators, seed, group_rows)
+        nodes = _grow_large(rows, width, limits, n_estimators, seed, group_rows)
     nodes = cut_lineage(nodes)
+    _check_roots(nodes, samples, n_estimators)
     out = []
     for g, (sample, depth) in enumerate(zip(samples, limits)):
         own = nodes.where((F.col("tree") >= g * n_estimators) & (F.col("tree") < (g + 1) * n_estimators))
@@ -366,14 +407,13 @@ def fit_forest(
     max_samples: str | int | float = "auto",
     seed: int = DEFAULT_SEED,
     scaler: Scaler | None = None,
-    pool_rows: int = POOL_ROWS,
     group_rows: int = GROUP_ROWS,
 ) -> Forest:
     """Fit on the rows of ``df``. ``key`` names a row; rows that share it share their draws.
 
     The scaler is fitted on the same rows unless one is given.
     """
-    return fit_forests(df, columns, key, n_estimators, [max_samples], seed, scaler, pool_rows, group_rows)[0]
+    return fit_forests(df, columns, key, n_estimators, [max_samples], seed, scaler, group_rows)[0]
 
 
 def node_paths(forest: Forest) -> DataFrame:

@@ -180,7 +180,7 @@ def forest_ctes(source: str, width: int, trees: int, sample: int, depth: int, wh
               ('0x' || substr(md5('{seed}:mul:' || t), 1, 8))::BIGINT % {prime - 1} + 1 AS a,
               ('0x' || substr(md5('{seed}:add:' || t), 1, 8))::BIGINT % {prime} AS b FROM range({trees}) r(t))""",
         f"""fitted AS (SELECT *, ('0x' || substr(md5('{seed}:row:' || k), 1, 8))::BIGINT % {prime} AS x FROM {source}
-              WHERE {where} AND {draw(f"'{seed}:pool:' || k")} < 65536.0 / n_rows)""",
+              WHERE {where})""",
         f"""ranked AS (SELECT tree, {", ".join(fs)},
               row_number() OVER (PARTITION BY tree ORDER BY (a * x + b) % {prime}, k) AS rnk FROM fitted, trees)""",
         f"l0 AS (SELECT tree, 0::BIGINT AS node, {', '.join(fs)} FROM ranked WHERE rnk <= {sample})",
@@ -575,7 +575,8 @@ def grid_sql(trees: int, prefixes: tuple[int, ...], shares: tuple[float, ...], l
     usable = ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(4))
     ends = ", ".join(f"min({f}) OVER w AS lo{i}, max({f}) OVER w AS hi{i}" for i, f in enumerate(fs))
     lo, hi = "[lo0, lo1, lo2, lo3][feature + 1]", "[hi0, hi1, hi2, hi3][feature + 1]"
-    uf, ut = draw("'42:feature:' || tree || ':' || node"), draw("'42:threshold:' || tree || ':' || node")
+    own = f"(tree % {trees})"  # a tree's draws are those of its number within its forest
+    uf, ut = draw(f"'42:feature:' || {own} || ':' || node"), draw(f"'42:threshold:' || {own} || ':' || node")
     for d in range(levels + 1):
         out += [
             f"s{d} AS (SELECT *, {ends}, count(*) OVER w AS size FROM l{d} WINDOW w AS (PARTITION BY tree, node))",

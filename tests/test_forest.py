@@ -112,10 +112,29 @@ def test_missing_numbers_count_as_zero(spark):
     assert s == 1
 
 
-def test_pool_is_bounded(spark):
-    df = spark.range(20000).select("id", (F.col("id") % 100).cast("double").alias("a"))
-    f = fo.fit_forest(df, ["a"], ["id"], 5, 16, pool_rows=500)
-    assert (f.nodes.where("node = 0").toPandas()["size"] == 16).all()
+def test_large_samples_are_drawn_by_the_same_rule(spark):
+    """More rows than one task ranks: exact sizes, and the same trees alone or in a joint fit."""
+    df = spark.range(3000).select("id", (F.col("id") % 100).cast("double").alias("a"))
+    alone = fo.fit_forest(df, ["a"], ["id"], 3, 0.2)
+    joint, whole = fo.fit_forests(df, ["a"], ["id"], 3, [0.2, 0.7], group_rows=100)
+    ranked = fo.fit_forest(df, ["a"], ["id"], 3, 0.7)
+    assert nodes(alone) == nodes(joint) and nodes(whole) == nodes(ranked)
+    for f, size in ((joint, 600), (whole, 2100)):
+        assert (f.nodes.where("node = 0").toPandas()["size"] == size).all()
+
+
+def test_draws_beyond_the_former_pool(spark):
+    """Every row can enter a tree, whatever their number."""
+    df = spark.range(150_000).select("id", F.col("id").cast("double").alias("a"))
+    f = fo.fit_forest(df, ["a"], ["id"], 20, 70_000, group_rows=1000)
+    t = f.nodes.where("node = 0").toPandas()
+    assert len(t) == 20 and (t["size"] == 70_000).all()
+
+
+def test_rows_that_share_keys_cannot_fill_a_tree(spark):
+    same = spark.range(5000).select(F.lit(1).alias("id"), F.col("id").cast("double").alias("a"))
+    with pytest.raises(ValueError, match="share their keys"):
+        fo.fit_forest(same, ["a"], ["id"], 3, 16)
 
 
 def test_sample_size():
