@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 
@@ -29,10 +30,11 @@ class WordIds(dict):
     """Ids of a chunk of text between white space, as little-endian 32-bit integers.
 
     The tokenizer folds white space and lets no token cross it, so a text's ids are those of
-    its chunks. Chunks seen lately are kept; the number kept bounds the memory.
+    its chunks. Chunks seen lately are kept in two generations: when the newer one is full it
+    becomes the older one, and what is met again moves on. Their size bounds the memory.
     """
 
-    KEPT = 250_000
+    KEPT = 200_000
     #: How the tokenizer parts a chunk (fixed by its file); it works on lower case.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Blanks for Python that are symbols for the tokenizer.
@@ -43,7 +45,9 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in own]
         #: The visible character that stands for each byte in the vocabulary.
@@ -55,22 +59,30 @@ class WordIds(dict):
     def _part(self, part: str) -> bytes:
         known = self.parts.get(part)
         if known is None:
-            shown = "".join(map(self.shown.__getitem__, part.encode()))
-            known = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            known = self.older_parts.get(part)
+            if known is None:
+                shown = "".join(map(self.shown.__getitem__, part.encode()))
+                ids = [t.id for t in self.model.tokenize(shown)]
+                known = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.parts) >= self.KEPT:
-                self.parts.clear()
+                self.parts, self.older_parts = {}, self.parts
             self.parts[part] = known
         return known
 
     def __missing__(self, chunk: str) -> bytes:
-        # Below U+0100 normalisation changes nothing and lower case is plain; special tokens
-        # and everything else go through the tokenizer as they are.
-        if max(chunk) < "Ā" and "<|" not in chunk:
-            ids = b"".join(map(self._part, self.PARTS.findall(chunk.lower())))
-        else:
-            ids = self._whole(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            # Below U+0100 normalisation changes nothing and lower case is plain; special tokens
+            # and everything else go through the tokenizer as they are.
+            if max(chunk) >= "Ā" or "<|" in chunk:
+                ids = self._whole(chunk)
+            elif chunk.isalpha():
+                ids = self._part(chunk.lower())
+            else:
+                ids = b"".join(map(self._part, self.PARTS.findall(chunk.lower())))
         if len(chunk) <= 64:
             if len(self) >= self.KEPT:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
