@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from authscope.functions.durations import duration_seconds
 from authscope.functions.scalars import flag, floor_time, ratio, success_after_fail
 from authscope.schemas import DEFAULT_MIN_FAIL, DEFAULT_WINDOW
+from authscope.session import cut_lineage
 
-# One bit per counted column, so that one bit_or tells which columns hold any value.
+# One bit per counted column, so that one number tells which columns hold any value.
 DIMENSIONS = {"user": 1, "app": 2, "user_agent": 4, "country": 8}
 DISTINCT_NAMES = {"user": "n_users", "app": "n_apps", "user_agent": "n_user_agents", "country": "n_countries"}
 
@@ -35,22 +36,13 @@ def stack_values(logs: DataFrame, keys: list[str], time: dict[str, Column]) -> D
     )
 
 
-def _filled_columns(logs: DataFrame) -> Column:
-    """Bits of the counted columns that hold a value somewhere in the input.
-
-    Each column is asked for one row with a value, so a task stops at the first it meets.
-    """
-    known, found = 0, None
-    for field in logs.schema:
-        bit = DIMENSIONS.get(field.name)
-        if bit and not field.nullable:
-            known |= bit
-        elif bit:
-            one = logs.where(F.col(field.name).isNotNull()).select(F.lit(bit).alias("bit")).limit(1)
-            found = one if found is None else found.unionAll(one)
-    if found is None:
-        return F.lit(known)
-    return found.agg((F.coalesce(F.sum("bit"), F.lit(0)) + F.lit(known)).alias("bits")).scalar()
+def _filled_columns(counts: DataFrame) -> Column:
+    """Bits of the counted columns that hold a value in some window, from the aggregated windows."""
+    bits = [F.when(F.max(DISTINCT_NAMES[c]) > 0, bit).otherwise(0) for c, bit in DIMENSIONS.items()]
+    total = bits[0]
+    for bit in bits[1:]:
+        total = total + bit
+    return counts.agg(total.alias("bits")).scalar()
 
 
 def window_features(
@@ -68,14 +60,17 @@ def window_features(
     adds up those groups, again with a map-side part. Distinct counts and entropy come
     from the same rows as the plain counts.
 
-    A counted column without any value in the whole input gives 1 in every window; looking
-    for one value per column costs next to nothing unless a column really is empty.
+    A counted column without any value in the whole input gives 1 in every window. Whether it
+    has one is read off the aggregated windows, which are written once for that; the log is
+    scanned once.
     """
     if approx_distinct:
         return _approx_features(logs, window, by_app, min_fail)
     keys = group_keys(by_app)
     counts = count_values(_stacked(logs, keys, window), keys, ["win"])
-    counts = sum_values(counts, keys, ["win"]).withColumn("bits", _filled_columns(logs))
+    counts = cut_lineage(sum_values(counts, keys, ["win"], named=False))
+    # Rows without a source have no window of their own, but their values count as present.
+    counts = counts.withColumn("bits", _filled_columns(counts)).dropna(subset=keys)
     distinct = {
         DISTINCT_NAMES[c]: F.when(F.col("bits").bitwiseAND(F.lit(bit)) != 0, F.col(DISTINCT_NAMES[c])).otherwise(1)
         for c, bit in DIMENSIONS.items()
@@ -90,23 +85,24 @@ def count_values(stacked: DataFrame, keys: list[str], time: list[str]) -> DataFr
     )
 
 
-def sum_values(values: DataFrame, keys: list[str], time: list[str]) -> DataFrame:
-    """All counts of a source and window from its counted values."""
+def sum_values(values: DataFrame, keys: list[str], time: list[str], named: bool = True) -> DataFrame:
+    """All counts of a source and window from its counted values, of sources with a name or of all."""
+    if named:
+        values = values.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     first = F.col("dim") == DIMENSIONS["user"]
-    named = F.col("val").isNotNull()
+    given = F.col("val").isNotNull()
     sums = (
-        values.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-        .groupBy(*keys, *time)
+        values.groupBy(*keys, *time)
         .agg(
             F.sum(F.when(first, F.col("c"))).alias("n_attempts"),
             F.sum(F.when(first, F.col("f"))).alias("n_fail"),
             F.sum(F.when(first, F.col("s"))).alias("n_success"),
             *[
-                F.count_if((F.col("dim") == bit) & named).alias(DISTINCT_NAMES[c])
+                F.count_if((F.col("dim") == bit) & given).alias(DISTINCT_NAMES[c])
                 for c, bit in DIMENSIONS.items()
             ],
-            F.sum(F.when(first & named, F.col("c"))).alias("u_total"),
-            F.sum(F.when(first & named, F.col("c") * F.log2(F.col("c")))).alias("u_weighted"),
+            F.sum(F.when(first & given, F.col("c"))).alias("u_total"),
+            F.sum(F.when(first & given, F.col("c") * F.log2(F.col("c")))).alias("u_weighted"),
         )
     )
     spread = F.log2("u_total") - F.col("u_weighted") / F.col("u_total")
@@ -116,7 +112,7 @@ def sum_values(values: DataFrame, keys: list[str], time: list[str]) -> DataFrame
 def _approx_features(logs: DataFrame, window: str, by_app: bool, min_fail: int) -> DataFrame:
     """Sketched distinct counts, for windows with very many distinct values.
 
-    One aggregate. Entropy has no sketch here and is left null.
+    Entropy is exact all the same: it takes counts by user, two plain aggregates.
     """
     keys = group_keys(by_app)
     present = [c for c in DIMENSIONS if c in logs.columns]
@@ -137,9 +133,12 @@ def _approx_features(logs: DataFrame, window: str, by_app: bool, min_fail: int)
             *[F.approx_count_distinct(c).alias(DISTINCT_NAMES[c]) for c in present],
             *[F.lit(1).cast("long").alias(n) for c, n in DISTINCT_NAMES.items() if c not in present],
         )
-        .withColumn("user_entropy", F.lit(None).cast("double"))
+        .withColumn("user_entropy", F.lit(0.0))
     )
-    return finish_features(counts, keys, window, min_fail)
+    found = finish_features(counts, keys, window, min_fail)
+    if "user" not in logs.columns:
+        return found
+    return attach_entropy(found, user_entropy(user_counts(logs, window, by_app), by_app), by_app).select(*found.columns)
 
 
 def finish_features(counts: DataFrame, keys: list[str], window: str, min_fail: int) -> DataFrame:

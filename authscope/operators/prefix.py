@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,15 +51,32 @@ def row_positions(df: DataFrame, order: Sequence[str | Column], name: str = "pos
 
 
 def running_totals(df: DataFrame, order: Sequence[str | Column], totals: Mapping[str, str]) -> DataFrame:
-    """Inclusive running sums: output name to summed column."""
-    ranged = _ranged(df, order)
-    sums = ranged.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in totals.items()])
+    """Inclusive running sums: output name to summed column. A null adds nothing.
+
+    One shuffle: each sorted range sums up its own rows before it is written, and the sums of
+    the ranges before it are added when it is read.
+    """
+    kinds = df.agg(*[F.sum(c).alias(n) for n, c in totals.items()]).schema
+    within = [f"_in_{n}" for n in totals]
+    summed = df.select("*", *[F.coalesce(F.col(c).cast(kinds[n].dataType), F.lit(0)).alias(w) for w, (n, c) in zip(within, totals.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = dict.fromkeys(within, 0)
+        for rows in batches:
+            for i, name in enumerate(rows.schema.names):
+                if name in before and rows.num_rows:
+                    sums = list(accumulate(rows.column(i).to_pylist(), initial=before[name]))[1:]
+                    before[name] = sums[-1]
+                    rows = rows.set_column(i, rows.schema.field(i), pa.array(sums, rows.column(i).type))
+            yield rows
+
+    ranged = summed.repartitionByRange(pieces(df), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged.mapInArrow(run, ranged.schema))
+    sums = ranged.groupBy("_part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in totals.items()])
     starts = _starts(sums, list(totals))
-    within = W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.withColumns({f"_in_{n}": F.sum(c).over(within) for n, c in totals.items()})
-    out = out.join(F.broadcast(starts), "_part")
-    return out.withColumns({n: F.col(f"_start_{n}") + F.col(f"_in_{n}") for n in totals}).drop(
-        "_id", "_part", *[f"_start_{n}" for n in totals], *[f"_in_{n}" for n in totals]
+    out = ranged.join(F.broadcast(starts), "_part")
+    return out.withColumns({n: F.col(f"_start_{n}") + F.col(w) for w, n in zip(within, totals)}).drop(
+        "_part", *[f"_start_{n}" for n in totals], *within
     )
 
 

@@ -3,7 +3,8 @@
 The two chained aggregates of the batch form carry over: the first keeps state per source,
 window and counted value, the second per source and window, so a flooding source never
 gathers its users in one row of state. In append mode a window is emitted once the watermark
-has passed its end; later rows for it are dropped.
+has passed its end; later rows for it are dropped. ``finish_open`` adds the windows that are
+still open when a bounded replay ends.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from authscope.functions.durations import interval_text
+from authscope.functions.durations import duration_seconds, interval_text
 from authscope.operators.alerts import alert_table
 from authscope.operators.features import count_values, finish_features, group_keys, stack_values, sum_values
 from authscope.operators.forest import Forest, score_and_flag
@@ -41,6 +42,29 @@ def stream_features(
     return finish_features(sums.withColumn("win", F.col("win.start")), keys, window, min_fail)
 
 
+def finish_open(
+    closed: DataFrame,
+    logs: DataFrame,
+    window: str = DEFAULT_WINDOW,
+    delay: str = DEFAULT_DELAY,
+    by_app: bool = False,
+    min_fail: int = DEFAULT_MIN_FAIL,
+) -> DataFrame:
+    """All windows of a bounded replay: those the stream has closed, and those still open at its end.
+
+    The watermark stays ``delay`` behind the latest row, so the last windows never leave the
+    stream. Their rows, the tail behind the watermark, are aggregated the same way in a batch.
+    ``logs`` are the replayed rows as a table.
+    """
+    last = logs.agg(F.max(F.unix_micros("ts"))).first()[0]
+    if last is None:
+        return closed
+    mark = last - int(duration_seconds(delay) * 1_000_000)
+    rows = logs.withColumn("_end", F.window("ts", interval_text(window)).end)
+    tail = rows.where(F.unix_micros("_end") > F.lit(mark)).drop("_end")
+    return closed.unionByName(stream_features(tail, window, delay, by_app, min_fail))
+
+
 def stream_alerts(features: DataFrame, model: Forest, by_app: bool = False) -> DataFrame:
     """Score each closed window with a fitted model and keep the flagged ones. Stateless."""
     return alert_table(score_and_flag(features, model), group_keys(by_app))

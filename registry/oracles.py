@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from authscope.functions.draws import poisson_cdf
-
 ORACLES: dict[str, str] = {}
 
 LOGS = """logs AS (
@@ -73,6 +71,8 @@ ORACLES["features_10min"] = _features(600, 20, "src_ip")
 ORACLES["features_without_agent"] = f"""WITH {LOGS}
 SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, 1 AS n_user_agents, count(DISTINCT country) AS n_countries
 FROM logs GROUP BY 1, 2"""
+ORACLES["features_approx"] = f"""SELECT src_ip, ts, n_attempts, n_users, n_apps, n_user_agents, n_countries, user_entropy,
+       true AS within_error FROM ({_features(86400, 2, "src_ip")})"""
 ORACLES["user_entropy_join"] = f"""SELECT src_ip, ts, n_users, user_entropy FROM ({_features(86400, 20, "src_ip")})"""
 ORACLES["top_sources"] = f"""WITH {LOGS}
 SELECT src_ip, count(*) AS n_attempts, count(*) FILTER (WHERE result = 'fail') AS n_fail,
@@ -234,17 +234,17 @@ def score_ctes(source: str, key: str, width: int, trees: int, sample: int, depth
     return ",\n".join(out)
 
 
-SMALL = f"WITH {SCALED},\n" + forest_ctes("scaled", 4, 10, 64, 6, "label = 'BENIGN'")
-SMALL_SCORED = SMALL + ",\n" + score_ctes("scaled", KEY, 4, 10, 64, 6)
-ORACLES["forest_nodes_small"] = SMALL + """
+GROWN = f"WITH {SCALED},\n" + forest_ctes("scaled", 4, 100, 256, 8, "label = 'BENIGN'")
+SCORED = GROWN + ",\n" + score_ctes("scaled", KEY, 4, 100, 256, 8)
+ORACLES["forest_nodes"] = GROWN + """
 SELECT tree, node, depth, feature, round(threshold, 6) AS threshold, size, is_leaf FROM nodes"""
-ORACLES["forest_scores_small"] = SMALL_SCORED + f"""
+ORACLES["forest_scores"] = SCORED + f"""
 SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score FROM scores"""
-FLAGGED = SMALL_SCORED + f""",
+FLAGGED = SCORED + f""",
 cut AS (SELECT quantile_cont(anomaly_score, 0.9) AS c FROM scores JOIN flows USING ({KEY}) WHERE label = 'BENIGN'),
 flagged AS (SELECT {KEY}, label, anomaly_score, CAST(anomaly_score > c AS INTEGER) AS is_anomaly
             FROM scores JOIN flows USING ({KEY}), cut)"""
-ORACLES["forest_flags_small"] = FLAGGED + f"""
+ORACLES["forest_flags"] = FLAGGED + f"""
 SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"""
 
 
@@ -254,7 +254,7 @@ CLAMPED = "least(0.499, greatest(0.001, (SELECT avg(y) FROM rws WHERE tested)))"
 
 
 def model_ctes(
-    rows: str, key: str, columns: tuple[str, ...], share: str = CLAMPED, trees: int = 10, sample: int = 64, depth: int = 6
+    rows: str, key: str, columns: tuple[str, ...], share: str = CLAMPED, trees: int = 100, sample: int = 256, depth: int = 8
 ) -> str:
     """Scale, grow, score, cut and flag. ``rows`` selects key, columns, y, fitted and tested."""
     stats = ", ".join(
@@ -284,7 +284,7 @@ FEATURES = (
     "fail_rate", "attempts_per_min", "success_after_fail", "user_entropy",
 )
 ORACLES["detect_scores"] = f"""WITH {feature_ctes(86400, 2, "src_ip")},
-{model_ctes("SELECT * EXCLUDE (win), win AS ts, 0 AS y, true AS fitted, true AS tested FROM f", "src_ip, ts", FEATURES, "0.05")}
+{model_ctes("SELECT * EXCLUDE (win), win AS ts, 0 AS y, true AS fitted, true AS tested FROM f", "src_ip, ts", FEATURES, "0.05", 300)}
 SELECT src_ip, ts, n_attempts, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM flagged"""
 
 
@@ -302,7 +302,7 @@ FROM flagged WHERE is_anomaly = 1 {tail}"""
 
 
 ORACLES["detect_alerts"] = detect_alerts("src_ip", 300, "")
-ORACLES["detect_by_app"] = detect_alerts("src_ip, app", 100, "ORDER BY flagged.anomaly_score DESC, src_ip, app, ts LIMIT 20")
+ORACLES["detect_by_app"] = detect_alerts("src_ip, app", 300, "")
 
 RULE_WINDOWS = f"""WITH {feature_ctes(86400, 2, "src_ip")},
 rule AS (SELECT * EXCLUDE (win), win AS ts, n_fail + n_users / 8 AS anomaly_score FROM f WHERE n_fail * 4 >= n_attempts)"""
@@ -531,7 +531,7 @@ def one_class_ctes(nu: float, steps: int, features: int = 256, width: int = 64)
     return "WITH " + ", ".join(out)
 
 
-ORACLES["oneclass_rff"] = f"""{one_class_ctes(0.3, 20)}
+ORACLES["oneclass_rff"] = f"""{one_class_ctes(0.3, 40)}
 SELECT vec_id, y, round(c - margin, 6) AS anomaly_score, CAST(c - margin > 0 AS INTEGER) AS is_anomaly FROM m, cut"""
 
 
@@ -613,75 +613,6 @@ SELECT 'IsolationForest' AS model, CAST(p AS INTEGER) AS n_estimators, {shares_s
 
 ORACLES["grid_forest"] = grid_sql(6, (2, 4, 6), (0.5, 0.8, 1.0), 18)
 
-# --- generated logs ----------------------------------------------------------------------
-
-U = "('0x' || substr(md5('42:{what}:' || {place}), 1, 8))::BIGINT / 4294967296.0"
-
-
-def _u(what: str) -> str:
-    return "(" + U.format(what=what, place="minute || ':' || i") + ")"
-
-
-def _count(what: str, mean: float) -> str:
-    u = "(" + U.format(what=f"{what}-count", place="minute") + ")"
-    return f"len(list_filter({poisson_cdf(mean)}::DOUBLE[], lambda p: p <= {u}))"
-
-
-def _among(u: str, values: tuple[str, ...], shares: tuple[float, ...]) -> str:
-    total, whens = 0.0, ""
-    for v, s in list(zip(values, shares))[:-1]:
-        total += s
-        whens += f" WHEN {u} < {total!r} THEN '{v}'"
-    return f"(CASE{whens} ELSE '{values[-1]}' END)"
-
-
-def _events(name: str, count: str, where: str) -> str:
-    start = "epoch(TIMESTAMP '2026-02-01 08:00:00')"
-    return f"""{name}_n AS (SELECT minute, {count} AS n FROM slots WHERE {where}),
-{name}_e AS (SELECT minute, unnest(range(1, n + 1)) AS i FROM {name}_n WHERE n > 0),
-{name} AS (SELECT minute, i, to_timestamp({start} + minute * 60 + floor({_u(name + "-second")} * 60))::TIMESTAMP AS ts FROM {name}_e)"""
-
-
-def _users(name: str, n: int) -> str:
-    u = "(" + U.format(what=f"{name}-users", place="id") + ")"
-    return f"""{name}_u AS (SELECT row_number() OVER (ORDER BY {u}, id) - 1 AS place, printf('user%04d', id) AS "user"
-  FROM range((SELECT count(*) FROM customer)) r(id) ORDER BY {u}, id LIMIT {n})"""
-
-
-_APPS = ("SSO", "VPN", "MAIL")
-_IP = "'198.51.100.' || CAST(floor({u} * (SELECT count(*) FROM supplier)) + 1 AS BIGINT)"
-_HOUR = "(floor((epoch(TIMESTAMP '2026-02-01 08:00:00') + minute * 60) / 3600) % 24)"
-GENERATED = f"""WITH slots AS (SELECT event_id AS minute FROM events),
-{_events("normal", f"CASE WHEN {_HOUR} BETWEEN 9 AND 18 THEN {_count('normal', 10)} ELSE {_count('normal', 4)} END", "true")},
-{_events("spray", _count("spray", 18), "minute >= 200 AND minute < 245")},
-{_events("brute", _count("brute", 55), "minute >= 370 AND minute < 390")},
-{_events("outage", _count("outage", 35), "minute >= 540 AND minute < 565")},
-{_users("spray", 140)}, {_users("brute", 1)}, {_users("outage", 60)},
-normal_a AS (SELECT *, {_among(_u("normal-app"), _APPS, (0.65, 0.2, 0.15))} AS app FROM normal),
-normal_f AS (SELECT *, {_u("normal-fail")} < CASE app WHEN 'SSO' THEN 0.06 WHEN 'VPN' THEN 0.10 ELSE 0.04 END AS failed FROM normal_a),
-spray_f AS (SELECT *, {_u("spray-success")} < 0.012 AS good,
-   CAST(floor({_u("spray-user")} * least(140, (SELECT count(*) FROM customer))) AS BIGINT) AS place FROM spray),
-outage_f AS (SELECT *, CAST(floor({_u("outage-user")} * least(60, (SELECT count(*) FROM customer))) AS BIGINT) AS place FROM outage),
-made AS (
-  SELECT ts, printf('user%04d', CAST(floor({_u("normal-user")} * (SELECT count(*) FROM customer)) AS BIGINT)) AS "user",
-    {_IP.format(u=_u("normal-source"))} AS src_ip, app, CASE WHEN failed THEN 'fail' ELSE 'success' END AS result,
-    CASE WHEN failed THEN {_among(_u("normal-reason"), ("bad_password", "mfa_required", "user_typo"), (0.75, 0.05, 0.20))} ELSE 'ok' END AS reason,
-    {_among(_u("normal-agent"), ("Chrome", "Firefox", "Edge", "MobileSafari", "python-requests", "curl"), (0.35, 0.25, 0.2, 0.1, 0.07, 0.03))} AS user_agent,
-    {_among(_u("normal-country"), ("FR", "DE", "ES", "GB", "US", "NL"), (0.45, 0.2, 0.08, 0.1, 0.12, 0.05))} AS country, 'normal' AS scenario
-  FROM normal_f
-  UNION ALL SELECT ts, "user", '203.0.113.50', {_among(_u("spray-app"), _APPS, (0.85, 0.1, 0.05))},
-    CASE WHEN good THEN 'success' ELSE 'fail' END, CASE WHEN good THEN 'ok' ELSE 'bad_password' END, 'python-requests', 'US', 'spray'
-  FROM spray_f JOIN spray_u USING (place)
-  UNION ALL SELECT ts, "user", '203.0.113.99', {_among(_u("brute-app"), _APPS, (0.7, 0.2, 0.1))}, 'fail', 'bad_password',
-    {_among(_u("brute-agent"), ("curl", "python-requests"), (0.4, 0.6))}, 'NL', 'brute' FROM brute, brute_u
-  UNION ALL SELECT ts, "user", {_IP.format(u=_u("outage-source"))}, 'VPN', 'fail', 'mfa_required',
-    {_among(_u("outage-agent"), ("Chrome", "Edge", "MobileSafari"), (0.5, 0.3, 0.2))},
-    {_among(_u("outage-country"), ("FR", "DE", "GB"), (0.6, 0.25, 0.15))}, 'outage' FROM outage_f JOIN outage_u USING (place))"""
-ORACLES["synth_logs"] = f"{GENERATED} SELECT * FROM made"
-ORACLES["synth_scenarios"] = f"""{GENERATED}
-SELECT scenario, result, reason, count(*) AS n, count(DISTINCT "user") AS n_users FROM made GROUP BY ALL"""
-
 # --- stream ------------------------------------------------------------------------------
 
-ORACLES["stream_features"] = f"""SELECT * FROM ({_features(86400, 2, "src_ip")})
-WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+ORACLES["stream_features"] = _features(86400, 2, "src_ip")

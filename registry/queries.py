@@ -27,7 +27,7 @@ from authscope.operators import flows as flow_ops
 from authscope.plans import evaluation, grid
 from authscope.plans.detect import detect
 from authscope.session import checkpoint_dir, cut_lineage, use_utc
-from authscope.sources import adapters, generated
+from authscope.sources import adapters
 from authscope.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,17 @@ def user_entropy_join(spark, sf_dir):
 
 @query
 def features_approx(spark, sf_dir):
-    return features.window_features(_logs(spark, sf_dir), "1 day", approx_distinct=True)
+    """Exact counts, and whether every sketched one is within one or three standard errors (5 % each) of it."""
+    names = ("n_users", "n_apps", "n_user_agents", "n_countries")
+    exact = features.window_features(_logs(spark, sf_dir), "1 day", min_fail=2)
+    sketched = features.window_features(_logs(spark, sf_dir), "1 day", min_fail=2, approx_distinct=True)
+    sketched = sketched.select("src_ip", "ts", F.col("user_entropy").alias("_entropy"), *[F.col(n).alias(f"_{n}") for n in names])
+    near = [F.abs(F.col(f"_{n}") - F.col(n)) <= F.greatest(F.lit(1.0), 0.15 * F.col(n)) for n in names]
+    within = near[0] & near[1] & near[2] & near[3]
+    out = exact.join(sketched, ["src_ip", "ts"]).select(
+        "src_ip", "ts", "n_attempts", *names, F.col("_entropy").alias("user_entropy"), within.alias("within_error")
+    )
+    return rounded(out, "user_entropy")
 
 
 @query
@@ -238,31 +248,26 @@ def scaler_apply(spark, sf_dir):
     return rounded(out, *adapters.FLOW_NUMBERS)
 
 
-SMALL_TREES, SMALL_SAMPLE, SMALL_CONTAMINATION = 10, 64, 0.1
-
-
-def _small_forest(spark, sf_dir):
-    return forest.fit_forest(
-        _benign(spark, sf_dir), adapters.FLOW_NUMBERS, adapters.FLOW_KEY, SMALL_TREES, SMALL_SAMPLE
-    )
+def _flow_forest(spark, sf_dir):
+    return forest.fit_forest(_benign(spark, sf_dir), adapters.FLOW_NUMBERS, adapters.FLOW_KEY, 100)
 
 
 @query
-def forest_nodes_small(spark, sf_dir):
-    return rounded(_small_forest(spark, sf_dir).nodes, "threshold")
+def forest_nodes(spark, sf_dir):
+    return rounded(_flow_forest(spark, sf_dir).nodes, "threshold")
 
 
 @query
-def forest_scores_small(spark, sf_dir):
+def forest_scores(spark, sf_dir):
     rows = _flows(spark, sf_dir)
-    out = forest.score_by_joins(rows, _small_forest(spark, sf_dir), adapters.FLOW_KEY)
+    out = forest.score_by_joins(rows, _flow_forest(spark, sf_dir), adapters.FLOW_KEY)
     return rounded(out, "anomaly_score")
 
 
 @query
-def forest_flags_small(spark, sf_dir):
+def forest_flags(spark, sf_dir):
     """Scores by the broadcast walk, cut at a quantile of the training scores."""
-    model = forest.fit_cut(_small_forest(spark, sf_dir), _benign(spark, sf_dir), SMALL_CONTAMINATION)
+    model = forest.fit_cut(_flow_forest(spark, sf_dir), _benign(spark, sf_dir), 0.1)
     out = forest.score_and_flag(_flows(spark, sf_dir), model)
     return rounded(out.select(*adapters.FLOW_KEY, "anomaly_score", "is_anomaly"), "anomaly_score")
 
@@ -270,13 +275,11 @@ def forest_flags_small(spark, sf_dir):
 # --- detection and alerts ----------------------------------------------------------------
 
 ALERT_NUMBERS = ("anomaly_score", "fail_rate", "attempts_per_min", "user_entropy")
-DETECT = {"window": "1 day", "contamination": 0.05, "n_estimators": 10, "min_fail": 2, "max_samples": 64}
 
 
 @query
 def detect_scores(spark, sf_dir):
-    """Scored windows; a small forest, so that the SQL stays readable."""
-    out = detect(_logs(spark, sf_dir), **DETECT).scored
+    out = detect(_logs(spark, sf_dir), "1 day", contamination=0.05, min_fail=2).scored
     return rounded(out.select("src_ip", "ts", "n_attempts", "anomaly_score", "is_anomaly"), "anomaly_score")
 
 
@@ -288,8 +291,8 @@ def detect_alerts(spark, sf_dir):
 
 @query
 def detect_by_app(spark, sf_dir):
-    found = detect(_logs(spark, sf_dir), "1 day", by_app=True, contamination=0.01, n_estimators=100, min_fail=2)
-    return rounded(alerts.top_alerts(found.alerts, keys=("src_ip", "app")), *ALERT_NUMBERS)
+    found = detect(_logs(spark, sf_dir), "1 day", by_app=True, contamination=0.01, min_fail=2)
+    return rounded(found.alerts, *ALERT_NUMBERS)
 
 
 def _rule_scored(spark, sf_dir):
@@ -482,9 +485,6 @@ def compare_routes(spark, sf_dir):
 
 # --- evaluation routes -------------------------------------------------------------------
 
-FIT = evaluation.Fit(trees=10, max_samples=64)
-
-
 def _numeric_flows(spark, sf_dir):
     return _flows(spark, sf_dir).drop("dst_port")
 
@@ -492,14 +492,14 @@ def _numeric_flows(spark, sf_dir):
 @query
 def eval_flows_raw(spark, sf_dir):
     return evaluation.raw_flows(
-        _numeric_flows(spark, sf_dir), adapters.FLOW_KEY, drop=adapters.FLOW_KEY, fit=FIT
+        _numeric_flows(spark, sf_dir), adapters.FLOW_KEY, drop=adapters.FLOW_KEY
     ).recalls
 
 
 @query
 def eval_flows_raw_report(spark, sf_dir):
     out = evaluation.raw_flows(
-        _numeric_flows(spark, sf_dir), adapters.FLOW_KEY, drop=adapters.FLOW_KEY, fit=FIT
+        _numeric_flows(spark, sf_dir), adapters.FLOW_KEY, drop=adapters.FLOW_KEY
     ).report
     return rounded(out, "precision", "recall", "f1")
 
@@ -507,24 +507,24 @@ def eval_flows_raw_report(spark, sf_dir):
 @query
 def eval_flows_windowed(spark, sf_dir):
     return evaluation.windowed_flows(
-        _flows(spark, sf_dir), ["ts", *adapters.FLOW_KEY], window="7 days", fit=FIT
+        _flows(spark, sf_dir), ["ts", *adapters.FLOW_KEY], window="7 days"
     ).recalls
 
 
 @query
 def eval_flows_leaky(spark, sf_dir):
-    return evaluation.windowed_flows(_flows(spark, sf_dir), list(adapters.FLOW_KEY), leaky=True, fit=FIT).recalls
+    return evaluation.windowed_flows(_flows(spark, sf_dir), list(adapters.FLOW_KEY), leaky=True).recalls
 
 
 @query
 def eval_logins(spark, sf_dir):
     rba = adapters.rba_logins(adapters.table(spark, sf_dir, "events"))
-    return evaluation.risk_logins(rba, window="1 day", fit=FIT).recalls
+    return evaluation.risk_logins(rba, window="1 day").recalls
 
 
 @query
 def eval_logs(spark, sf_dir):
-    return evaluation.auth_logs(_logs(spark, sf_dir), window="1 day", fit=FIT).recalls
+    return evaluation.auth_logs(_logs(spark, sf_dir), window="1 day").recalls
 
 
 @query
@@ -537,7 +537,7 @@ def eval_split(spark, sf_dir):
         (F.col("label") != "BENIGN").cast("int").alias("label"),
     )
     train, test = rows.where(adapters.train_draw() < 0.7), rows.where(adapters.train_draw() >= 0.7)
-    return evaluation.split_flows(train, test.drop("l_tax"), adapters.FLOW_KEY, drop=adapters.FLOW_KEY, fit=FIT).recalls
+    return evaluation.split_flows(train, test.drop("l_tax"), adapters.FLOW_KEY, drop=adapters.FLOW_KEY).recalls
 
 
 # --- neighbours, one-class, grid ---------------------------------------------------------
@@ -566,7 +566,7 @@ def _vector_columns(spark, sf_dir):
 @query
 def oneclass_rff(spark, sf_dir):
     rows, columns = _vector_columns(spark, sf_dir)
-    model = oneclass.fit_one_class(rows.where("y = 0"), columns, (0.3,), steps=20)[0]
+    model = oneclass.fit_one_class(rows.where("y = 0"), columns, (0.3,))[0]
     out = oneclass.score_one_class(rows, model)
     return rounded(out.select("vec_id", "y", "anomaly_score", "is_anomaly"), "anomaly_score")
 
@@ -592,39 +592,18 @@ def grid_oneclass(spark, sf_dir):
     return grid.one_class_grid(rows.where("y = 0"), rows, columns, ["vec_id"], rows=None)
 
 
-# --- generated logs and streams ----------------------------------------------------------
-
-
-def _generated(spark, sf_dir):
-    """A log as long as the event table, over as many users and sources as there are customers and suppliers."""
-    slots = adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("minute"))
-    plan = generated.LogPlan(
-        users=adapters.table(spark, sf_dir, "customer").count(),
-        sources=adapters.table(spark, sf_dir, "supplier").count(),
-    )
-    return generated.generated_logs(spark, plan, slots)
-
-
-@query
-def synth_logs(spark, sf_dir):
-    return _generated(spark, sf_dir)
-
-
-@query
-def synth_scenarios(spark, sf_dir):
-    return _generated(spark, sf_dir).groupBy("scenario", "result", "reason").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("n_users")
-    )
+# --- streams -----------------------------------------------------------------------------
 
 
 @query
 def stream_features(spark, sf_dir):
-    """Closed windows of the events replayed as a stream."""
+    """Windows of the events replayed as a stream, the ones open at its end included."""
     events = adapters.table(spark, sf_dir, "events")
     rows = windows.read_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
     logs = normalize.canonical_logs(adapters.raw_logs(rows), adapters.RAW_COLUMNS)
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     found = windows.stream_features(logs, "1 day", "1 hour", min_fail=2)
     windows.write_stream(found, f"{folder}/out", f"{folder}/state").awaitTermination()
-    out = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    closed = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    out = windows.finish_open(closed, _logs(spark, sf_dir), "1 day", "1 hour", min_fail=2)
     return rounded(out, "fail_rate", "attempts_per_min", "user_entropy")

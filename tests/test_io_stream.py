@@ -11,8 +11,9 @@ from authscope.operators.features import window_features
 from authscope.operators.flows import align_columns, distinct_by_group, flow_windows, login_windows
 from authscope.operators.forest import fit_cut, fit_forest
 from authscope.schemas import AUTH_LOG, FEATURE_COLUMNS
-from authscope.sources import generated, readers
+from authscope.sources import readers
 from authscope.streaming import windows
+from tests import generated_logs as generated
 
 
 def test_flow_files_with_padded_and_differing_headers(spark, tmp_path):

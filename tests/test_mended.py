@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from authscope.operators import features, prefix
 from authscope.operators.evaluate import class_report
 from authscope.operators.flows import UNKNOWN_ATTACK, flow_windows, login_records
 from authscope.operators.quantile import exact_percentile, exact_percentiles, value_at_rank
@@ -75,3 +76,29 @@ def test_class_report_scans_once(spark, tmp_path):
     assert rows["macro avg"]["precision"] == pytest.approx((5 / 6 + 2 / 3) / 2) and rows["weighted avg"]["support"] == 9
     empty = class_report(spark.createDataFrame([], "y int, is_anomaly int")).collect()
     assert all(r["f1"] == 0 and r["support"] == 0 for r in empty)
+
+
+def test_running_totals_shuffle_once(spark, tmp_path):
+    rows = [(i * 7 % 500, None if i % 11 == 0 else i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a long, v long").repartition(4)
+    out = prefix.running_totals(df, ["a"], {"t": "v", "u": "a"})
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    seen, t, u = {r["a"]: (r["t"], r["u"]) for r in out.collect()}, 0, 0
+    for a, v in sorted(rows):
+        t, u = t + (v or 0), u + a
+        assert seen[a] == (t, u)
+    assert prefix.running_totals(df.where("a < 0"), ["a"], {"t": "v"}).count() == 0
+    assert [r["t"] for r in prefix.running_totals(df.orderBy("a").limit(3), [F.desc("a")], {"t": "a"}).orderBy("a").collect()] == [3, 3, 2]
+
+
+def test_features_read_the_log_once(spark, tmp_path):
+    rows = [(f"2024-01-01 00:0{i % 9}:00", "s", f"u{i % 3}", "A", None, "DE", "fail") for i in range(20)]
+    names = ("ts", "src_ip", "user", "app", "user_agent", "country", "result")
+    spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/l")
+    logs = spark.read.parquet(f"{tmp_path}/l")
+    out = features.window_features(logs, "1d")
+    assert str(tmp_path) not in out._jdf.queryExecution().executedPlan().toString()  # only the written windows are read
+    row = out.first()
+    assert (row["n_users"], row["n_apps"], row["n_user_agents"], row["n_countries"]) == (3, 1, 1, 1)
+    sketch = features.window_features(logs, "1d", approx_distinct=True).first()
+    assert sketch["user_entropy"] == pytest.approx(row["user_entropy"]) and row["user_entropy"] > 1.5

@@ -10,7 +10,8 @@ from authscope.operators.forest import score
 from authscope.operators.oneclass import fit_one_class, score_one_class
 from authscope.plans import evaluation, grid
 from authscope.plans.detect import detect
-from authscope.sources import generated, readers
+from authscope.sources import readers
+from tests import generated_logs as generated
 
 
 @pytest.fixture(scope="module")
