@@ -15,6 +15,10 @@ UNLABELLED = 12_000
 SEED = 23
 
 
+#: Weights that give every text a score of 0.
+_NOTHING_LEARNED = np.append(np.zeros(FEATURES), -40.0).astype(np.float32)
+
+
 def _features(piece: pa.RecordBatch) -> list[np.ndarray]:
     """Distinct token buckets of each text."""
     h, first = token_hashes(piece.column("text"), fold=True)
@@ -104,7 +108,7 @@ def _fit(batches, prior: float):
     if positive and unlabelled and any(len(r) for r in positive):
         w = fit_nnpu(positive, unlabelled, prior)
     else:
-        w = np.append(np.zeros(FEATURES), -40.0 if not positive else 0.0)
+        w = _NOTHING_LEARNED
     yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()])], ["weights"])
 
 
@@ -117,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: Column, key: str = "doc_id",
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & fold).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
-        return np.append(np.zeros(FEATURES), -40.0).astype(np.float32)
+        return _NOTHING_LEARNED
     prior = min(0.9, max(0.001, toxic / total))
     order = (F.xxhash64("id", F.lit(SEED)), "id")
     first = known.where("y = 1").select("id").orderBy(*order).limit(POSITIVES)
@@ -128,7 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: Column, key: str = "doc_id",
     picked = rows.join(F.broadcast(asked), rows["key"] == asked["id"]).select("key", "text", "toxic", "plain")
     sample = picked.mapInArrow(_sampled, f"key {docs.schema[key].dataType.simpleString()}, toxic boolean, plain boolean, features binary")
     one = sample.repartition(1).sortWithinPartitions("key", "features")
-    return np.frombuffer(one.mapInArrow(lambda b: _fit(b, prior), "weights binary").first()[0], np.float32)
+    found = one.mapInArrow(lambda b: _fit(b, prior), "weights binary").first()
+    return np.frombuffer(found[0], np.float32) if found else _NOTHING_LEARNED
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from authscope.llm.language import Model, WordScores, best_paths, identify, label, script_of
+from authscope.llm.language import Model, WordScores, best_paths, identify, label, scripts_of
 from authscope.llm.quality_model import keep_resampled, kth_largest, ngram_buckets, resample
 from authscope.llm.rules import judge, keep_good, rejects, term_sql, text_counts
 from authscope.llm.toxicity import score_toxicity
@@ -101,20 +101,20 @@ def test_kth_largest_is_exact(spark):
 
 def test_resampling_keeps_clean_text(docs_of, labels_of):
     rows, labels = clean_and_junk(600)
-    docs, known = docs_of(rows + ODD), labels_of(labels)
-    found = {x.doc_id: x for x in resample(docs, known).collect()}
+    docs, marked = docs_of(rows + ODD), labels_of(labels)
+    found = {x.doc_id: x for x in resample(docs, marked).collect()}
     clean = [found[i].kept for i, _ in rows if i % 6]
     junk = [found[i].kept for i, _ in rows if i % 6 == 0]
     assert sum(clean) > 0.97 * len(clean) and sum(junk) < 0.1 * len(junk)
     assert found[900].log_weight == found[901].log_weight == 0
-    kept = keep_resampled(docs, known)
+    kept = keep_resampled(docs, marked)
     assert kept.columns == docs.columns
-    want = sorted(known(x.doc_id) for x in resample(docs, known).collect() if x.kept)
+    want = sorted(known(x.doc_id) for x in resample(docs, marked).collect() if x.kept)
     assert sorted(known(x.doc_id) for x in kept.collect()) == want
     # the largest noisy weights are kept, whatever the partitions
     cut = min(x.noisy_weight for x in found.values() if x.kept)
     assert all(x.kept == (x.noisy_weight >= cut) for x in found.values())
-    again = {x.doc_id: x.noisy_weight for x in resample(docs.repartition(7), known).collect()}
+    again = {x.doc_id: x.noisy_weight for x in resample(docs.repartition(7), marked).collect()}
     assert all(abs(again[k] - x.noisy_weight) < 1e-6 for k, x in found.items())
 
 
@@ -169,7 +169,7 @@ def test_best_paths_are_those_of_all_paths():
 
 
 def test_scripts_narrow_candidates():
-    assert [script_of(c) for c in "aéжβ中"] == [0, 0, 2, 1, 13]
+    assert scripts_of("aéжβ中").tolist() == [0, 0, 2, 1, 13]
     grams = np.random.default_rng(1).integers(0, 50, (1 << 15, 2))
     letters = np.zeros((15, 2))
     letters[0, 0], letters[2, 1] = 100, 100  # one language writes Latin, the other Cyrillic
