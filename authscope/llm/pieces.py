@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,10 @@ from authscope.llm.text import draws, mix, slices, text_buffer
 
 SPACE = "▁"
 SEED = 5
-#: Units whose lattice is kept by a worker, and the longest unit that is looked up again.
+#: Units whose lattice is kept by a worker.
 KEPT = 200_000
-LONGEST = 64
+#: Characters of new units whose lattices are built at once.
+GROUP_CHARS = 100_000
 
 
 def model_path() -> str:
@@ -53,9 +55,24 @@ class Vocabulary:
         total = sum(1 / (r + 1) for r in ranks.values())
         #: Chance of falling back to the bytes of a character that no piece holds.
         self.rare = (1 / (size * total)) ** alpha
-        #: Id and chance by piece; None for what only begins pieces.
-        self.known: dict[str, tuple[int, float] | None] = {p[:n]: None for p in pieces for n in range(1, len(p))}
-        self.known |= {p: (i, (1 / ((ranks[i] + 1) * total)) ** alpha) for p, i in pieces.items()}
+        #: Id and chance by piece.
+        self.known = {p: (i, (1 / ((ranks[i] + 1) * total)) ** alpha) for p, i in pieces.items()}
+        self.longest = max(map(len, pieces))
+        # A trie of the pieces: its branches as sorted numbers (node, character), where each leads
+        # to, and for each node the id and chance of the piece that ends there.
+        nodes = {"": 0}
+        branches: dict[int, int] = {}
+        for piece in pieces:
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in nodes:
+                    nodes[piece[:n]] = len(nodes)
+                    branches[nodes[piece[: n - 1]] << 21 | ord(piece[n - 1])] = nodes[piece[:n]]
+        self.branch = np.array(sorted(branches), np.int64)
+        self.child = np.array([branches[k] for k in self.branch.tolist()], np.int64)
+        self.ends = np.full(len(nodes), -1, np.int32)
+        self.chance = np.zeros(len(nodes))
+        for piece, (i, chance) in self.known.items():
+            self.ends[nodes[piece]], self.chance[nodes[piece]] = i, chance
         # Units end before a space or a line feed: no piece may hold one of these further on.
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece of this model goes across words or lines")
@@ -86,84 +103,116 @@ class Lattices(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.last: list[int] = []
+        self.last = np.zeros(0, np.int64)
         self.edges = [np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        self.fresh: tuple[list, list, list] = ([], [], [])
+        self.begin = np.zeros(0, np.int64)  # number of each node's first edge
+        self.fresh: list[str] = []
         self.nodes = 0
 
     def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self.last)
-        self.last.append(self._add(unit if unit.startswith("\n") else " " + unit))
+        n = self[unit] = len(self)
+        self.fresh.append(unit if unit.startswith("\n") else " " + unit)
         return n
 
-    def _add(self, unit: str) -> int:
-        """Put in the edges of a unit; returns its last node, from which a sample goes back."""
-        known, vocabulary, n = self.vocabulary.known, self.vocabulary, len(unit)
-        # Spaces are written with the mark; a mark in the text itself must come back as bytes.
-        shown = unit.replace(SPACE, "\0").replace(" ", SPACE)
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        ahead = [0.0] * (n + 1)
-        ahead[0] = 1.0
-        for i in range(n):
-            mass = ahead[i]
-            if mass < 1e-200:  # long unit: only ratios count, so scale all that is still in use
-                top = max(ahead[i:])
-                for j in range(i, n + 1):
-                    ahead[j] /= top
-                for edges in into[i + 1 :]:
-                    edges[:] = [(a, b, w / top) for a, b, w in edges]
-                mass = ahead[i]
-            single = False
-            for j in range(i + 1, n + 1):
-                found = known.get(shown[i:j], 0)
-                if found == 0:
-                    break
-                if found is not None:
-                    weight = mass * found[1]
-                    into[j].append((i, found[0], weight))
-                    ahead[j] += weight
-                    single |= j == i + 1
-            if not single:
-                weight = mass * vocabulary.rare
-                into[i + 1].append((i, -1, weight))
-                ahead[i + 1] += weight
-        base = self.nodes
-        self.nodes += n + 1
-        cumulative, previous, piece = self.fresh
-        extra = []
-        for j in range(1, n + 1):
-            total, run, last = ahead[j], 0.0, len(into[j]) - 1
-            for k, (i, p, weight) in enumerate(into[j]):
-                run += weight
-                back = base + i
-                if p < 0:  # bytes of a character: a path of sure edges over nodes of their own
-                    *before, final = (vocabulary.byte_ids[b] for b in unit[i].encode())
-                    for b in before:
-                        extra.append((self.nodes, back, b))
-                        back = self.nodes
-                        self.nodes += 1
-                    p = final
-                cumulative.append(base + j + (1.0 if k == last else run / total))
-                previous.append(back)
-                piece.append(p)
-        for node, back, b in extra:
-            cumulative.append(node + 1.0)
-            previous.append(back)
-            piece.append(b)
-        # A unit's first node has no edge, which marks the end of a sample.
-        cumulative.append(base + 1.0)
-        previous.append(-1)
-        piece.append(-1)
-        return base + n
-
     def settle(self) -> None:
-        """Put new edges in order behind the others."""
-        if self.fresh[0]:
-            new = [np.array(c, t) for c, t in zip(self.fresh, (np.float64, np.int64, np.int32))]
-            order = np.argsort(new[0], kind="stable")
-            self.edges = [np.concatenate([a, b[order]]) for a, b in zip(self.edges, new)]
-            self.fresh = ([], [], [])
-        self.first = np.flatnonzero(self.edges[1] < 0)
+        """Put in the edges of the units met since the last time, some at once."""
+        parts, lasts, i = [self.edges], [self.last], 0
+        while i < len(self.fresh):
+            j, chars = i, 0
+            while j < len(self.fresh) and (j == i or chars + len(self.fresh[j]) <= GROUP_CHARS):
+                chars += len(self.fresh[j])
+                j += 1
+            last, edges = self._build(self.fresh[i:j])
+            lasts.append(last)
+            parts.append(edges)
+            i = j
+        self.fresh = []
+        self.last = np.concatenate(lasts)
+        before, size = len(self.begin), len(self.edges[0])
+        self.edges = [np.concatenate(c) for c in zip(*parts)]
+        new = np.searchsorted(self.edges[0][size:], np.arange(before, self.nodes), "right") + size
+        self.begin = np.concatenate([self.begin, new])
+
+    def _pieces_at(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chance (0 if there is none) and id of the piece of each length at each place."""
+        v = self.vocabulary
+        chance = np.zeros((len(codes), v.longest))
+        ids = np.full((len(codes), v.longest), -1, np.int32)
+        at, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for n in range(v.longest):
+            inside = left[at] > n
+            at, state = at[inside], state[inside]
+            branch = state << 21 | codes[at + n]
+            found = np.minimum(np.searchsorted(v.branch, branch), len(v.branch) - 1)
+            on = v.branch[found] == branch
+            at, state = at[on], v.child[found[on]]
+            if not len(at):
+                break
+            ends = v.ends[state] >= 0
+            chance[at[ends], n], ids[at[ends], n] = v.chance[state[ends]], v.ends[state[ends]]
+        none = np.flatnonzero(chance[:, 0] == 0)
+        chance[none, 0] = v.rare
+        return chance, ids
+
+    def _build(self, units: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Last nodes and edges of some units; one step forward is made in all of them at once."""
+        v, raw = self.vocabulary, "".join(units)
+        # Spaces are written with the mark; a mark in the text itself must come back as bytes.
+        shown = raw.replace(SPACE, "\0").replace(" ", SPACE)
+        codes = np.frombuffer(shown.encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(u) for u in units], np.int64)
+        ends = np.cumsum(sizes)
+        chars, count = len(codes), len(units)
+        chance, ids = self._pieces_at(codes, np.repeat(ends, sizes) - np.arange(chars))
+        plain = (ids[:, 0] < 0) & (codes > 0) & (codes < 128)
+        ids[plain, 0] = np.array(v.byte_ids, np.int32)[codes[plain]]
+
+        # Node r of unit u stands before character r - u; a unit has one node more than characters.
+        order = np.argsort(-sizes, kind="stable")
+        start, length = (ends - sizes)[order], sizes[order]
+        first = start + order
+        ahead = np.zeros(chars + count)
+        ahead[first] = 1.0
+        share = np.zeros((chars + count, v.longest))
+        for t in range(1, int(length[0]) + 1):
+            n = int(np.searchsorted(-length, -t, "right"))
+            back = np.arange(min(v.longest, t))
+            node = first[:n] + t
+            mass = ahead[(node - 1)[:, None] - back] * chance[(start[:n] + t - 1)[:, None] - back, back]
+            total = mass.sum(axis=1)
+            ahead[node] = total
+            share[node, : len(back)] = mass / total[:, None]
+            if t % 8 == 0:  # only ratios count, so keep what is still in use away from 0
+                ahead[node[:, None] - np.arange(min(v.longest, t) + 1)] /= total[:, None]
+
+        node, back = np.nonzero(share)
+        cumulative = np.cumsum(share, axis=1)[node, back]
+        final = np.append(node[1:] != node[:-1], True)
+        cumulative[final] = 1.0
+        unit = np.repeat(np.arange(count), sizes + 1)[node]
+        at = node - unit - 1 - back
+        piece, base = ids[at, back], self.nodes
+        cumulative, previous = base + node + cumulative, base + node - 1 - back
+        # The bytes of a character without a piece: a path of sure edges over nodes of their own.
+        free, extra = base + chars + count, []
+        for e in np.flatnonzero(piece < 0).tolist():
+            *before, last = (v.byte_ids[b] for b in raw[at[e]].encode())
+            for b in before:
+                extra.append((free + 1.0, int(previous[e]), b))
+                previous[e] = free
+                free += 1
+            piece[e] = last
+        self.nodes = free
+        # A unit's first node has one edge, and that leads nowhere: it marks the end of a sample.
+        heads = base + np.sort(first)
+        more = list(zip(*extra)) or [[], [], []]
+        edges = [
+            np.concatenate([cumulative, heads + 1.0, np.array(more[0], np.float64)]),
+            np.concatenate([previous, np.full(count, -1), np.array(more[1], np.int64)]),
+            np.concatenate([piece, np.full(count, -1, np.int32), np.array(more[2], np.int32)]),
+        ]
+        by_node = np.argsort(edges[0], kind="stable")
+        return base + ends + np.arange(count), [c[by_node] for c in edges]
 
     def sample(self, units: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of one sampled path through each unit, and where each unit's ones begin.
@@ -172,15 +221,18 @@ class Lattices(dict):
         the node where it began. All units go side by side. A unit's draws follow from its key.
         """
         cumulative, previous, piece = self.edges
-        node = np.array(self.last, np.int64)[units]
+        node = self.last[units]
         who = np.arange(len(units))
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
-            at = np.searchsorted(cumulative, node + draws(keys[who] + np.uint64(len(steps)), SEED))
+            drawn = node + draws(keys[who] + np.uint64(len(steps)), SEED)
+            at, short = self.begin[node], np.arange(len(node))
+            while len(short := short[cumulative[at[short]] < drawn[short]]):
+                at[short] += 1
             steps.append((who, piece[at]))
             node = previous[at]
             # the first node of a unit has one edge, and that leads nowhere
-            on = previous[np.searchsorted(cumulative, node + 0.5)] >= 0
+            on = previous[self.begin[node]] >= 0
             who, node = who[on], node[on]
         count = np.zeros(len(units), np.int64)
         for w, _ in steps:
@@ -209,7 +261,7 @@ def encode(texts: list[str], keys: np.ndarray, lattices: Lattices) -> tuple[np.n
     if len(lattices) > KEPT:
         lattices.forget()
     parts = [units_of(t) for t in texts]
-    units = np.array([n for p in parts for n in map(lattices.__getitem__, p)], np.int64)
+    units = np.fromiter(map(lattices.__getitem__, chain.from_iterable(parts)), np.int64)
     lattices.settle()
     sizes = np.array([len(p) for p in parts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
