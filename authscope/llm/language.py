@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authscope.llm.text import slices
+from authscope.llm.text import mix, slices, span_hashes
 
 BUCKETS = 1 << 15
 #: Documents of one language that the scores are learned from, in expectation.
@@ -19,7 +20,7 @@ SEED = 31
 #: A word's score below the best language's counts as this much at most.
 WORST = -6.0
 SWITCH = 10.0
-KEPT = 300_000
+KEPT = 250_000
 #: First and last code points of blocks of letters (fixed values of the Unicode standard).
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -39,25 +40,58 @@ SCRIPTS = {
 }
 _NAMES = [*SCRIPTS, "other"]
 _RANGES = sorted((a, b, n) for n, name in enumerate(SCRIPTS) for a, b in SCRIPTS[name])
-_STARTS = np.array([a for a, _, _ in _RANGES])
+_FIRST, _LAST, _NUMBER = (np.array(c) for c in zip(*_RANGES))
 
 
-def script_of(letter: str) -> int:
-    """Number of the script whose range holds a letter; the last one is any other script."""
-    i = int(np.searchsorted(_STARTS, ord(letter), "right")) - 1
-    return _RANGES[i][2] if i >= 0 and ord(letter) <= _RANGES[i][1] else len(_NAMES) - 1
+def scripts_of(letters: str) -> np.ndarray:
+    """Numbers of the scripts whose ranges hold the letters; the last one is any other script."""
+    codes = np.frombuffer(letters.encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.searchsorted(_FIRST, codes, "right") - 1
+    return np.where((at >= 0) & (codes <= _LAST[at]), _NUMBER[at], len(_NAMES) - 1)
 
 
 def letters_of(word: str) -> str:
-    return "".join(filter(str.isalpha, word.lower()))
+    low = word.lower()
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
-def ngrams(letters: str) -> list[int]:
-    """Buckets of the word itself and of its parts of two and three characters, borders included."""
-    marked = f"^{letters}$".encode("utf-32-le")
-    crc, n = zlib.crc32, len(marked)
-    parts = [crc(marked[i : i + 12]) for i in range(0, n - 8, 4)] + [crc(marked[i : i + 8]) for i in range(0, n - 4, 4)]
-    return [c % BUCKETS for c in (*parts, crc(marked, 1))]
+class Grams:
+    """Buckets of the n-grams of many words at once, borders included.
+
+    A word gives itself and each run of two or three of its characters between two marks.
+    ``pairs`` and ``triples`` have one bucket a place, valid where ``in2`` and ``in3`` hold.
+    """
+
+    def __init__(self, words: list[str]) -> None:
+        codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        self.starts, self.sizes = ends - sizes, sizes
+        c = np.concatenate([codes, np.zeros(2, np.uint32)]).astype(np.uint64)
+        two = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        three = two + c[2:] * np.uint64(0x165667B19E3779F9)
+        left = np.repeat(ends, sizes) - np.arange(len(codes))  # places up to the word's end
+        self.in2, self.in3 = left >= 2, left >= 3
+        self.pairs, self.triples, self.whole = (
+            (h >> np.uint64(32)).astype(np.int64) % BUCKETS for h in (mix(two), mix(three), span_hashes(codes, self.starts, ends))
+        )
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Count of each bucket, every word taken ``weights`` times."""
+        each = np.repeat(weights, self.sizes)
+        out = np.bincount(self.whole, weights=weights, minlength=BUCKETS)
+        out += np.bincount(self.pairs[self.in2], weights=each[self.in2], minlength=BUCKETS)
+        out += np.bincount(self.triples[self.in3], weights=each[self.in3], minlength=BUCKETS)
+        return out.astype(np.int64)
+
+    def sums(self, logs: np.ndarray) -> np.ndarray:
+        """For each word, the sum of a table's rows over its n-grams."""
+        out = np.empty((len(self.starts), logs.shape[1]), np.float32)
+        for l in range(logs.shape[1]):
+            column = logs[:, l]
+            at = np.where(self.in2, column[self.pairs], 0) + np.where(self.in3, column[self.triples], 0)
+            out[:, l] = np.add.reduceat(at, self.starts) + column[self.whole]
+        return out
 
 
 def _counts(batches):
@@ -67,10 +101,12 @@ def _counts(batches):
 
     def fold(lang: str) -> None:
         out = found.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-        for word, n in words.pop(lang).items():
-            if letters := letters_of(word):
-                np.add.at(out, ngrams(letters), n)
-                out[BUCKETS + script_of(letters[0])] += n * len(letters)
+        some = [(letters, n) for word, n in words.pop(lang).items() if (letters := letters_of(word))]
+        if some:
+            parts, n = zip(*some)
+            out[:BUCKETS] += Grams(parts).counts(np.array(n, np.int64))
+            written = np.array([k * len(letters) for letters, k in some], np.int64)
+            np.add.at(out, BUCKETS + scripts_of("".join(p[0] for p in parts)), written)
 
     for piece in slices(batches):
         for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist()):
@@ -117,6 +153,18 @@ def learn(docs: DataFrame, fold: Column, text: str = "text", lang: str = "lang",
     return Model(langs, grams, letters)
 
 
+_SCORES: dict[bytes, "WordScores"] = {}
+
+
+def _word_scores(model: Model) -> "WordScores":
+    """What a worker keeps for a model from one task to the next; one model at a time."""
+    name = hashlib.blake2b(model.logs.tobytes() + model.writes.tobytes() + repr(model.langs).encode()).digest()
+    if name not in _SCORES:
+        _SCORES.clear()
+        _SCORES[name] = WordScores(model)
+    return _SCORES[name]
+
+
 class WordScores(dict):
     """Number of each word met; with its score for every language and its count of letters."""
 
@@ -142,7 +190,7 @@ class WordScores(dict):
         numbers = [list(map(self.__getitem__, t.split())) for t in texts]
         first = np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).astype(np.int64)
         self._score_fresh()
-        return np.array([n for part in numbers for n in part], np.int64), first
+        return np.fromiter(chain.from_iterable(numbers), np.int64, int(first[-1])), first
 
     def _score_fresh(self) -> None:
         if not self.fresh:
@@ -151,10 +199,8 @@ class WordScores(dict):
         scores = np.zeros((len(letters), len(self.model.langs)), np.float32)
         some = [i for i, word in enumerate(letters) if word]
         if some and self.model.langs:
-            grams = [ngrams(letters[i]) for i in some]
-            starts = np.concatenate([[0], np.cumsum([len(g) for g in grams[:-1]])]).astype(np.int64)
-            sums = np.add.reduceat(self.model.logs[[g for part in grams for g in part]], starts, axis=0)
-            allowed = self.model.writes[[script_of(letters[i][0]) for i in some]]
+            sums = Grams([letters[i] for i in some]).sums(self.model.logs)
+            allowed = self.model.writes[scripts_of("".join(letters[i][0] for i in some))]
             best = np.where(allowed, sums, -np.inf).max(axis=1, keepdims=True)
             scores[some] = np.where(allowed, np.clip(sums - best, WORST, 0), WORST)
         self.scores = np.concatenate([self.scores, scores])
@@ -275,7 +321,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     model = learn(docs, ~part, text, lang, key)
 
     def run(batches):
-        words = WordScores(model)
+        words = _word_scores(model)
         for piece in slices(batches):
             langs, sure, spans = label([t or "" for t in piece.column("text").to_pylist()], words)
             yield pa.RecordBatch.from_arrays(
