@@ -217,7 +217,7 @@ def near_duplicates(
     linked = cut_lineage(linked.join(sets.select("sid", "least"), "sid"))
     names = linked.groupBy("component").agg(F.min("least").alias("class"))
     linked = linked.join(names, "component").select("sid", "links", "class")
-    known = sets.select("sid", "copies", "least").join(linked, "sid", "left")
+    known = cut_lineage(sets.select("sid", "copies", "least").join(linked, "sid", "left"))
     return (
         signed.select("key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
         .join(known, "sid", "left")
