@@ -13,14 +13,14 @@ import __spark_entry__ as driver
 def test_stages_in_order_over_a_small_corpus(spark, tmp_path, docs_of, labels_of):
     r = random.Random(19)
     clean = [" ".join(words(r, r.randrange(60, 200), 10**6)) for _ in range(150)]
-    junk = [" ".join(x + "|" for x in words(r, 60)) for _ in range(30)]
+    junk = [" ".join(x + "|" for x in words(r, 60)) for _ in range(90)]
     near = [edited(r, clean[i], 1) for i in range(0, 150, 10)]
     passage = " ".join(words(r, 60, 10**6, "p"))
     clean[7] += " " + passage
     clean[90] = passage + " " + clean[90]
     rows = list(enumerate(clean + junk + near))
     docs_of(rows, clashing=False).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
-    labels_of([(i, int(i < 150 or i >= 180), 0) for i in range(0, len(rows), 2)]).write.parquet(f"{tmp_path}/labels.parquet")
+    labels_of([(i, int(i < 150 or i >= 240), 0) for i in range(0, len(rows), 2)]).write.parquet(f"{tmp_path}/labels.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
@@ -29,7 +29,7 @@ def test_stages_in_order_over_a_small_corpus(spark, tmp_path, docs_of, labels_of
         out.write.parquet(f"{tmp_path}/{n}")
         docs = spark.read.parquet(f"{tmp_path}/{n}")
         kept[n] = {x.doc_id: x for x in docs.collect()} if n < 4 else docs.collect()
-    good = set(range(150)) | set(range(180, len(rows)))
+    good = set(range(150)) | set(range(240, len(rows)))
     assert set(kept[0]) == good
     assert len(kept[1]) >= 0.97 * len(good)
     left = [(k, x.text) for k, x in sorted(kept[1].items())]
