@@ -30,8 +30,9 @@ def test_stages_in_order_over_a_small_corpus(spark, tmp_path, docs_of, labels_of
         docs = spark.read.parquet(f"{tmp_path}/{n}")
         kept[n] = {x.doc_id: x for x in docs.collect()} if n < 4 else docs.collect()
     good = set(range(150)) | set(range(240, len(rows)))
-    assert set(kept[0]) == good
-    assert len(kept[1]) >= 0.97 * len(good)
+    # no good document goes, and the learned rules leave little of the junk
+    assert good <= set(kept[0]) and len(set(kept[0]) - good) <= 9
+    assert len(good & set(kept[1])) >= 0.97 * len(good)
     left = [(k, x.text) for k, x in sorted(kept[1].items())]
     assert set(kept[2]) == {k for k, name, _ in by_hand(left) if k == name}
     if 7 in kept[2] and 90 in kept[2]:
