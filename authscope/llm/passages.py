@@ -13,6 +13,8 @@ from authscope.session import cut_lineage, shuffle_width
 SEED_WORDS = 8
 WINDOW = 16
 MARGIN = 64
+#: Spans of so many successive minimizers are looked up beside single seeds.
+SPANS = (1, 2, 4, 8, 12)
 #: A chain may bridge this many words; a bridge costs this much a word, a seed brings its length.
 MAX_GAP = 64
 GAP_COST = 1 / 16
@@ -66,6 +68,34 @@ def _seeds(batches, k: int, window: int):
         )
 
 
+def _spans(batches, k: int, window: int):
+    """Spans of successive shared seeds that no document holds as the lowest one of each seed.
+
+    If all seeds of a span meet one document, one after the other, that document has the whole
+    span and is its lowest one. This depends on the seeds alone, so a span is left out everywhere
+    or nowhere.
+    """
+    for seed, key, at, ref, y in _groups(batches, ["seed", "key", "at", "ref", "y"], ["key"]):
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])  # repeated rows
+        seed, key, at, ref, y = (c[new] for c in (seed, key, at, ref, y))
+        gap = at[1:] - at[:-1]
+        next_to = (key[1:] == key[:-1]) & (gap <= window)
+        held = next_to & (gap <= k) & (ref[1:] == ref[:-1]) & (y[1:] - y[:-1] == gap)
+        breaks, parts = (np.concatenate([[0], np.cumsum(~c)]) for c in (next_to, held))
+        for n in SPANS:
+            if len(key) <= n:
+                break
+            i = np.flatnonzero((breaks[n:] == breaks[:-n]) & (parts[n:] != parts[:-n]))
+            if not len(i):
+                continue
+            span = np.full(len(i), n, np.uint64)
+            for t in range(n + 1):
+                span = mix(span + mix(seed[i + t].view(np.uint64) + (at[i + t] - at[i]).astype(np.uint64)))
+            columns = (span.view(np.int64), key[i], at[i], at[i + n] - at[i])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["span", "key", "at", "far"])
+
+
 class _Fenwick:
     """Largest value, and where it is, among the first so many places."""
 
@@ -139,8 +169,10 @@ def _chained(batches, k: int):
         key, ref, lo, hi, rlo, rhi = (pa.array(c, pa.int64()) for c in columns[:6])
         return pa.RecordBatch.from_arrays([key, ref, lo, hi, rlo, rhi, *(pa.array(c, pa.binary()) for c in columns[6:])], ["key", "ref", "lo", "hi", "rlo", "rhi", "xs", "ys"])
 
-    for batch in _pairs(batches):
-        key, ref, x, y = batch
+    for key, ref, x, y in _groups(batches, _CHAIN, _CHAIN[:2]):
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        key, ref, x, y = (c[new] for c in (key, ref, x, y))  # a match by a seed and by spans is one
         starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (ref[1:] != ref[:-1])) + 1, [len(key)]])
         for i in np.flatnonzero(np.diff(starts) > 1):
             a, b = starts[i], starts[i + 1]
@@ -155,17 +187,16 @@ def _chained(batches, k: int):
         yield out()
 
 
-def _pairs(batches):
-    """Arrays (key, ref, x, y) that end where a pair of documents ends."""
+def _groups(batches, names, by):
+    """Arrays of the columns ``names``; they end where one of the columns ``by`` changes."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(n).to_numpy().astype(np.int64) for n in _CHAIN]
+        now = [batch.column(n).to_numpy().astype(np.int64) for n in names]
         if held is not None:
             now = [np.concatenate(c) for c in zip(held, now)]
-        key, ref = now[:2]
-        last = np.flatnonzero((key != key[-1]) | (ref != ref[-1]))
+        last = np.flatnonzero(np.any([now[names.index(n)] != now[names.index(n)][-1] for n in by], axis=0))
         end = int(last[-1]) + 1 if len(last) else 0
         if end:
             yield [c[:end] for c in now]
@@ -308,8 +339,12 @@ def repeated_passages(
     Seeds are ``k``-word windows, thinned to the least one in any ``window`` of them, so two
     equal stretches of k + 2 * window words or more share at least two. A seed is joined with its
     occurrence in the lowest document alone, so a passage in n documents gives n - 1 matches a
-    seed and not all pairs; the second one in a document meets the second one there, and so on. The matches of two documents are chained with gap costs; chains
-    are aligned word by word within a margin around them.
+    seed and not all pairs; the second one in a document meets the second one there, and so on.
+    Where the seeds of a passage have different lowest documents, spans of 2 to 13 successive
+    seeds are joined with their own lowest document, so that parts held by other documents do
+    not hide one that has the whole; it can be missed only if lower documents together hold every
+    such span in parts of less than ``min_words``. The matches of two documents are chained with
+    gap costs; chains are aligned word by word within a margin around them.
 
     Rows with equal keys are taken as one document. A row with a null key is not searched. A
     null, empty or shorter text has no passage; so has a passage that repeats only within its
@@ -320,8 +355,19 @@ def repeated_passages(
     seeds = cut_lineage(rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int"))
     first = seeds.groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
     first = cut_lineage(first)  # apart from the join, which can then part the rows of a frequent seed
-    matches = seeds.join(first.hint("merge"), "seed").where("key > ref").select("key", "ref", F.col("at").alias("x"), "y")
+    shared = cut_lineage(seeds.join(first.hint("merge"), "seed").select("seed", "key", "at", "ref", "y"))
     width = shuffle_width(docs.sparkSession)
+    spans = cut_lineage(
+        shared.repartition(width, "key")
+        .sortWithinPartitions("key", "at")
+        .mapInArrow(lambda b: _spans(b, k, window), "span long, key long, at long, far long")
+    )
+    whole = spans.groupBy("span").agg(F.min(F.struct("key", "at")).alias("low"), F.max("key").alias("top")).where("low.key < top")
+    whole = cut_lineage(whole.select("span", F.col("low.key").alias("ref"), F.col("low.at").alias("y")))
+    ends = F.explode(F.array(F.lit(0).cast("long"), "far")).alias("end")
+    found = spans.join(whole.hint("merge"), "span").where("key > ref").select("key", "ref", "at", "y", ends)
+    matches = shared.where("key > ref").select("key", "ref", F.col("at").cast("long").alias("x"), F.col("y").cast("long"))
+    matches = matches.union(found.select("key", "ref", F.expr("at + end"), F.expr("y + end")))
     chained = cut_lineage(
         matches.repartition(width, "key", "ref")
         .sortWithinPartitions("key", "ref", "x", "y")

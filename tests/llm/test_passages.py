@@ -105,3 +105,21 @@ def test_cut_texts(docs_of):
             assert texts[k] == [text]
     assert texts[900] == [None] and texts[907] == ["twice the same row"] * 2 and texts[None] == ["a row without a key"]
     assert repeated_passages(docs_of([])).count() == 0
+
+
+def test_partial_copies_in_lower_documents_hide_nothing(docs_of):
+    r = random.Random(13)
+    rows, marks = [], {}
+    for case in range(24):
+        n = 80 if case % 3 == 1 else 60
+        whole = words(r, n, 10**6, f"c{case}x")
+        cuts = [[(0, 30), (30, 60)], [(0, 45), (35, 80)], [(0, 20), (20, 40), (40, 60)]][case % 3]
+        parts = [whole[a:b] for a, b in cuts]
+        for i, piece in enumerate([*parts, whole, *parts, whole]):  # partial copies between as well
+            before, after = words(r, 40, 10**6), words(r, 40, 10**6)
+            key = case * 100 + i
+            rows.append((key, " ".join(before + piece + after)))
+            if i == len(parts) * 2 + 1:
+                marks[key] = (case * 100 + len(parts), 40, 40 + n)
+    found = {(x.doc_id, x.ref_doc_id, x.start_word, x.end_word) for x in repeated_passages(docs_of(rows)).collect()}
+    assert found == {(key, *mark) for key, mark in marks.items()}
