@@ -39,33 +39,36 @@ def minimizers(seeds: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, window, np.maximum) == seeds)
 
 
-def _numbered(seeds: np.ndarray) -> np.ndarray:
-    """Seeds of one document, the second occurrence of a seed told from the first, and so on."""
+FIRST, LATER, NUMBERED = range(3)
+
+
+def _occurrences(seeds: np.ndarray) -> np.ndarray:
+    """For each seed of one document how many equal ones come before it."""
     order = np.argsort(seeds, kind="stable")
     ordered = seeds[order]
     new = np.ones(len(seeds), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    if new.all():
-        return seeds
-    nth = np.empty(len(seeds), np.uint64)
+    nth = np.empty(len(seeds), np.int64)
     nth[order] = np.arange(len(seeds)) - np.maximum.accumulate(np.where(new, np.arange(len(seeds)), 0))
-    return np.where(nth > 0, mix(seeds + nth), seeds)
+    return nth
 
 
 def _seeds(batches, k: int, window: int):
+    """Seeds of each document; later occurrences of one come also with their number mixed in."""
     for piece in slices(batches):
         words, first = word_hashes(piece.column("text"))
-        found, places = [], []
+        found, places, kinds = [], [], []
         for a, b in zip(first[:-1], first[1:]):
             s = shingle_hashes(words[a:b], k) if b - a >= k else words[:0]
             at = minimizers(s, window)
-            found.append(_numbered(s[at]))
-            places.append(at)
+            nth = _occurrences(s[at])
+            more = np.flatnonzero(nth)
+            found.append(np.concatenate([s[at], mix(s[at[more]] + nth[more].astype(np.uint64))]))
+            places.append(np.concatenate([at, at[more]]))
+            kinds.append(np.concatenate([np.where(nth > 0, LATER, FIRST), np.full(len(more), NUMBERED)]))
         keys = piece.column("key").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found).view(np.int64)), keys, pa.array(np.concatenate(places).astype(np.int32))],
-            ["seed", "key", "at"],
-        )
+        columns = [np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32), np.concatenate(kinds).astype(np.int8)]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), keys, *map(pa.array, columns[1:])], ["seed", "key", "at", "kind"])
 
 
 def _spans(batches, k: int, window: int):
@@ -339,7 +342,8 @@ def repeated_passages(
     Seeds are ``k``-word windows, thinned to the least one in any ``window`` of them, so two
     equal stretches of k + 2 * window words or more share at least two. A seed is joined with its
     occurrence in the lowest document alone, so a passage in n documents gives n - 1 matches a
-    seed and not all pairs; the second one in a document meets the second one there, and so on.
+    seed and not all pairs. All occurrences in a document meet the first one there, and the second one
+    meets the second one as well, and so on.
     Where the seeds of a passage have different lowest documents, spans of 2 to 13 successive
     seeds are joined with their own lowest document, so that parts held by other documents do
     not hide one that has the whole; it can be missed only if lower documents together hold every
@@ -352,13 +356,14 @@ def repeated_passages(
     give no rows. Only the key and the text are read.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    seeds = cut_lineage(rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int"))
-    first = seeds.groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
+    seeds = cut_lineage(rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int, kind byte"))
+    first = seeds.where(F.col("kind") != LATER).groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
     first = cut_lineage(first)  # apart from the join, which can then part the rows of a frequent seed
-    shared = cut_lineage(seeds.join(first.hint("merge"), "seed").select("seed", "key", "at", "ref", "y"))
+    shared = cut_lineage(seeds.join(first.hint("merge"), "seed").select("seed", "key", "at", "kind", "ref", "y"))
     width = shuffle_width(docs.sparkSession)
     spans = cut_lineage(
-        shared.repartition(width, "key")
+        shared.where(F.col("kind") != NUMBERED)
+        .repartition(width, "key")
         .sortWithinPartitions("key", "at")
         .mapInArrow(lambda b: _spans(b, k, window), "span long, key long, at long, far long")
     )

@@ -123,3 +123,21 @@ def test_partial_copies_in_lower_documents_hide_nothing(docs_of):
                 marks[key] = (case * 100 + len(parts), 40, 40 + n)
     found = {(x.doc_id, x.ref_doc_id, x.start_word, x.end_word) for x in repeated_passages(docs_of(rows)).collect()}
     assert found == {(key, *mark) for key, mark in marks.items()}
+
+
+def test_every_copy_within_a_document_is_found(docs_of):
+    r = random.Random(14)
+    passage, other = words(r, 60, 10**6, "p"), words(r, 70, 10**6, "o")
+    gap = [words(r, 90, 10**6) for _ in range(12)]
+    rows = [
+        (1, gap[0] + passage + gap[1] + other + gap[2] + other),
+        (2, gap[3] + passage + gap[4] + passage + gap[5] + passage),
+        (3, gap[6] + passage[20:40] + gap[7] + passage),  # a quotation before the passage
+        (4, other + gap[8] + other + gap[9] + other),
+    ]
+    found = {(x.doc_id, x.start_word, x.end_word) for x in repeated_passages(docs_of([(k, " ".join(w)) for k, w in rows])).collect()}
+    assert found >= {(2, 90, 150), (2, 240, 300), (2, 390, 450), (3, 200, 260), (4, 0, 70), (4, 160, 230), (4, 320, 390)}
+    assert {k for k, _, _ in found} == {2, 3, 4}
+    longer = [(1, " ".join(passage + gap[10])), (2, " ".join((gap[11] + passage) * 100))]
+    found = {(x.start_word, x.end_word) for x in repeated_passages(docs_of(longer)).collect()}
+    assert found == {(150 * i + 90, 150 * i + 150) for i in range(100)}
