@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from authscope.llm.text import mix, shingle_hashes, slices, text_buffer, word_hashes, word_spans
 from authscope.session import cut_lineage, shuffle_width
 
-SEED_WORDS = 8
-WINDOW = 16
+SEED_WORDS = 5
+WINDOW = 5
 MARGIN = 64
 #: Spans of so many successive minimizers are looked up beside single seeds.
 SPANS = (1, 2, 4, 8, 12)
@@ -245,20 +245,42 @@ def _same(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Matched places of the stretch from the start that pays best: a mismatch costs two matches."""
+def _reach(x: np.ndarray, y: np.ndarray, cost: int = 2) -> np.ndarray:
+    """Matched places, as rows, of the stretches from the start that pay best.
+
+    An unmatched word on the longer side costs ``cost`` matches; words may be added, left out or
+    replaced. After the equal start, stretches that cannot pay are not searched.
+    """
     n = min(len(x), len(y))
-    same = x[:n] == y[:n]
-    gains = np.cumsum(np.where(same, 1, -2))
-    end = int(np.argmax(gains)) + 1 if n and gains.max() > 0 else 0
-    return np.flatnonzero(same[:end])
+    unlike = np.flatnonzero(x[:n] != y[:n])
+    run = int(unlike[0]) if len(unlike) else n
+    start = np.stack([np.arange(run)] * 2, 1)
+    x, y = x[run:], y[run:]
+    for u, v in ((x, y), (y, x)):  # no more words match than occur on the other side
+        if not len(u) or ((1 + cost) * np.cumsum(np.isin(u, v)) - cost * np.arange(1, len(u) + 1)).max() <= 0:
+            return start
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, word in enumerate(x):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + (y == word)))
+    score = (1 + cost) * best - cost * np.maximum(np.arange(len(x) + 1)[:, None], np.arange(len(y) + 1))
+    i, j = np.unravel_index(np.argmax(score), score.shape)
+    on = []
+    while best[i, j]:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            on.append((i, j))
+        elif best[i - 1, j] == best[i, j]:
+            i -= 1
+        else:
+            j -= 1
+    return np.concatenate([start, np.array(on[::-1], np.int64).reshape(-1, 2) + run])
 
 
-def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS) -> np.ndarray:
+def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS, cost: int = 2) -> np.ndarray:
     """Matched words of two texts along a chain of seeds, as rows (place in x, place in y)."""
     parts = []
-    back = _reach(x[: xs[0]][::-1], y[: ys[0]][::-1])[::-1]
-    parts.append(np.stack([xs[0] - 1 - back, ys[0] - 1 - back], 1))
+    back = _reach(x[: xs[0]][::-1], y[: ys[0]][::-1], cost)[::-1]
+    parts.append(np.array([xs[0] - 1, ys[0] - 1]) - back)
     a, b = int(xs[0]), int(ys[0])  # matched up to here
     for p, q in zip(xs.tolist(), ys.tolist()):
         skip = max(a - p, b - q, 0)  # seeds may overlap
@@ -272,15 +294,16 @@ def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
         run = np.arange(k - skip)
         parts.append(np.stack([p + run, q + run], 1))
         a, b = p + k - skip, q + k - skip
-    on = _reach(x[a:], y[b:])
-    parts.append(np.stack([a + on, b + on], 1))
+    on = _reach(x[a:], y[b:], cost)
+    parts.append(on + (a, b))
     return np.concatenate(parts)
 
 
 def fuzzy_parts(matched: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, float]]:
     """Stretches of an alignment with enough words and enough of them equal.
 
-    A stretch with too few equal words is parted at its widest gap.
+    From one with too few equal words the longest good stretch is taken, then the rest is
+    searched; without a good one it is parted at its widest gap.
     """
     out, open_ = [], [(0, len(matched))]
     while open_:
@@ -295,7 +318,17 @@ def fuzzy_parts(matched: np.ndarray, min_words: int, identity: float) -> list[tu
         if share >= identity:
             out.append((int(p), int(r) + 1, int(q), int(s) + 1, float(share)))
             continue
-        cut = a + 1 + int(np.argmax(np.diff(matched[a:b], axis=0).max(axis=1)))
+        steps = np.diff(matched[a:b], axis=0).max(axis=1)
+        level = np.arange(b - a) - identity * np.concatenate([[0], np.cumsum(steps)])
+        # Good is a stretch u..v with level[u] <= level[v] + 1 - identity; take the first such u.
+        low = np.minimum.accumulate(level)
+        u = np.searchsorted(-low, -(level + 1 - identity + 1e-9))
+        v = int(np.argmax(np.arange(b - a) - u))
+        u = int(u[v])
+        if a + u < a + v and (matched[a + v] - matched[a + u]).max() + 1 >= min_words:
+            open_ += [(a, a + u), (a + u, a + v + 1), (a + v + 1, b)]
+            continue
+        cut = a + 1 + int(np.argmax(steps))
         open_ += [(a, cut), (cut, b)]
     return sorted(out)
 
@@ -316,7 +349,10 @@ def _aligned(batches, k: int, min_words: int, identity: float):
                 x0, y0 = max(0, lo - MARGIN), max(0, rlo - MARGIN)
                 at, ref_at = (np.frombuffer(v, np.int32).astype(np.int64) - o for v, o in ((xs, x0), (ys, y0)))
                 if at[-1] + k <= len(own) and ref_at[-1] + k <= len(words):
-                    for a, b, c, d, share in fuzzy_parts(align(own, words, at, ref_at, k), min_words, identity):
+                    parts = fuzzy_parts(align(own, words, at, ref_at, k), min_words, identity)
+                    # An edit near an end may take a passage under the limit: reach further, if it is short.
+                    parts = parts or fuzzy_parts(align(own, words, at, ref_at, k, 1), min_words, identity)
+                    for a, b, c, d, share in parts:
                         rows.append((owner, x0 + a, x0 + b, ref, y0 + c, y0 + d, share))
                 own = None
         if rows:

@@ -141,3 +141,21 @@ def test_every_copy_within_a_document_is_found(docs_of):
     longer = [(1, " ".join(passage + gap[10])), (2, " ".join((gap[11] + passage) * 100))]
     found = {(x.start_word, x.end_word) for x in repeated_passages(docs_of(longer)).collect()}
     assert found == {(150 * i + 90, 150 * i + 150) for i in range(100)}
+
+
+def test_edited_passages_are_found(docs_of):
+    r = random.Random(15)
+    rows, wanted = [], set()
+    for case in range(120):
+        n, share = ((60, 0.1), (60, 0.15), (120, 0.2))[case % 3]
+        first = words(r, n, 10**6, f"f{case}x")
+        second = list(first)
+        for i in sorted(r.sample(range(n), round(n * share)), reverse=True):
+            how = r.randrange(3)
+            second[i : i + (how > 0)] = [f"edit{case}x{i}"] * (how < 2)  # added, replaced or left out
+        for key, own in ((2 * case, first), (2 * case + 1, second)):
+            rows.append((key, " ".join(words(r, 40, 10**6) + own + words(r, 40, 10**6))))
+        wanted.add(2 * case + 1)
+    found = repeated_passages(docs_of(rows)).collect()
+    assert all(x.identity >= 0.8 and x.end_word - x.start_word >= 48 and x.ref_doc_id == x.doc_id - 1 for x in found)
+    assert len({x.doc_id for x in found} & wanted) >= 0.95 * len(wanted)
