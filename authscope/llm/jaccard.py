@@ -89,6 +89,16 @@ def _payload(batches, k: int):
             )
 
 
+def _named(batches, k: int):
+    """Texts with the ids of their sets; those without a shingle are left out."""
+    for piece in slices(batches):
+        ids = [set_id(s) if len(s) else None for _, s in _sets([piece], k)]
+        some = [i for i, n in enumerate(ids) if n is not None]
+        if some:
+            texts = piece.column("text").take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([texts, pa.array([ids[i] for i in some], pa.int64())], ["text", "of"])
+
+
 def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
     """Sizes of the intersections of the first ``split`` sets with the rest (with all, if 0)."""
     _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -201,9 +211,14 @@ def near_duplicates(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks")
     )
     asked = cut_lineage(candidates.join(extent, "component").select("sid", "component", "copies", "least", "blocks"))
+    wanted = ["text", "sid", "component", "copies", "blocks"]
+    # A set without a key is found by its id; one text of it is enough.
+    keyless = rows.where(F.col("key").isNull()).mapInArrow(lambda b: _named(b, k), "text string, of long").dropDuplicates(["of"])
+    keyless = keyless.join(asked.where(F.col("least").isNull()).hint("merge"), F.col("of") == F.col("sid")).select(F.lit(None).cast(kind).alias("key"), *wanted)
     payload = (
         rows.join(asked.hint("merge"), rows["key"] == asked["least"])
-        .select("key", "text", "sid", "component", "copies", "blocks")
+        .select("key", *wanted)
+        .union(keyless)
         .mapInArrow(lambda b: _payload(b, k), "sid long, component long, copies long, blocks long, shingles binary")
         .withColumn("block", F.expr("pmod(xxhash64(sid, 1), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))

@@ -105,3 +105,12 @@ def test_components_of_random_edges(spark):
     found = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {x.node: x.component for x in found} == {x: find(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_copies_without_a_key_are_linked(docs_of):
+    r = random.Random(31)
+    a, b, c = (words(r, 120, 10**6, p) for p in "abc")
+    near = [" ".join(w[:-1] + ["other"]) for w in (a, b)]
+    rows = [(7, " ".join(a)), (None, near[0]), (None, near[0]), (None, " ".join(b)), (None, near[1]), (None, " ".join(c)), (None, None), (None, "")]
+    found = sorted(((x.doc_id or 0, x.class_id or 0, x.n_links) for x in near_duplicates(docs_of(rows)).collect()))
+    assert found == sorted([(7, 7, 2), (0, 7, 2), (0, 7, 2), (0, 0, 1), (0, 0, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)])
