@@ -1,4 +1,4 @@
-"""Near duplicates: a MinHash LSH forest finds candidates, exact similarity decides."""
+"""Near duplicates: MinHash banding finds candidates, exact similarity decides."""
 
 from __future__ import annotations
 
@@ -174,8 +174,8 @@ def near_duplicates(
     to this one, copies included. Texts with equal sets are one set with a number of copies.
 
     Every set has a label of ``depth`` minimum hashes in each of the trees. Sets whose labels
-    share a prefix meet in a node of the sorted trie; prefixes are shortened until a link at
-    the threshold is found with chance ``target``. Nodes hand on only an edge to their least
+    share a prefix meet in a node. The length of the prefixes is fixed in advance: the longest
+    at which a link at the threshold is found with chance ``target``. Nodes hand on only an edge to their least
     set. The components of these edges are compared exactly, all pairs of a component: it is
     dealt into blocks of bounded size by a hash, each pair of blocks is a task of its own, and
     what it gives is a row for each set, never a list of pairs.
