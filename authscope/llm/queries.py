@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from authscope.llm.codes import vector_codes
+from authscope.llm.decontaminate import contaminated
 from authscope.llm.fingerprints import fingerprint_with_edits
 from authscope.llm.jaccard import near_duplicates
 from authscope.llm.language import identify
+from authscope.llm.lexical import ranked_search
+from authscope.llm.oracles import DECONTAMINATION, RANKED_SEARCH, VECTOR_CODES
 from authscope.llm.packing import pack
 from authscope.llm.passages import repeated_passages
 from authscope.llm.pieces import sample_pieces
@@ -24,6 +28,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, sf_dir))
 
@@ -64,6 +72,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
@@ -75,6 +95,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language": op10_language,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_ranked_search": RANKED_SEARCH,
+    "op12_decontamination": DECONTAMINATION,
+    "op13_vector_codes": VECTOR_CODES,
+}

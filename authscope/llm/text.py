@@ -80,14 +80,16 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the number of its first word.
 
-    Starts and ends count from the start of ``data``.
+    Starts and ends count from the start of ``data``. ``blank`` tells the bytes outside words.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
     inside = np.zeros(hi - lo + 2, bool)
-    np.logical_not(_SPACE[data[lo:hi]], out=inside[1:-1])
+    np.logical_not(blank[data[lo:hi]], out=inside[1:-1])
     flips = inside[1:] != inside[:-1]
     breaks = offsets[1:-1] - lo  # a text's end splits a run that goes on in the next text
     both = breaks[inside[breaks] & inside[breaks + 1]] if len(breaks) else breaks
@@ -111,6 +113,20 @@ _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_NO_TERM = _CLASS != 1
+
+
+def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the texts, and for each text the number of its first one.
+
+    A term is a run of ASCII letters, digits and other than ASCII characters; A to Z count as
+    a to z, and no other letter is folded.
+    """
+    data, offsets = text_buffer(texts)
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    data = _LOWER[data[lo:hi]]
+    starts, ends, first = word_spans(data, offsets - lo, _NO_TERM)
+    return span_hashes(data, starts, ends), first
 
 
 def token_hashes(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
