@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from authscope.llm.rules import _let
 from authscope.session import cut_lineage
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPAN = 10
 K = 5
@@ -23,29 +23,52 @@ PLACES = 16
 SENT = 100_000
 
 
+def _inner(split: Column) -> Column:
+    """The strings between breaks: all but an empty first and an empty last one."""
+
+    def inner(s: Column) -> Column:
+        first, last = (F.when(F.get(s, i) == "", 1).otherwise(0) for i in (F.lit(0), F.size(s) - 1))
+        return F.slice(s, first + 1, F.greatest(F.size(s) - first - last, F.lit(0)))
+
+    return _let(split, inner)
+
+
 def words_of(text: Column) -> Column:
-    """Words of a text with A to Z as a to z; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words of a text, runs of ASCII letters and digits and other than ASCII characters, A to Z
+    as a to z; a null text has none."""
+    return _inner(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK))
 
 
 def _grams(words: Column, k: int) -> Column:
     """Hashes of all ``k``-word grams, their low bits replaced by their place modulo ``PLACES``."""
     return F.transform(
-        F.when(F.size(words) < k, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(words) - (k - 1))),
+        F.sequence(F.lit(1), F.size(words) - (k - 1)),
         lambda i: F.xxhash64(F.slice(words, i, k)).bitwiseAND(F.lit(-PLACES)).bitwiseOR((i - 1) % PLACES),
     )
 
 
-def _winnowed(grams: Column, n_words: Column, window: int) -> Column:
-    """Fingerprints by window start; null where the window before it has the same, and to ``n_words``."""
+def _least(grams: Column, window: int) -> Column:
+    """The least of every ``window`` grams: of two, of four and so on, then of two overlapping runs."""
 
-    def least(i: Column) -> Column:
-        return F.when(i <= F.size(grams) - (window - 1), F.array_min(F.slice(grams, i, window)))
+    def of(values: Column, run: int) -> Column:
+        if run == window:
+            return values
+        step = min(run, window - run)
+        rest = F.size(values) - step
+        both = F.zip_with(F.slice(values, 1, rest), F.slice(values, step + 1, rest), lambda x, y: F.least(x, y))
+        return _let(both, lambda least: of(least, run + step))
+
+    return of(grams, 1)
+
+
+def _winnowed(grams: Column, window: int) -> Column:
+    """Fingerprints by window start; null where the window before it has the same."""
 
     def fresh(found: Column) -> Column:
-        return F.transform(found, lambda x, i: F.when((i == 0) | (F.get(found, i - 1) != x), x))
+        before = F.concat(F.array(F.lit(None).cast("long")), F.slice(found, 1, F.size(found) - 1))
+        return F.zip_with(found, before, lambda x, y: F.when(y.isNull() | (x != y), x))
 
-    return _let(F.transform(F.sequence(F.lit(1), n_words), least), fresh)
+    return _let(_least(grams, window), fresh)
 
 
 def _shape(length: int) -> tuple[int, int]:
@@ -55,13 +78,14 @@ def _shape(length: int) -> tuple[int, int]:
 
 
 def _seeds(words: Column, lengths: list[int]) -> Column:
-    """One array of all fingerprints: a stretch as long as the text for each length of span."""
+    """The fingerprints for each length of span, as (length, seeds)."""
 
     def of(length: int) -> Column:
         k, window = _shape(length)
-        return _let(_grams(words, k), lambda g: _winnowed(g, F.size(words), window))
+        seeds = _let(_grams(words, k), lambda g: _winnowed(g, window))
+        return F.when(F.size(words) >= length, F.struct(F.lit(length).alias("length"), seeds.alias("seeds")))
 
-    return F.when(F.size(words) == 0, F.array().cast("array<long>")).otherwise(F.flatten(F.array(*[of(n) for n in lengths])))
+    return F.array(*[of(n) for n in lengths])
 
 
 def _items(items: DataFrame, key: str, text: str, span: int) -> DataFrame:
@@ -125,7 +149,8 @@ def contaminated(
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     items = cut_lineage(_items(items, item_key, item_text, span))
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # ``span`` at most
-    counted = rows.select("key", F.md5("body").alias("of"), F.size(words_of(F.col("body"))).cast("long").alias("n_words"))
+    n_words = F.size(_inner(F.split("body", BREAK))).cast("long")
+    counted = rows.select("key", F.md5("body").alias("of"), n_words.alias("n_words"))
     if not lengths:
         hits = counted.where("false").select("of", F.col("n_words").alias("n_hit"), F.col("n_words").alias("n_items"), F.col("of").alias("ids"))
     else:
@@ -146,15 +171,10 @@ def _hits(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     windows = cut_lineage(windows)
     few = windows.count() <= SENT
     texts = rows.select(F.md5("body").alias("of"), words_of(F.col("body")).alias("words"))
-    seeds = texts.select("of", "words", _let(F.col("words"), lambda w: _seeds(w, lengths)).alias("seeds"))
-    seeds = seeds.select("of", "words", F.posexplode("seeds").alias("i", "seed")).where("seed IS NOT NULL")
-    n = F.size("words")
-    length = F.element_at(F.array(*[F.lit(x) for x in lengths]), F.floor(F.col("i") / n).cast("int") + 1)
-    window = F.col("i") % n
-    place = window + F.pmod(F.col("seed").bitwiseAND(F.lit(PLACES - 1)) - window, F.lit(PLACES)).cast("int")
-    seeds = seeds.select(
-        "of", "words", F.col("seed").bitwiseAND(F.lit(-PLACES)).alias("hash"), length.alias("length"), place.alias("place")
-    )
+    seeds = texts.select("of", "words", F.explode(_let(F.col("words"), lambda w: _seeds(w, lengths))).alias("found"))
+    seeds = seeds.select("of", "words", "found.length", F.posexplode("found.seeds").alias("window", "seed")).where("seed IS NOT NULL")
+    place = F.col("window") + F.pmod(F.col("seed").bitwiseAND(F.lit(PLACES - 1)) - F.col("window"), F.lit(PLACES)).cast("int")
+    seeds = seeds.select("of", "words", "length", F.col("seed").bitwiseAND(F.lit(-PLACES)).alias("hash"), place.alias("place"))
     if few:
         windows = F.broadcast(windows)
     else:  # only the words about the gram travel with a seed
