@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from itertools import chain, groupby, islice
 
 import numpy as np
@@ -15,6 +16,7 @@ from authscope.llm.text import slices, span_hashes
 from authscope.session import estimated_bytes
 
 VALUES = 128
+SAMPLE = 64
 _RANDOM = np.random.default_rng(20240229)
 _TIMES = _RANDOM.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -145,6 +147,29 @@ def _stream(batches, kind: str):
         yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*some), fields)], names)
 
 
+def _orderable(keys) -> list[tuple[bool, int]]:
+    """Keys given as text in ascending order of the numbers, null ones lowest."""
+    return [(False, 0) if k is None else (True, int(k)) for k in keys]
+
+
+def _cuts(rows: DataFrame, count: int) -> list[tuple]:
+    """Up to ``count`` rows as (key, hash), ascending, that part the rows evenly; the last is the highest.
+
+    The sample goes by a hash of the row, so it is the same on any partitioning.
+    """
+    order = F.struct("key", "hash")
+    seen = rows.agg(F.count("*").alias("n"), F.max(order).alias("top")).first()
+    if not seen["n"]:
+        return []
+    every = max(1, seen["n"] // (count * SAMPLE))
+    some = rows.where(F.expr(f"pmod(xxhash64(key, hash), {every}) = 0")).select("key", "hash").distinct().collect()
+    found = sorted(((r["key"] is not None, r["key"] or 0), r["hash"]) for r in some)
+    top = ((seen["top"]["key"] is not None, seen["top"]["key"] or 0), seen["top"]["hash"])
+    if len(found) > count:
+        found = [found[(i + 1) * len(found) // count - 1] for i in range(count)]
+    return sorted({*found, top})
+
+
 def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 1 << 23) -> DataFrame:
     """Fingerprints of every text and of the text with its second half replaced.
 
@@ -152,33 +177,33 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
     in descending order of ``key``; after the last row comes the first. The likeness to the
     edited text and to the next text is the share of equal signature values, 0 to 1.
 
-    ``key`` is an integer. One pass over the keys finds buckets of about equal size, cut at
-    keys that occur; the text is shuffled once, each bucket sorted, and the first row of a
-    bucket is sent to its neighbour as well, so no bucket waits for another one. Equal keys go
-    by text; null keys come last; a null text is empty. The empty text's fingerprint is that of
-    no phrase, fully like another one's. A single row is its own next. No rows give no rows.
+    ``key`` is an integer of up to 64 bits. Rows are in order of (key, hash of the text, text), so
+    that rows of one key spread over buckets as well. A keyed sample of that order, of at most some
+    ``SAMPLE`` rows a bucket, gives cuts that are rows of the table; the text is shuffled once, each
+    bucket sorted, and the first row of a bucket is sent to its neighbour as well, so no bucket waits
+    for another one. Null keys come last; a null text is empty. The empty text's fingerprint is
+    that of no phrase, fully like another one's. A single row is its own next. No rows give no rows.
     Only the key and the text are read, so other columns may have any names.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select("key", F.xxhash64("text").alias("hash"), "text")
     count = int(min(1 << 14, max(8, estimated_bytes(docs) // bucket_bytes)))
-    shares = [(i + 1) / count for i in range(count)]
-    cuts = rows.agg(F.percentile_approx("key", shares, max(10_000, 20 * count))).first()[0]
-    known = np.unique(np.array(cuts or [], np.int64))
+    known = _cuts(rows, count)
 
     @F.pandas_udf("array<struct<bucket:int,tail:boolean>>")
-    def places(keys: pd.Series) -> pd.Series:
-        empty = keys.isna().to_numpy()
-        ids = keys.fillna(0).to_numpy().astype(np.int64)
-        at = np.where(empty, 0, np.searchsorted(known, ids))
-        first = ~empty & (known[np.minimum(at, len(known) - 1)] == ids) if len(known) else empty & False
-        after = (at + 1) % max(1, len(known))
-        return pd.Series([[(b, False), (c, True)] if f else [(b, False)] for b, c, f in zip(at.tolist(), after.tolist(), first.tolist())])
-
+    def places(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(_orderable(keys), hashes.tolist()):
+            at = bisect_left(known, row)
+            out.append([(at, False), ((at + 1) % len(known), True)] if known[at] == row else [(at, False)])
+        return pd.Series(out)
+
+    # Strings for the keys, as a nullable integer column would pass through doubles.
     dealt = (
-        rows.select("key", "text", F.inline(places("key")))
+        rows.select("key", "hash", "text", F.inline(places(F.col("key").cast("string"), "hash")))
         .repartitionById(max(1, len(known)), F.col("bucket"))
-        .sortWithinPartitions("bucket", "tail", F.col("key").desc_nulls_last(), F.col("text").asc_nulls_first())
+        .sortWithinPartitions("bucket", "tail", F.col("key").desc_nulls_last(), F.desc("hash"), "text")
     )
     alias = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind]
     return dealt.mapInArrow(lambda b: _stream(b, alias), _OUT.format(kind)).withColumnRenamed("key", key)

@@ -91,3 +91,39 @@ def test_shards_of_odd_rows(docs_of):
     assert all(x.law == "bytes" and x.grown_shard is None for x in rows)
     assert shard_by_bytes(docs_of([])).count() == 0
     assert [x.shard for x in shard_by_bytes(docs_of([(1, "a")])).collect()] == [8]
+
+
+def expected(rows):
+    """Edited texts by row, in descending order of (key, hash of the text)."""
+    out = []
+    for i, (_, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        out.append(hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest())
+    return out
+
+
+def test_edits_of_keys_beyond_doubles(docs_of):
+    r = random.Random(34)
+    for keys in (
+        [2**60 + i for i in range(60)],
+        [-(2**62) - i for i in range(60)],
+        [r.randrange(-(2**63), 2**63) for _ in range(300)],
+    ):
+        rows = sorted(((k, " ".join(words(r, r.randrange(1, 40)))) for k in keys), reverse=True)
+        found = {x.doc_id: x.edited_sha256 for x in fingerprint_with_edits(docs_of(rows), bucket_bytes=1).collect()}
+        assert found == dict(zip([k for k, _ in rows], expected(rows), strict=True))
+
+
+def test_one_key_of_very_many_texts_is_spread(spark, docs_of, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from authscope.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "SAMPLE", 4)
+    rows = [(7, f"text number {i} of one key") for i in range(10_000)] + [(9, "above"), (3, "below"), (None, "no key")]
+    hashes = {t: h for t, h in docs_of(rows).select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]), reverse=True)
+    cuts = fingerprints._cuts(docs_of(rows).select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash")), 16)
+    assert 16 <= len(cuts) <= 17  # the highest row ends the last range
+    found = fingerprint_with_edits(docs_of(rows), bucket_bytes=1 << 17).select("doc_id", "edited_sha256").collect()
+    assert sorted((x[0] or 0, x[1]) for x in found) == sorted((k or 0, e) for (k, _), e in zip(order, expected(order), strict=True))
