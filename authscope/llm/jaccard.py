@@ -1,4 +1,4 @@
-"""Near duplicates: MinHash banding finds candidates, exact similarity decides."""
+"""Near duplicates: an LSH forest of minimum hashes finds candidates, exact similarity decides."""
 
 from __future__ import annotations
 
@@ -18,14 +18,15 @@ BLOCK_SHINGLES = 1 << 18
 BLOCK_SETS = 512
 
 
-def matched_depth(threshold: float, target: float, trees: int, depth: int) -> int:
-    """Length of the label prefixes that must match in some tree.
+def found_chance(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """Chance that two sets of this similarity share a prefix of ``depth`` labels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
-    A pair of similarity s agrees in a prefix of length d with chance s**d in each tree. From
-    full labels on, prefixes are shortened until a pair at the threshold, the hardest one to
-    find, is found with the target chance.
-    """
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+
+def least_depth(threshold: float, target: float, trees: int, depth: int) -> int:
+    """Length below which prefixes need not be shortened: a link at the threshold, the hardest
+    one to find, is found there with the target chance."""
+    while depth > 1 and found_chance(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
@@ -62,19 +63,14 @@ def _sets(batches, k: int):
 
 
 def _signatures(batches, k: int, trees: int, depth: int, kind: pa.DataType):
-    forest, rows = _Forest(trees, depth), []
-
-    def out():
-        columns = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int32(), pa.binary()))], ["key", "sid", "n", "labels"])
-
-    for key, shingles in _sets(batches, k):
-        rows.append((key, set_id(shingles), len(shingles), forest.labels(shingles) if len(shingles) else None))
-        if len(rows) == 2000:
-            yield out()
-            rows = []
-    if rows:
-        yield out()
+    forest, types = _Forest(trees, depth), (kind, pa.string(), pa.int64(), pa.int32(), pa.binary())
+    for piece in slices(batches):
+        rows = [
+            (key, of, set_id(s), len(s), forest.labels(s) if len(s) else None)
+            for of, (key, s) in zip(piece.column("of").to_pylist(), _sets([piece], k))
+        ]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "of", "sid", "n", "labels"])
 
 
 def _payload(batches, k: int):
@@ -119,11 +115,13 @@ def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out
 
 
-def _links(group: pa.Table, threshold: float) -> pa.Table:
+def _links(group: pa.Table, threshold: float, trees: int, depth: int) -> pa.Table:
     """Exact similarities within a block, or between two blocks, of a component.
 
-    Gives for each set with links the number of texts at its other ends, and the least set
-    that it is connected with here; pairs are not listed.
+    Gives for each set with links the number of texts at its other ends, the least set that it
+    is connected with here, the number of its links and, for each length of prefix from 1 to
+    ``depth``, how many links stand behind these: each counts once over its chance of being
+    found at that length. Pairs are not listed.
     """
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     group = group.sort_by([("block", "ascending"), ("sid", "ascending")])
@@ -134,6 +132,7 @@ def _links(group: pa.Table, threshold: float) -> pa.Table:
     split = int(np.searchsorted(block, j)) if i != j else 0
     n, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
     links, root = np.zeros(n, np.int64), np.arange(n)
+    pairs, behind = np.zeros(n, np.int64), np.zeros((n, depth))
     if n > max(1, split) and (i == j or split):
         common = _intersections(sets, split).astype(np.float64)
         union = sizes[: split or n, None] + sizes[None, split:] - common
@@ -143,6 +142,12 @@ def _links(group: pa.Table, threshold: float) -> pa.Table:
             links = near @ copies
         else:
             links = np.concatenate([near @ copies[split:], copies[:split] @ near])
+        u, v = np.nonzero(near)
+        alike = np.minimum(1.0, common[u, v] / union[u, v])
+        for ends in (u,) if i == j else (u, v + split):
+            pairs += np.bincount(ends, minlength=n)
+            for d in range(depth):
+                behind[:, d] += np.bincount(ends, 1 / found_chance(alike, d + 1, trees), n)
         while True:  # every set takes the least number among its neighbours'
             new = root.copy()
             top, low = root[: split or n], root[split:]
@@ -153,7 +158,17 @@ def _links(group: pa.Table, threshold: float) -> pa.Table:
                 break
             root = new
     some = links > 0
-    return pa.table({"sid": sid[some], "links": links[some], "other": sid[root[some]]})
+    component = pa.array(np.full(int(some.sum()), group.column("component")[0].as_py()), pa.int64())
+    return pa.table(
+        {
+            "component": component,
+            "sid": sid[some],
+            "links": links[some],
+            "other": sid[root[some]],
+            "pairs": pairs[some],
+            "behind": pa.array(list(behind[some]), pa.list_(pa.float64())),
+        }
+    )
 
 
 def near_duplicates(
@@ -165,6 +180,7 @@ def near_duplicates(
     target: float = 0.99999,
     trees: int = TREES,
     depth: int = DEPTH,
+    report: list | None = None,
 ) -> DataFrame:
     """Classes of near duplicates: a row (key, class_id, n_links) for each row of ``docs``.
 
@@ -173,30 +189,32 @@ def near_duplicates(
     component of the links, named by its least key; ``n_links`` counts the other rows linked
     to this one, copies included. Texts with equal sets are one set with a number of copies.
 
-    Every set has a label of ``depth`` minimum hashes in each of the trees. Sets whose labels
-    share a prefix meet in a node. The length of the prefixes is fixed in advance: the longest
-    at which a link at the threshold is found with chance ``target``. Nodes hand on only an edge to their least
-    set. The components of these edges are compared exactly, all pairs of a component: it is
+    Every set has a label of ``depth`` minimum hashes in each of the trees, and sets whose labels
+    share a prefix meet in a node of the tree's trie. The search starts from whole labels. After
+    the links there are verified, their similarities tell how many links there should be: a link
+    of similarity s is found with chance 1 - (1 - s**d) ** trees at prefixes of length d, so each
+    one found stands for one over that chance. While the share found is below ``target``, or
+    nothing is found that tells it, the prefixes are shortened by one; at the latest they end
+    where even a link at the threshold is found with that chance. Tables of copies that are nearly
+    equal so keep long prefixes and few candidates. ``report``, if given, gets a (depth, links, recall) for
+    each length tried.
+
+    Nodes hand on only an edge to their least set. The components of these edges are compared
+    exactly, all pairs of a component that is new at this length: it is
     dealt into blocks of bounded size by a hash, each pair of blocks is a task of its own, and
     what it gives is a row for each set, never a list of pairs.
 
     A null or empty text, or one without a word, has no shingles: its class is its own key,
     without links. Repeated rows are copies of each other. Rows with equal keys are taken one
     by one. A null key stays null and names a class only if the class has no other key. No rows
-    give no rows. Only the key and the text are read from ``docs``.
+    give no rows. Texts of any length count whole. Only the key and the text are read from ``docs``.
     """
-    d = matched_depth(threshold, target, trees, depth)
-    kind = docs.schema[key].dataType.simpleString()
-    alias = pa.type_for_alias({"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind])
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = cut_lineage(
-        rows.mapInArrow(lambda b: _signatures(b, k, trees, depth, alias), f"key {kind}, sid long, n int, labels binary")
-    )
-    sets = cut_lineage(
-        signed.where("n > 0")
-        .groupBy("sid")
-        .agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.first("n").alias("n"), F.first("labels").alias("labels"))
-    )
+    classes = _classes(docs, key, text, k, threshold, target, trees, depth, report)
+    return classes.select(F.col("key").alias(key), "class_id", "n_links")
+
+
+def _nodes(sets: DataFrame, d: int, trees: int, depth: int) -> DataFrame:
+    """Edges from each set to the least set that has the same first ``d`` labels in a tree."""
     nodes = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.xxhash64(t, F.substring("labels", t * (2 * depth) + 1, F.lit(2 * d))),
@@ -204,17 +222,19 @@ def near_duplicates(
     entries = sets.select("sid", F.explode(nodes).alias("node"))
     shared = entries.groupBy("node").agg(F.count("*").alias("size"), F.min("sid").alias("head")).where("size > 1")
     shared = cut_lineage(shared)  # apart from the join, which can then part the sets of a large node
-    # Both joins by shuffle at any size: what they are joined with grows with the input.
-    met = entries.join(shared.hint("merge"), "node").where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
-    candidates = connected_components(met).select(F.col("node").alias("sid"), "component").join(sets.drop("labels"), "sid")
-    extent = candidates.groupBy("component").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks")
-    )
-    asked = cut_lineage(candidates.join(extent, "component").select("sid", "component", "copies", "least", "blocks"))
+    # By shuffle at any size: what it is joined with grows with the input.
+    met = entries.join(shared.hint("merge"), "node").where("sid <> head")
+    return met.select(F.col("sid").alias("u"), F.col("head").alias("v"))
+
+
+def _verified(rows: DataFrame, asked: DataFrame, k: int, threshold: float, trees: int, depth: int) -> DataFrame:
+    """Links of the sets asked for, see ``_links``."""
+    kind = rows.schema["key"].dataType.simpleString()
     wanted = ["text", "sid", "component", "copies", "blocks"]
     # A set without a key is found by its id; one text of it is enough.
-    keyless = rows.where(F.col("key").isNull()).mapInArrow(lambda b: _named(b, k), "text string, of long").dropDuplicates(["of"])
-    keyless = keyless.join(asked.where(F.col("least").isNull()).hint("merge"), F.col("of") == F.col("sid")).select(F.lit(None).cast(kind).alias("key"), *wanted)
+    keyless = rows.where(F.col("key").isNull()).select("key", "text").mapInArrow(lambda b: _named(b, k), "text string, of long")
+    keyless = keyless.dropDuplicates(["of"]).join(asked.where(F.col("least").isNull()).hint("merge"), F.col("of") == F.col("sid"))
+    keyless = keyless.select(F.lit(None).cast(kind).alias("key"), *wanted)
     payload = (
         rows.join(asked.hint("merge"), rows["key"] == asked["least"])
         .select("key", *wanted)
@@ -224,9 +244,61 @@ def near_duplicates(
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "copies", "shingles")
     )
-    found = cut_lineage(
-        payload.groupBy("component", "i", "j").applyInArrow(lambda g: _links(g, threshold), "sid long, links long, other long")
+    return payload.groupBy("component", "i", "j").applyInArrow(
+        lambda g: _links(g, threshold, trees, depth),
+        "component long, sid long, links long, other long, pairs long, behind array<double>",
+    )
+
+
+def _search(
+    rows: DataFrame, sets: DataFrame, k: int, threshold: float, target: float, trees: int, depth: int, report: list | None
+) -> DataFrame:
+    """Links of all sets, from whole labels down to prefixes short enough for the target."""
+    found = known = None
+    for d in range(depth, least_depth(threshold, target, trees, depth) - 1, -1):
+        members = connected_components(_nodes(sets, d, trees, depth)).select(F.col("node").alias("sid"), "component")
+        members = cut_lineage(members.join(sets.drop("labels"), "sid"))
+        extent = cut_lineage(
+            members.groupBy("component").agg(
+                F.count("*").alias("members"),
+                F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks"),
+            )
+        )
+        # Shorter prefixes only merge components, so one of the same name and size is the same.
+        new = extent if known is None else extent.join(known, ["component", "members"], "left_anti")
+        asked = cut_lineage(members.join(new, "component").select("sid", "component", "copies", "least", "blocks"))
+        more = cut_lineage(_verified(rows, asked, k, threshold, trees, depth))
+        if found is None:
+            found = more
+        else:
+            same = extent.join(known.select("component", "members"), ["component", "members"], "left_semi")
+            found = found.join(same.select("component"), "component", "left_semi").unionByName(more)
+        known = extent.select("component", "members")
+        told = found.agg(F.sum("pairs").alias("pairs"), F.sum(F.element_at("behind", d)).alias("behind")).first()
+        recall = told["pairs"] / told["behind"] if told["pairs"] else 0.0
+        if report is not None:
+            report.append((d, (told["pairs"] or 0) // 2, recall))
+        if recall >= target:
+            break
+    return found
+
+
+def _classes(
+    docs: DataFrame, key: str, text: str, k: int, threshold: float, target: float, trees: int, depth: int, report: list | None = None
+) -> DataFrame:
+    """A row for each row of ``docs``: (key, of, class_id, n_links), ``of`` the text's md5 digest."""
+    kind = docs.schema[key].dataType.simpleString()
+    alias = pa.type_for_alias({"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind])
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("of"))
+    signed = cut_lineage(
+        rows.mapInArrow(lambda b: _signatures(b, k, trees, depth, alias), f"key {kind}, of string, sid long, n int, labels binary")
+    )
+    sets = cut_lineage(
+        signed.where("n > 0")
+        .groupBy("sid")
+        .agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.first("n").alias("n"), F.first("labels").alias("labels"))
     )
+    found = _search(rows.select("key", "text"), sets, k, threshold, target, trees, depth, report)
     classes = connected_components(found.select(F.col("sid").alias("u"), F.col("other").alias("v")))
     linked = found.groupBy("sid").agg(F.sum("links").alias("links")).join(classes.withColumnRenamed("node", "sid"), "sid")
     linked = cut_lineage(linked.join(sets.select("sid", "least"), "sid"))
@@ -234,21 +306,37 @@ def near_duplicates(
     linked = linked.join(names, "component").select("sid", "links", "class")
     known = cut_lineage(sets.select("sid", "copies", "least").join(linked, "sid", "left"))
     return (
-        signed.select("key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+        signed.select("key", "of", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
         .join(known, "sid", "left")
         .select(
-            F.col("key").alias(key),
+            "key",
+            "of",
             F.coalesce("class", "least", "key").alias("class_id"),
             F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
         )
     )
 
 
-def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    k: int = 5,
+    threshold: float = 0.8,
+    target: float = 0.99999,
+    trees: int = TREES,
+    depth: int = DEPTH,
+) -> DataFrame:
     """The rows of ``docs``, all columns, less those whose class is named by another row.
 
-    A row with a null key stays. Rows with equal keys stay or go by their own texts' classes.
+    A row with a null key stays. Rows with equal keys stay or go by their own texts' classes: a
+    row is told by key and text. Rows alike in both are one document and stay or go together. No
+    rows give no rows.
     """
-    classes = near_duplicates(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", **how)
-    named = classes.where(F.col("class_id") != F.col("id")).select(F.col("id").alias(key)).distinct()
-    return docs.join(named, key, "left_anti").select(*docs.columns)
+    classes = _classes(docs, key, text, k, threshold, target, trees, depth)
+    kept = classes.where("key IS NULL OR class_id = key").select("key", "of").distinct()
+    rows = docs.select(
+        F.col(key).alias("k"), F.md5(F.coalesce(text, F.lit(""))).alias("o"), F.struct(*docs.columns).alias("row")
+    )
+    held = rows.join(kept, F.col("k").eqNullSafe(F.col("key")) & (F.col("o") == F.col("of")), "left_semi")
+    return held.select(*(F.col(f"row.`{n}`").alias(n) for n in docs.columns))

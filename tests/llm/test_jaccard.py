@@ -7,7 +7,7 @@ import pytest
 
 from authscope.llm import jaccard
 from authscope.llm.components import connected_components
-from authscope.llm.jaccard import keep_one_of_each, matched_depth, near_duplicates
+from authscope.llm.jaccard import found_chance, keep_one_of_each, least_depth, near_duplicates
 
 from .conftest import ODD, known, words
 
@@ -83,9 +83,9 @@ def test_one_of_each_group_stays(docs_of, rows):
 
 
 def test_prefixes_are_shortened_until_the_target():
-    assert matched_depth(0.8, 0.99999, 24, 6) == 4
-    assert matched_depth(0.8, 0.9, 24, 6) == 6
-    assert matched_depth(0.1, 0.99999, 2, 6) == 1
+    assert least_depth(0.8, 0.99999, 24, 6) == 4
+    assert least_depth(0.8, 0.9, 24, 6) == 6
+    assert least_depth(0.1, 0.99999, 2, 6) == 1
 
 
 def test_components_of_random_edges(spark):
@@ -114,3 +114,46 @@ def test_near_copies_without_a_key_are_linked(docs_of):
     rows = [(7, " ".join(a)), (None, near[0]), (None, near[0]), (None, " ".join(b)), (None, near[1]), (None, " ".join(c)), (None, None), (None, "")]
     found = sorted(((x.doc_id or 0, x.class_id or 0, x.n_links) for x in near_duplicates(docs_of(rows)).collect()))
     assert found == sorted([(7, 7, 2), (0, 7, 2), (0, 7, 2), (0, 0, 1), (0, 0, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)])
+
+
+def alike(r, share, n, words_each=300):
+    """Pairs of texts of which about this share of the shingles is equal."""
+    out = []
+    for i in range(n):
+        a = words(r, words_each, 10**6, f"p{i}x")
+        cut = round(words_each * share)
+        out += [" ".join(a), " ".join(a[:cut] + words(r, words_each - cut, 10**6, f"q{i}x"))]
+    return out
+
+
+def test_prefixes_are_as_short_as_the_data_need(docs_of):
+    """Pairs that are nearly equal are all found by whole labels; those near the threshold are not."""
+    r, reports = random.Random(32), {}
+    for name, share in (("near", 0.99), ("far", 0.905)):
+        rows = list(enumerate(alike(r, share, 60)))
+        report = []
+        found = near_duplicates(docs_of(rows, clashing=False), report=report).collect()
+        assert sorted((x.doc_id, x.class_id, x.n_links) for x in found) == by_hand(rows)
+        assert [d for d, _, _ in report] == list(range(6, 6 - len(report), -1))
+        reports[name] = report
+    assert len(reports["near"]) == 1 and reports["near"][0][2] > 0.99999
+    assert len(reports["far"]) > 1 and reports["far"][0][2] < 0.99999
+    assert found_chance(0.8, 4, 24) > 0.99999 > found_chance(0.8, 5, 24)
+
+
+def test_recall_at_each_length_is_the_share_of_links_found(docs_of):
+    """With two trees most links are missed by long prefixes; the estimate must tell how many."""
+    rows = list(enumerate(alike(random.Random(33), 0.95, 400, 100)))
+    true = sum(n for _, _, n in by_hand(rows)) // 2
+    report = []
+    near_duplicates(docs_of(rows, clashing=False), trees=2, depth=6, report=report).collect()
+    assert len(report) > 2
+    for _, links, recall in report:
+        assert abs(links / true - recall) < 0.12
+    assert [n for _, n, _ in report] == sorted(n for _, n, _ in report)
+
+
+def test_rows_with_one_key_go_by_their_own_texts(docs_of):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    kept = keep_one_of_each(docs_of([(1, a), (5, a), (5, b), (None, a)]))
+    assert sorted((known(x.doc_id), x.text) for x in kept.collect()) == [(-1, a), (1, a), (5, b)]
