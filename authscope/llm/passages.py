@@ -360,6 +360,22 @@ def _aligned(batches, k: int, min_words: int, identity: float):
             rows = []
 
 
+def _clashing(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys that stand for different texts, with the least digest of those; seldom any."""
+    of = F.md5(F.coalesce(text, F.lit("")))
+    both = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("twice"))
+    return cut_lineage(both.agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("twice", "low"))
+
+
+def _told_apart(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with ``searched``: whether a row's text is the one that its key stands for here."""
+    clashing = _clashing(rows, key, text)
+    if clashing.isEmpty():
+        return rows.withColumn("searched", F.lit(True))
+    held = rows.join(clashing.hint("merge"), F.col(key) == F.col("twice"), "left")
+    return held.withColumn("searched", F.col("low").isNull() | (F.col("low") == F.md5(F.coalesce(text, F.lit(""))))).drop("twice", "low")
+
+
 def repeated_passages(
     docs: DataFrame,
     key: str = "doc_id",
@@ -386,12 +402,15 @@ def repeated_passages(
     such span in parts of less than ``min_words``. The matches of two documents are chained with
     gap costs; chains are aligned word by word within a margin around them.
 
-    Rows with equal keys are taken as one document. A row with a null key is not searched. A
+    Rows with equal keys and texts are one document; of different texts under one key the one with
+    the least md5 digest is searched, the others are left alone. A row with a null key is not searched.
+    Of chains with equal scores the one that ends first comes first. Texts of any length are searched whole. A
     null, empty or shorter text has no passage; so has a passage that repeats only within its
     own document. Equal texts give the whole text as a passage of all but the lowest. No rows
     give no rows. Only the key and the text are read.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = _told_apart(rows, "key", "text").where("searched").drop("searched")
     seeds = cut_lineage(rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int, kind byte"))
     first = seeds.where(F.col("kind") != LATER).groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
     first = cut_lineage(first)  # apart from the join, which can then part the rows of a frequent seed
@@ -461,13 +480,16 @@ def _without(batches):
 def cut_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the passages cut out of their texts; all columns stay.
 
-    A row without passages stays as it is; one that is nothing else has an empty text.
+    A row without passages stays as it is; one that is nothing else has an empty text. Of rows with
+    one key and different texts only those with the searched text (see ``repeated_passages``) are cut.
     """
     spans = passages.select(F.col(key).alias("_key"), F.struct("start_word", "end_word").alias("span"))
     spans = spans.groupBy("_key").agg(F.collect_set("span").alias("spans"))  # bounded by a text's length
     rest = [n for n in docs.columns if n != text]
     # Other columns travel in one struct, so that none can clash with the names used here.
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"), F.struct(*rest).alias("rest"))
-    held = rows.join(spans.hint("merge"), rows["_id"] == spans["_key"], "left").select("rest", "spans", "text")
+    rows = _told_apart(rows, "_id", "text")
+    held = rows.join(spans.hint("merge"), rows["_id"] == spans["_key"], "left")
+    held = held.select("rest", F.when(F.col("searched"), F.col("spans")).alias("spans"), "text")
     cut = held.mapInArrow(_without, f"rest {rows.schema['rest'].dataType.simpleString()}, text string")
     return cut.select(*(F.col("text").alias(text) if n == text else F.col(f"rest.`{n}`").alias(n) for n in docs.columns))

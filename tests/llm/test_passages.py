@@ -159,3 +159,17 @@ def test_edited_passages_are_found(docs_of):
     found = repeated_passages(docs_of(rows)).collect()
     assert all(x.identity >= 0.8 and x.end_word - x.start_word >= 48 and x.ref_doc_id == x.doc_id - 1 for x in found)
     assert len({x.doc_id for x in found} & wanted) >= 0.95 * len(wanted)
+
+
+def test_different_texts_under_one_key(docs_of):
+    r = random.Random(16)
+    passage = words(r, 60, 10**6, "p")
+    rows = [(1, " ".join(passage)), (5, " ".join(words(r, 40) + passage + words(r, 5))), (5, "a short one"), (5, "")]
+    for some in (rows, rows[:3], rows[:2], rows[:1] + rows[1:2] * 2):
+        docs = docs_of(some)
+        cut = sorted((x.doc_id, x.text) for x in cut_passages(docs, repeated_passages(docs)).collect())
+        whole = sorted(some)
+        assert len(cut) == len(some)
+        # the long text is cut if it stands for the key, and no other one is touched
+        assert all(got == own or (own == rows[1] and got[1] == " ".join(own[1].split()[:40] + own[1].split()[100:])) for got, own in zip(cut, whole, strict=True))
+    assert cut[1] == cut[2] != rows[1]
