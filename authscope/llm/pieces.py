@@ -16,6 +16,8 @@ SPACE = "▁"
 SEED = 5
 #: Units whose lattice is kept by a worker.
 KEPT = 200_000
+#: Edges that a worker keeps, of some 20 bytes; a slice of text may add as many as it has.
+KEPT_EDGES = 4_000_000
 #: Characters of new units whose lattices are built at once.
 GROUP_CHARS = 100_000
 
@@ -258,7 +260,7 @@ def units_of(text: str) -> list[str]:
 
 def encode(texts: list[str], keys: np.ndarray, lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all texts, and where each text's ones begin."""
-    if len(lattices) > KEPT:
+    if len(lattices) > KEPT or len(lattices.edges[0]) > KEPT_EDGES:
         lattices.forget()
     parts = [units_of(t) for t in texts]
     units = np.fromiter(map(lattices.__getitem__, chain.from_iterable(parts)), np.int64)

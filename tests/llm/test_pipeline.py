@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.conftest import words
+from tests.llm.conftest import ODD, words
 from tests.llm.test_jaccard import by_hand, edited
 from tests.llm.test_packing import by_hand as packed_by_hand
 
@@ -48,5 +48,27 @@ def test_stages_in_order_over_a_small_corpus(spark, tmp_path, docs_of, labels_of
 
 def test_every_operator_is_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in driver.queries() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path, docs_of, labels_of):
+    r = random.Random(20)
+    clean = [(i, " ".join(words(r, r.randrange(60, 120), 10**6))) for i in range(60)]
+    junk = [(1000 + i, " ".join(x + "|" for x in words(r, 60))) for i in range(40)]
+    long_one = (2000, " ".join(words(r, 20_000, 10**6)))
+    same_key = [(3, " ".join(words(r, 80, 10**6, "s"))), (3, "")]
+    for n, rows in enumerate((clean + junk + [long_one, *same_key] + clean[:5] + ODD, [])):
+        docs_of(rows).coalesce(2).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        labels = [(k, int(k < 1000), 0) for k, _ in clean + junk if k % 2]
+        labels_of(labels if rows else []).write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{n}/documents.parquet")
+        for m, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, f"{tmp_path}/{n}")
+            if m < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{n}/out{m}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}/out{m}")
+        kept = {x.doc_id for x in docs.collect()}
+        # resampling draws by weight, so a few rows may go
+        assert len(kept & {k for k, _ in clean}) >= 55 if rows else not kept
