@@ -5,9 +5,13 @@ Two ways to grow, chosen by the size of a tree's sample:
 * up to ``GROUP_ROWS`` rows per tree (the default of 256 is far below): the samples are
   partitioned by tree and each is grown in its own group. The whole forest is one job, and
   no group holds more than a tree's sample.
-* larger samples are drawn by the same rule; each level aggregates ``(tree, node)`` with map-side combine and sends
-  the chosen splits back to the rows; a node is left alone once it is small, and all small
-  nodes are finished together by the first way.
+* larger samples are drawn by the same rule, but no row is ever written once per tree: the rows are
+  kept once, and for each level every task walks its rows down the nodes chosen so far, tree by
+  tree in numpy, and hands on counts and ranges by ``(tree, node)``, which merge. A node is left alone
+  once it is small, and the rows of all small nodes then go to the first way in one shuffle.
+
+A forest of any size scores, cuts and flags: a small one in one walk, a large one in parts of its node
+table of bounded size, with the path lengths so far carried along by the rows.
 
 All draws are keyed by seed, tree and node, so the forest is the same on any partitioning,
 and the first k trees of a larger forest are the forest of k trees.
@@ -22,6 +26,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,12 +34,12 @@ from pyspark.sql import functions as F
 from authscope.functions.draws import SPAN, digest32, key_text, uniform, uniform_sql
 from authscope.operators.quantile import exact_percentile
 from authscope.operators.scaler import Scaler, fit_scaler
+from authscope.operators.sketches import sketched_quantile
 from authscope.schemas import AUTO_SAMPLE, DEFAULT_SEED, DEFAULT_TREES
 from authscope.session import cut_lineage, shuffle_width, spread
 
 GROUP_ROWS = 65536
 BROADCAST_NODES = 4_000_000
-LEVELS_PER_WRITE = 4
 CUT_BINS = 2048
 ROWS_PER_TASK = 20_000
 PRIME = 2147483647  # 2 ** 31 - 1
@@ -94,25 +99,39 @@ def _multipliers(seed: int, trees: int) -> list[tuple[int, int, int]]:
     return [(t, number("mul", t) % (PRIME - 1) + 1, number("add", t) % PRIME) for t in range(trees)]
 
 
-def _per_tree(rows: DataFrame, seed: int, trees: int, groups: int) -> DataFrame:
-    """Each row once per tree with its draw there: one digest per row, a linear hash per tree.
+def _with_digest(rows: DataFrame, seed: int) -> DataFrame:
+    """One digest a row, from which its draws in all trees follow."""
+    return rows.withColumn("_x", digest32(F.lit(f"{seed}:row"), "_key") % F.lit(PRIME))
+
+
+def _drawn(rows: DataFrame, seed: int, trees: int, below: Sequence[int]) -> DataFrame:
+    """Each row once for every tree in which its draw is below the bound of the tree's group.
 
-    Tree numbers run on over the groups; the same tree of two groups has the same draws, so
-    its smaller sample lies within the larger one.
+    A linear hash per tree of the row's digest is its draw there. Only hits are rows; the draws of
+    the others are a product in numpy and never leave the task. Tree numbers run on over
+    the groups; the same tree of two groups has the same draws, so its smaller sample lies
+    within the larger one.
     """
-    numbers = ", ".join(
-        f"named_struct('tree', {g * trees + t}, 'a', {a}L, 'b', {b}L)"
-        for g in range(groups)
-        for t, a, b in _multipliers(seed, trees)
-    )
-    return (
-        rows.withColumn("_x", digest32(F.lit(f"{seed}:row"), "_key") % F.lit(PRIME))
-        .withColumn("_m", F.explode(F.expr(f"array({numbers})")))
-        .withColumns(
-            {"draw": (F.col("_m.a") * F.col("_x") + F.col("_m.b")) % F.lit(PRIME), "tree": F.col("_m.tree")}
-        )
-        .drop("_m", "_x")
-    )
+    numbers = _multipliers(seed, trees)
+    names = [c for c in rows.columns if c != "_x"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def hits(batches):
+        for batch in batches:
+            x = batch.column("_x").to_numpy()
+            at, tree, draws = [], [], []
+            for t, a, b in numbers:
+                draw = (a * x + b) % PRIME
+                for g, bound in enumerate(below):
+                    hit = np.flatnonzero(draw < bound)
+                    at.append(hit)
+                    draws.append(draw[hit])
+                    tree.append(np.full(len(hit), g * trees + t, np.int32))
+            found = batch.select(names).take(pa.array(np.concatenate(at)))
+            more = [pa.array(np.concatenate(tree)), pa.array(np.concatenate(draws))]
+            yield pa.RecordBatch.from_arrays([*found.columns, *more], [*names, "tree", "draw"])
+
+    return rows.mapInArrow(hits, ", ".join(f"{n} {kinds[n]}" for n in names) + ", tree int, draw long")
 
 
 def _by_group(values: Sequence[int], trees: int) -> str:
@@ -127,60 +146,97 @@ def _tasks(rows: int, df: DataFrame) -> int:
     return min(shuffle_width(df.sparkSession), max(8, rows // ROWS_PER_TASK))
 
 
-def _tree_samples(rows: DataFrame, total: int, samples: Sequence[int], trees: int, seed: int, group_rows: int) -> DataFrame:
+def _tree_samples(rows: DataFrame, total: int, samples: Sequence[int], trees: int, seed: int) -> DataFrame:
     """A sample per tree without replacement: the rows first by (draw, key), as many as its group asks for.
 
-    One narrow pass emits a row for those trees alone where its draw is low enough to count.
-    Up to ``group_rows`` rows a tree, a tree's few candidates are ranked in one task; beyond
-    that its cut is searched for by counts. Either way the rows are the same.
+    One narrow pass emits a row for those trees alone where its draw is low enough to count;
+    a tree's few candidates are ranked in one task.
     """
     likely = [int(min(1.0, (4 * s + 64) / total) * PRIME) + 1 for s in samples]
-    drawn = _per_tree(rows, seed, trees, len(samples)).where(f"draw < {_by_group(likely, trees)}")
-    if max(samples) <= group_rows:
-        first = _first_by_rank(drawn.repartition(_tasks(trees * sum(4 * s + 64 for s in samples), rows), "tree"), samples, trees)
-    else:
-        first = _first_by_cut(cut_lineage(drawn), samples, trees, max(likely))
-    return first.drop("draw", "_key").withColumn("root", F.lit(0).cast("long"))
-
-
-def _first_by_rank(drawn: DataFrame, samples: Sequence[int], trees: int) -> DataFrame:
+    drawn = _drawn(rows, seed, trees, likely)
+    drawn = drawn.repartition(_tasks(trees * sum(4 * s + 64 for s in samples), rows), "tree")
     order = W.partitionBy("tree").orderBy("draw", "_key")
-    return drawn.withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {_by_group(samples, trees)}").drop("_rank")
+    first = drawn.withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {_by_group(samples, trees)}")
+    return first.drop("_rank", "draw", "_key").withColumn("root", F.lit(0).cast("long"))
 
 
-def _first_by_cut(drawn: DataFrame, samples: Sequence[int], trees: int, span: int) -> DataFrame:
-    """The same rows by the exact draw at which each tree's sample is full.
+@dataclass(frozen=True)
+class _Members:
+    """Which rows each tree's sample holds: those below its cut, and up to a key those at it."""
 
-    Every pass counts ``CUT_BINS`` ranges of draws for all trees and goes on in the range that
-    holds the cut; only rows tied at it are ranked.
+    numbers: list[tuple[int, int, int]]
+    trees: int
+    cuts: list[int]
+    last: list[str | None]
+
+    def of(self, batch: pa.RecordBatch):
+        """(tree, places of its rows in the batch), for all trees."""
+        x, keys = batch.column("_x").to_numpy(), batch.column("_key")
+        for t, a, b in self.numbers:
+            draw = (a * x + b) % PRIME
+            for tree in range(t, len(self.cuts), self.trees):
+                held = draw < self.cuts[tree]
+                for i in np.flatnonzero(draw == self.cuts[tree]).tolist():
+                    held[i] = self.last[tree] is not None and keys[i].as_py() <= self.last[tree]
+                yield tree, np.flatnonzero(held)
+
+
+def _members(rows: DataFrame, samples: Sequence[int], trees: int, seed: int) -> _Members:
+    """The same samples as ``_tree_samples``, told by each tree's exact draw at which it is full.
+
+    Every pass counts ``CUT_BINS`` ranges of draws for all trees, task by task, and goes on in the
+    range that holds the cut; only rows tied at it are ranked. Counts alone leave the tasks.
     """
-    wanted = {t: samples[t // trees] for t in range(trees * len(samples))}
-    at = {t: (0, span, 0) for t in wanted}  # first draw of the range, its width, rows before it
-    while max(width for _, width, _ in at.values()) > 1:
-        step = -(-max(width for _, width, _ in at.values()) // CUT_BINS)
-        low = f"get(array({', '.join(f'{at[t][0]}L' for t in sorted(at))}), tree)"
-        counts = (
-            drawn.withColumn("_bin", F.expr(f"(draw - {low}) div {step}"))
-            .where(f"draw >= {low} AND _bin < {CUT_BINS}")
-            .groupBy("tree", "_bin")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )  # trees x bins
-        by_tree: dict[int, list] = {t: [] for t in at}
-        for r in counts:
-            by_tree[r["tree"]].append((r["_bin"], r["n"]))
-        for t, (first, _, before) in list(at.items()):
-            for n_bin, n in sorted(by_tree[t]):
-                if before + n >= wanted[t]:
-                    break
-                before += n
-            else:
-                raise ValueError(f"tree {t} has {before} rows to draw from, not {wanted[t]}: do rows share their keys?")
-            at[t] = (first + n_bin * step, step, before)
-    cut = f"get(array({', '.join(f'{at[t][0]}L' for t in sorted(at))}), tree)"
-    left = f"get(array({', '.join(str(wanted[t] - at[t][2]) for t in sorted(at))}), tree)"
-    tied = drawn.where(f"draw = {cut}").withColumn("_rank", F.row_number().over(W.partitionBy("tree").orderBy("_key")))
-    return drawn.where(f"draw < {cut}").unionByName(tied.where(f"_rank <= {left}").drop("_rank"))
+    numbers = _multipliers(seed, trees)
+    wanted = [samples[t // trees] for t in range(trees * len(samples))]
+    first, width, before = [0] * len(wanted), [PRIME] * len(wanted), [0] * len(wanted)
+    while max(width) > 1:
+        step = -(-max(width) // CUT_BINS)
+
+        def counted(batches, first=tuple(first), step=step):
+            counts = np.zeros((len(first), CUT_BINS), np.int64)
+            for batch in batches:
+                x = batch.column("_x").to_numpy()
+                for t, a, b in numbers:
+                    draw = (a * x + b) % PRIME
+                    for tree in range(t, len(first), trees):
+                        at = (draw - first[tree]) // step
+                        at = at[(at >= 0) & (at < CUT_BINS)]
+                        counts[tree] += np.bincount(at, minlength=CUT_BINS)
+            slot = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts.ravel()[slot])], ["slot", "n"])
+
+        found = rows.select("_x").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        counts = np.zeros((len(wanted), CUT_BINS), np.int64)
+        for r in found.collect():  # trees x bins
+            counts.ravel()[r["slot"]] = r["n"]
+        for t, row in enumerate(counts):
+            upto = before[t] + np.cumsum(row)
+            at = int(np.searchsorted(upto, wanted[t]))
+            if at == CUT_BINS:
+                raise ValueError(f"tree {t} has {upto[-1]} rows to draw from, not {wanted[t]}: do rows share their keys?")
+            before[t] = int(upto[at] - row[at])
+            first[t], width[t] = first[t] + at * step, step
+
+    def tied(batches, cuts=tuple(first)):
+        for batch in batches:
+            x, keys = batch.column("_x").to_numpy(), batch.column("_key")
+            at, of = [], []
+            for t, a, b in numbers:
+                draw = (a * x + b) % PRIME
+                for tree in range(t, len(cuts), trees):
+                    at.append(np.flatnonzero(draw == cuts[tree]))
+                    of.append(np.full(len(at[-1]), tree, np.int32))
+            keys = keys.take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), keys], ["tree", "_key"])
+
+    left = f"get(array({', '.join(str(w - n) for w, n in zip(wanted, before))}), tree)"
+    ranked = rows.select("_x", "_key").mapInArrow(tied, "tree int, _key string")
+    ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy("tree").orderBy("_key")))
+    last: list[str | None] = [None] * len(wanted)
+    for r in ranked.where(f"_rank = {left}").collect():  # a row for each tree
+        last[r["tree"]] = r["_key"]
+    return _Members(numbers, trees, first, last)
 
 
 def _split_sql(seed: int, width: int, trees: int) -> tuple[str, str]:
@@ -268,27 +324,120 @@ def _grow(rows: DataFrame, width: int, limits: Sequence[int], trees: int, seed:
     )
 
 
+class _Upper:
+    """The nodes of one tree so far; a row ends in a leaf, in a small node or beyond them."""
+
+    def __init__(self, node: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> None:
+        self.node, self.feature = node, np.maximum(feature, 0).astype(np.intp)
+        self.threshold = np.where(feature >= 0, threshold, np.inf)
+        self.inner = feature >= 0
+        own = np.arange(len(node))
+        self.child = []  # a child that is not here is the node itself: the row stays
+        for side in (1, 2):
+            at = np.minimum(np.searchsorted(node, node * 2 + side), max(0, len(node) - 1))
+            here = self.inner & (node[at] == node * 2 + side)
+            self.child.append(np.where(here, at, own))
+
+    def walk(self, x: np.ndarray, at: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where the rows end, from places ``at``, and the nodes they go on to: -1 where they rest."""
+        rows = np.arange(len(x))
+        for _ in range(steps):
+            beyond = x[rows, self.feature[at]] > self.threshold[at]
+            new = np.where(beyond, self.child[1][at], self.child[0][at])
+            if (new == at).all():
+                break
+            at = new
+        beyond = x[rows, self.feature[at]] > self.threshold[at]
+        return at, np.where(self.inner[at], self.node[at] * 2 + 1 + beyond, -1)
+
+
+def _uppers(nodes: pd.DataFrame, trees: int) -> list[_Upper | None]:
+    """A tree's nodes so far, for each tree; nodes left to their groups end a walk like leaves."""
+    out: list[_Upper | None] = [None] * trees
+    for tree, own in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        feature = np.where(own["small"], -1, own["feature"]).astype(np.int64)
+        out[int(tree)] = _Upper(own["node"].to_numpy(), feature, own["threshold"].to_numpy(dtype=np.float64, na_value=np.inf))
+    return out
+
+
+def _matrix(batch: pa.RecordBatch, cols: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in cols])
+
+
+def _open_nodes(rows: DataFrame, members: _Members, uppers, cols: Sequence[str], steps: int) -> DataFrame:
+    """Counts and ranges, by task, of the nodes that the rows go on to: mergeable, not yet merged."""
+    low, high = [f"lo{i}" for i in range(len(cols))], [f"hi{i}" for i in range(len(cols))]
+    schema = "tree int, node long, size long, " + ", ".join(f"{c} double" for c in low + high)
+
+    def counted(batches):
+        model = uppers.value
+        for batch in batches:
+            x = _matrix(batch, cols)
+            found = []
+            for tree, at in members.of(batch):
+                if model[tree] is None:
+                    node = np.zeros(len(at), np.int64)
+                else:
+                    node = model[tree].walk(x[at], np.zeros(len(at), np.intp), steps)[1]
+                    at, node = at[node >= 0], node[node >= 0]
+                if not len(at):
+                    continue
+                order = np.argsort(node, kind="stable")
+                names, start, size = np.unique(node[order], return_index=True, return_counts=True)
+                own = x[at[order]]
+                found.append((np.full(len(names), tree), names, size, np.minimum.reduceat(own, start), np.maximum.reduceat(own, start)))
+            if found:
+                tree, node, size, lows, highs = (np.concatenate(c) for c in zip(*found))
+                columns = [pa.array(tree.astype(np.int32)), pa.array(node), pa.array(size), *map(pa.array, lows.T), *map(pa.array, highs.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "node", "size", *low, *high])
+
+    return rows.mapInArrow(counted, schema)
+
+
+def _small_rows(rows: DataFrame, members: _Members, uppers, cols: Sequence[str], small: dict, steps: int) -> DataFrame:
+    """The rows of the small nodes, as ``_grow`` takes them."""
+
+    def emitted(batches):
+        model = uppers.value
+        for batch in batches:
+            x = _matrix(batch, cols)
+            places, trees, roots = [], [], []
+            for tree, at in members.of(batch):
+                end = model[tree].walk(x[at], np.zeros(len(at), np.intp), steps)[0]
+                node = model[tree].node[end]
+                held = np.isin(node, small.get(tree, []))
+                places.append(at[held])
+                trees.append(np.full(int(held.sum()), tree, np.int32))
+                roots.append(node[held])
+            at = np.concatenate(places)
+            columns = [pa.array(np.concatenate(trees)), pa.array(np.concatenate(roots)), *map(pa.array, x[at].T)]
+            yield pa.RecordBatch.from_arrays(columns, ["tree", "root", *cols])
+
+    return rows.mapInArrow(emitted, "tree int, root long, " + ", ".join(f"{c} double" for c in cols))
+
+
 def _grow_large(
-    rows: DataFrame, width: int, limits: Sequence[int], trees: int, seed: int, group_rows: int
+    rows: DataFrame, members: _Members, width: int, limits: Sequence[int], trees: int, seed: int, group_rows: int
 ) -> DataFrame:
-    """Level by level for nodes above ``group_rows`` rows, then the rest as groups."""
-    limit, levels = _by_group(limits, trees), max(limits)
-    cols = _names(width)
+    """Level by level for nodes above ``group_rows`` rows, then the rest as groups.
+
+    The nodes so far, at most some two for every ``group_rows`` rows of all samples, are sent to the tasks.
+    """
+    limit, levels, count = _by_group(limits, trees), max(limits), trees * len(limits)
+    cols, sc = _names(width), rows.sparkSession.sparkContext
     feature, threshold = _split_sql(seed, width, trees)
-    beyond = (F.expr(_value_sql(width)) > F.col("threshold")).cast("long")
-    rows = rows.withColumns(
-        {"node": F.lit(0).cast("long"), "depth": F.lit(0), "state": F.lit("open")}
-    )
-    finished, small_rows = [], 0
+    finished, known, small_rows = [], pd.DataFrame(), 0
     for level in range(levels + 1):
+        uppers = sc.broadcast(_uppers(known, count) if len(known) else [None] * count)
         stats = (
-            rows.where(F.col("state") == "open")
-            .groupBy("tree", "node", "depth")
+            _open_nodes(rows, members, uppers, cols, level)
+            .groupBy("tree", "node")
             .agg(
-                F.count(F.lit(1)).alias("size"),
-                *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
+                F.sum("size").alias("size"),
+                *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(width)],
+                *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(width)],
             )
+            .withColumn("depth", F.lit(level))
         )
         stats = stats.withColumn("feature", F.expr(feature.format(limit=limit))).withColumn(
             "threshold", F.when(F.col("feature") >= 0, F.expr(threshold))
@@ -301,42 +450,20 @@ def _grow_large(
                 (F.col("size") <= group_rows).alias("small"),
             )
         )
-        counts = picked.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.when(F.col("small"), F.col("size"))), F.lit(0)).alias("small_rows"),
-            F.count_if(~F.col("small") & ~F.col("is_leaf")).alias("splits"),
-        ).first()
-        if not counts["n"]:
+        uppers.destroy()
+        new = picked.select("tree", "node", "feature", "threshold", "size", "small").toPandas()
+        if not len(new):
             break
-        small_rows += counts["small_rows"]
+        if len(known) + len(new) > BROADCAST_NODES:
+            raise ValueError(f"more than {BROADCAST_NODES} nodes above {group_rows} rows: let a task take larger nodes")
+        known = pd.concat([known, new], ignore_index=True)
+        small_rows += int(new.loc[new["small"], "size"].sum())
         finished.append(picked.where(~F.col("small")).select(*NODE_COLUMNS))
-        side = picked.select("tree", "node", "feature", "threshold", "small", F.lit(True).alias("seen"))
-        if counts["n"] <= BROADCAST_NODES // 4:
-            side = F.broadcast(side)
-        hit = F.col("seen").isNotNull() & (F.col("state") == "open")
-        goes_on = hit & ~F.col("small") & (F.col("feature") >= 0)
-        rows = rows.join(side, ["tree", "node"], "left").select(
-            "tree",
-            *cols,
-            F.when(goes_on, F.col("node") * 2 + 1 + beyond).otherwise(F.col("node")).alias("node"),
-            F.when(goes_on, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(goes_on, "open")
-            .when(hit & F.col("small"), "small")
-            .when(hit, "done")
-            .otherwise(F.col("state"))
-            .alias("state"),
-        )
-        if level % LEVELS_PER_WRITE == LEVELS_PER_WRITE - 1:
-            rows = cut_lineage(rows)
-        if not counts["splits"]:
+        if not (~new["small"] & (new["feature"] >= 0)).any():
             break
-    small = (
-        rows.where(F.col("state") == "small")
-        .drop("state")
-        .withColumn("root", F.col("node"))
-        .repartition(_tasks(small_rows, rows), "tree", "root")
-    )
-    finished.append(_grow(small, width, limits, trees, seed))
+    small = {int(t): own["node"].to_numpy() for t, own in known[known["small"]].groupby("tree")}
+    held = _small_rows(rows, members, sc.broadcast(_uppers(known, count)), cols, small, levels + 1)
+    finished.append(_grow(held.repartition(_tasks(small_rows, rows), "tree", "root"), width, limits, trees, seed))
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
@@ -384,11 +511,13 @@ def fit_forests(
     rows = df.select(
         key_text(*key).alias("_key"), *[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)]
     )
-    rows = _tree_samples(spread(rows), total, samples, n_estimators, seed, group_rows)
+    rows = _with_digest(spread(rows), seed)
     if max(samples) <= group_rows:
-        nodes = _grow(rows, width, limits, n_estimators, seed)
+        nodes = _grow(_tree_samples(rows, total, samples, n_estimators, seed), width, limits, n_estimators, seed)
     else:
-        nodes = _grow_large(rows, width, limits, n_estimators, seed, group_rows)
+        rows = cut_lineage(rows)
+        members = _members(rows, samples, n_estimators, seed)
+        nodes = _grow_large(rows, members, width, limits, n_estimators, seed, group_rows)
     nodes = cut_lineage(nodes)
     _check_roots(nodes, samples, n_estimators)
     out = []
@@ -463,7 +592,7 @@ def prefix_scores(forest: Forest, prefixes: Sequence[int]) -> Column:
     spark = forest.nodes.sparkSession
     held = forest.nodes.count()
     if held > BROADCAST_NODES:
-        raise ValueError(f"{held} nodes are too many to send to every task; use score_by_joins")
+        raise ValueError(f"{held} nodes are too many to send to every task; use scores_in_parts")
     if sorted(prefixes) != list(prefixes) or not 0 < prefixes[0] <= prefixes[-1] <= forest.trees:
         raise ValueError("prefixes rise and end within the forest")
     model = spark.sparkContext.broadcast(_packed(forest))
@@ -492,18 +621,114 @@ def prefix_scores(forest: Forest, prefixes: Sequence[int]) -> Column:
     return walk(*[forest.scaler.expr(c) for c in forest.scaler.columns])
 
 
+def _part_starts(forest: Forest, limit: int) -> list[tuple[int, int]]:
+    """First (tree, node) of parts of the node table, in order, of at most ``limit`` nodes each.
+
+    Several trees may share a part, and a tree may go over several: a node's number is above its
+    parent's, so a row only ever goes on to a later part. A level too large for one part is cut
+    at numbers.
+    """
+    levels = forest.nodes.groupBy("tree", "depth").count().orderBy("tree", "depth").collect()  # trees x depths
+    starts, held = [], limit + 1
+    for r in levels:
+        first, width = 2 ** r["depth"] - 1, 2 ** r["depth"]
+        step = width if r["count"] <= limit else limit
+        for lo in range(first, first + width, step):
+            most = min(r["count"], step)
+            if held + most > limit:
+                starts.append((r["tree"], lo))
+                held = 0
+            held += most
+    return starts
+
+
+def _part(nodes: DataFrame, start: tuple[int, int], end: tuple[int, int] | None) -> DataFrame:
+    tree, node = F.col("tree"), F.col("node")
+    held = (tree > start[0]) | ((tree == start[0]) & (node >= start[1]))
+    if end is not None:
+        held &= (tree < end[0]) | ((tree == end[0]) & (node < end[1]))
+    return nodes.where(held)
+
+
+def _walk_part(model, forest: Forest, marks: list[int], start: tuple[int, int], end: tuple[int, int] | None):
+    """Takes rows on over one part of the node table: sums of paths, nodes come to, scores at the marks."""
+    norm, steps = average_path_number(forest.sample), forest.depth
+
+    @F.pandas_udf(_WALK)
+    def on(walk: pd.DataFrame, *columns: pd.Series) -> pd.DataFrame:
+        x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
+        total, at = walk["total"].to_numpy().copy(), walk["at"].to_numpy().copy()
+        scores = [list(v) for v in walk["scores"]]
+        for tree, upper, path in model.value:
+            if (tree, 0) >= start:
+                at[:] = 0
+            place = np.minimum(np.searchsorted(upper.node, at), len(upper.node) - 1)
+            here = np.flatnonzero(upper.node[place] == at)
+            place, goes_on = upper.walk(x[here], place[here], steps)
+            total[here] += np.where(goes_on < 0, path[place], 0.0)
+            at[here] = goes_on
+            if tree + 1 in marks and (end is None or end[0] > tree):
+                mean = np.round(total / (tree + 1), PATH_PLACES)
+                value = np.power(2.0, -mean / norm) if norm else np.full(len(mean), 0.5)
+                for own, v in zip(scores, value.tolist()):
+                    own.append(v)
+        return pd.DataFrame({"total": total, "at": at, "scores": scores})
+
+    return on
+
+
+_WALK = "struct<total:double,at:bigint,scores:array<double>>"
+
+
+def scores_in_parts(df: DataFrame, forest: Forest, prefixes: Sequence[int], name: str, limit: int | None = None) -> DataFrame:
+    """Scores by the first k trees for each k in ``prefixes``, as an array column, for a forest of any size.
+
+    The node table goes over the rows in parts of at most ``limit`` nodes. Each row carries the
+    sum of its path lengths so far and, in a tree that goes on in the next part, the node it has
+    come to. The rows are written once a part, with the columns of ``df``, so select those needed.
+    """
+    if sorted(prefixes) != list(prefixes) or not 0 < prefixes[0] <= prefixes[-1] <= forest.trees:
+        raise ValueError("prefixes rise and end within the forest")
+    starts = _part_starts(forest, limit or BROADCAST_NODES)
+    nodes = node_paths(forest).select(
+        "tree", "node", "feature", "threshold", F.coalesce("path", F.lit(0.0)).alias("path")
+    )
+    inputs = [forest.scaler.expr(c) for c in forest.scaler.columns]
+    begin = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("at"), F.array().cast("array<double>").alias("scores"))
+    held = df.withColumn("_walk", begin)
+    for start, end in zip(starts, [*starts[1:], None]):
+        t = _part(nodes, start, end).toPandas().sort_values(["tree", "node"])
+        trees = []
+        for tree, own in t.groupby("tree"):
+            threshold = own["threshold"].to_numpy(dtype=np.float64, na_value=np.inf)
+            upper = _Upper(own["node"].to_numpy(), own["feature"].to_numpy().astype(np.int64), threshold)
+            trees.append((int(tree), upper, own["path"].to_numpy(dtype=np.float64)))
+        model = df.sparkSession.sparkContext.broadcast(trees)
+        held = cut_lineage(held.withColumn("_walk", _walk_part(model, forest, list(prefixes), start, end)("_walk", *inputs)))
+        model.destroy()  # the rows are written
+    return held.withColumn(name, F.col("_walk.scores")).drop("_walk")
+
+
+def fits_one_walk(forest: Forest) -> bool:
+    """Whether the whole node table may be sent to every task."""
+    return forest.nodes.count() <= BROADCAST_NODES
+
+
 def score_column(forest: Forest) -> Column:
     """Anomaly score in (0, 1] as a column, higher is stranger. Needs a forest of checked size."""
     return prefix_scores(forest, [forest.trees])[0]
 
 
-def score(df: DataFrame, forest: Forest, key: Sequence[str] | None = None, name: str = "anomaly_score") -> DataFrame:
-    """Add the score to every row: a broadcast walk, or joins when the forest is too large for it."""
-    if forest.nodes.count() <= BROADCAST_NODES:
+def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFrame:
+    """Add the score to every row: in one walk, or in parts when the forest is too large for one.
+
+    A stream is scored batch by batch in the second case, see ``streaming.windows.write_alerts``.
+    """
+    if fits_one_walk(forest):
         return spread(df).withColumn(name, score_column(forest))
-    if not key:
-        raise ValueError("this forest is scored by joins and needs a unique row key")
-    return df.join(score_by_joins(df, forest, key, name), list(key))
+    if df.isStreaming:
+        raise ValueError("a forest of this size goes over a stream batch by batch: use write_alerts")
+    return scores_in_parts(spread(df), forest, [forest.trees], name).withColumn(name, F.col(name)[0])
 
 
 def score_by_joins(df: DataFrame, forest: Forest, key: Sequence[str], name: str = "anomaly_score") -> DataFrame:
@@ -537,27 +762,23 @@ def fit_cut(forest: Forest, train: DataFrame, contamination: float, approximate:
     """Set the cut at the score quantile of the training rows."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination lies in (0, 0.5]")
-    scored = spread(train).select(score_column(forest).alias("s"))
+    scored = score(train.select(*forest.scaler.columns), forest, "s").select("s")
     return replace(forest, cut=score_cut(scored, "s", contamination, approximate))
 
 
 def score_cut(scored: DataFrame, name: str, contamination: float, approximate: bool = False) -> float:
-    """Score above which a row is flagged."""
+    """Score above which a row is flagged; ``approximate`` is one pass, off by 0.1 % of the rows at most."""
     if approximate:
-        return scored.agg(F.percentile_approx(name, 1 - contamination, 10000)).first()[0]
+        return sketched_quantile(scored, name, 1 - contamination)
     # The search reads the scores several times; each is one double per row.
-    held = scored.select(name).persist()
-    try:
-        return exact_percentile(held, name, 1 - contamination)
-    finally:
-        held.unpersist()
+    return exact_percentile(cut_lineage(scored.select(name)), name, 1 - contamination)
 
 
-def score_and_flag(df: DataFrame, forest: Forest, key: Sequence[str] | None = None) -> DataFrame:
+def score_and_flag(df: DataFrame, forest: Forest) -> DataFrame:
     """Scored rows with ``is_anomaly`` 0 / 1, flagged strictly above the cut."""
     if forest.cut is None:
         raise ValueError("take the cut first")
-    return score(df, forest, key).withColumn(
+    return score(df, forest).withColumn(
         "is_anomaly", (F.col("anomaly_score") > F.lit(forest.cut)).cast("int")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from authscope.functions.scalars import boolean_result, parse_time, recode_result
@@ -78,7 +78,7 @@ def auth_logs(df: DataFrame) -> DataFrame:
 
 
 def _good() -> Column:
-    return F.col("ts").isNotNull() & F.coalesce(F.col("result").isin(*RESULT_VALUES), F.lit(False))
+    return F.col("ts").isNotNull() & _known()
 
 
 def split_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,34 +86,51 @@ def split_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return logs.where(_good()), logs.where(~_good())
 
 
+def _bad_counts() -> list[Column]:
+    return [F.count_if(F.col("ts").isNull()).alias("times"), F.count_if(~_known()).alias("results")]
+
+
+def _known() -> Column:
+    return F.coalesce(F.col("result").isin(*RESULT_VALUES), F.lit(False))
+
+
+def _raise_bad(times: int, results: int, logs: DataFrame) -> None:
+    if times:
+        raise ValueError(f"failed to parse {times} timestamps in column 'ts'")
+    if results:
+        values = logs.where(~_known()).groupBy("result").count()
+        shown = [r["result"] for r in values.orderBy(F.desc("count"), "result").limit(SHOWN_VALUES).collect()]
+        more = values.count() - len(shown) if len(shown) == SHOWN_VALUES else 0
+        raise ValueError(
+            f"{results} invalid values in 'result', most frequent: {shown}{f' and {more} more' if more else ''}; "
+            f"expected {sorted(RESULT_VALUES)}"
+        )
+
+
 def check_logs(logs: DataFrame) -> DataFrame:
     """Raise on unparsable times or unknown results, else return ``logs``.
 
     One aggregate over two columns. A second, grouped, pass runs only when there is
-    something to report.
+    something to report. ``write_logs`` checks without a pass of its own.
     """
-    bad_result = ~F.coalesce(F.col("result").isin(*RESULT_VALUES), F.lit(False))
-    seen = logs.agg(
-        F.count_if(F.col("ts").isNull()).alias("times"), F.count_if(bad_result).alias("results")
-    ).first()
-    if seen["times"]:
-        raise ValueError(f"failed to parse {seen['times']} timestamps in column 'ts'")
-    if seen["results"]:
-        values = (
-            logs.where(bad_result)
-            .groupBy("result")
-            .count()
-            .orderBy(F.desc("count"), "result")
-            .limit(SHOWN_VALUES)
-        )
-        shown = [r["result"] for r in values.collect()]
-        raise ValueError(
-            f"{seen['results']} invalid values in 'result', most frequent: {shown}; "
-            f"expected {sorted(RESULT_VALUES)}"
-        )
+    seen = logs.agg(*_bad_counts()).first()
+    _raise_bad(seen["times"], seen["results"], logs)
     return logs
 
 
+def write_logs(logs: DataFrame, path: str) -> DataFrame:
+    """Write the logs as a table and return it; raise on bad rows as ``check_logs`` does.
+
+    The bad rows are counted while the rows are written, so a sound log is read once. After an error
+    the table is left at ``path`` with its bad rows, to be looked at with ``split_logs``.
+    """
+    seen = Observation()
+    logs.observe(seen, *_bad_counts()).write.mode("overwrite").parquet(path)
+    held = logs.sparkSession.read.schema(logs.schema).parquet(path)
+    _raise_bad(seen.get["times"], seen.get["results"], held)
+    return held
+
+
 def sorted_logs(logs: DataFrame) -> DataFrame:
     """Log in time order, ties broken by the other columns."""
     return logs.orderBy(*AUTH_LOG.names)

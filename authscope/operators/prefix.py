@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,9 +65,11 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], totals: Mapping
         for rows in batches:
             for i, name in enumerate(rows.schema.names):
                 if name in before and rows.num_rows:
-                    sums = list(accumulate(rows.column(i).to_pylist(), initial=before[name]))[1:]
-                    before[name] = sums[-1]
-                    rows = rows.set_column(i, rows.schema.field(i), pa.array(sums, rows.column(i).type))
+                    kind = rows.column(i).type
+                    start = pa.array([before[name]], kind)
+                    sums = pc.cumulative_sum_checked(pa.concat_arrays([start, rows.column(i)])).slice(1)
+                    before[name] = sums[-1].as_py()
+                    rows = rows.set_column(i, rows.schema.field(i), sums)
             yield rows
 
     ranged = summed.repartitionByRange(pieces(df), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,8 +22,8 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A folder on this machine is used only
-    in local mode; on a cluster a missing setting is an error, since executors would each
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode a folder in the session's
+    warehouse serves instead; on a cluster a missing setting is an error, since executors would each
     write to a disk the others cannot read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,18 +35,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="authscope-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/authscope-tables"
+
+
+#: Tables made by the runs that are open, innermost last.
+_OPEN_RUNS: list[list[str]] = []
+
+
+@contextmanager
+def run_tables(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables made within, and deletes them at the end, also after an error.
+
+    What the run returns must be written or read before the end, as it may read those tables.
+    """
+    made: list[str] = []
+    _OPEN_RUNS.append(made)
+    try:
+        yield
+    finally:
+        _OPEN_RUNS.remove(made)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from that copy.
 
     Unlike ``checkpoint()``, which runs the last stage once to count and once to write, this
-    computes the rows once, and later reads prune columns. The copy outlives lost executors.
+    computes the rows once, and later reads prune columns. The copy outlives lost executors;
+    ``run_tables`` deletes it when the run it was made in is over.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/authscope-{uuid.uuid4().hex}"
+    if _OPEN_RUNS:
+        _OPEN_RUNS[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -70,6 +70,24 @@ def stream_alerts(features: DataFrame, model: Forest, by_app: bool = False) -> D
     return alert_table(score_and_flag(features, model), group_keys(by_app))
 
 
+def write_alerts(
+    features: DataFrame, model: Forest, path: str, state: str, by_app: bool = False, once: bool = True, every: str = "1 minute"
+) -> StreamingQuery:
+    """Alerts of a stream of closed windows by a forest of any size, batch by batch.
+
+    A batch is a table, so a forest too large for one walk goes over it in parts. Each batch has
+    a folder of its number, which a repeated batch writes over: no alert is there twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        found = alert_table(score_and_flag(batch, model), group_keys(by_app))
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = features.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", state)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+    return writer.start()
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files: int = 100) -> DataFrame:
     """Files of a folder or glob as they arrive, a bounded number per batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)

@@ -73,6 +73,11 @@ SELECT src_ip, date_trunc('day', ts)::TIMESTAMP AS ts, 1 AS n_user_agents, count
 FROM logs GROUP BY 1, 2"""
 ORACLES["features_approx"] = f"""SELECT src_ip, ts, n_attempts, n_users, n_apps, n_user_agents, n_countries, user_entropy,
        true AS within_error FROM ({_features(86400, 2, "src_ip")})"""
+ORACLES["features_from_sketches"] = f"""SELECT * EXCLUDE (user_entropy), true AS within_error FROM ({_features(86400, 2, "src_ip")})"""
+ORACLES["features_sliding"] = _features(86400, 2, "src_ip").replace(
+    "to_timestamp(floor(epoch(ts) / 86400) * 86400)::TIMESTAMP AS win FROM logs",
+    "to_timestamp((floor(epoch(ts) / 21600) - pane) * 21600)::TIMESTAMP AS win FROM logs, range(0, 4) t(pane)",
+)
 ORACLES["user_entropy_join"] = f"""SELECT src_ip, ts, n_users, user_entropy FROM ({_features(86400, 20, "src_ip")})"""
 ORACLES["top_sources"] = f"""WITH {LOGS}
 SELECT src_ip, count(*) AS n_attempts, count(*) FILTER (WHERE result = 'fail') AS n_fail,
@@ -240,6 +245,8 @@ ORACLES["forest_nodes"] = GROWN + """
 SELECT tree, node, depth, feature, round(threshold, 6) AS threshold, size, is_leaf FROM nodes"""
 ORACLES["forest_scores"] = SCORED + f"""
 SELECT {KEY}, round(anomaly_score, 6) AS anomaly_score FROM scores"""
+ORACLES["forest_scores_in_parts"] = ORACLES["forest_scores"]
+ORACLES["forest_nodes_by_level"] = ORACLES["forest_nodes"]
 FLAGGED = SCORED + f""",
 cut AS (SELECT quantile_cont(anomaly_score, 0.9) AS c FROM scores JOIN flows USING ({KEY}) WHERE label = 'BENIGN'),
 flagged AS (SELECT {KEY}, label, anomaly_score, CAST(anomaly_score > c AS INTEGER) AS is_anomaly
@@ -378,6 +385,8 @@ FROM rule JOIN e USING (y) GROUP BY y, 2"""
 ORACLES["score_cut"] = f"""{RULE}
 SELECT round(quantile_cont(anomaly_score, 1 - 0.499) FILTER (WHERE y = 0), 6) AS train_cut,
        round(quantile_cont(anomaly_score, 1 - 0.499), 6) AS test_cut FROM rule"""
+ORACLES["score_cut_sketched"] = """SELECT count(*) AS n, share, true AS within_error
+FROM lineitem, (SELECT unnest([0.5, 0.9, 0.99, 0.999]::DOUBLE[]) AS share) GROUP BY share"""
 RULE_GRID = f"""WITH {FLOWS},
 wide AS (SELECT CAST(label <> 'BENIGN' AS INTEGER) AS y, l_extendedprice AS price, l_extendedprice / l_quantity AS ratio,
            l_quantity * (1 + l_tax) AS taxed FROM flows),
@@ -616,3 +625,4 @@ ORACLES["grid_forest"] = grid_sql(6, (2, 4, 6), (0.5, 0.8, 1.0), 18)
 # --- stream ------------------------------------------------------------------------------
 
 ORACLES["stream_features"] = _features(86400, 2, "src_ip")
+ORACLES["stream_sliding"] = ORACLES["features_sliding"]

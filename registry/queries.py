@@ -22,6 +22,8 @@ from authscope.operators import (
     quantile,
     sampling,
     scaler,
+    sketches,
+    sliding,
 )
 from authscope.operators import flows as flow_ops
 from authscope.plans import evaluation, grid
@@ -128,6 +130,31 @@ def features_approx(spark, sf_dir):
     return rounded(out, "user_entropy")
 
 
+@query
+def features_from_sketches(spark, sf_dir):
+    """Days put together from stored sketches of hours, beside exact counts: within three standard errors?"""
+    names = ("n_users", "n_apps", "n_user_agents", "n_countries")
+    stored = cut_lineage(sketches.window_sketches(_logs(spark, sf_dir), "1 hour"))
+    days = sketches.features_of_sketches(stored, "1 day", "1 hour", min_fail=2)
+    exact = features.window_features(_logs(spark, sf_dir), "1 day", min_fail=2).select("src_ip", "ts", *names)
+    held = days.withColumnsRenamed({n: f"_{n}" for n in names}).join(exact, ["src_ip", "ts"])
+    error = F.lit(3 * sketches.distinct_error())
+    near = [F.abs(F.col(f"_{n}") - F.col(n)) <= F.greatest(F.lit(1.0), error * F.col(n)) for n in names]
+    within = near[0] & near[1] & near[2] & near[3]
+    out = held.select(
+        "src_ip", "ts", "n_attempts", "n_fail", "n_success", *names, "fail_rate", "attempts_per_min",
+        "success_after_fail", within.alias("within_error"),
+    )
+    return rounded(out, "fail_rate", "attempts_per_min")
+
+
+@query
+def features_sliding(spark, sf_dir):
+    """Days that begin every six hours, put together from panes of six hours."""
+    out = sliding.sliding_features(_logs(spark, sf_dir), "1 day", "6 hours", min_fail=2)
+    return rounded(out, "fail_rate", "attempts_per_min", "user_entropy")
+
+
 @query
 def top_sources(spark, sf_dir):
     return features.top_sources(_logs(spark, sf_dir))
@@ -272,6 +299,24 @@ def forest_flags(spark, sf_dir):
     return rounded(out.select(*adapters.FLOW_KEY, "anomaly_score", "is_anomaly"), "anomaly_score")
 
 
+@query
+def forest_scores_in_parts(spark, sf_dir):
+    """The same scores when no more than 5,000 nodes may be sent to a task at once."""
+    columns = [*adapters.FLOW_KEY, *adapters.FLOW_NUMBERS]
+    model = _flow_forest(spark, sf_dir)
+    out = forest.scores_in_parts(_flows(spark, sf_dir).select(*columns), model, [model.trees], "s", limit=5_000)
+    return rounded(out.select(*adapters.FLOW_KEY, F.col("s")[0].alias("anomaly_score")), "anomaly_score")
+
+
+@query
+def forest_nodes_by_level(spark, sf_dir):
+    """The same nodes when a task may grow no more than 64 rows by itself."""
+    model = forest.fit_forest(
+        _benign(spark, sf_dir), adapters.FLOW_NUMBERS, adapters.FLOW_KEY, 100, group_rows=64
+    )
+    return rounded(model.nodes, "threshold")
+
+
 # --- detection and alerts ----------------------------------------------------------------
 
 ALERT_NUMBERS = ("anomaly_score", "fail_rate", "attempts_per_min", "user_entropy")
@@ -413,6 +458,23 @@ def score_cut(spark, sf_dir):
     )
 
 
+@query
+def score_cut_sketched(spark, sf_dir):
+    """One-pass cuts at several shares, each with whether its exact rank is within the stated error."""
+    rows = cut_lineage(_rule_scores(spark, sf_dir).select("anomaly_score"))
+    shares, error = (0.5, 0.9, 0.99, 0.999), 0.001
+    cuts = [sketches.sketched_quantile(rows, "anomaly_score", s, error) for s in shares]
+    below = [F.avg((F.col("anomaly_score") < c).cast("int")).alias(f"b{i}") for i, c in enumerate(cuts)]
+    upto = [F.avg((F.col("anomaly_score") <= c).cast("int")).alias(f"u{i}") for i, c in enumerate(cuts)]
+    ranks = rows.agg(F.count("anomaly_score").alias("n"), *below, *upto)
+    within = [
+        F.struct(F.lit(s).alias("share"), ((F.col(f"b{i}") - error <= s) & (F.col(f"u{i}") + error >= s)).alias("ok"))
+        for i, s in enumerate(shares)
+    ]
+    out = ranks.select("n", F.explode(F.array(*within)).alias("w"))
+    return out.select("n", F.col("w.share").alias("share"), F.col("w.ok").alias("within_error"))
+
+
 def _rule_grid(spark, sf_dir):
     """Three rules in place of models, each at three shares."""
     rows = _flows(spark, sf_dir).select(
@@ -607,3 +669,17 @@ def stream_features(spark, sf_dir):
     closed = spark.read.schema(found.schema).parquet(f"{folder}/out")
     out = windows.finish_open(closed, _logs(spark, sf_dir), "1 day", "1 hour", min_fail=2)
     return rounded(out, "fail_rate", "attempts_per_min", "user_entropy")
+
+
+@query
+def stream_sliding(spark, sf_dir):
+    """Sliding windows of the events replayed as a stream, by the steps of the batch."""
+    events = adapters.table(spark, sf_dir, "events")
+    rows = windows.read_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
+    logs = normalize.canonical_logs(adapters.raw_logs(rows), adapters.RAW_COLUMNS)
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = sliding.sliding_features(logs, "1 day", "6 hours", min_fail=2, delay="1 hour")
+    windows.write_stream(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    closed = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    out = sliding.finish_sliding(closed, _logs(spark, sf_dir), "1 day", "6 hours", "1 hour", min_fail=2)
+    return rounded(out, "fail_rate", "attempts_per_min", "user_entropy")

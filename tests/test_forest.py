@@ -150,3 +150,47 @@ def test_repeated_keys_are_reported(points):
     twice = points.withColumn("id", F.floor(F.col("id") / 2))
     with pytest.raises(ValueError, match="300 values.*600 rows"):
         fo.check_key(twice, ["id"])
+
+
+@pytest.mark.parametrize("limit", [40, 400])
+def test_a_forest_of_any_size_is_scored_cut_and_flagged(points, fitted, monkeypatch, limit):
+    """Parts that hold a piece of a tree, several trees, or nearly all: the same numbers as in one walk."""
+    walk = {r["id"]: r["anomaly_score"] for r in fo.score(points, fitted).collect()}
+    cut, flagged = fo.score_cut_and_flag(points.select("id", *COLUMNS), fitted, 0.05)
+    flags = {r["id"]: r["is_anomaly"] for r in flagged.collect()}
+    assert len(fo._part_starts(fitted, limit)) >= fitted.nodes.count() / limit > 1
+    with monkeypatch.context() as m:
+        m.setattr(fo, "BROADCAST_NODES", limit)
+        assert {r["id"]: r["anomaly_score"] for r in fo.score(points, fitted).collect()} == walk
+        if limit == 400:
+            assert fo.fit_cut(fitted, points, 0.05).cut == cut.cut
+            again, out = fo.score_cut_and_flag(points.select("id", *COLUMNS), fitted, 0.05)
+            assert again.cut == cut.cut and {r["id"]: r["is_anomaly"] for r in out.collect()} == flags
+    prefixes = fo.scores_in_parts(points, fitted, [1, 7, 20], "s", limit).select("id", "s").collect()
+    want = {r["id"]: r["s"] for r in points.select("id", fo.prefix_scores(fitted, [1, 7, 20]).alias("s")).collect()}
+    assert {r["id"]: r["s"] for r in prefixes} == want
+
+
+def test_parts_hold_few_nodes_and_all_of_them(fitted):
+    for limit in (1, 50, 500, 10**6):
+        starts = fo._part_starts(fitted, limit)
+        sizes = [fo._part(fitted.nodes, a, b).count() for a, b in zip(starts, [*starts[1:], None])] if limit > 50 else []
+        assert starts == sorted(starts) and sum(sizes) == (fitted.nodes.count() if sizes else 0) and max([0, *sizes]) <= limit
+
+
+def test_large_samples_write_no_row_per_tree(points, monkeypatch):
+    """Rows are written once; what else is written are nodes."""
+    written = []
+    plain = fo.cut_lineage
+    monkeypatch.setattr(fo, "cut_lineage", lambda df: written.append(df.columns) or plain(df))
+    fo.fit_forest(points, COLUMNS, ["id"], 4, 1.0, group_rows=100)
+    assert [c for c in written if "f0" in c] == [["_key", "f0", "f1", "f2", "f3", "_x"]]
+    assert all("tree" not in c or "node" in c for c in written)
+
+
+def test_ties_at_a_cut_go_by_key(points, monkeypatch):
+    """Few different draws, so that every cut has rows tied at it: both ways take the same rows."""
+    monkeypatch.setattr(fo, "PRIME", 31)
+    monkeypatch.setattr(fo, "CUT_BINS", 4)
+    ranked = fo.fit_forest(points, COLUMNS, ["id"], 5, 300)
+    assert nodes(fo.fit_forest(points, COLUMNS, ["id"], 5, 300, group_rows=20)) == nodes(ranked)
