@@ -1,4 +1,4 @@
-"""Exact nearest neighbours and the local outlier factor.
+"""Nearest neighbours, exact and approximate, and the local outlier factor.
 
 The search never pairs all rows. Equal rows are folded into one point with a count, so a
 large group of copies is a single point. Points are assigned to the nearest of a set of
@@ -8,7 +8,9 @@ rule out, given a bound on its k-th distance that is refined by a first search i
 region. Tasks compare a block of points with a block of candidates and emit the k best.
 
 Distances are Euclidean. For data without structure in many dimensions the bounds rule out
-little and the work approaches all pairs, still in bounded blocks; a sample is the way then.
+little and the work approaches all pairs, still in bounded blocks; ``approximate_neighbors`` or a
+sample is the way then. It compares a point only with those that fall on the same side of
+random planes, in several tables, and with the sides that the point is nearest to.
 """
 
 from __future__ import annotations
@@ -82,39 +84,36 @@ def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def _lookup(by_region: dict[int, int], region: str) -> Column:
-    """Per-region number as a column; at most ``MAX_PIVOTS`` entries."""
-    held = ", ".join(str(by_region.get(r, 1)) for r in range(max(by_region) + 1))
-    return F.get(F.expr(f"array({held})"), F.col(region))
+def _blocks_of(rows: DataFrame, region: str) -> DataFrame:
+    """Blocks of every region, as a table: there may be very many regions."""
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
+    return cut_lineage(rows.groupBy(F.col(region).alias("_r")).agg(parts.alias("_parts")))
 
 
-def _parts(rows: int) -> int:
-    return max(1, math.ceil(rows / BLOCK_ROWS))
-
-
-def _search(asked: DataFrame, points: DataFrame, region_rows: dict[int, int], k: int) -> DataFrame:
+def _search(asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """Best k candidates of each asked point in its target region. Written at once.
 
     ``asked`` has point, x, target. Both sides are cut into blocks; every block of asked
     points meets every block of the target region, each such pair under its own join key.
     """
     spark = asked.sparkSession
-    blocks = {r: _parts(n) for r, n in region_rows.items()}
+    blocks, slots = _blocks_of(points, "region"), _blocks_of(asked, "target")
     have = (
-        points.withColumn("block", F.pmod(F.hash("point"), _lookup(blocks, "region")))
+        points.join(blocks, F.col("region") == F.col("_r"))
+        .withColumn("block", F.pmod(F.hash("point"), F.col("_parts")))
         .groupBy("region", "block")
         .agg(F.collect_list(F.struct("point", "x", "copies")).alias("h"))
         .select("region", "block", F.col("h.point").alias("hp"), F.col("h.x").alias("hx"), F.col("h.copies").alias("hc"))
     )
-    asked_rows = {r["target"]: r["count"] for r in asked.groupBy("target").count().collect()}
-    slots = {r: _parts(n) for r, n in asked_rows.items()}
     ask = (
-        asked.withColumn("slot", F.pmod(F.hash("point"), _lookup(slots, "target")))
+        asked.join(slots, F.col("target") == F.col("_r"))
+        .withColumn("slot", F.pmod(F.hash("point"), F.col("_parts")))
         .groupBy("target", "slot")
         .agg(F.collect_list(F.struct("point", "x")).alias("a"))
+        .join(blocks, F.col("target") == F.col("_r"))
         .select(
             F.col("target").alias("region"),
-            F.explode(F.sequence(F.lit(0), _lookup(blocks, "target") - 1)).alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("block"),
             F.col("a.point").alias("ap"),
             F.col("a.x").alias("ax"),
         )
@@ -123,19 +122,14 @@ def _search(asked: DataFrame, points: DataFrame, region_rows: dict[int, int], k:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ap, ax, hp, hx, hc in zip(*[batch[c] for c in ("ap", "ax", "hp", "hx", "hc")]):
-                names, copies = np.asarray(hp), np.asarray(hc)
-                far = _distances(_matrix(ax), _matrix(hx))
-                picked = []
-                for point, row in zip(ap, far):
-                    # A point is no neighbour of itself, its other copies are.
-                    weight = copies - (names == point)
-                    usable = np.flatnonzero(weight > 0)
-                    for j in usable[_best(row[usable], names[usable], weight[usable], k)]:
-                        picked.append((point, names[j], row[j], weight[j]))
-                yield pd.DataFrame(picked, columns=["point", "neighbor", "distance", "weight"])
+                ap, names, copies = np.asarray(ap), np.asarray(hp), np.asarray(hc)
+                row, at, far = _best(_distances(_matrix(ax), _matrix(hx)), ap, names, copies, k)
+                weight = copies[at] - (names[at] == ap[row])
+                yield pd.DataFrame({"point": ap[row], "neighbor": names[at], "distance": far, "weight": weight})
 
     pairs = ask.join(have, ["region", "block"]).select("ap", "ax", "hp", "hx", "hc")
-    tasks = min(shuffle_width(spark), sum(n * blocks.get(r, 1) for r, n in slots.items()))
+    met = slots.withColumnRenamed("_parts", "_slots").join(blocks, "_r")
+    tasks = min(shuffle_width(spark), met.agg(F.sum(F.col("_slots") * F.col("_parts"))).first()[0] or 1)
     with arrow_batches(spark, PAIRS_PER_BATCH):
         return cut_lineage(
             pairs.repartition(max(1, tasks)).mapInPandas(
@@ -144,13 +138,22 @@ def _search(asked: DataFrame, points: DataFrame, region_rows: dict[int, int], k:
         )
 
 
-def _best(row: np.ndarray, names: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the nearest candidates until their weights reach k, ties by name."""
-    near = np.arange(len(row))
-    if len(row) > k:
-        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-    near = near[np.lexsort((names[near], row[near]))]
-    return near[: np.searchsorted(np.cumsum(weight[near]), k) + 1]
+def _best(far: np.ndarray, asked: np.ndarray, names: np.ndarray, copies: np.ndarray, k: int) -> tuple:
+    """Of each row of distances the nearest candidates until their weights reach k, ties by name.
+
+    A point is no neighbour of itself, its other copies are. Gives rows, candidates and distances.
+    """
+    weight = copies[None, :] - (names[None, :] == asked[:, None])
+    far = np.where(weight > 0, far, np.inf)
+    limit = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(far), np.inf)
+    row, at = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
+    order = np.lexsort((names[at], far[row, at], row))
+    row, at = row[order], at[order]
+    before = np.cumsum(weight[row, at]) - weight[row, at]
+    first = np.searchsorted(row, row)  # place of each row's first candidate
+    kept = before - before[first] < k if len(row) else np.zeros(0, bool)
+    row, at = row[kept], at[kept]
+    return row, at, far[row, at]
 
 
 def first_k(found: DataFrame, k: int) -> DataFrame:
@@ -225,8 +228,7 @@ def neighbors_of_points(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
         )
         .collect()
     )
-    region_rows = {s["region"]: s["rows"] for s in stats}
-    own = _search(points.select("point", "x", F.col("region").alias("target")), points, region_rows, k)
+    own = _search(points.select("point", "x", F.col("region").alias("target")), points, k)
     near = first_k(own, k)
     if len(stats) == 1:
         return near
@@ -235,7 +237,67 @@ def neighbors_of_points(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     asked = cut_lineage(_targets(points, bounds, pivots, stats, k))
     if asked.isEmpty():
         return near
-    return first_k(own.unionByName(_search(asked, points, region_rows, k)), k)
+    return first_k(own.unionByName(_search(asked, points, k)), k)
+
+
+def _planes(points: DataFrame, tables: int, bits: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random directions for every table and bit, and where each plane lies: at the points' mean."""
+    random = np.random.default_rng(seed)
+    means = points.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()
+    centre = np.zeros(width)
+    for r in means:  # one row a component
+        centre[r["i"]] = r["m"]
+    directions = random.normal(size=(width, tables * bits))
+    return directions, centre @ directions
+
+
+def approximate_neighbors(
+    points: DataFrame, k: int, tables: int = 12, probes: int = 3, bits: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Neighbour table like ``neighbors_of_points``, in which a neighbour may be missed.
+
+    In each table ``bits`` random planes part the points into buckets; a point is compared exactly
+    with its own bucket and with those beyond the ``probes`` planes nearest to it. Without ``bits``
+    a bucket holds about a quarter of a block of points. The work is tables * (probes + 1) blocks a point,
+    whatever the data look like; more of either misses less. ``recall`` measures it. With fewer points
+    near a point than k its list is short.
+    """
+    if k < 1 or tables < 1 or probes < 0:
+        raise ValueError("k and tables are at least 1, probes at least 0")
+    shape = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+    if not shape["n"]:
+        raise ValueError("no rows")
+    if bits is None:
+        bits = min(40, max(0, round(math.log2(shape["n"] / (BLOCK_ROWS / 4)))))
+    probes = min(probes, bits)
+    sent = points.sparkSession.sparkContext.broadcast(_planes(points, tables, max(1, bits), shape["width"], seed))
+
+    @F.pandas_udf("array<array<bigint>>")
+    def buckets(x: pd.Series) -> pd.Series:
+        directions, shift = sent.value
+        side = (_matrix(x) @ directions - shift).reshape(len(x), tables, -1)
+        power = np.int64(1) << np.arange(bits, dtype=np.int64)
+        own = (side[:, :, :bits] > 0).astype(np.int64) @ power + (np.arange(tables, dtype=np.int64) << bits)
+        found = own[:, :, None]
+        if probes:
+            near = np.argsort(np.abs(side[:, :, :bits]), axis=2, kind="stable")[:, :, :probes]
+            found = np.concatenate([found, own[:, :, None] ^ power[near]], axis=2)
+        return pd.Series([list(v) for v in found])
+
+    dealt = cut_lineage(spread(points).withColumn("buckets", buckets("x")))
+    have = dealt.select("point", "x", "copies", F.explode(F.transform("buckets", lambda b: b[0])).alias("region"))
+    asked = dealt.select("point", "x", F.explode(F.flatten("buckets")).alias("target"))
+    return first_k(_search(asked, have, k).dropDuplicates(["point", "neighbor"]), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours, by weight, whose distance the found lists reach as well.
+
+    A neighbour as far away as an exact one is as good, so ties at the end of a list count.
+    """
+    ends = exact.groupBy("point").agg(F.max("distance").alias("end"), F.sum("weight").alias("all"))
+    near = found.join(ends.drop("all"), "point").where(F.col("distance") <= F.col("end") * (1 + SLACK))
+    return near.agg(F.sum("weight")).first()[0] / ends.agg(F.sum("all")).first()[0]
 
 
 def nearest_neighbors(df: DataFrame, k: int, key: str = "vec_id", vector: str = "x", seed: int = 42) -> DataFrame:
@@ -266,11 +328,12 @@ def outlier_factor(neighbors: DataFrame) -> DataFrame:
 
 
 def local_outlier_factor(
-    df: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "x", seed: int = 42
+    df: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "x", seed: int = 42, approximate: bool = False
 ) -> DataFrame:
     """Rows of ``df`` with their factor; copies of a vector share it."""
     points = cut_lineage(fold_copies(df, key, vector))
-    factors = outlier_factor(cut_lineage(neighbors_of_points(points, k, seed)))
+    search = approximate_neighbors if approximate else neighbors_of_points
+    factors = outlier_factor(cut_lineage(search(points, k, seed=seed)))
     by_vector = points.join(factors, "point").select(F.col("x").alias("_x"), "lof")
     return df.join(by_vector, F.col(vector).cast("array<double>") == F.col("_x")).drop("_x")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authscope.functions.draws import SPAN
+from authscope.functions.draws import SPAN, key_text
 from authscope.operators.quantile import exact_percentiles
 from authscope.operators.scaler import Scaler, fit_scaler
 from authscope.schemas import DEFAULT_SEED
@@ -27,6 +27,8 @@ from authscope.session import cut_lineage, spread
 
 FEATURES = 256
 STEPS = 40
+#: A boundary rests when no weight moves more than this in a step.
+STILL = 1e-6
 
 
 @dataclass(frozen=True)
@@ -92,6 +94,51 @@ def _pass(rows: DataFrame, directions: np.ndarray, shifts: np.ndarray, weights:
     return total, count
 
 
+def _moved(step: int, weights: np.ndarray, rho: np.ndarray, total: np.ndarray, count: np.ndarray, share: np.ndarray) -> tuple:
+    """One step of all boundaries, from the rows inside their margins."""
+    rate = 1.0 / (step + 1)
+    weights = weights - rate * (weights - total / share[:, None])
+    return weights, rho - rate * (count / share - 1.0) * np.maximum(rho, 1e-3)
+
+
+def _averaged(
+    rows: DataFrame, n: int, directions: np.ndarray, shifts: np.ndarray, nus: np.ndarray, steps: int, batch_rows: int
+) -> np.ndarray:
+    """Mean of the boundaries of batches of some ``batch_rows`` rows, each fitted in one task.
+
+    A row's batch is told by its name in ``_key``, so the boundary does not depend on the partitioning
+    and equal rows spread over the batches. A batch ends its steps early once its boundary rests.
+    """
+    parts = max(1, round(n / batch_rows))
+    sent = rows.sparkSession.sparkContext.broadcast((directions, shifts))
+    names = [c for c in rows.columns if c != "_key"]
+
+    def fit(batch: pd.DataFrame) -> pd.DataFrame:
+        x = batch[names].to_numpy(dtype=np.float64)
+        x = x[np.lexsort(x.T)]  # sums do not depend on the order in which rows came
+        z = _cosines(x, *sent.value)
+        weights = np.tile(z.mean(axis=0), (len(nus), 1))
+        rho, share = (weights * weights).sum(axis=1), nus * len(z)
+        for step in range(1, steps + 1):
+            inside = (z @ weights.T) < rho
+            new, rho = _moved(step, weights, rho, inside.T.astype(np.float64) @ z, inside.sum(axis=0), share)
+            moved = np.abs(new - weights).max()
+            weights = new
+            if moved < STILL:
+                break
+        count = len(nus) * weights.shape[1]
+        m, i = np.divmod(np.arange(count), weights.shape[1])
+        return pd.DataFrame({"m": m, "i": i, "v": weights.ravel() * len(z), "n": len(z)})
+
+    keyed = rows.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts)))
+    fitted = keyed.groupBy("_part").applyInPandas(fit, "m int, i int, v double, n long")
+    sums = fitted.groupBy("m", "i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()  # boundaries x features
+    weights = np.zeros((len(nus), len(shifts)))
+    for r in sums:
+        weights[r["m"], r["i"]] = r["v"]
+    return weights
+
+
 def fit_one_class(
     df: DataFrame,
     columns: Sequence[str],
@@ -100,12 +147,23 @@ def fit_one_class(
     steps: int = STEPS,
     seed: int = DEFAULT_SEED,
     scaler: Scaler | None = None,
+    batch_rows: int | None = None,
+    key: Sequence[str] | None = None,
 ) -> list[OneClass]:
-    """One boundary per nu, fitted on the rows of ``df``."""
+    """One boundary per nu, fitted on the rows of ``df``.
+
+    By default every step is a pass over all rows. With ``batch_rows`` the rows are dealt into batches
+    of about that size by ``key``, each is fitted by itself in a task, and the boundary is the mean of
+    theirs: one pass in place of all steps. Either way the offset is the exact quantile over all rows,
+    so a share of nu of them lies outside.
+    """
+    if batch_rows and not key:
+        raise ValueError("batches need a row key")
     if any(not 0 < nu <= 1 for nu in nus):
         raise ValueError("nu lies in (0, 1]")
     scaler = scaler or fit_scaler(df, columns)
-    rows = cut_lineage(spread(df.select(*[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)])))
+    named = [key_text(*key).alias("_key")] if batch_rows else []
+    rows = cut_lineage(spread(df.select(*named, *[scaler.expr(c).alias(f"f{i}") for i, c in enumerate(columns)])))
     # Kernel width from the variance over all entries, as with gamma "scale".
     moments = rows.agg(
         F.count(F.lit(1)).alias("n"),
@@ -117,17 +175,18 @@ def fit_one_class(
     gamma = 1.0 / (len(columns) * variance) if variance > 0 else 1.0
     directions, shifts = _fourier(len(columns), features, gamma, seed)
 
-    # Start from the mean feature, where every row counts as inside the margin.
     models, n = len(nus), moments["n"]
-    total, _ = _pass(rows, directions, shifts, np.zeros((models, features)), np.ones(models))
-    weights = total / n
-    rho = (weights * weights).sum(axis=1)
-    share = np.array(nus) * n
-    for step in range(1, steps + 1):
-        total, count = _pass(rows, directions, shifts, weights, rho)
-        rate = 1.0 / (step + 1)
-        weights = weights - rate * (weights - total / share[:, None])
-        rho = rho - rate * (count / share - 1.0) * np.maximum(rho, 1e-3)
+    if batch_rows:
+        weights = _averaged(rows, n, directions, shifts, np.array(nus), steps, batch_rows)
+    else:
+        # Start from the mean feature, where every row counts as inside the margin.
+        total, _ = _pass(rows, directions, shifts, np.zeros((models, features)), np.ones(models))
+        weights = total / n
+        rho = (weights * weights).sum(axis=1)
+        share = np.array(nus) * n
+        for step in range(1, steps + 1):
+            total, count = _pass(rows, directions, shifts, weights, rho)
+            weights, rho = _moved(step, weights, rho, total, count, share)
     fitted = [OneClass(scaler, nu, directions, shifts, weights[m], 0.0) for m, nu in enumerate(nus)]
     # The offset that leaves a share of nu of the training rows outside.
     margins = cut_lineage(rows.select(*[_margin(f, [F.col(f"f{i}") for i in range(len(columns))]).alias(f"m{m}") for m, f in enumerate(fitted)]))

@@ -90,6 +90,8 @@ ALERT_COLUMNS = (
     "success_after_fail",
     "user_entropy",
 )
+# Column names of flow files.
+FLOW_COLUMNS = {"dst_port": "Destination Port", "label": "Label", "src_ip": "Source IP", "ts": "Timestamp"}
 DEFAULT_WINDOW = "10min"
 DEFAULT_CONTAMINATION = 0.01
 DEFAULT_TREES = 300

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import csv
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from authscope.operators.normalize import auth_logs
 from authscope.operators.quantile import bounded_rows
+from authscope.schemas import FLOW_COLUMNS
+from authscope.session import cut_lineage
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
@@ -38,23 +42,36 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
+def file_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The header of each CSV file, its names as they stand, from one pass over all files together.
+
+    The lines of a file's first block come to one task in order, so the first is the one with
+    the least running number. Files without a line are left out.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")
+    )
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "n").alias("line"))
+    return {r["file_path"]: tuple(next(csv.reader([r["line"]]))) for r in first.collect()}  # a row for each file
+
+
 def read_flow_csvs(spark: SparkSession, pattern: str, schema: dict[str, str] | None = None) -> DataFrame:
     """All files of a glob as one table, by trimmed column name.
 
     Files with the same header are one scan. ``schema`` gives types by trimmed name; without
     it types are inferred per header, at the price of an extra pass.
     """
+    paths = list_files(spark, pattern)
+    if not paths:
+        raise FileNotFoundError(pattern)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in list_files(spark, pattern):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
+    for path, header in sorted(file_headers(spark, paths).items()):
         by_header.setdefault(header, []).append(path)
-    if not by_header:
-        raise FileNotFoundError(pattern)
     out = None
     for header, paths in by_header.items():
         reader = spark.read.option("header", True)
         if schema:
-            fields = ", ".join(f"`{c}` {schema.get(c.strip(), 'string')}" for c in header)
+            fields = T.StructType([T.StructField(c, _type_of(schema.get(c.strip(), "string"))) for c in header])
             part = reader.schema(fields).csv(paths)
         else:
             part = reader.option("inferSchema", True).csv(paths)
@@ -63,6 +80,33 @@ def read_flow_csvs(spark: SparkSession, pattern: str, schema: dict[str, str] | N
     return out
 
 
+def _type_of(name: str) -> T.DataType:
+    return T.StructType.fromDDL(f"x {name}")["x"].dataType
+
+
+def flow_columns(df: DataFrame, columns: Mapping[str, str] = FLOW_COLUMNS) -> DataFrame:
+    """Flows under the names the routes read; dots in other names become underscores.
+
+    ``columns`` maps a route's name to the file's; those the file lacks are left out.
+    """
+    names = {source: name for name, source in columns.items()}
+    return df.toDF(*[names.get(c, c.replace(".", "_")) for c in df.columns])
+
+
+ROW_KEY = ("row_part", "row_number")
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """``df`` with a key of two numbers for rows that have none: a row's part of a written table and its place there.
+
+    The rows are written once; nothing is shuffled, and equal rows get keys of their own. Reading the
+    same files in the same splits gives the same keys.
+    """
+    held = cut_lineage(df)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], part.alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1]))
+
+
 def read_parquet_pair(spark: SparkSession, train: str, test: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(train), spark.read.parquet(test)
 

@@ -626,3 +626,5 @@ ORACLES["grid_forest"] = grid_sql(6, (2, 4, 6), (0.5, 0.8, 1.0), 18)
 
 ORACLES["stream_features"] = _features(86400, 2, "src_ip")
 ORACLES["stream_sliding"] = ORACLES["features_sliding"]
+ORACLES["knn_recall"] = "SELECT count(*) AS points, count(*) * 10 AS listed, true AS recall_of_nine_tenths FROM embeddings"
+ORACLES["oneclass_batches"] = "SELECT count(*) AS n, true AS share_is_nu FROM embeddings WHERE label <> 9"

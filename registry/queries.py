@@ -611,6 +611,18 @@ def knn_topk(spark, sf_dir):
     return rounded(neighbors.nearest_neighbors(vectors, 10), "distance")
 
 
+@query
+def knn_recall(spark, sf_dir):
+    """Approximate lists of ten beside the exact ones: is nine tenths of the neighbours found?"""
+    vectors = adapters.labelled_vectors(adapters.table(spark, sf_dir, "embeddings"))
+    points = cut_lineage(neighbors.fold_copies(vectors, "vec_id", "x"))
+    found = cut_lineage(neighbors.approximate_neighbors(points, 10))
+    share = neighbors.recall(found, neighbors.neighbors_of_points(points, 10))
+    return found.groupBy("point").agg(F.sum("weight").alias("n")).agg(
+        F.count(F.lit(1)).alias("points"), F.sum("n").alias("listed")
+    ).withColumn("recall_of_nine_tenths", F.lit(share >= 0.9))
+
+
 @query
 def lof(spark, sf_dir):
     vectors = adapters.labelled_vectors(adapters.table(spark, sf_dir, "embeddings"))
@@ -633,6 +645,16 @@ def oneclass_rff(spark, sf_dir):
     return rounded(out.select("vec_id", "y", "anomaly_score", "is_anomaly"), "anomaly_score")
 
 
+@query
+def oneclass_batches(spark, sf_dir):
+    """The boundary averaged over batches: rows, those outside among the fitted ones, and whether nu of them are."""
+    rows, columns = _vector_columns(spark, sf_dir)
+    nu, fitted = 0.2, rows.where("y = 0")
+    model = oneclass.fit_one_class(fitted, columns, [nu], batch_rows=128, key=["vec_id"])[0]
+    out = oneclass.score_one_class(fitted, model).agg(F.count(F.lit(1)).alias("n"), F.avg("is_anomaly").alias("share"))
+    return out.select("n", (F.abs(F.col("share") - nu) <= 0.02).alias("share_is_nu"))
+
+
 @query
 def grid_forest(spark, sf_dir):
     """Forests on large shares of the rows, few trees: every cell of the grid."""

@@ -100,3 +100,25 @@ def test_curve_with_ties_and_its_area(spark):
     assert [(r["score"], r["precision"], r["recall"]) for r in rows] == [
         (0.9, 0.5, 0.5), (0.5, 2 / 3, 1.0), (0.1, 0.5, 1.0), (None, 1.0, 0.0)]
     assert evaluate.average_precision(df).first()[0] == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
+
+
+def test_averaged_boundary_is_near_the_one_of_all_passes(spark):
+    from authscope.operators.oneclass import fit_one_class, score_one_class
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 3))
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(5)
+    far = spark.createDataFrame([(i, 9.0, -9.0, 9.0) for i in range(20)], df.schema)
+    whole = fit_one_class(df, ["a", "b", "c"], [0.1, 0.3], features=64)
+    parts = fit_one_class(df, ["a", "b", "c"], [0.1, 0.3], features=64, batch_rows=300, key=["id"])
+    again = fit_one_class(df.coalesce(1), ["a", "b", "c"], [0.1, 0.3], features=64, batch_rows=300, key=["id"])
+    for one, two, three in zip(whole, parts, again):
+        out = score_one_class(df, two)
+        assert abs(out.where("is_anomaly = 1").count() / 1200 - two.nu) <= 0.02
+        assert score_one_class(far, two).where("is_anomaly = 0").count() == 0
+        both = score_one_class(df, one).select("id", "is_anomaly").join(out.select("id", out.is_anomaly.alias("other")), "id")
+        assert both.where("is_anomaly = other").count() >= 0.9 * 1200
+        np.testing.assert_allclose(two.weights, three.weights, rtol=1e-6, atol=1e-9)
+    with pytest.raises(ValueError, match="row key"):
+        fit_one_class(df, ["a", "b", "c"], batch_rows=300)

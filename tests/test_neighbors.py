@@ -54,3 +54,33 @@ def test_flagged_share(spark):
     x = np.random.default_rng(3).normal(size=(100, 2))
     factors = nb.local_outlier_factor(table(spark, x), 5)
     assert nb.flag_outliers(factors, 0.1).where("is_anomaly = 1").count() == 10
+
+
+def test_best_candidates_by_distance_then_name_until_k():
+    far = np.array([[0.0, 2.0, 1.0, 1.0, 5.0], [2.0, 0.0, 3.0, 3.0, 3.0]])
+    names, copies = np.array([10, 11, 13, 12, 14]), np.array([1, 1, 2, 1, 4])
+    row, at, d = nb._best(far, np.array([10, 11]), names, copies, 3)
+    assert [(int(r), int(names[a]), float(x)) for r, a, x in zip(row, at, d)] == [
+        (0, 12, 1.0), (0, 13, 1.0), (1, 10, 2.0), (1, 12, 3.0), (1, 13, 3.0),
+    ]
+    row, at, _ = nb._best(far[:1], np.array([10]), names, np.array([3, 1, 2, 1, 4]), 2)
+    assert names[at].tolist() == [10]  # its own copies come first
+
+
+def test_approximate_lists_miss_little_and_more_tables_less(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 4, (12, 16))
+    x = np.concatenate([c + rng.normal(size=(70, 16)) for c in centres] + [np.tile(centres[:1], (300, 1))])
+    points = nb.cut_lineage(nb.fold_copies(table(spark, x), "vec_id", "x"))
+    exact = nb.cut_lineage(nb.neighbors_of_points(points, 8))
+    share = [nb.recall(nb.approximate_neighbors(points, 8, t, p, bits=5), exact) for t, p in ((1, 0), (12, 3))]
+    assert share[0] < share[1] and share[1] >= 0.9
+    assert nb.recall(nb.approximate_neighbors(points, 8, 1, 0, bits=0), exact) == 1.0  # one bucket: all pairs
+    factors = nb.local_outlier_factor(table(spark, x), 8, approximate=True)
+    assert factors.count() == len(x)
+    for bad in ((0, 1, 0), (1, 0, 0), (1, 1, -1)):
+        with pytest.raises(ValueError):
+            nb.approximate_neighbors(points, *bad)
+    with pytest.raises(ValueError, match="no rows"):
+        nb.approximate_neighbors(points.where("false"), 3)
