@@ -120,8 +120,9 @@ def _links(group: pa.Table, threshold: float, trees: int, depth: int) -> pa.Tabl
 
     Gives for each set with links the number of texts at its other ends, the least set that it
     is connected with here, the number of its links and, for each length of prefix from 1 to
-    ``depth``, how many links stand behind these: each counts once over its chance of being
-    found at that length. Pairs are not listed.
+    ``depth``, how many links stand behind these (each counts once over its chance of being found
+    at that length), and how many of those behind the ones found by whole labels that length would
+    reach. Pairs are not listed.
     """
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     group = group.sort_by([("block", "ascending"), ("sid", "ascending")])
@@ -132,7 +133,7 @@ def _links(group: pa.Table, threshold: float, trees: int, depth: int) -> pa.Tabl
     split = int(np.searchsorted(block, j)) if i != j else 0
     n, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
     links, root = np.zeros(n, np.int64), np.arange(n)
-    pairs, behind = np.zeros(n, np.int64), np.zeros((n, depth))
+    pairs, behind, reached = np.zeros(n, np.int64), np.zeros((n, depth)), np.zeros((n, depth))
     if n > max(1, split) and (i == j or split):
         common = _intersections(sets, split).astype(np.float64)
         union = sizes[: split or n, None] + sizes[None, split:] - common
@@ -144,10 +145,12 @@ def _links(group: pa.Table, threshold: float, trees: int, depth: int) -> pa.Tabl
             links = np.concatenate([near @ copies[split:], copies[:split] @ near])
         u, v = np.nonzero(near)
         alike = np.minimum(1.0, common[u, v] / union[u, v])
+        chance = [found_chance(alike, d + 1, trees) for d in range(depth)]
         for ends in (u,) if i == j else (u, v + split):
             pairs += np.bincount(ends, minlength=n)
             for d in range(depth):
-                behind[:, d] += np.bincount(ends, 1 / found_chance(alike, d + 1, trees), n)
+                behind[:, d] += np.bincount(ends, 1 / chance[d], n)
+                reached[:, d] += np.bincount(ends, chance[d] / chance[-1], n)
         while True:  # every set takes the least number among its neighbours'
             new = root.copy()
             top, low = root[: split or n], root[split:]
@@ -167,6 +170,7 @@ def _links(group: pa.Table, threshold: float, trees: int, depth: int) -> pa.Tabl
             "other": sid[root[some]],
             "pairs": pairs[some],
             "behind": pa.array(list(behind[some]), pa.list_(pa.float64())),
+            "reached": pa.array(list(reached[some]), pa.list_(pa.float64())),
         }
     )
 
@@ -193,9 +197,10 @@ def near_duplicates(
     share a prefix meet in a node of the tree's trie. The search starts from whole labels. After
     the links there are verified, their similarities tell how many links there should be: a link
     of similarity s is found with chance 1 - (1 - s**d) ** trees at prefixes of length d, so each
-    one found stands for one over that chance. While the share found is below ``target``, or
-    nothing is found that tells it, the prefixes are shortened by one; at the latest they end
-    where even a link at the threshold is found with that chance. Tables of copies that are nearly
+    one found stands for one over that chance. While the share found is below ``target``, the prefixes
+    are shortened: first to the longest at which those links would be found with it, then one by one.
+    At the latest they end where even a link at the threshold is found with that chance, and there at
+    once if nothing is found that tells. Tables of copies that are nearly
     equal so keep long prefixes and few candidates. ``report``, if given, gets a (depth, links, recall) for
     each length tried.
 
@@ -246,7 +251,7 @@ def _verified(rows: DataFrame, asked: DataFrame, k: int, threshold: float, trees
     )
     return payload.groupBy("component", "i", "j").applyInArrow(
         lambda g: _links(g, threshold, trees, depth),
-        "component long, sid long, links long, other long, pairs long, behind array<double>",
+        "component long, sid long, links long, other long, pairs long, behind array<double>, reached array<double>",
     )
 
 
@@ -255,7 +260,8 @@ def _search(
 ) -> DataFrame:
     """Links of all sets, from whole labels down to prefixes short enough for the target."""
     found = known = None
-    for d in range(depth, least_depth(threshold, target, trees, depth) - 1, -1):
+    d, least = depth, least_depth(threshold, target, trees, depth)
+    while True:
         members = connected_components(_nodes(sets, d, trees, depth)).select(F.col("node").alias("sid"), "component")
         members = cut_lineage(members.join(sets.drop("labels"), "sid"))
         extent = cut_lineage(
@@ -274,13 +280,16 @@ def _search(
             same = extent.join(known.select("component", "members"), ["component", "members"], "left_semi")
             found = found.join(same.select("component"), "component", "left_semi").unionByName(more)
         known = extent.select("component", "members")
-        told = found.agg(F.sum("pairs").alias("pairs"), F.sum(F.element_at("behind", d)).alias("behind")).first()
-        recall = told["pairs"] / told["behind"] if told["pairs"] else 0.0
+        sums = [F.sum(F.element_at(c, e + 1)).alias(f"{c}{e + 1}") for c in ("behind", "reached") for e in range(depth)]
+        told = found.agg(F.sum("pairs").alias("pairs"), *sums).first()
+        recall = told["pairs"] / told[f"behind{d}"] if told["pairs"] else 0.0
         if report is not None:
             report.append((d, (told["pairs"] or 0) // 2, recall))
-        if recall >= target:
-            break
-    return found
+        if recall >= target or d == least:
+            return found
+        # The links found by whole labels tell how far prefixes must be shortened; later ones one by one.
+        enough = [e for e in range(least, d) if told["pairs"] and told[f"reached{e}"] >= target * told[f"behind{depth}"]]
+        d = max(enough, default=least) if d == depth else d - 1
 
 
 def _classes(

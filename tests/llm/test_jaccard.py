@@ -134,7 +134,7 @@ def test_prefixes_are_as_short_as_the_data_need(docs_of):
         report = []
         found = near_duplicates(docs_of(rows, clashing=False), report=report).collect()
         assert sorted((x.doc_id, x.class_id, x.n_links) for x in found) == by_hand(rows)
-        assert [d for d, _, _ in report] == list(range(6, 6 - len(report), -1))
+        assert report[0][0] == 6 and [d for d, _, _ in report] == sorted({d for d, _, _ in report}, reverse=True)
         reports[name] = report
     assert len(reports["near"]) == 1 and reports["near"][0][2] > 0.99999
     assert len(reports["far"]) > 1 and reports["far"][0][2] < 0.99999
@@ -147,7 +147,7 @@ def test_recall_at_each_length_is_the_share_of_links_found(docs_of):
     true = sum(n for _, _, n in by_hand(rows)) // 2
     report = []
     near_duplicates(docs_of(rows, clashing=False), trees=2, depth=6, report=report).collect()
-    assert len(report) > 2
+    assert len(report) > 1
     for _, links, recall in report:
         assert abs(links / true - recall) < 0.12
     assert [n for _, n, _ in report] == sorted(n for _, n, _ in report)
