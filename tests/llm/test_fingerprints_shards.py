@@ -114,7 +114,7 @@ def test_edits_of_keys_beyond_doubles(docs_of):
         assert found == dict(zip([k for k, _ in rows], expected(rows), strict=True))
 
 
-def test_one_key_of_very_many_texts_is_spread(spark, docs_of, monkeypatch):
+def test_one_key_of_very_many_texts_is_spread(spark, docs_of, monkeypatch, tmp_path):
     from pyspark.sql import functions as F
 
     from authscope.llm import fingerprints
@@ -125,5 +125,7 @@ def test_one_key_of_very_many_texts_is_spread(spark, docs_of, monkeypatch):
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]), reverse=True)
     cuts = fingerprints._cuts(docs_of(rows).select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash")), 16)
     assert 16 <= len(cuts) <= 17  # the highest row ends the last range
-    found = fingerprint_with_edits(docs_of(rows), bucket_bytes=1 << 17).select("doc_id", "edited_sha256").collect()
+    docs_of(rows).coalesce(4).write.parquet(str(tmp_path / "docs"))  # its size is known, unlike that of rows in memory
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = fingerprint_with_edits(docs, bucket_bytes=1 << 14).select("doc_id", "edited_sha256").collect()
     assert sorted((x[0] or 0, x[1]) for x in found) == sorted((k or 0, e) for (k, _), e in zip(order, expected(order), strict=True))
