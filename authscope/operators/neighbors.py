@@ -41,6 +41,22 @@ def fold_copies(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+def vector_digest(vector: Column) -> Column:
+    """128 bits that stand for a vector in joins, so that rows need not be dealt by the whole of it."""
+    plain = F.transform(vector.cast("array<double>"), lambda v: v + F.lit(0.0))  # one zero
+    return F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(F.lit(1), plain).alias("b"))
+
+
+def with_factor(df: DataFrame, points: DataFrame, factors: DataFrame, vector: str) -> DataFrame:
+    """Rows of ``df`` with the columns that ``factors`` has beside ``point``, by their vectors' points.
+
+    The points have one row a vector, so adaptive execution can split the rows of a very frequent one.
+    """
+    named = [c for c in factors.columns if c != "point"]
+    held = points.select("point", vector_digest(F.col("x")).alias("_digest")).join(factors, "point").select("_digest", *named)
+    return df.withColumn("_digest", vector_digest(F.col(vector))).join(held.hint("merge"), "_digest").drop("_digest")
+
+
 def _pivots(points: DataFrame, total: int, seed: int) -> np.ndarray:
     """Vectors of a keyed draw of points; at most ``MAX_PIVOTS`` reach the driver."""
     wanted = max(1, min(MAX_PIVOTS, math.ceil(total / BLOCK_ROWS) * 4, total))
@@ -334,8 +350,7 @@ def local_outlier_factor(
     points = cut_lineage(fold_copies(df, key, vector))
     search = approximate_neighbors if approximate else neighbors_of_points
     factors = outlier_factor(cut_lineage(search(points, k, seed=seed)))
-    by_vector = points.join(factors, "point").select(F.col("x").alias("_x"), "lof")
-    return df.join(by_vector, F.col(vector).cast("array<double>") == F.col("_x")).drop("_x")
+    return with_factor(df, points, factors, vector)
 
 
 def flag_outliers(factors: DataFrame, contamination: float, name: str = "lof") -> DataFrame:

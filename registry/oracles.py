@@ -628,3 +628,5 @@ ORACLES["stream_features"] = _features(86400, 2, "src_ip")
 ORACLES["stream_sliding"] = ORACLES["features_sliding"]
 ORACLES["knn_recall"] = "SELECT count(*) AS points, count(*) * 10 AS listed, true AS recall_of_nine_tenths FROM embeddings"
 ORACLES["oneclass_batches"] = "SELECT count(*) AS n, true AS share_is_nu FROM embeddings WHERE label <> 9"
+ORACLES["choose_model"] = """SELECT model, lines, (SELECT count(*) FROM embeddings) AS n, true AS forest_agrees
+FROM (VALUES ('IsolationForest', CAST(27 AS BIGINT)), ('LOF', 3), ('OneClassSVM', 3)) t(model, lines)"""

@@ -676,6 +676,22 @@ def grid_oneclass(spark, sf_dir):
     return grid.one_class_grid(rows.where("y = 0"), rows, columns, ["vec_id"], rows=None)
 
 
+@query
+def choose_model(spark, sf_dir):
+    """The whole choice at the reference's settings: lines a model, rows that all lines were measured
+    on, and whether the chosen forest gives the F1 of its line once more."""
+    rows, columns = _vector_columns(spark, sf_dir)
+    found = grid.choose(rows.where("y = 0"), rows, columns, ["vec_id"], test_rows=None, one_class_rows=None)
+    scored = forest.score(found.tested, found.forest)
+    flagged = scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(found.forest.cut)).cast("int"))
+    again = evaluate.quality(evaluate.cells(flagged)).select(F.round("f1", 4).alias("again"))
+    best = found.grid.where("model = 'IsolationForest'").agg(F.max("f1").alias("best"))
+    lines = found.grid.groupBy("model").agg(F.count(F.lit(1)).alias("lines"))
+    same = again.join(best, F.col("again") == F.col("best"), "left").select(F.col("best").isNotNull().alias("forest_agrees"))
+    counted = found.tested.agg(F.count(F.lit(1)).alias("n"))
+    return lines.join(F.broadcast(counted)).join(F.broadcast(same))
+
+
 # --- streams -----------------------------------------------------------------------------
 
 

@@ -49,6 +49,26 @@ def test_grid_chooses_a_forest_that_reproduces_its_line(planted):
     assert round(again["f1"], 4) == best["f1"]
 
 
+def test_all_lines_of_a_choice_are_measured_on_the_same_rows(planted, monkeypatch, spark, tmp_path):
+    seen = []
+    real = grid.measured
+
+    def watched(scored, lines, *more):
+        seen.append((scored.count(), scored.agg(F.sum("y")).first()[0]))
+        return real(scored, lines, *more)
+
+    monkeypatch.setattr(grid, "measured", watched)
+    choice = grid.choose(
+        planted.where("y = 0"), planted, ["a", "b"], ["id"], estimators=(3,), shares=(1.0,), contaminations=(0.1,),
+        neighbors=(5,), nus=(0.1,), test_rows=150, one_class_rows=100,
+    )
+    assert choice.tested.count() == 150 and choice.tested.dropDuplicates(["id"]).count() == 150
+    assert seen == [(150, choice.tested.agg(F.sum("y")).first()[0])] * 3
+    path = sinks.write_table(evaluate.top_of_grid(choice.grid), str(tmp_path / "grid"), "csv")
+    back = spark.read.schema(choice.grid.schema).option("header", True).csv(path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, choice.grid.collect()))
+
+
 def test_spray_source_is_found_in_a_generated_log(spark, tmp_path):
     log = generated.generated_logs(spark)
     found = detect(log, n_estimators=50, contamination=0.02)

@@ -84,3 +84,11 @@ def test_approximate_lists_miss_little_and_more_tables_less(spark, monkeypatch):
             nb.approximate_neighbors(points, *bad)
     with pytest.raises(ValueError, match="no rows"):
         nb.approximate_neighbors(points.where("false"), 3)
+
+
+def test_factors_come_back_to_copies_and_to_both_zeros(spark):
+    rows = [(i, [float(i % 7), 0.0]) for i in range(20)] + [(30, [1.0, -0.0]), (31, [50.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, x array<double>")
+    found = {r["vec_id"]: r["lof"] for r in nb.local_outlier_factor(df, 4).collect()}
+    assert len(found) == 22 and found[30] == found[1] == found[8]
+    assert found[31] == max(found.values())
