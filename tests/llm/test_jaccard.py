@@ -107,6 +107,17 @@ def test_components_of_random_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_paths_stars_and_odd_edges(spark):
+    path = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(600)]
+    star = [(-5, -100 - i) for i in range(50)]
+    for edges in (path, [(i, i + 1) for i in range(200)], star):
+        found = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+        ends = {n for e in edges for n in e}
+        assert {x.node: x.component for x in found} == dict.fromkeys(ends, min(ends)) and len(found) == len(ends)
+    odd = spark.createDataFrame([(1, 1), (None, 2), (3, None), (4, 3), (3, 4), (4, 3)], "u long, v long")
+    assert sorted(tuple(x) for x in connected_components(odd).collect()) == [(3, 3), (4, 3)]
+
+
 def test_near_copies_without_a_key_are_linked(docs_of):
     r = random.Random(31)
     a, b, c = (words(r, 120, 10**6, p) for p in "abc")
