@@ -2,8 +2,8 @@
 
 The search never pairs all rows. Equal rows are folded into one point with a count, so a
 large group of copies is a single point. Points are assigned to the nearest of a set of
-pivots drawn from the data (dense regions get more pivots), and each region is cut into
-blocks of bounded size. A point is sent only to regions that the triangle inequality cannot
+pivots drawn from the data (dense regions get more pivots; many pivots form two levels), and
+each region is cut into blocks of bounded size. A point is sent only to regions that the triangle inequality cannot
 rule out, given a bound on its k-th distance that is refined by a first search in its own
 region. Tasks compare a block of points with a block of candidates and emit the k best.
 
@@ -57,9 +57,8 @@ def with_factor(df: DataFrame, points: DataFrame, factors: DataFrame, vector: st
     return df.withColumn("_digest", vector_digest(F.col(vector))).join(held.hint("merge"), "_digest").drop("_digest")
 
 
-def _pivots(points: DataFrame, total: int, seed: int) -> np.ndarray:
-    """Vectors of a keyed draw of points; at most ``MAX_PIVOTS`` reach the driver."""
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(total / BLOCK_ROWS) * 4, total))
+def _pivots(points: DataFrame, total: int, wanted: int, seed: int) -> np.ndarray:
+    """Vectors of a keyed draw of ``wanted`` points, at most ``MAX_PIVOTS``, which reach the driver."""
     rows = (
         points.withColumn("_d", uniform(seed, "pivot", "point"))
         .where(F.col("_d") < min(1.0, (2 * wanted + 64) / total))
@@ -189,68 +188,165 @@ def first_k(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _targets(points: DataFrame, bounds: DataFrame, pivots: np.ndarray, stats: list, k: int) -> DataFrame:
-    """Other regions that may hold one of the k nearest of a point, one row each."""
+def _sure(d: np.ndarray, copies: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """For each row of distances to pivots, one within which k other rows lie, wherever in their regions."""
+    if copies.sum() < k + 1:
+        return np.full(len(d), np.inf)
+    reach = np.where(copies > 0, d + high, np.inf)
+    order = np.argsort(reach, axis=1)
+    enough = (np.cumsum(copies[order], axis=1) >= k + 1).argmax(axis=1)
+    return np.take_along_axis(reach, order, axis=1)[np.arange(len(d)), enough]
+
+
+def _open(d: np.ndarray, pivots: np.ndarray, copies: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Which regions may hold something within the limit of each row of distances to their pivots.
+
+    What a region holds is nearer to its pivot than to any other one of the same draw, so it lies
+    beyond the plane halfway to the pivot that is nearest to the row.
+    """
+    near, back = np.unique(d.argmin(axis=1), return_inverse=True)
+    own_d = d.min(axis=1)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d**2 - own_d**2) / (2 * _distances(pivots[near], pivots)[back])
+    plane = np.where(np.isfinite(plane), plane, 0.0)
+    nearest = np.maximum(np.maximum(d - high, low - d), plane)
+    return (copies > 0) & (nearest <= limit[:, None] + SLACK * (1.0 + d + own_d))
+
+
+def _extents(points: DataFrame, *by: str) -> DataFrame:
+    """Of each region the rows it stands for and its least and largest distance from the pivot."""
+    return points.groupBy(*by).agg(F.sum("copies").alias("copies"), F.min("off").alias("low"), F.max("off").alias("high"))
+
+
+def _targets(
+    points: DataFrame, bounds: DataFrame, pivots: np.ndarray, stats: list, k: int, own: bool = False, kept: Sequence[str] = ()
+) -> DataFrame:
+    """Regions that may hold one of the k nearest of a point, one row each, with the point's limit.
+
+    A point's own region is among them only with ``own``. Columns ``kept`` of the bounds stay.
+    """
     size = len(pivots)
     copies, low, high = np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
     for s in stats:
         copies[s["region"]], low[s["region"]], high[s["region"]] = s["copies"], s["low"], s["high"]
-    sent = points.sparkSession.sparkContext.broadcast((pivots, copies, low, high, _distances(pivots, pivots)))
+    sent = points.sparkSession.sparkContext.broadcast((pivots, copies, low, high))
 
-    @F.pandas_udf("array<int>")
-    def reachable(x: pd.Series, region: pd.Series, bound: pd.Series) -> pd.Series:
-        pivots, copies, low, high, between = sent.value
-        held = copies > 0
+    @F.pandas_udf("found array<int>, limit double")
+    def reachable(x: pd.Series, region: pd.Series, bound: pd.Series) -> pd.DataFrame:
+        pivots, copies, low, high = sent.value
         d = _distances(_matrix(x), pivots)
-        own = region.to_numpy()
-        own_d = d[np.arange(len(d)), own][:, None]
-        # Enough rows lie within this distance, whatever their place in their regions.
-        reach = np.where(held, d + high, np.inf)
-        order = np.argsort(reach, axis=1)
-        enough = (np.cumsum(copies[order], axis=1) >= k + 1).argmax(axis=1)
-        sure = np.take_along_axis(reach, order, axis=1)[np.arange(len(d)), enough]
-        total = copies.sum()
-        limit = np.minimum(np.where(total >= k + 1, sure, np.inf), bound.fillna(np.inf).to_numpy())
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d**2 - own_d**2) / (2 * between[own])
-        plane = np.where(np.isfinite(plane), plane, 0.0)
-        nearest = np.maximum(np.maximum(d - high, low - d), plane)
-        room = SLACK * (1.0 + d + own_d)
-        ok = held & (nearest <= limit[:, None] + room)
-        ok[np.arange(len(d)), own] = False
-        return pd.Series([np.flatnonzero(r).astype(np.int32) for r in ok])
-
-    return points.join(bounds, "point", "left").select(
-        "point", "x", F.explode(reachable("x", "region", "bound")).alias("target")
+        limit = np.minimum(_sure(d, copies, high, k), bound.fillna(np.inf).to_numpy())
+        ok = _open(d, pivots, copies, low, high, limit)
+        ok[np.arange(len(d)), region.to_numpy()] = own
+        return pd.DataFrame({"found": [np.flatnonzero(r).astype(np.int32) for r in ok], "limit": limit})
+
+    met = points.join(bounds, "point", "left").withColumn("_r", reachable("x", "region", "bound"))
+    return met.select("point", "x", *kept, F.col("_r.limit").alias("limit"), F.explode("_r.found").alias("target"))
+
+
+def _leaves(points: DataFrame, seed: int) -> DataFrame:
+    """Pivots within each region, as many as its points ask for: a row (top, pivots) each."""
+    sizes = points.groupBy(F.col("region").alias("top")).agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("_rows") / BLOCK_ROWS) * 4, F.col("_rows"))
+    drawn = (
+        points.join(F.broadcast(sizes), F.col("region") == F.col("top"))  # a row a pivot of the first level
+        .withColumn("_d", uniform(seed, "leaf", "point"))
+        .where(F.col("_d") * F.col("_rows") < 2 * wanted + 64)
+        .withColumn("_i", F.row_number().over(W.partitionBy("top").orderBy("_d", "point")))
+        .where(F.col("_i") <= wanted)
     )
+    ordered = F.array_sort(F.collect_list(F.struct("_i", "x")))
+    return drawn.groupBy("top").agg(F.transform(ordered, lambda p: p["x"]).alias("pivots"))
+
+
+def _in_blocks(rows: DataFrame, region: str, *columns: str) -> DataFrame:
+    """Rows (top, h), ``h`` the structs of a block of bounded size of the rows of one region."""
+    blocks = _blocks_of(rows, region)
+    held = rows.join(blocks, F.col(region) == F.col("_r")).withColumn("_block", F.pmod(F.hash("point"), F.col("_parts")))
+    return held.groupBy(F.col(region).alias("top"), "_block").agg(F.collect_list(F.struct(*columns)).alias("h")).drop("_block")
+
+
+def _assign_leaves(points: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Points with the nearest pivot of their region: ``region`` is the leaf now, ``top`` the region."""
+
+    @F.pandas_udf("leaf array<int>, off array<double>")
+    def nearest(x: pd.Series, pivots: pd.Series) -> pd.DataFrame:
+        leaf, off = [], []
+        for a, p in zip(x, pivots):
+            d = _distances(_matrix(a), _matrix(p))
+            leaf.append(d.argmin(axis=1).astype(np.int32))
+            off.append(d.min(axis=1))
+        return pd.DataFrame({"leaf": leaf, "off": off})
+
+    met = _in_blocks(points, "region", "point", "x", "copies").join(leaves, "top").withColumn("_n", nearest("h.x", "pivots"))
+    held = met.select("top", "h", F.col("_n.leaf").alias("leaf"), F.col("_n.off").alias("off"))
+    both = held.select("top", F.explode(F.arrays_zip("h", "leaf", "off")).alias("z"))
+    leaf = F.col("top").cast("long") * MAX_PIVOTS + F.col("z.leaf")
+    return both.select("z.h.point", "z.h.x", "z.h.copies", "top", leaf.alias("region"), "z.off")
+
+
+def _leaf_targets(asked: DataFrame, points: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
+    """Leaves, other than a point's own, of the regions asked for that may hold one of its k nearest.
+
+    ``asked`` has point, x, leaf, limit and the region as target.
+    """
+    extents = _extents(points, "top", "region").groupBy("top").agg(F.collect_list(F.struct("region", "copies", "low", "high")).alias("s"))
+    known = leaves.join(extents, "top").select("top", "pivots", "s")
+
+    @F.pandas_udf("array<array<bigint>>")
+    def reachable(x: pd.Series, own: pd.Series, limit: pd.Series, pivots: pd.Series, leaf: pd.Series, copies: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        out = []
+        for a, mine, most, p, *held in zip(x, own, limit, pivots, leaf, copies, low, high):
+            names, p = np.asarray(held[0]), _matrix(p)
+            at = names % MAX_PIVOTS
+            n, lo, hi = np.zeros(len(p)), np.full(len(p), np.inf), np.full(len(p), -np.inf)
+            n[at], lo[at], hi[at] = held[1:]
+            d = _distances(_matrix(a), p)
+            ok = _open(d, p, n, lo, hi, np.minimum(np.asarray(most), _sure(d, n, hi, k)))
+            first = names[0] - at[0]
+            out.append([f[f != m] for f, m in zip((np.flatnonzero(r) + first for r in ok), mine)])
+        return pd.Series(out)
+
+    met = _in_blocks(asked, "target", "point", "x", "leaf", "limit").join(known, "top")
+    found = reachable("h.x", "h.leaf", "h.limit", "pivots", "s.region", "s.copies", "s.low", "s.high")
+    both = met.select("h", found.alias("found")).select(F.explode(F.arrays_zip("h", "found")).alias("z"))
+    return both.select("z.h.point", "z.h.x", F.explode("z.found").alias("target"))
 
 
 def neighbors_of_points(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Neighbour table of points with copies: point, neighbor, distance, weight."""
+    """Neighbour table of points with copies: point, neighbor, distance, weight.
+
+    There are four pivots for every ``BLOCK_ROWS`` points. Where that is more than ``MAX_PIVOTS`` the
+    pivots form two levels: about the root of their number part the points into regions, and each
+    region is parted by pivots of its own, which are joined by region and never sent to all tasks.
+    """
     if k < 1:
         raise ValueError("k is at least 1")
     total = points.count()
     if not total:
         raise ValueError("no rows")
-    pivots = _pivots(points, total, seed)
+    wanted = min(math.ceil(total / BLOCK_ROWS) * 4, total)
+    deep = wanted > MAX_PIVOTS
+    pivots = _pivots(points, total, min(MAX_PIVOTS, math.ceil(math.sqrt(wanted))) if deep else wanted, seed)
     points = cut_lineage(_assign(spread(points), pivots))
-    stats = (
-        points.groupBy("region")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("copies").alias("copies"),
-            F.min("off").alias("low"),
-            F.max("off").alias("high"),
-        )
-        .collect()
-    )
+    stats = _extents(points, "region").collect()
+    if deep:
+        tops, leaves = points, cut_lineage(_leaves(points, seed))
+        with arrow_batches(points.sparkSession, PAIRS_PER_BATCH):
+            points = cut_lineage(_assign_leaves(points, leaves))
     own = _search(points.select("point", "x", F.col("region").alias("target")), points, k)
     near = first_k(own, k)
-    if len(stats) == 1:
+    if len(stats) == 1 and not deep:
         return near
     full = F.sum("weight") >= k
     bounds = near.groupBy("point").agg(F.when(full, F.max("distance")).alias("bound"))
-    asked = cut_lineage(_targets(points, bounds, pivots, stats, k))
+    if deep:
+        bounds = points.select("point", F.col("region").alias("leaf")).join(bounds, "point", "left")
+        asked = cut_lineage(_targets(tops, bounds, pivots, stats, k, own=True, kept=("leaf",)))
+        with arrow_batches(points.sparkSession, PAIRS_PER_BATCH):
+            asked = cut_lineage(_leaf_targets(asked, points, leaves, k))
+    else:
+        asked = cut_lineage(_targets(points, bounds, pivots, stats, k))
     if asked.isEmpty():
         return near
     return first_k(own.unionByName(_search(asked, points, k)), k)

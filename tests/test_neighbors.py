@@ -35,6 +35,39 @@ def test_factor_equals_brute_force_over_many_regions_and_copies(spark, monkeypat
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
+@pytest.mark.parametrize(("k", "most"), [(3, 8), (12, 3), (5, 1)])
+def test_two_levels_of_pivots_give_the_same_as_brute_force(spark, monkeypatch, k, most):
+    """More pivots than one level takes; a third of the rows are copies, many distances tie."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 24)
+    monkeypatch.setattr(nb, "MAX_PIVOTS", most)
+    rng = np.random.default_rng(4)
+    grid = np.stack(np.meshgrid(np.arange(8.0), np.arange(8.0), [0.0]), -1).reshape(-1, 3)
+    x = np.concatenate([rng.normal(0, 0.05, (70, 3)), rng.normal(5, 0.5, (60, 3)), grid, np.tile([[1.0, 2.0, 3.0]], (90, 1))])
+    points = nb.cut_lineage(nb.fold_copies(table(spark, x), "vec_id", "x"))
+    found = nb.neighbors_of_points(points, k).toPandas()
+    assert (found.groupby("point")["weight"].sum() == k).all() and not found.duplicated(["point", "neighbor"]).any()
+    want, near = brute(x, k)
+    for p, g in found.groupby("point"):
+        np.testing.assert_allclose(np.sort(np.repeat(g["distance"], g["weight"])), near[p])
+    if k == 3:
+        factors = nb.with_factor(table(spark, x), points, nb.outlier_factor(nb.cut_lineage(spark.createDataFrame(found))), "x")
+        np.testing.assert_allclose(factors.toPandas().sort_values("vec_id")["lof"].to_numpy(), want, rtol=1e-9)
+
+
+def test_leaves_rule_out_most_of_the_points(spark, monkeypatch):
+    """Groups far apart: what a point is compared with is its own surroundings, on both levels."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(nb, "MAX_PIVOTS", 16)
+    asked, search = [], nb._search
+    monkeypatch.setattr(nb, "_search", lambda a, p, k: asked.append((a.count(), p.groupBy("region").count().count())) or search(a, p, k))
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(0, 0.1, (20, 2)) for c in rng.uniform(-100, 100, (12, 2))])
+    nb.nearest_neighbors(table(spark, x), 3).collect()
+    (own, leaves), (more, _) = asked
+    assert own == len(x) and leaves > 16
+    assert more < 0.2 * leaves * len(x)
+
+
 def test_neighbours_are_exact_and_weights_add_up(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(150, 5))
