@@ -1,17 +1,19 @@
 """Quality rules, importance resampling, toxicity and language against plain Python and held-out rows."""
 
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from authscope.llm.language import Model, WordScores, best_paths, identify, label, scripts_of
-from authscope.llm.quality_model import keep_resampled, kth_largest, ngram_buckets, resample
+from authscope.llm.quality_model import _target_half, keep_resampled, kth_largest, ngram_buckets, resample
 from authscope.llm.rules import judge, keep_good, rejects, term_sql, text_counts
-from authscope.llm.toxicity import score_toxicity
+from authscope.llm.toxicity import fit_nnpu, score_toxicity
 
 from .conftest import ODD, known, words
 
@@ -118,12 +120,73 @@ def test_resampling_keeps_clean_text(docs_of, labels_of):
     assert all(abs(again[k] - x.noisy_weight) < 1e-6 for k, x in found.items())
 
 
+def test_resampling_weights_and_draw_are_those_of_plain_python(docs_of, labels_of, spark):
+    """Buckets so many that no two n-grams share one: counts, ratio, weights, cut and draw by hand."""
+    r, some, buckets = random.Random(21), ["ab", "cd", "ef", "12", "x9", "gh", "zz", "%%", "!"], 1 << 20
+    rows = [(i, " ".join(r.choices(some[: 5 + i % 5], k=r.randrange(1, 40)))) for i in range(160)] + [(500, ""), (501, None)]
+    labels = [(i, int(i % 5 < 3), 0) for i in range(0, 160, 2)] + [(3, None, 0), (None, 1, 0), (777, 1, 0)]
+    found = {x.doc_id: x for x in resample(docs_of(rows), labels_of(labels), keep=0.9, buckets=buckets).collect()}
+
+    def grams(text):
+        t = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", text or "")
+        return [(x,) for x in t] + list(zip(t, t[1:]))
+
+    ids = spark.createDataFrame([(k,) for k, _ in rows], "doc_id long")
+    in_target = {x.doc_id for x in ids.where(_target_half("doc_id")).collect()}
+    good = {k for k, q, _ in labels if q == 1}
+    raw, target = Counter(), Counter()
+    for k, text in rows:
+        raw.update(grams(text))
+        if k in good and k in in_target:
+            target.update(grams(text))
+    sizes = [sum(c.values()) + buckets for c in (target, raw)]
+    weight = {k: sum(math.log((target[g] + 1) / sizes[0]) - math.log((raw[g] + 1) / sizes[1]) for g in grams(t)) for k, t in rows}
+    assert len({g for _, t in rows for g in grams(t)}) > 60 and 0 < len(good & in_target) < len(good)
+    for k, w in weight.items():
+        assert abs(found[k].log_weight - w) < 1e-6
+    others = sorted((found[k].log_weight for k in good - in_target if k in found), reverse=True)
+    least = others[math.ceil(0.9 * len(others)) - 1]
+    n = sum(x.log_weight >= least for x in found.values())
+    drawn = sorted(found, key=lambda k: -found[k].noisy_weight)[:n]
+    assert 0 < n < len(rows) and {k for k, x in found.items() if x.kept} == set(drawn)
+
+
 def test_resampling_without_labels_or_rows(docs_of, labels_of):
     rows, _ = clean_and_junk(20)
     assert all(x.kept for x in resample(docs_of(rows), labels_of([(None, 1, 0), (2, None, 0)])).collect())
     assert resample(docs_of([]), labels_of([(1, 1, 0)])).count() == 0
 
 
+def test_toxicity_weights_are_those_of_numerical_derivatives():
+    """All rows in one batch: the steps follow the corrected risk, also where its bracket is negative.
+
+    Derivatives by complex steps, which round nothing away.
+    """
+    g, turned = np.random.default_rng(22), []
+    for prior, epochs in ((0.2, 12), (0.7, 60)):
+        sets = [{tuple(np.flatnonzero(g.random(9) < p)) for _ in range(n)} for n, p in ((40, np.linspace(0.9, 0.1, 9)), (90, np.linspace(0.2, 0.6, 9)))]
+        positive, unlabelled = ([np.array(t, np.int32) for t in sorted(s) if t] for s in sets)
+        found = fit_nnpu(positive, unlabelled, prior, epochs, batch=len(unlabelled), decay=1e-3, screen=0.0)
+        p, u = (np.array([[i in set(t.tolist()) for i in range(9)] + [1] for t in rows], float) for rows in (positive, unlabelled))
+
+        def clean(w):
+            return np.log1p(np.exp(u @ w)).mean() - prior * np.log1p(np.exp(p @ w)).mean()
+
+        def aim(w, on):
+            return prior * np.log1p(np.exp(-(p @ w))).mean() + clean(w) if on else -clean(w)
+
+        w, m, v = np.append(np.zeros(9), np.log(prior / (1 - prior))), np.zeros(10), np.zeros(10)
+        for step in range(1, epochs + 1):
+            on = clean(w) >= 0
+            turned.append(not on)
+            grad = np.array([aim(w + e, on).imag / 1e-20 for e in np.eye(10) * 1e-20j]) + 1e-3 * np.append(w[:-1], 0)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        np.testing.assert_allclose(np.append(found[:9], found[-1]), w, rtol=1e-6)
+        assert not found[9:-1].any()
+    assert any(turned) and not all(turned)
+
+
 def test_toxicity_on_held_out_rows(docs_of, labels_of):
     r = random.Random(16)
     rows, labels = [], []
