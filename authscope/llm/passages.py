@@ -161,23 +161,44 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, min_seeds: int = 2
 
 
 _CHAIN = ["key", "ref", "x", "y"]
+_CHAINED = ["key", "ref", "lo", "hi", "rlo", "rhi", "xs", "ys"]
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Successive stretches of 32-bit numbers, as many as ``sizes`` tells, as binaries."""
+    offsets = np.concatenate([[0], np.cumsum(sizes) * 4]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(np.int32))])
 
 
 def _chained(batches, k: int):
-    """Chains of each pair of documents; pairs with one match are passed over at once."""
+    """Chains of each pair of documents; pairs with one match are passed over at once.
+
+    Matches that all follow each other on one diagonal, without a gap over the limit, are one
+    chain: a step costs less than a seed brings. All such pairs are taken together.
+    """
     rows = []
 
     def out():
         columns = list(zip(*rows))
-        key, ref, lo, hi, rlo, rhi = (pa.array(c, pa.int64()) for c in columns[:6])
-        return pa.RecordBatch.from_arrays([key, ref, lo, hi, rlo, rhi, *(pa.array(c, pa.binary()) for c in columns[6:])], ["key", "ref", "lo", "hi", "rlo", "rhi", "xs", "ys"])
+        arrays = [*(pa.array(c, pa.int64()) for c in columns[:6]), *(pa.array(c, pa.binary()) for c in columns[6:])]
+        return pa.RecordBatch.from_arrays(arrays, _CHAINED)
 
     for key, ref, x, y in _groups(batches, _CHAIN, _CHAIN[:2]):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         key, ref, x, y = (c[new] for c in (key, ref, x, y))  # a match by a seed and by spans is one
-        starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (ref[1:] != ref[:-1])) + 1, [len(key)]])
-        for i in np.flatnonzero(np.diff(starts) > 1):
+        pair = np.ones(len(key), bool)
+        pair[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])
+        starts = np.append(np.flatnonzero(pair), len(key))
+        sizes, step = np.diff(starts), np.diff(x, prepend=0)
+        odd = ~pair & ((step != np.diff(y, prepend=0)) | (step > MAX_GAP + k))
+        plain = np.add.reduceat(odd, starts[:-1]) == 0
+        easy = np.flatnonzero((sizes > 1) & plain)
+        if len(easy):
+            on, u, v = np.repeat((sizes > 1) & plain, sizes), starts[easy], starts[easy + 1] - 1
+            ends = [pa.array(c) for c in (key[u], ref[u], x[u], x[v] + k, y[u], y[v] + k)]
+            yield pa.RecordBatch.from_arrays([*ends, *(_binary(c[on], sizes[easy]) for c in (x, y))], _CHAINED)
+        for i in np.flatnonzero((sizes > 1) & ~plain):
             a, b = starts[i], starts[i + 1]
             xs, ys = x[a:b], y[a:b]
             for c in chains(xs, ys, k):

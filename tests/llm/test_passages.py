@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from authscope.llm import passages
 from authscope.llm.passages import GAP_COST, align, chains, cut_passages, fuzzy_parts, minimizers, repeated_passages
 
 from .conftest import ODD, words
@@ -173,3 +175,26 @@ def test_different_texts_under_one_key(docs_of):
         # the long text is cut if it stands for the key, and no other one is touched
         assert all(got == own or (own == rows[1] and got[1] == " ".join(own[1].split()[:40] + own[1].split()[100:])) for got, own in zip(cut, whole, strict=True))
     assert cut[1] == cut[2] != rows[1]
+
+
+def test_plain_chains_taken_together_are_those_found_one_by_one():
+    """Pairs on one diagonal, at the limit of the gap and beyond it, with repeats and single matches."""
+    g, rows = np.random.default_rng(31), []
+    for pair in range(300):
+        steps = g.choice([1, 3, 5, 20, passages.MAX_GAP + 5, passages.MAX_GAP + 6], g.integers(1, 7))
+        x = np.cumsum(steps) + g.integers(0, 9)
+        y = x + g.integers(0, 50) + (g.integers(0, 3, len(x)) if pair % 3 == 0 else 0)
+        rows += [(pair // 7, 1000 + pair % 7, a, b) for a, b in sorted(zip(x.tolist(), y.tolist())) for _ in range(1 + pair % 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "ref", "x", "y"])
+    found = set()
+    for out in passages._chained([batch.slice(0, 200), batch.slice(200)], 5):
+        found |= {tuple(r.values()) for r in out.to_pylist()}
+    want, pairs = set(), {}
+    for key, ref, x, y in rows:
+        pairs.setdefault((key, ref), {})[x, y] = None
+    for (key, ref), at in pairs.items():
+        x, y = (np.array(c) for c in zip(*sorted(at)))
+        for c in passages.chains(x, y, 5):
+            ends = (x[c][0], x[c][-1] + 5, y[c][0], y[c][-1] + 5)
+            want.add((key, ref, *map(int, ends), x[c].astype(np.int32).tobytes(), y[c].astype(np.int32).tobytes()))
+    assert found == want and len(want) > 200
