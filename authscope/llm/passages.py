@@ -432,7 +432,8 @@ def repeated_passages(
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = _told_apart(rows, "key", "text").where("searched").drop("searched")
-    seeds = cut_lineage(rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int, kind byte"))
+    # Found twice, not written: most are of one document alone, and the table would be the largest of all.
+    seeds = rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int, kind byte")
     first = seeds.where(F.col("kind") != LATER).groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
     first = cut_lineage(first)  # apart from the join, which can then part the rows of a frequent seed
     shared = cut_lineage(seeds.join(first.hint("merge"), "seed").select("seed", "key", "at", "kind", "ref", "y"))
