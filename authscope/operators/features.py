@@ -12,6 +12,8 @@ from authscope.session import cut_lineage
 
 # One bit per counted column, so that one number tells which columns hold any value.
 DIMENSIONS = {"user": 1, "app": 2, "user_agent": 4, "country": 8}
+#: Size of the sketches behind approximate counts.
+APPROX_BITS = 12
 DISTINCT_NAMES = {"user": "n_users", "app": "n_apps", "user_agent": "n_user_agents", "country": "n_countries"}
 
 
@@ -110,7 +112,8 @@ def sum_values(values: DataFrame, keys: list[str], time: list[str], named: bool
 
 
 def _approx_features(logs: DataFrame, window: str, by_app: bool, min_fail: int) -> DataFrame:
-    """Sketched distinct counts, for windows with very many distinct values.
+    """Sketched distinct counts, for windows with very many distinct values: exact for few values, and
+    with a standard error of 1.6 % beyond, so that no window of very many strays from its count by 15 %.
 
     Entropy is exact all the same: it takes counts by user, two plain aggregates.
     """
@@ -130,7 +133,7 @@ def _approx_features(logs: DataFrame, window: str, by_app: bool, min_fail: int)
             F.count(F.lit(1)).alias("n_attempts"),
             F.sum("is_fail").alias("n_fail"),
             F.sum("is_success").alias("n_success"),
-            *[F.approx_count_distinct(c).alias(DISTINCT_NAMES[c]) for c in present],
+            *[F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), APPROX_BITS)).alias(DISTINCT_NAMES[c]) for c in present],
             *[F.lit(1).cast("long").alias(n) for c, n in DISTINCT_NAMES.items() if c not in present],
         )
         .withColumn("user_entropy", F.lit(0.0))

@@ -102,3 +102,12 @@ def test_features_read_the_log_once(spark, tmp_path):
     assert (row["n_users"], row["n_apps"], row["n_user_agents"], row["n_countries"]) == (3, 1, 1, 1)
     sketch = features.window_features(logs, "1d", approx_distinct=True).first()
     assert sketch["user_entropy"] == pytest.approx(row["user_entropy"]) and row["user_entropy"] > 1.5
+
+
+def test_approximate_counts_stay_near_in_very_many_windows(spark):
+    """The users of one source in 3,000, whose number was once given as 4,615."""
+    users = spark.range(4000).select(F.concat(F.lit("user"), F.col("id") * 3000 + 2168).alias("user"))
+    logs = users.withColumns({"ts": F.timestamp_seconds(F.lit(0)), "src_ip": F.lit("a"), "result": F.lit("fail")})
+    logs = logs.withColumns({c: F.lit(None).cast("string") for c in ("app", "user_agent", "country")})
+    found = features.window_features(logs, "1d", approx_distinct=True).first()
+    assert abs(found["n_users"] - 4000) < 250 and found["n_apps"] == 0
