@@ -35,9 +35,13 @@ TREES = 100
 
 @dataclass(frozen=True)
 class Evaluation:
-    """Fitted model, flags beside labels, and the two result tables."""
+    """Fitted model, flags beside labels, and the two result tables.
 
-    model: Forest
+    Without a single harmless row nothing can be fitted: then there is no model, no row is flagged,
+    and the results count no rows.
+    """
+
+    model: Forest | None
     flags: DataFrame
     recalls: DataFrame
     report: DataFrame
@@ -54,13 +58,16 @@ class Fit:
 
 def _flags(
     train: DataFrame, test: DataFrame, columns: Sequence[str], key: Sequence[str], fit: Fit
-) -> tuple[Forest, DataFrame]:
+) -> tuple[Forest | None, DataFrame]:
     """Fit on rows with y = 0, cut at the attack share of ``test``, flag ``test``."""
     harmless = train.where(F.col("y") == 0)
     share = clamp_share(test.agg(F.avg("y")).first()[0])
-    model = fit_forest(harmless, columns, key, fit.trees, fit.max_samples, fit.seed)
     kept = [c for c in ("label", "y") if c in test.columns]
     rows = test.select(*kept, *columns)
+    if harmless.isEmpty():
+        nothing = {"anomaly_score": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("int")}
+        return None, rows.select(*kept).withColumns(nothing).where(F.lit(False))
+    model = fit_forest(harmless, columns, key, fit.trees, fit.max_samples, fit.seed)
     if train is test:
         model, flagged = score_cut_and_flag(rows, model, share, F.col("y") == 0)
         return model, flagged.drop(*columns)
@@ -69,13 +76,13 @@ def _flags(
     return model, cut_lineage(score_and_flag(rows, model).select(*kept, "anomaly_score", "is_anomaly"))
 
 
-def _by_label(model: Forest, flags: DataFrame, dataset: str, benign: str) -> Evaluation:
+def _by_label(model: Forest | None, flags: DataFrame, dataset: str, benign: str) -> Evaluation:
     return Evaluation(
         model, flags, evaluate.recall_by_label(flags, dataset, benign), evaluate.class_report(flags)
     )
 
 
-def _overall(model: Forest, flags: DataFrame, dataset: str, name: str) -> Evaluation:
+def _overall(model: Forest | None, flags: DataFrame, dataset: str, name: str) -> Evaluation:
     return Evaluation(
         model, flags, evaluate.overall_recall(flags, dataset, name), evaluate.class_report(flags)
     )

@@ -9,6 +9,7 @@ from authscope.operators import features, prefix
 from authscope.operators.evaluate import class_report
 from authscope.operators.flows import UNKNOWN_ATTACK, flow_windows, login_records
 from authscope.operators.quantile import exact_percentile, exact_percentiles, value_at_rank
+from authscope.plans import evaluation
 from authscope.schemas import RBA_ATTACK, RBA_COLUMNS
 
 
@@ -111,3 +112,18 @@ def test_approximate_counts_stay_near_in_very_many_windows(spark):
     logs = logs.withColumns({c: F.lit(None).cast("string") for c in ("app", "user_agent", "country")})
     found = features.window_features(logs, "1d", approx_distinct=True).first()
     assert abs(found["n_users"] - 4000) < 250 and found["n_apps"] == 0
+
+
+def test_routes_without_harmless_rows_measure_nothing(spark):
+    """Every window holds an attack, so nothing can be fitted: no rows are flagged, and none are counted."""
+    rows = [(f"2024-01-0{1 + i % 3} 00:00:00", i, "ip", "FR", "Chrome", False, True) for i in range(12)]
+    names = "`Login Timestamp` string, `User ID` long, `IP Address` string, Country string, `User Agent String` string, `Login Successful` boolean, `Is Attack IP` boolean"
+    found = evaluation.risk_logins(spark.createDataFrame(rows, names), window="1 day")
+    assert [tuple(r) for r in found.recalls.collect()] == [("logins", "Is Attack IP", 0.0, 0)]
+    assert found.model is None and found.flags.count() == 0 and found.report.where("support > 0").count() == 0
+    logs = spark.range(9).select(
+        F.timestamp_seconds("id").alias("ts"), F.lit("u").alias("user"), F.lit("ip").alias("src_ip"), F.lit("VPN").alias("app"), F.lit("fail").alias("result")
+    )
+    assert [tuple(r) for r in evaluation.auth_logs(logs).recalls.collect()] == [("logs", "attack", 0.0, 0)]
+    flows = spark.createDataFrame([(i, float(i), "atk_a") for i in range(9)], "id long, v double, label string")
+    assert evaluation.raw_flows(flows, ["id"], drop=["id"]).recalls.count() == 0
