@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ BLOCK_ROWS = 1024
 MAX_PIVOTS = 2048
 PAIRS_PER_BATCH = 16
 SLACK = 1e-9  # relative room for rounding when a region is ruled out
+MEET_ROWS = 32768  # asked points that a task holds at once with their lists
+RECALL_ROWS, RECALL_SHARE = 256, 0.94  # points whose exact lists tell how large buckets must be
+FEW_REGIONS = 8  # a point that asks for more regions than this on average shares them with its block
 
 
 def fold_copies(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -153,6 +157,128 @@ def _search(asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
         )
 
 
+class _Lists:
+    """The nearest candidates so far of a block of asked points, whose candidates come in pieces."""
+
+    def __init__(self, names: np.ndarray, x: np.ndarray, limit: np.ndarray, k: int) -> None:
+        self.names, self.x, self.limit, self.k = names, x, limit.copy(), k
+        self.size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        self.row, self.name, self.far, self.weight = np.zeros(0, np.intp), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def meet(self, names: np.ndarray, x: np.ndarray, copies: np.ndarray) -> None:
+        """Candidates that lie near each other; points too far from all of them are passed over."""
+        centre = x.mean(axis=0)
+        away, reach = _distances(self.x, centre[None, :])[:, 0], _distances(x, centre[None, :]).max()
+        rows = np.flatnonzero(~(away - reach > self.limit + SLACK * (1.0 + away + reach)))  # undefined: not ruled out
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        step = max(1, 4_000_000 // len(x))
+        found = [self._near(rows[i : i + step], names, x, copies, size) for i in range(0, len(rows), step)]
+        if not sum(len(f[0]) for f in found):
+            return
+        new = [np.concatenate(c) for c in zip(*found)]
+        row, name, far, weight = (np.concatenate(c) for c in zip((self.row, self.name, self.far, self.weight), new))
+        order = np.lexsort((name, far, row))
+        row, name, far, weight = row[order], name[order], far[order], weight[order]
+        before = np.cumsum(weight) - weight
+        before -= before[np.searchsorted(row, row)]
+        kept = before < self.k
+        last = kept & (before + weight >= self.k)
+        self.limit[row[last]] = np.minimum(self.limit[row[last]], far[last])
+        self.row, self.name, self.far, self.weight = row[kept], name[kept], far[kept], weight[kept]
+
+    def _near(self, rows: np.ndarray, names: np.ndarray, x: np.ndarray, copies: np.ndarray, size: np.ndarray) -> tuple:
+        """Candidates that may be among the k nearest by products of vectors, with their exact distances."""
+        a, own = self.x[rows], self.size[rows]
+        square = own[:, None] ** 2 + size[None, :] ** 2 - 2.0 * (a @ x.T)
+        error = (x.shape[1] + 16) * 2.3e-16 * (own + np.fmax.reduce(size)) ** 2  # more than rounding can make of it
+        most = self.limit[rows] ** 2 * (1 + SLACK)
+        if len(x) > self.k + 1:  # the point itself may be one of them
+            most = np.fmin(most, np.partition(square, self.k, axis=1)[:, self.k] + error)
+        row, at = np.nonzero(square <= (most + error)[:, None])
+        weight = copies[at] - (names[at] == self.names[rows[row]])
+        row, at, weight = row[weight > 0], at[weight > 0], weight[weight > 0]
+        far = np.empty(len(row))
+        step = max(1, 4_000_000 // x.shape[1])
+        for i in range(0, len(row), step):
+            diff = a[row[i : i + step]] - x[at[i : i + step]]
+            far[i : i + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        kept = np.isfinite(far)
+        return rows[row[kept]], names[at[kept]], far[kept], weight[kept]
+
+    def table(self) -> pa.RecordBatch:
+        columns = [pa.array(self.names[self.row]), pa.array(self.name), pa.array(self.far), pa.array(self.weight)]
+        return pa.RecordBatch.from_arrays(columns, ["point", "neighbor", "distance", "weight"])
+
+
+def _meet(asked: DataFrame, have: DataFrame, tasks: int, k: int, numbered: bool) -> DataFrame:
+    """Best k candidates of each asked point in its cell: point, neighbor, distance, weight.
+
+    ``asked`` has cell, point, x, limit and ``have`` has cell, region, point, x, copies. The rows of a cell come
+    to one task, first the asked points, of which a cell has a bounded number; the others pass by in
+    pieces and are never held. ``numbered`` says that cells are the numbers of the tasks.
+    """
+    rows = asked.select("cell", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("region"), "point", "x", F.lit(0).cast("long").alias("copies"), "limit")
+    rows = rows.unionByName(have.select("cell", F.lit(1).alias("kind"), F.col("region").cast("long").alias("region"), "point", "x", "copies", F.lit(math.inf).alias("limit")))
+    dealt = rows.repartitionById(tasks, F.col("cell").cast("int")) if numbered else rows.repartition(tasks, "cell")
+
+    def vectors(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, met, lists = None, [], None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("cell", "kind", "region")])
+            ends = [*(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for first, end in zip([0, *ends], ends):
+                part = batch.slice(first, end - first)
+                if cell != at[0, first]:
+                    if lists is not None:
+                        yield lists.table()
+                    cell, met, lists = at[0, first], [], None
+                names, x = part.column("point").to_numpy(), vectors(part)
+                if not at[1, first]:
+                    met.append((names, x, part.column("limit").to_numpy()))
+                    continue
+                if lists is None and met:
+                    lists = _Lists(*[np.concatenate(c) for c in zip(*met)], k)
+                    met = []
+                if lists is not None:
+                    lists.meet(names, x, part.column("copies").to_numpy())
+        if lists is not None:
+            yield lists.table()
+
+    return dealt.sortWithinPartitions("cell", "kind", "region").mapInArrow(
+        run, "point bigint, neighbor bigint, distance double, weight bigint"
+    )
+
+
+def _sweep(asked: DataFrame, points: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """Best k candidates of points that ask for many regions each, ``found`` beside their own.
+
+    Blocks of asked points from regions that lie along each other share what they ask for: a point of a region
+    goes once to a block, not once to every point that asks. There are as many blocks as tasks, so
+    what is shuffled grows with the points until a block has ``MEET_ROWS``, and from there with the square
+    of their number divided by it.
+    """
+    spark = points.sparkSession
+    counts = {r["region"]: r["count"] for r in asked.groupBy("region").count().collect()}  # a row a pivot
+    total = sum(counts.values())
+    blocks = max(1, min(spark.sparkContext.defaultParallelism, total // BLOCK_ROWS), math.ceil(total / MEET_ROWS))
+    centred = pivots - pivots.mean(axis=0)
+    along = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+    places, before = [], 0
+    for region in along.tolist():
+        places.append((region, before / total, counts.get(region, 0) / total))
+        before += counts.get(region, 0)
+    starts = spark.createDataFrame(places, "_r int, _start double, _share double")
+    share = F.col("_start") + F.col("_share") * uniform(0, "block", "point")
+    cell = F.least(F.floor(share * blocks), F.lit(blocks - 1)).cast("long")
+    dealt = asked.join(F.broadcast(starts), F.col("region") == F.col("_r")).withColumn("cell", cell)
+    wanted = dealt.select("cell", F.explode(F.array_union("found", F.array("region"))).alias("_w")).distinct()
+    have = points.join(wanted, F.col("region") == F.col("_w")).select("cell", "region", "point", "x", "copies")
+    return _meet(dealt, have, blocks, k, numbered=True)
+
+
 def _best(far: np.ndarray, asked: np.ndarray, names: np.ndarray, copies: np.ndarray, k: int) -> tuple:
     """Of each row of distances the nearest candidates until their weights reach k, ties by name.
 
@@ -221,7 +347,7 @@ def _extents(points: DataFrame, *by: str) -> DataFrame:
 def _targets(
     points: DataFrame, bounds: DataFrame, pivots: np.ndarray, stats: list, k: int, own: bool = False, kept: Sequence[str] = ()
 ) -> DataFrame:
-    """Regions that may hold one of the k nearest of a point, one row each, with the point's limit.
+    """The regions that may hold one of the k nearest of a point, as ``found``, with the point's limit.
 
     A point's own region is among them only with ``own``. Columns ``kept`` of the bounds stay.
     """
@@ -241,7 +367,7 @@ def _targets(
         return pd.DataFrame({"found": [np.flatnonzero(r).astype(np.int32) for r in ok], "limit": limit})
 
     met = points.join(bounds, "point", "left").withColumn("_r", reachable("x", "region", "bound"))
-    return met.select("point", "x", *kept, F.col("_r.limit").alias("limit"), F.explode("_r.found").alias("target"))
+    return met.select("point", "x", "region", *kept, F.col("_r.limit").alias("limit"), F.col("_r.found").alias("found")).where(F.size("found") > 0)
 
 
 def _leaves(points: DataFrame, seed: int) -> DataFrame:
@@ -343,12 +469,20 @@ def neighbors_of_points(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     if deep:
         bounds = points.select("point", F.col("region").alias("leaf")).join(bounds, "point", "left")
         asked = cut_lineage(_targets(tops, bounds, pivots, stats, k, own=True, kept=("leaf",)))
-        with arrow_batches(points.sparkSession, PAIRS_PER_BATCH):
-            asked = cut_lineage(_leaf_targets(asked, points, leaves, k))
     else:
-        asked = cut_lineage(_targets(points, bounds, pivots, stats, k))
-    if asked.isEmpty():
+        tops, asked = points, cut_lineage(_targets(points, bounds, pivots, stats, k))
+    requests = asked.agg(F.sum(F.size("found"))).first()[0]
+    if not requests:
         return near
+    if requests > FEW_REGIONS * total:
+        rest = own.join(asked.select("point"), "point", "left_anti")
+        return first_k(rest.unionByName(cut_lineage(_sweep(asked, tops, pivots, k))), k)
+    asked = asked.withColumn("target", F.explode("found")).drop("found", "region")
+    if deep:
+        with arrow_batches(points.sparkSession, PAIRS_PER_BATCH):
+            asked = cut_lineage(_leaf_targets(asked, points, leaves, k))
+        if asked.isEmpty():
+            return near
     return first_k(own.unionByName(_search(asked, points, k)), k)
 
 
@@ -363,6 +497,46 @@ def _planes(points: DataFrame, tables: int, bits: int, width: int, seed: int) ->
     return directions, centre @ directions
 
 
+def _lists_of_few(few: list, points: DataFrame, k: int) -> DataFrame:
+    """Exact neighbour table of a few (point, x) given on the driver: one pass over the points."""
+    names, x = np.array([r["point"] for r in few], dtype=np.int64), np.array([r["x"] for r in few], dtype=np.float64)
+    sent = points.sparkSession.sparkContext.broadcast((names, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists(*sent.value, np.full(len(sent.value[0]), np.inf), k)
+        for batch in batches:
+            if batch.num_rows:
+                held = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                lists.meet(batch.column("point").to_numpy(), held, batch.column("copies").to_numpy())
+        yield lists.table()
+
+    found = spread(points.select("point", "x", "copies")).mapInArrow(run, "point bigint, neighbor bigint, distance double, weight bigint")
+    return first_k(found, k)
+
+
+def _enough_bits(points: DataFrame, planes: tuple, k: int, tables: int, probes: int, bits: int, total: int, seed: int) -> int:
+    """The most planes a table, up to ``bits``, with which the lists of a draw of points miss few neighbours."""
+    drawn = points.withColumn("_d", uniform(seed, "recall", "point")).where(F.col("_d") < min(1.0, (2 * RECALL_ROWS + 64) / total))
+    few = drawn.orderBy("_d", "point").limit(RECALL_ROWS).select("point", "x").collect()
+    listed = _lists_of_few(few, points, k).select(F.col("point").alias("asked"), "neighbor", "weight")
+    near = points.select("point", "x").join(F.broadcast(listed), F.col("point") == F.col("neighbor")).collect()  # k a point drawn
+    if not near:
+        return bits
+    directions, shift = planes
+    place = {r["point"]: i for i, r in enumerate(few)}
+    asked = np.array([place[r["asked"]] for r in near])
+    weight = np.array([r["weight"] for r in near])
+    sides = [(_matrix([r["x"] for r in rows]) @ directions - shift).reshape(len(rows), tables, -1) for rows in (few, near)]
+    for b in range(bits, 0, -1):
+        own, theirs = sides[0][asked, :, :b], sides[1][:, :, :b]
+        apart = (own > 0) != (theirs > 0)
+        probed = np.argsort(np.argsort(np.abs(own), axis=2, kind="stable"), axis=2, kind="stable") < probes
+        met = ((apart.sum(axis=2) == 0) | ((apart.sum(axis=2) == 1) & (apart & probed).any(axis=2))).any(axis=1)
+        if weight[met].sum() >= RECALL_SHARE * weight.sum():
+            return b
+    return 0
+
+
 def approximate_neighbors(
     points: DataFrame, k: int, tables: int = 12, probes: int = 3, bits: int | None = None, seed: int = 42
 ) -> DataFrame:
@@ -370,19 +544,23 @@ def approximate_neighbors(
 
     In each table ``bits`` random planes part the points into buckets; a point is compared exactly
     with its own bucket and with those beyond the ``probes`` planes nearest to it. Without ``bits``
-    a bucket holds about a quarter of a block of points. The work is tables * (probes + 1) blocks a point,
-    whatever the data look like; more of either misses less. ``recall`` measures it. With fewer points
-    near a point than k its list is short.
+    a bucket holds about a quarter of a block of points, or more where the exact lists of a small draw of
+    points would miss more than six in a hundred: without structure in many dimensions buckets grow with the points. What is
+    shuffled is tables * (probes + 2) times the points in any case. ``recall`` measures what was found. With
+    fewer points near a point than k its list is short.
     """
     if k < 1 or tables < 1 or probes < 0:
         raise ValueError("k and tables are at least 1, probes at least 0")
     shape = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
     if not shape["n"]:
         raise ValueError("no rows")
-    if bits is None:
-        bits = min(40, max(0, round(math.log2(shape["n"] / (BLOCK_ROWS / 4)))))
+    given, most = bits is not None, min(40, max(0, round(math.log2(shape["n"] / (BLOCK_ROWS / 4)))))
+    bits = bits if given else most
+    planes = _planes(points, tables, max(1, bits), shape["width"], seed)
+    if not given:
+        bits = _enough_bits(points, planes, k, tables, probes, bits, shape["n"], seed)
     probes = min(probes, bits)
-    sent = points.sparkSession.sparkContext.broadcast(_planes(points, tables, max(1, bits), shape["width"], seed))
+    sent = points.sparkSession.sparkContext.broadcast(planes)
 
     @F.pandas_udf("array<array<bigint>>")
     def buckets(x: pd.Series) -> pd.Series:
@@ -398,8 +576,18 @@ def approximate_neighbors(
 
     dealt = cut_lineage(spread(points).withColumn("buckets", buckets("x")))
     have = dealt.select("point", "x", "copies", F.explode(F.transform("buckets", lambda b: b[0])).alias("region"))
-    asked = dealt.select("point", "x", F.explode(F.flatten("buckets")).alias("target"))
-    return first_k(_search(asked, have, k).dropDuplicates(["point", "neighbor"]), k)
+    asked = dealt.select("point", "x", F.explode(F.flatten("buckets")).alias("region"))
+    # Only a bucket that very many points ask for is met by several blocks of them.
+    slots = asked.groupBy(F.col("region").alias("_r")).agg(F.ceil(F.count(F.lit(1)) / F.lit(MEET_ROWS // 4)).cast("long").alias("_parts"))
+    slots = F.broadcast(cut_lineage(slots.where("_parts > 1")))
+    first = F.col("region") * F.lit(2**18)
+    slot = F.coalesce(F.pmod(F.hash("point"), F.col("_parts")), F.lit(0))
+    asked = asked.join(slots, F.col("region") == F.col("_r"), "left").select((first + slot).alias("cell"), "point", "x", F.lit(math.inf).alias("limit"))
+    each = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    have = have.join(slots, F.col("region") == F.col("_r"), "left").select("region", "point", "x", "copies", F.explode(each).alias("_slot"))
+    have = have.select((first + F.col("_slot")).alias("cell"), "region", "point", "x", "copies")
+    found = _meet(asked, have, shuffle_width(points.sparkSession), k, numbered=False)
+    return first_k(found.repartition(shuffle_width(points.sparkSession), "point").dropDuplicates(["point", "neighbor"]), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

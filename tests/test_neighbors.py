@@ -125,3 +125,49 @@ def test_factors_come_back_to_copies_and_to_both_zeros(spark):
     found = {r["vec_id"]: r["lof"] for r in nb.local_outlier_factor(df, 4).collect()}
     assert len(found) == 22 and found[30] == found[1] == found[8]
     assert found[31] == max(found.values())
+
+
+@pytest.mark.parametrize(("meet", "most"), [(64, 4096), (500, 4096), (100, 6)])
+def test_dense_requests_are_shared_by_blocks_and_exact(spark, monkeypatch, meet, most):
+    """No structure, so nearly every region may hold neighbours: vectors are not written once per request."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nb, "MAX_PIVOTS", most)
+    monkeypatch.setattr(nb, "FEW_REGIONS", 2, raising=False)
+    monkeypatch.setattr(nb, "MEET_ROWS", meet, raising=False)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([1e4 + rng.normal(size=(200, 12)), np.tile(1e4 + rng.normal(size=(1, 12)), (40, 1)), np.round(1e4 + rng.normal(size=(60, 12)))])
+    points = nb.cut_lineage(nb.fold_copies(table(spark, x), "vec_id", "x"))
+    written, plain = [], nb.cut_lineage
+    def recorded(df):
+        out = plain(df)
+        written.append(out.count() if "x" in out.columns else 0)
+        return out
+    monkeypatch.setattr(nb, "cut_lineage", recorded)
+    found = nb.neighbors_of_points(points, 6).toPandas()
+    assert max(written) <= points.count()
+    _, near = brute(x, 6)
+    assert (found.groupby("point")["weight"].sum() == 6).all() and not found.duplicated(["point", "neighbor"]).any()
+    for p, g in found.groupby("point"):
+        np.testing.assert_allclose(np.sort(np.repeat(g["distance"], g["weight"])), near[p], rtol=1e-12)
+
+
+def test_lists_from_pieces_are_those_of_all_at_once():
+    """Ties go by name over all pieces, a point's own copies count, undefined vectors are no neighbours."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(150, 3)) * 2)
+    names, copies = rng.permutation(150).astype(np.int64), rng.integers(1, 4, 150)
+    lists = nb._Lists(names[:50], x[:50], np.full(50, np.inf), 7)
+    bad = np.array([[np.nan, 0.0, 0.0], [np.inf, 0.0, 0.0]])
+    for part in np.array_split(np.arange(150), 4):
+        lists.meet(np.append(names[part], [900, 901]), np.concatenate([x[part], bad]), np.append(copies[part], [1, 1]))
+    row, at, far = nb._best(nb._distances(x[:50], x), names[:50], names, copies, 7)
+    assert lists.row.tolist() == row.tolist() and lists.name.tolist() == names[at].tolist()
+    np.testing.assert_allclose(lists.far, far)
+
+
+def test_buckets_grow_until_nine_tenths_are_found(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 64)
+    x = np.random.default_rng(10).normal(size=(3000, 32))
+    points = nb.cut_lineage(nb.fold_copies(table(spark, x), "vec_id", "x"))
+    found = nb.cut_lineage(nb.approximate_neighbors(points, 10))
+    assert nb.recall(found, nb.neighbors_of_points(points, 10)) >= 0.9
