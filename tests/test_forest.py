@@ -194,3 +194,28 @@ def test_ties_at_a_cut_go_by_key(points, monkeypatch):
     monkeypatch.setattr(fo, "CUT_BINS", 4)
     ranked = fo.fit_forest(points, COLUMNS, ["id"], 5, 300)
     assert nodes(fo.fit_forest(points, COLUMNS, ["id"], 5, 300, group_rows=20)) == nodes(ranked)
+
+
+def test_parts_go_over_the_rows_together(points, fitted, monkeypatch):
+    """One pass for several parts, written between passes alone; the driver is given one part at a time."""
+    written, sizes = [], []
+    plain, part = fo.cut_lineage, fo._part
+    monkeypatch.setattr(fo, "cut_lineage", lambda df: written.append(df.columns) or plain(df))
+    monkeypatch.setattr(fo, "_part", lambda *a: sizes.append(part(*a).count()) or part(*a))
+    want = {r["id"]: r["s"] for r in points.select("id", fo.prefix_scores(fitted, [1, 7, 20]).alias("s")).collect()}
+    for limit in (60, 600):
+        written.clear(), sizes.clear()
+        found = {r["id"]: r["s"] for r in fo.scores_in_parts(points, fitted, [1, 7, 20], "s", limit).select("id", "s").collect()}
+        assert found == want and max(sizes) <= limit
+        assert len(written) == (len(sizes) - 1) // 8
+
+
+def test_levels_write_only_rows_that_a_tree_may_take(spark, monkeypatch):
+    df = spark.range(20_000).select("id", (F.col("id") % 997).cast("double").alias("a"))
+    ranked = fo.fit_forest(df, ["a"], ["id"], 4, 100)
+    written, plain = [], fo.cut_lineage
+    monkeypatch.setattr(fo, "cut_lineage", lambda d: written.append(d.count() if "f0" in d.columns else 0) or plain(d))
+    assert nodes(fo.fit_forest(df, ["a"], ["id"], 4, 100, group_rows=20)) == nodes(ranked)
+    assert 400 < max(written) < 3000
+    monkeypatch.setattr(fo, "_likely", lambda s, n: fo.PRIME // 400)  # too low: some tree's sample lies beyond
+    assert nodes(fo.fit_forest(df, ["a"], ["id"], 4, 100, group_rows=20)) == nodes(ranked)
