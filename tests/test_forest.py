@@ -219,3 +219,17 @@ def test_levels_write_only_rows_that_a_tree_may_take(spark, monkeypatch):
     assert 400 < max(written) < 3000
     monkeypatch.setattr(fo, "_likely", lambda s, n: fo.PRIME // 400)  # too low: some tree's sample lies beyond
     assert nodes(fo.fit_forest(df, ["a"], ["id"], 4, 100, group_rows=20)) == nodes(ranked)
+
+
+def test_a_row_goes_once_to_a_bundle_of_trees(points, monkeypatch):
+    """Not once to every tree that takes it; bundles of any size give the same trees."""
+    shapes, plain = [], fo._finished
+    def counted(grown):
+        shapes.append(grown)
+        return plain(grown)
+    monkeypatch.setattr(fo, "_finished", counted)
+    whole = fo.fit_forest(points, COLUMNS, ["id"], 60, 1.0)
+    plan = shapes[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "bundle" in plan and plan.count("MapInArrow") == 2
+    monkeypatch.setattr(fo, "BUNDLE_VALUES", 100)  # a tree each
+    assert nodes(fo.fit_forest(points, COLUMNS, ["id"], 60, 1.0)) == nodes(whole)
