@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from authscope.llm.text import mix, shingle_hashes, slices, text_buffer, word_hashes, word_spans
@@ -18,6 +19,9 @@ SPANS = (1, 2, 4, 8, 12)
 #: A chain may bridge this many words; a bridge costs this much a word, a seed brings its length.
 MAX_GAP = 64
 GAP_COST = 1 / 16
+#: So many chains are compared at once, and so many requests for words share one copy of a text.
+CHAINS = 512
+REQUESTS = 4096
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -230,18 +234,32 @@ def _groups(batches, names, by):
 
 
 def _cut_out(batches):
-    """The words of each request, with a margin on both sides, as 32-bit hashes."""
+    """The words of each request, with a margin on both sides, as 32-bit hashes.
+
+    A text (role below 0) comes before the requests for it, once however many those are.
+    """
+    held, held_key = np.zeros(0, np.uint32), None
     for piece in slices(batches):
-        key = piece.column("key").to_numpy()
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])  # one document may be asked for many times
-        words, first = word_hashes(piece.column("text").take(pa.array(np.flatnonzero(fresh))))
-        words = (words >> np.uint64(32)).astype(np.uint32)
-        text = np.cumsum(fresh) - 1
-        lo, hi = (piece.column(c).to_numpy() for c in ("lo", "hi"))
-        a, b = first[text], first[text + 1]
-        own = [words[max(s, s + p - MARGIN) : min(e, s + q + MARGIN)].tobytes() for s, e, p, q in zip(a, b, lo, hi)]
-        names = [n for n in piece.schema.names if n not in ("text", "key")]
-        yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(own, pa.binary())], [*names, "words"])
+        key, role = piece.column("of").to_numpy(), piece.column("role").to_numpy()
+        at, asked = np.flatnonzero(role < 0), np.flatnonzero(role >= 0)
+        text = np.searchsorted(at, asked, "right") - 1  # -1: of the piece before
+        used = np.unique(np.append(text[text >= 0], len(at) - 1)) if len(at) else at
+        texts, keys = {-1: held}, {-1: held_key}
+        if len(used):
+            words, first = word_hashes(piece.column("text").take(pa.array(at[used])))
+            words = (words >> np.uint64(32)).astype(np.uint32)
+            for n, a, b in zip(used.tolist(), first[:-1], first[1:]):
+                texts[n], keys[n] = words[a:b], key[at[n]]
+            held, held_key = texts[len(at) - 1].copy(), keys[len(at) - 1]
+        if not len(asked):
+            continue
+        asked = asked[[keys[n] == own for n, own in zip(text.tolist(), key[asked])]]
+        text = np.searchsorted(at, asked, "right") - 1
+        rows = piece.take(pa.array(asked))
+        spans = zip(text.tolist(), *(rows.column(c).to_numpy().tolist() for c in ("from", "to")))
+        own = [texts[n][max(0, p - MARGIN) : q + MARGIN].tobytes() for n, p, q in spans]
+        names = ["owner", "ref", "lo", "rlo", "xs", "ys", "role"]
+        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(own, pa.binary())], [*names, "words"])
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -266,58 +284,134 @@ def _same(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _reach(x: np.ndarray, y: np.ndarray, cost: int = 2) -> np.ndarray:
-    """Matched places, as rows, of the stretches from the start that pay best.
+def _padded(*sides: list[np.ndarray]) -> list[np.ndarray]:
+    """Each side's stretches as rows of a table, and which of its cells hold a word; all of one width."""
+    sizes = [np.array([len(p) for p in parts]) for parts in sides]
+    width, out = max(1, *(int(n.max()) for n in sizes)), []
+    for parts, n in zip(sides, sizes):
+        held = np.arange(width) < n[:, None]
+        table = np.zeros(held.shape, np.uint32)
+        table[held] = np.concatenate(parts)
+        out += [table, held]
+    return out
+
+
+def _words_on(x: np.ndarray, y: np.ndarray, on_x: np.ndarray, on_y: np.ndarray, cost: int) -> np.ndarray:
+    """No more words than this match in a stretch from the start that pays, see ``_reach``.
+
+    No more words match than occur on the other side, and up to its end a stretch must pay.
+    """
+    equal = x[:, :, None] == y[:, None, :]
+    equal &= on_y[:, None, :]
+    out = None
+    for there, on in ((equal.any(axis=2) & on_x, on_x), (np.logical_or.reduce(equal, axis=1, where=on_x[:, :, None]), on_y)):
+        count = np.cumsum(there, axis=1)
+        pays = on & ((1 + cost) * count > cost * np.arange(1, x.shape[1] + 1))
+        most = np.where(pays, count, 0).max(axis=1)
+        out = most if out is None else np.minimum(out, most)
+    return out
+
+
+def _reach(xs: list[np.ndarray], ys: list[np.ndarray], cost: int = 2) -> list[np.ndarray]:
+    """For each pair of texts the matched places, as rows, of the stretches from the start that pay best.
 
     An unmatched word on the longer side costs ``cost`` matches; words may be added, left out or
     replaced. After the equal start, stretches that cannot pay are not searched.
     """
-    n = min(len(x), len(y))
-    unlike = np.flatnonzero(x[:n] != y[:n])
-    run = int(unlike[0]) if len(unlike) else n
-    start = np.stack([np.arange(run)] * 2, 1)
-    x, y = x[run:], y[run:]
-    for u, v in ((x, y), (y, x)):  # no more words match than occur on the other side
-        if not len(u) or ((1 + cost) * np.cumsum(np.isin(u, v)) - cost * np.arange(1, len(u) + 1)).max() <= 0:
-            return start
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, word in enumerate(x):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + (y == word)))
-    score = (1 + cost) * best - cost * np.maximum(np.arange(len(x) + 1)[:, None], np.arange(len(y) + 1))
-    i, j = np.unravel_index(np.argmax(score), score.shape)
-    on = []
-    while best[i, j]:
-        if x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            on.append((i, j))
-        elif best[i - 1, j] == best[i, j]:
-            i -= 1
-        else:
-            j -= 1
-    return np.concatenate([start, np.array(on[::-1], np.int64).reshape(-1, 2) + run])
+    x, on_x, y, on_y = _padded(xs, ys)
+    run = np.logical_and.accumulate((x == y) & on_x & on_y, axis=1).sum(axis=1)
+    out = [np.stack([np.arange(n)] * 2, 1) for n in run.tolist()]
+    rest = np.flatnonzero((on_x.sum(axis=1) > run) & (on_y.sum(axis=1) > run))
+    if not len(rest):
+        return out
+    x, on_x, y, on_y = _padded([xs[n][run[n] :] for n in rest], [ys[n][run[n] :] for n in rest])
+    alive = _words_on(x, y, on_x, on_y, cost) > 0
+    rest, x, y, on_x, on_y = (v[alive] for v in (rest, x, y, on_x, on_y))
+    if not len(rest):
+        return out
+    equal = (x[:, :, None] == y[:, None, :]) & on_x[:, :, None] & on_y[:, None, :]
+    width = x.shape[1]
+    best = np.zeros((width + 1, len(rest), width + 1), np.int16)
+    for i in range(width):
+        row = np.maximum(best[i, :, 1:], best[i, :, :-1] + equal[:, i])
+        np.maximum.accumulate(row, axis=1, out=best[i + 1, :, 1:])
+    # The first of the best ends; a row or column beyond a text only costs, so none is there.
+    top, i, j = np.full(len(rest), -1), np.zeros(len(rest), np.intp), np.zeros(len(rest), np.intp)
+    for n in range(width + 1):
+        score = (1 + cost) * best[n].astype(np.int32) - cost * np.maximum(n, np.arange(width + 1, dtype=np.int32))
+        end = score.argmax(axis=1)
+        value = score[np.arange(len(rest)), end]
+        better = value > top
+        top[better], i[better], j[better] = value[better], n, end[better]
+    on, each, left = [], np.arange(len(rest)), best[i, np.arange(len(rest)), j] > 0
+    while left.any():
+        u, p, q = each[left], i[left], j[left]
+        hit = equal[u, p - 1, q - 1]
+        on.append(np.stack([u[hit], p[hit] - 1, q[hit] - 1]))
+        up = ~hit & (best[p - 1, u, q] == best[p, u, q])
+        i[left], j[left] = p - (hit | up), q - (hit | ~up)
+        left = best[i, each, j] > 0
+    if on:
+        u, p, q = np.concatenate(on[::-1], axis=1)
+        order = np.argsort(u, kind="stable")
+        ends = np.searchsorted(u[order], np.arange(1, len(rest)))
+        for n, more in zip(rest.tolist(), np.split(np.stack([p, q], 1)[order], ends)):
+            out[n] = np.concatenate([out[n], more + run[n]])
+    return out
 
 
-def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS, cost: int = 2) -> np.ndarray:
-    """Matched words of two texts along a chain of seeds, as rows (place in x, place in y)."""
+def _around(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> tuple[tuple, tuple]:
+    """The words before a chain, backwards, and those after it, on both sides."""
+    return (x[: xs[0]][::-1], y[: ys[0]][::-1]), (x[xs[-1] + k :], y[ys[-1] + k :])
+
+
+def _within(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> list[np.ndarray]:
+    """Matched words from the first seed of a chain to the end of its last one, in parts."""
+    step, ref_step = np.diff(xs), np.diff(ys)
+    new = np.flatnonzero((step != ref_step) | (step > k)) + 1  # else a seed goes on with the one before
     parts = []
-    back = _reach(x[: xs[0]][::-1], y[: ys[0]][::-1], cost)[::-1]
-    parts.append(np.array([xs[0] - 1, ys[0] - 1]) - back)
     a, b = int(xs[0]), int(ys[0])  # matched up to here
-    for p, q in zip(xs.tolist(), ys.tolist()):
-        skip = max(a - p, b - q, 0)  # seeds may overlap
-        if skip >= k:
-            continue
+    for u, v in zip([0, *new.tolist()], [*new.tolist(), len(xs)]):
+        p, q = int(xs[u]), int(ys[u])
+        skip = max(a - p, b - q, 0)  # seeds may overlap, by less than one as both places rise
         p, q = p + skip, q + skip
         if p > a or q > b:
             gap = _same(x[a:p], y[b:q])
             if gap:
                 parts.append(np.array(gap) + (a, b))
-        run = np.arange(k - skip)
+        a, b = int(xs[v - 1]) + k, int(ys[v - 1]) + k
+        run = np.arange(a - p)
         parts.append(np.stack([p + run, q + run], 1))
-        a, b = p + k - skip, q + k - skip
-    on = _reach(x[a:], y[b:], cost)
-    parts.append(on + (a, b))
-    return np.concatenate(parts)
+    return parts
+
+
+def align_all(found: list[tuple], k: int = SEED_WORDS, cost: int = 2) -> list[np.ndarray]:
+    """For each (x, y, xs, ys) the matched words of two texts along a chain of seeds, see ``align``."""
+    around = [_around(*c, k) for c in found]
+    back, on = (_reach(*zip(*(sides[n] for sides in around)), cost) for n in (0, 1))
+    out = []
+    for (x, y, xs, ys), before, after in zip(found, back, on):
+        ends = np.array([xs[0] - 1, ys[0] - 1]) - before[::-1], after + (int(xs[-1]) + k, int(ys[-1]) + k)
+        out.append(np.concatenate([ends[0], *_within(x, y, xs, ys, k), ends[1]]))
+    return out
+
+
+def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS, cost: int = 2) -> np.ndarray:
+    """Matched words of two texts along a chain of seeds, as rows (place in x, place in y)."""
+    return align_all([(x, y, xs, ys)], k, cost)[0]
+
+
+def _may_hold(found: list[tuple], k: int, words: float, cost: int = 1) -> np.ndarray:
+    """Which chains may come to so many matched words, with ``cost`` or more for an unmatched one."""
+    most = np.array([min(xs[-1] - xs[0], ys[-1] - ys[0]) + k for _, _, xs, ys in found])
+    for side in range(2):
+        open_ = np.flatnonzero((most < words) & (most + (2 - side) * MARGIN >= words))
+        if len(open_):
+            x, y = zip(*(_around(*found[n], k)[side] for n in open_))
+            x, on_x, y, on_y = _padded(x, y)
+            # Half of a hash is enough here: more words may look equal, none less.
+            most[open_] += _words_on(x.astype(np.uint16), y.astype(np.uint16), on_x, on_y, cost)
+    return most >= words
 
 
 def fuzzy_parts(matched: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, float]]:
@@ -357,9 +451,12 @@ def fuzzy_parts(matched: np.ndarray, min_words: int, identity: float) -> list[tu
 _PASSAGE = ["key", "start_word", "end_word", "ref", "ref_start_word", "ref_end_word", "identity"]
 
 
-def _aligned(batches, k: int, min_words: int, identity: float):
-    """Rows of a chain come together: the document's words, then those of the earlier one."""
-    rows, own, last = [], None, None
+def _met(batches, k: int):
+    """Chains with the words on both sides, some at a time.
+
+    Rows of a chain come together: the document's words, then those of the earlier one.
+    """
+    held, own, last = [], None, None
     for batch in batches:
         names = ["owner", "ref", "lo", "rlo", "role", "xs", "ys", "words"]
         for owner, ref, lo, rlo, role, xs, ys, words in zip(*(batch.column(n).to_pylist() for n in names)):
@@ -370,15 +467,29 @@ def _aligned(batches, k: int, min_words: int, identity: float):
                 x0, y0 = max(0, lo - MARGIN), max(0, rlo - MARGIN)
                 at, ref_at = (np.frombuffer(v, np.int32).astype(np.int64) - o for v, o in ((xs, x0), (ys, y0)))
                 if at[-1] + k <= len(own) and ref_at[-1] + k <= len(words):
-                    parts = fuzzy_parts(align(own, words, at, ref_at, k), min_words, identity)
-                    # An edit near an end may take a passage under the limit: reach further, if it is short.
-                    parts = parts or fuzzy_parts(align(own, words, at, ref_at, k, 1), min_words, identity)
-                    for a, b, c, d, share in parts:
-                        rows.append((owner, x0 + a, x0 + b, ref, y0 + c, y0 + d, share))
+                    held.append(((owner, x0, ref, y0), (own, words, at, ref_at)))
                 own = None
+                if len(held) == CHAINS:
+                    yield held
+                    held = []
+    if held:
+        yield held
+
+
+def _aligned(batches, k: int, min_words: int, identity: float):
+    """The passages of the chains. Most chains cannot reach far enough and are not aligned at all."""
+    for held in _met(batches, k):
+        may = _may_hold([c for _, c in held], k, min_words * identity - 1e-6)
+        held = [c for c, on in zip(held, may) if on]
+        parts = [[]] * len(held)
+        # An edit near an end may take a passage under the limit: reach further, if it is short.
+        for cost in (2, 1):
+            none = [n for n, found in enumerate(parts) if not found]
+            for n, matched in zip(none, align_all([held[n][1] for n in none], k, cost) if none else []):
+                parts[n] = fuzzy_parts(matched, min_words, identity)
+        rows = [(owner, x0 + a, x0 + b, ref, y0 + c, y0 + d, share) for ((owner, x0, ref, y0), _), found in zip(held, parts) for a, b, c, d, share in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "identity" else pa.int64()) for n, c in zip(_PASSAGE, zip(*rows))], _PASSAGE)
-            rows = []
 
 
 def _clashing(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -397,6 +508,34 @@ def _told_apart(rows: DataFrame, key: str, text: str) -> DataFrame:
     return held.withColumn("searched", F.col("low").isNull() | (F.col("low") == F.md5(F.coalesce(text, F.lit(""))))).drop("twice", "low")
 
 
+def _requested(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """The words of each request beside it.
+
+    A low document may be asked for by a large share of all others. A text is therefore not repeated for
+    each request: it comes before its requests, and one with more than ``REQUESTS`` of them goes
+    to several places, which share these.
+    """
+    counts = asked.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / REQUESTS).alias("places"))
+    often = F.broadcast(cut_lineage(counts.where("places > 1")))  # one in REQUESTS at most
+    places, whole = F.coalesce("places", F.lit(1).cast("long")), "long"
+    texts = rows.withColumnRenamed("key", "of").join(often, "of", "left").select(
+        "of", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"), "text", F.lit(-1).alias("role"),
+        *[F.lit(None).cast(whole).alias(n) for n in ("owner", "ref", "lo", "rlo", "from", "to")],
+        *[F.lit(None).cast("binary").alias(n) for n in ("xs", "ys")],
+    )
+    seeds = [F.when(F.col("role") == 1, F.col(n)).alias(n) for n in ("xs", "ys")]  # once a chain is enough
+    requests = asked.join(often, "of", "left").select(
+        "of", F.pmod(F.xxhash64("owner", "ref", "own_lo", "rlo"), places).alias("place"), F.lit(None).cast("string").alias("text"),
+        "role", "owner", "ref", F.col("own_lo").alias("lo"), "rlo", "from", "to", *seeds,
+    )
+    return (
+        texts.unionByName(requests)
+        .repartition(width, "of", "place")
+        .sortWithinPartitions("of", "place", "role")
+        .mapInArrow(_cut_out, "owner long, ref long, lo long, rlo long, xs binary, ys binary, role int, words binary")
+    )
+
+
 def repeated_passages(
     docs: DataFrame,
     key: str = "doc_id",
@@ -432,11 +571,11 @@ def repeated_passages(
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = _told_apart(rows, "key", "text").where("searched").drop("searched")
-    # Found twice, not written: most are of one document alone, and the table would be the largest of all.
     seeds = rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int, kind byte")
-    first = seeds.where(F.col("kind") != LATER).groupBy("seed").agg(F.min("key").alias("ref"), F.max("key").alias("top"), F.min_by("at", "key").alias("y")).where("ref < top")
-    first = cut_lineage(first)  # apart from the join, which can then part the rows of a frequent seed
-    shared = cut_lineage(seeds.join(first.hint("merge"), "seed").select("seed", "key", "at", "kind", "ref", "y"))
+    # One deal by seed for its lowest document and for its rows: most seeds are of one document alone.
+    same, new = W.partitionBy("seed"), F.when(F.col("kind") != LATER, F.col("key"))
+    met = seeds.withColumns({"ref": F.min("key").over(same), "top": F.max("key").over(same), "y": F.min_by("at", new).over(same)})
+    shared = cut_lineage(met.where("ref < top").drop("top"))
     width = shuffle_width(docs.sparkSession)
     spans = cut_lineage(
         shared.where(F.col("kind") != NUMBERED)
@@ -462,12 +601,7 @@ def repeated_passages(
         )
     )
     asked = chained.select(F.col("key").alias("owner"), "ref", F.col("lo").alias("own_lo"), "rlo", "xs", "ys", both)
-    parts = (
-        rows.join(asked.hint("merge"), rows["key"] == asked["of"])
-        .select("key", "text", "owner", "ref", "own_lo", "rlo", F.when(F.col("role") == 1, F.col("xs")).alias("xs"), F.when(F.col("role") == 1, F.col("ys")).alias("ys"), "role", F.col("from").alias("lo"), F.col("to").alias("hi"))
-        .mapInArrow(_cut_out, "owner long, ref long, own_lo long, rlo long, xs binary, ys binary, role int, lo long, hi long, words binary")
-        .select("owner", "ref", F.col("own_lo").alias("lo"), "rlo", "role", "xs", "ys", "words")
-    )
+    parts = _requested(rows, asked, width)
     found = (
         parts.repartition(width, "owner", "ref", "lo", "rlo")
         .sortWithinPartitions("owner", "ref", "lo", "rlo", "role")

@@ -198,3 +198,38 @@ def test_plain_chains_taken_together_are_those_found_one_by_one():
             ends = (x[c][0], x[c][-1] + 5, y[c][0], y[c][-1] + 5)
             want.add((key, ref, *map(int, ends), x[c].astype(np.int32).tobytes(), y[c].astype(np.int32).tobytes()))
     assert found == want and len(want) > 200
+
+
+def test_text_comes_once_before_the_requests_for_it(spark, monkeypatch):
+    """A text that many ask for goes to few places, not once to every request."""
+    monkeypatch.setattr(passages, "REQUESTS", 8)
+    texts = {1: " ".join(words(random.Random(1), 3000)), 2: "one two three four five six"}
+    rows = spark.createDataFrame(list(texts.items()), "key long, text string")
+    spans = [(own, 1, own, own + 20) for own in range(100, 150)] + [(150, 2, 1, 4)]
+    asked = spark.createDataFrame(
+        [(own, ref, 0, lo, bytes([1, 0, 0, 0]), bytes([2, 0, 0, 0]), ref, 1, lo, hi) for own, ref, lo, hi in spans],
+        "owner long, ref long, own_lo long, rlo long, xs binary, ys binary, of long, role int, from long, to long",
+    )
+    found = passages._requested(rows, asked, 4)
+    got = {r["owner"]: np.frombuffer(r["words"], np.uint32) for r in found.collect()}
+    assert len(got) == len(spans)
+    for own, ref, lo, hi in spans:
+        hashes = passages.word_hashes(pa.array([texts[ref]]))[0] >> np.uint64(32)
+        assert np.array_equal(got[own], hashes[max(0, lo - passages.MARGIN) : hi + passages.MARGIN])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" in plan and "SortMergeJoin" not in plan
+
+
+def test_chains_left_unaligned_hold_no_passage():
+    """Chains are ruled out by counts of shared words alone; none of them holds a passage."""
+    draw, ruled_out, kept = random.Random(5), 0, 0
+    for n in range(300):
+        x = [draw.randrange(30) + 100 for _ in range(140)]
+        y = [w if draw.random() < n / 300 else draw.randrange(1000) + 1000 for w in x]
+        x[70:76], y[70:76] = range(6), range(6)
+        one = (np.array(x, np.uint32)[10:], np.array(y, np.uint32)[10:], np.array([60, 61]), np.array([60, 61]))
+        found = any(fuzzy_parts(align(*one, cost=c), 50, 0.8) for c in (2, 1))
+        may = bool(passages._may_hold([one], 5, 40 - 1e-6)[0])
+        assert may or not found
+        ruled_out, kept = ruled_out + (not may), kept + found
+    assert ruled_out > 50 and kept > 20
