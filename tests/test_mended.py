@@ -127,3 +127,14 @@ def test_routes_without_harmless_rows_measure_nothing(spark):
     assert [tuple(r) for r in evaluation.auth_logs(logs).recalls.collect()] == [("logs", "attack", 0.0, 0)]
     flows = spark.createDataFrame([(i, float(i), "atk_a") for i in range(9)], "id long, v double, label string")
     assert evaluation.raw_flows(flows, ["id"], drop=["id"]).recalls.count() == 0
+
+
+def test_forest_flags_scores_each_row_once(spark, monkeypatch):
+    """The training rows are among those to flag, and are not scored for the cut beside that."""
+    from authscope.operators import forest
+    from registry.queries import QUERIES
+
+    scored, score = [], forest.score
+    monkeypatch.setattr(forest, "score", lambda df, *a, **k: scored.append(df.count()) or score(df, *a, **k))
+    QUERIES["forest_flags"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(scored) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
