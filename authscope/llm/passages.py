@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,9 +22,13 @@ SPANS = (1, 2, 4, 8, 12)
 #: A chain may bridge this many words; a bridge costs this much a word, a seed brings its length.
 MAX_GAP = 64
 GAP_COST = 1 / 16
-#: So many chains are compared at once, and so many requests for words share one copy of a text.
-CHAINS = 512
+#: So many chains or words are compared at once, and so many requests for words share one copy of a text.
+CHAINS = 2048
+BLOCK = 1 << 20
 REQUESTS = 4096
+_PLACES = np.arange(MARGIN)
+#: The lowest n bits, for n up to the margin, whose words are the bits of one number.
+_LOW = np.array([(1 << n) - 1 for n in range(MARGIN + 1)], np.uint64)
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -46,12 +53,31 @@ def minimizers(seeds: np.ndarray, window: int) -> np.ndarray:
 FIRST, LATER, NUMBERED = range(3)
 
 
-def _occurrences(seeds: np.ndarray) -> np.ndarray:
-    """For each seed of one document how many equal ones come before it."""
-    order = np.argsort(seeds, kind="stable")
-    ordered = seeds[order]
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of stretches, one after the other, and which stretch each is of."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return (starts - np.cumsum(sizes) + sizes)[of] + np.arange(len(of)), of
+
+
+def _all_minimizers(seeds: np.ndarray, first: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """``minimizers`` of stretches of ``seeds`` that lie one after the other: from ``first`` on, as many as ``sizes`` tells."""
+    long = np.flatnonzero(sizes > window)
+    at = _stretches(first[long], sizes[long] - window + 1)[0]  # where a window starts
+    padded = np.zeros(len(seeds) + window - 1, np.uint64)
+    padded[at + window - 1] = _sliding(seeds, window, np.minimum)[at] if len(at) else 0
+    at = _stretches(first[long], sizes[long])[0]
+    found = [at[_sliding(padded, window, np.maximum)[at] == seeds[at]]]
+    for n in np.flatnonzero((sizes > 0) & (sizes <= window)).tolist():
+        found.append(first[n] + minimizers(seeds[first[n] : first[n] + sizes[n]], window))
+    return np.concatenate(found)
+
+
+def _occurrences(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each seed how many equal ones of its document come before it."""
+    order = np.lexsort((seeds, doc))
+    ordered, of = seeds[order], doc[order]
     new = np.ones(len(seeds), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    new[1:] = (ordered[1:] != ordered[:-1]) | (of[1:] != of[:-1])
     nth = np.empty(len(seeds), np.int64)
     nth[order] = np.arange(len(seeds)) - np.maximum.accumulate(np.where(new, np.arange(len(seeds)), 0))
     return nth
@@ -61,18 +87,20 @@ def _seeds(batches, k: int, window: int):
     """Seeds of each document; later occurrences of one come also with their number mixed in."""
     for piece in slices(batches):
         words, first = word_hashes(piece.column("text"))
-        found, places, kinds = [], [], []
-        for a, b in zip(first[:-1], first[1:]):
-            s = shingle_hashes(words[a:b], k) if b - a >= k else words[:0]
-            at = minimizers(s, window)
-            nth = _occurrences(s[at])
-            more = np.flatnonzero(nth)
-            found.append(np.concatenate([s[at], mix(s[at[more]] + nth[more].astype(np.uint64))]))
-            places.append(np.concatenate([at, at[more]]))
-            kinds.append(np.concatenate([np.where(nth > 0, LATER, FIRST), np.full(len(more), NUMBERED)]))
-        keys = piece.column("key").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-        columns = [np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32), np.concatenate(kinds).astype(np.int8)]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), keys, *map(pa.array, columns[1:])], ["seed", "key", "at", "kind"])
+        sizes = np.maximum(0, np.diff(first) - k + 1)
+        if not sizes.any():
+            continue
+        s = shingle_hashes(words, k)  # those of two documents count for none
+        at = _all_minimizers(s, first[:-1], sizes, window)
+        doc = np.searchsorted(first, at, "right") - 1
+        s, at = s[at], at - first[doc]
+        nth = _occurrences(s, doc)
+        more = np.flatnonzero(nth)
+        found = np.concatenate([s, mix(s[more] + nth[more].astype(np.uint64))])
+        kinds = np.concatenate([np.where(nth > 0, LATER, FIRST), np.full(len(more), NUMBERED)])
+        keys = piece.column("key").take(pa.array(np.concatenate([doc, doc[more]])))
+        places = np.concatenate([at, at[more]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), keys, pa.array(places), pa.array(kinds.astype(np.int8))], ["seed", "key", "at", "kind"])
 
 
 def _spans(batches, k: int, window: int):
@@ -99,7 +127,7 @@ def _spans(batches, k: int, window: int):
             span = np.full(len(i), n, np.uint64)
             for t in range(n + 1):
                 span = mix(span + mix(seed[i + t].view(np.uint64) + (at[i + t] - at[i]).astype(np.uint64)))
-            columns = (span.view(np.int64), key[i], at[i], at[i + n] - at[i])
+            columns = (span.view(np.int64), key[i], at[i].astype(np.int32), (at[i + n] - at[i]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["span", "key", "at", "far"])
 
 
@@ -164,6 +192,19 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, min_seeds: int = 2
     return out
 
 
+def _with_ends(batches):
+    """The matches of both ends of each span, and seeds as spans without a length, in order; each one once."""
+    for key, ref, x, y, far in _groups(batches, [*_CHAIN, "far"], _CHAIN[:2]):
+        long = np.flatnonzero(far)
+        key, ref = (np.concatenate([c, c[long]]) for c in (key, ref))
+        x, y = (np.concatenate([c, c[long] + far[long]]) for c in (x, y))
+        order = np.lexsort((y, x, ref, key))
+        key, ref, x, y = (c[order] for c in (key, ref, x, y))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (key, ref, x, y)], _CHAIN)
+
+
 _CHAIN = ["key", "ref", "x", "y"]
 _CHAINED = ["key", "ref", "lo", "hi", "rlo", "rhi", "xs", "ys"]
 
@@ -262,156 +303,230 @@ def _cut_out(batches):
         yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(own, pa.binary())], [*names, "words"])
 
 
-def _same(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Matched places of a longest common subsequence of two short stretches."""
-    if len(x) == len(y) and len(x) and (x == y).mean() >= 0.5:
-        at = np.flatnonzero(x == y).tolist()
-        return list(zip(at, at))
-    n, m = len(x), len(y)
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (y == x[i]))
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1] if m else row
-    out, i, j = [], 0, 0
-    while i < n and j < m and best[i, j]:
-        if x[i] == y[j] and best[i, j] == best[i + 1, j + 1] + 1:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def _padded(*sides: list[np.ndarray]) -> list[np.ndarray]:
-    """Each side's stretches as rows of a table, and which of its cells hold a word; all of one width."""
-    sizes = [np.array([len(p) for p in parts]) for parts in sides]
-    width, out = max(1, *(int(n.max()) for n in sizes)), []
-    for parts, n in zip(sides, sizes):
-        held = np.arange(width) < n[:, None]
-        table = np.zeros(held.shape, np.uint32)
-        table[held] = np.concatenate(parts)
-        out += [table, held]
-    return out
+@dataclass(frozen=True)
+class _Chains:
+    """Chains with the words on both sides, one after the other in flat arrays.
 
+    ``x`` and ``y`` are the starts and ends of each chain's two stretches in ``words``; ``xs`` and ``ys`` are the places
+    of its seeds in these, from ``first`` on.
+    """
 
-def _words_on(x: np.ndarray, y: np.ndarray, on_x: np.ndarray, on_y: np.ndarray, cost: int) -> np.ndarray:
+    words: np.ndarray
+    x: tuple[np.ndarray, np.ndarray]
+    y: tuple[np.ndarray, np.ndarray]
+    xs: np.ndarray
+    ys: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, found: list[tuple]) -> _Chains:
+        """From a list of (x, y, xs, ys)."""
+        ends = np.cumsum([len(v) for c in found for v in c[:2]])
+        starts, words = np.append(0, ends[:-1]), np.concatenate([v for c in found for v in c[:2]])
+        xs, ys = (np.concatenate([c[n] for c in found]).astype(np.int64) for n in (2, 3))
+        first = np.append(0, np.cumsum([len(c[2]) for c in found]))
+        return cls(words, (starts[::2], ends[::2]), (starts[1::2], ends[1::2]), xs, ys, first)
+
+    def take(self, which: np.ndarray) -> _Chains:
+        sizes = np.diff(self.first)[which]
+        at = _stretches(self.first[which], sizes)[0]
+        (a, b), (c, d) = self.x, self.y
+        return _Chains(self.words, (a[which], b[which]), (c[which], d[which]), self.xs[at], self.ys[at], np.append(0, np.cumsum(sizes)))
+
+    def ends(self) -> tuple[np.ndarray, ...]:
+        """Places of the first and of the last seed, in both texts."""
+        a, b = self.first[:-1], self.first[1:] - 1
+        return self.xs[a], self.ys[a], self.xs[b], self.ys[b]
+
+
+@dataclass(frozen=True)
+class _Pairs:
+    """Pairs of stretches of ``MARGIN`` words at most; bit j of ``equal[:, i]``: word i of x is word j of y."""
+
+    x: np.ndarray
+    nx: np.ndarray
+    y: np.ndarray
+    ny: np.ndarray
+    equal: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, step: int = 1) -> _Pairs:
+        """Stretches of ``words`` from ``x`` and ``y`` on, or back from there."""
+        nx, ny = np.minimum(nx, MARGIN), np.minimum(ny, MARGIN)
+        u, v = (words.take(s[:, None] + step * _PLACES, mode="clip") for s in (x, y))
+        equal = np.empty(u.shape, np.uint64)
+        for i in range(0, len(u), 256):
+            same = u[i : i + 256, :, None] == v[i : i + 256, None, :]
+            equal[i : i + 256] = np.packbits(same, axis=2, bitorder="little").view("<u8")[:, :, 0]
+        equal[_PLACES >= nx[:, None]] = 0
+        equal &= _LOW[ny][:, None]
+        return cls(u, nx, v, ny, equal)
+
+    def take(self, which: np.ndarray) -> _Pairs:
+        return _Pairs(*(getattr(self, f.name)[which] for f in fields(self)))
+
+
+def _words_on(equal: np.ndarray, nx: np.ndarray, ny: np.ndarray, cost: int) -> np.ndarray:
     """No more words than this match in a stretch from the start that pays, see ``_reach``.
 
     No more words match than occur on the other side, and up to its end a stretch must pay.
     """
-    equal = x[:, :, None] == y[:, None, :]
-    equal &= on_y[:, None, :]
+    columns = np.unpackbits(np.bitwise_or.reduce(equal, axis=1)[:, None].view(np.uint8), axis=1, bitorder="little")
     out = None
-    for there, on in ((equal.any(axis=2) & on_x, on_x), (np.logical_or.reduce(equal, axis=1, where=on_x[:, :, None]), on_y)):
-        count = np.cumsum(there, axis=1)
-        pays = on & ((1 + cost) * count > cost * np.arange(1, x.shape[1] + 1))
-        most = np.where(pays, count, 0).max(axis=1)
+    for there, n in ((equal != 0, nx), (columns, ny)):
+        count = np.cumsum(there, axis=1, dtype=np.int16)
+        pays = (_PLACES < n[:, None]) & ((1 + cost) * count > cost * (_PLACES + 1))
+        most = np.where(pays, count, 0).max(axis=1, initial=0)
         out = most if out is None else np.minimum(out, most)
     return out
 
 
-def _reach(xs: list[np.ndarray], ys: list[np.ndarray], cost: int = 2) -> list[np.ndarray]:
-    """For each pair of texts the matched places, as rows, of the stretches from the start that pay best.
+def _common(equal: np.ndarray) -> np.ndarray:
+    """Longest common subsequences: with the first i words of x, bit j tells that word j of y makes one more.
+
+    So the first i and j words have as many in common as bits below j are set in row i. All words of
+    a row are done at once, by the carry of a sum.
+    """
+    rest = np.empty((MARGIN + 1, len(equal)), np.uint64)
+    rest[0] = _LOW[-1]
+    for i, on in enumerate(np.ascontiguousarray(equal.T)):
+        rest[i + 1] = (rest[i] + (rest[i] & on)) | (rest[i] & ~on)
+    return ~rest
+
+
+def _best_ends(more: np.ndarray, cost: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair how many words of x and y the stretch has that pays best, see ``_reach``; the first of the best.
+
+    The longer side makes the cost, and no shorter one has more in common than one as long.
+    """
+    score = (1 + cost) * np.bitwise_count(more & _LOW[:, None]).astype(np.int32) - cost * np.arange(MARGIN + 1)[:, None]
+    at, pair = np.nonzero(score == score.max(axis=0))
+    own = more[at, pair] & _LOW[at]
+    n = np.bitwise_count(own)
+    i = (np.bitwise_count(more[:, pair] & _LOW[at]) == n).argmax(axis=0)
+    j = np.where(i < at, at, (np.bitwise_count(own & _LOW[:, None]) == n).argmax(axis=0))
+    order = np.lexsort((j, i, pair))
+    first = order[np.searchsorted(pair[order], np.arange(more.shape[1]))]
+    return i[first], j[first]
+
+
+def _traced(equal: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Matches of a longest common subsequence of the first ``i`` and ``j`` words: rows pair, place in x, place in y."""
+    left = np.bitwise_count(more[i, np.arange(len(i))] & _LOW[j]).astype(np.int64)
+    u = np.flatnonzero(left)
+    p, q, left, out = i[u], j[u], left[u], [np.zeros((3, 0), np.int64)]
+    while len(u):
+        hit = (equal[u, p - 1] >> (q - 1).astype(np.uint64) & np.uint64(1)).astype(bool)
+        out.append(np.stack([u[hit], p[hit] - 1, q[hit] - 1]))
+        up = ~hit & (np.bitwise_count(more[p - 1, u] & _LOW[q]) == left)
+        p, q, left = p - (hit | up), q - (hit | ~up), left - hit
+        if not left.all():
+            on = left > 0
+            u, p, q, left = u[on], p[on], q[on], left[on]
+    return np.concatenate(out, axis=1)
+
+
+def _reach(pairs: _Pairs, cost: int) -> np.ndarray:
+    """The matches of the stretches from the start that pay best: rows pair, place in x, place in y.
 
     An unmatched word on the longer side costs ``cost`` matches; words may be added, left out or
     replaced. After the equal start, stretches that cannot pay are not searched.
     """
-    x, on_x, y, on_y = _padded(xs, ys)
-    run = np.logical_and.accumulate((x == y) & on_x & on_y, axis=1).sum(axis=1)
-    out = [np.stack([np.arange(n)] * 2, 1) for n in run.tolist()]
-    rest = np.flatnonzero((on_x.sum(axis=1) > run) & (on_y.sum(axis=1) > run))
-    if not len(rest):
-        return out
-    x, on_x, y, on_y = _padded([xs[n][run[n] :] for n in rest], [ys[n][run[n] :] for n in rest])
-    alive = _words_on(x, y, on_x, on_y, cost) > 0
-    rest, x, y, on_x, on_y = (v[alive] for v in (rest, x, y, on_x, on_y))
-    if not len(rest):
-        return out
-    equal = (x[:, :, None] == y[:, None, :]) & on_x[:, :, None] & on_y[:, None, :]
-    width = x.shape[1]
-    best = np.zeros((width + 1, len(rest), width + 1), np.int16)
-    for i in range(width):
-        row = np.maximum(best[i, :, 1:], best[i, :, :-1] + equal[:, i])
-        np.maximum.accumulate(row, axis=1, out=best[i + 1, :, 1:])
-    # The first of the best ends; a row or column beyond a text only costs, so none is there.
-    top, i, j = np.full(len(rest), -1), np.zeros(len(rest), np.intp), np.zeros(len(rest), np.intp)
-    for n in range(width + 1):
-        score = (1 + cost) * best[n].astype(np.int32) - cost * np.maximum(n, np.arange(width + 1, dtype=np.int32))
-        end = score.argmax(axis=1)
-        value = score[np.arange(len(rest)), end]
-        better = value > top
-        top[better], i[better], j[better] = value[better], n, end[better]
-    on, each, left = [], np.arange(len(rest)), best[i, np.arange(len(rest)), j] > 0
-    while left.any():
-        u, p, q = each[left], i[left], j[left]
-        hit = equal[u, p - 1, q - 1]
-        on.append(np.stack([u[hit], p[hit] - 1, q[hit] - 1]))
-        up = ~hit & (best[p - 1, u, q] == best[p, u, q])
-        i[left], j[left] = p - (hit | up), q - (hit | ~up)
-        left = best[i, each, j] > 0
-    if on:
-        u, p, q = np.concatenate(on[::-1], axis=1)
-        order = np.argsort(u, kind="stable")
-        ends = np.searchsorted(u[order], np.arange(1, len(rest)))
-        for n, more in zip(rest.tolist(), np.split(np.stack([p, q], 1)[order], ends)):
-            out[n] = np.concatenate([out[n], more + run[n]])
-    return out
+    here = _PLACES < np.minimum(pairs.nx, pairs.ny)[:, None]
+    run = np.logical_and.accumulate((pairs.x == pairs.y) & here, axis=1).sum(axis=1)
+    place, of = _stretches(np.zeros(len(run), np.int64), run)
+    rest = np.flatnonzero((pairs.nx > run) & (pairs.ny > run))
+    at = _PLACES + run[rest, None]
+    equal = np.where(at < MARGIN, pairs.equal[rest[:, None], np.minimum(at, MARGIN - 1)], np.uint64(0))
+    equal >>= run[rest, None].astype(np.uint64)
+    alive = _words_on(equal, pairs.nx[rest] - run[rest], pairs.ny[rest] - run[rest], cost) > 0
+    rest, equal = rest[alive], equal[alive]
+    more = _common(equal)
+    u, p, q = _traced(equal, more, *_best_ends(more, cost))
+    return np.concatenate([[of, place, place], [rest[u], p + run[rest[u]], q + run[rest[u]]]], axis=1)
+
+
+def _before(found: _Chains) -> _Pairs:
+    """The words before a chain, backwards, on both sides."""
+    a, b, _, _ = found.ends()
+    return _Pairs.of(found.words, found.x[0] + a - 1, a, found.y[0] + b - 1, b, -1)
+
+
+def _after(found: _Chains, k: int) -> _Pairs:
+    """The words after a chain on both sides."""
+    _, _, c, d = found.ends()
+    x, y = found.x[0] + c + k, found.y[0] + d + k
+    return _Pairs.of(found.words, x, found.x[1] - x, y, found.y[1] - y)
+
+
+def _within(found: _Chains, k: int) -> np.ndarray:
+    """Matched words from the first seed of each chain to the end of its last one: rows chain, place in x, place in y."""
+    xs, ys, chain = found.xs, found.ys, np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
+    step = np.diff(xs)
+    new = np.ones(len(xs), bool)
+    new[1:] = (chain[1:] != chain[:-1]) | (step != np.diff(ys)) | (step > k)  # else a seed goes on with the one before
+    u = np.flatnonzero(new)
+    v = np.append(u[1:], len(xs)) - 1
+    p, q, end, ref_end, own = xs[u], ys[u], xs[v] + k, ys[v] + k, chain[u]
+    later = np.flatnonzero(own[1:] == own[:-1]) + 1
+    a, b = end[later - 1], ref_end[later - 1]  # matched up to here
+    skip = np.maximum(0, np.maximum(a - p[later], b - q[later]))  # seeds may overlap, by less than one as both places rise
+    p[later] += skip
+    q[later] += skip
+    at, of = _stretches(p, end - p)
+    out = [np.stack([own[of], at, at + (q - p)[of]])]
+    m, n = p[later] - a, q[later] - b
+    gap = np.flatnonzero((m > 0) & (n > 0))
+    if len(gap):
+        a, b, m, n, own = a[gap], b[gap], m[gap], n[gap], own[later[gap]]
+        x, y = found.x[0][own] + a, found.y[0][own] + b
+        # Where half of the words and more are equal place by place, so are they matched.
+        u, v = (found.words.take(s[:, None] + _PLACES, mode="clip") for s in (x, y))
+        same = (u == v) & (_PLACES < np.minimum(m, n)[:, None])
+        plain = (m == n) & (2 * same.sum(axis=1) >= m)
+        on, at = np.nonzero(same & plain[:, None])
+        out.append(np.stack([own[on], a[on] + at, b[on] + at]))
+        a, b, m, n, own, x, y = (c[~plain] for c in (a, b, m, n, own, x, y))
+        equal = _Pairs.of(found.words, x + m - 1, m, y + n - 1, n, -1).equal
+        u, p, q = _traced(equal, _common(equal), m, n)
+        out.append(np.stack([own[u], (a + m - 1)[u] - p, (b + n - 1)[u] - q]))
+    return np.concatenate(out, axis=1)
+
+
+def _align(found: _Chains, sides: Sequence[_Pairs], k: int, cost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matched words of the chains as rows (place in x, place in y), and where each chain's rows start."""
+    a, b, c, d = found.ends()
+    (u, p, q), (v, s, t) = (_reach(side, cost) for side in sides)
+    chain, x, y = np.concatenate([[u, a[u] - 1 - p, b[u] - 1 - q], _within(found, k), [v, c[v] + k + s, d[v] + k + t]], axis=1)
+    order = np.argsort((chain << 32) + x, kind="stable")
+    first = np.append(0, np.cumsum(np.bincount(chain, minlength=len(a))))
+    return np.stack([x, y], 1)[order], first
 
 
-def _around(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> tuple[tuple, tuple]:
-    """The words before a chain, backwards, and those after it, on both sides."""
-    return (x[: xs[0]][::-1], y[: ys[0]][::-1]), (x[xs[-1] + k :], y[ys[-1] + k :])
-
-
-def _within(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> list[np.ndarray]:
-    """Matched words from the first seed of a chain to the end of its last one, in parts."""
-    step, ref_step = np.diff(xs), np.diff(ys)
-    new = np.flatnonzero((step != ref_step) | (step > k)) + 1  # else a seed goes on with the one before
-    parts = []
-    a, b = int(xs[0]), int(ys[0])  # matched up to here
-    for u, v in zip([0, *new.tolist()], [*new.tolist(), len(xs)]):
-        p, q = int(xs[u]), int(ys[u])
-        skip = max(a - p, b - q, 0)  # seeds may overlap, by less than one as both places rise
-        p, q = p + skip, q + skip
-        if p > a or q > b:
-            gap = _same(x[a:p], y[b:q])
-            if gap:
-                parts.append(np.array(gap) + (a, b))
-        a, b = int(xs[v - 1]) + k, int(ys[v - 1]) + k
-        run = np.arange(a - p)
-        parts.append(np.stack([p + run, q + run], 1))
-    return parts
-
-
-def align_all(found: list[tuple], k: int = SEED_WORDS, cost: int = 2) -> list[np.ndarray]:
-    """For each (x, y, xs, ys) the matched words of two texts along a chain of seeds, see ``align``."""
-    around = [_around(*c, k) for c in found]
-    back, on = (_reach(*zip(*(sides[n] for sides in around)), cost) for n in (0, 1))
-    out = []
-    for (x, y, xs, ys), before, after in zip(found, back, on):
-        ends = np.array([xs[0] - 1, ys[0] - 1]) - before[::-1], after + (int(xs[-1]) + k, int(ys[-1]) + k)
-        out.append(np.concatenate([ends[0], *_within(x, y, xs, ys, k), ends[1]]))
-    return out
+def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS, cost: int = 2) -> np.ndarray:
+    """Matched words of two texts along a chain of seeds, as rows (place in x, place in y).
 
+    ``MARGIN`` words at most are reached on both sides, and bridged between two seeds.
+    """
+    found = _Chains.of([(x, y, xs, ys)])
+    return _align(found, [_before(found), _after(found, k)], k, cost)[0]
 
-def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS, cost: int = 2) -> np.ndarray:
-    """Matched words of two texts along a chain of seeds, as rows (place in x, place in y)."""
-    return align_all([(x, y, xs, ys)], k, cost)[0]
+
+def _may_reach(found: _Chains, k: int, words: float, cost: int = 1) -> tuple[np.ndarray, list[_Pairs]]:
+    """Which chains may come to so many matched words, with ``cost`` or more for an unmatched one, and what is around these."""
+    a, b, c, d = found.ends()
+    most = np.minimum(c - a, d - b) + k
+    before = _before(found)
+    most += _words_on(before.equal, before.nx, before.ny, cost)
+    may = np.flatnonzero(most + MARGIN >= words)
+    after = _after(found.take(may), k)
+    held = most[may] + _words_on(after.equal, after.nx, after.ny, cost) >= words
+    return may[held], [before.take(may[held]), after.take(held)]
 
 
 def _may_hold(found: list[tuple], k: int, words: float, cost: int = 1) -> np.ndarray:
-    """Which chains may come to so many matched words, with ``cost`` or more for an unmatched one."""
-    most = np.array([min(xs[-1] - xs[0], ys[-1] - ys[0]) + k for _, _, xs, ys in found])
-    for side in range(2):
-        open_ = np.flatnonzero((most < words) & (most + (2 - side) * MARGIN >= words))
-        if len(open_):
-            x, y = zip(*(_around(*found[n], k)[side] for n in open_))
-            x, on_x, y, on_y = _padded(x, y)
-            # Half of a hash is enough here: more words may look equal, none less.
-            most[open_] += _words_on(x.astype(np.uint16), y.astype(np.uint16), on_x, on_y, cost)
-    return most >= words
+    """Whether each (x, y, xs, ys) may come to so many matched words."""
+    return np.isin(np.arange(len(found)), _may_reach(_Chains.of(found), k, words, cost)[0])
 
 
 def fuzzy_parts(matched: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, float]]:
@@ -451,45 +566,73 @@ def fuzzy_parts(matched: np.ndarray, min_words: int, identity: float) -> list[tu
 _PASSAGE = ["key", "start_word", "end_word", "ref", "ref_start_word", "ref_end_word", "identity"]
 
 
+def _parts(matched: np.ndarray, first: np.ndarray, min_words: int, identity: float) -> list[np.ndarray]:
+    """``fuzzy_parts`` of alignments one after the other: the alignment and the columns of its parts."""
+    (p, q), (r, s) = matched[first[:-1]].T, matched[first[1:] - 1].T
+    length = np.maximum(r - p, s - q) + 1
+    share = np.diff(first) / length
+    whole = np.flatnonzero((length >= min_words) & (share >= identity))
+    out = [whole, p[whole], r[whole] + 1, q[whole], s[whole] + 1, share[whole]]
+    rows = []
+    for n in np.flatnonzero((length >= min_words) & (share < identity)).tolist():
+        rows += [(n, *part) for part in fuzzy_parts(matched[first[n] : first[n + 1]], min_words, identity)]
+    return [np.concatenate(c) for c in zip(out, zip(*rows))] if rows else out
+
+
+def _numbers(values: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of successive binaries, and where those of each one start."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) // 4
+    data = values.buffers()[2]
+    return (np.frombuffer(data, kind, int(offsets[-1])) if offsets[-1] else np.zeros(0, kind)), offsets
+
+
 def _met(batches, k: int):
-    """Chains with the words on both sides, some at a time.
+    """Chains with the words on both sides, some at a time: (owner, its first word here, ref, its first word here), chains.
 
     Rows of a chain come together: the document's words, then those of the earlier one.
     """
-    held, own, last = [], None, None
+    held = None
     for batch in batches:
-        names = ["owner", "ref", "lo", "rlo", "role", "xs", "ys", "words"]
-        for owner, ref, lo, rlo, role, xs, ys, words in zip(*(batch.column(n).to_pylist() for n in names)):
-            words = np.frombuffer(words, np.uint32)
-            if role == 0:
-                own, last = words, (owner, ref, lo, rlo)
-            elif own is not None and last == (owner, ref, lo, rlo):
-                x0, y0 = max(0, lo - MARGIN), max(0, rlo - MARGIN)
-                at, ref_at = (np.frombuffer(v, np.int32).astype(np.int64) - o for v, o in ((xs, x0), (ys, y0)))
-                if at[-1] + k <= len(own) and ref_at[-1] + k <= len(words):
-                    held.append(((owner, x0, ref, y0), (own, words, at, ref_at)))
-                own = None
-                if len(held) == CHAINS:
-                    yield held
-                    held = []
-    if held:
-        yield held
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        held = batch.slice(batch.num_rows - 1)  # its other half may be in the next batch
+        owner, ref, lo, rlo, role = (batch.column(n).to_numpy() for n in ("owner", "ref", "lo", "rlo", "role"))
+        words, at = _numbers(batch.column("words"), np.uint32)
+        (xs, first), (ys, _) = (_numbers(batch.column(n), np.int32) for n in ("xs", "ys"))
+        pair = (role[:-1] == 0) & (role[1:] == 1)
+        for c in (owner, ref, lo, rlo):
+            pair &= c[1:] == c[:-1]
+        on = np.flatnonzero(pair) + 1
+        x0, y0 = np.maximum(0, lo - MARGIN), np.maximum(0, rlo - MARGIN)
+        last = first[on + 1] - 1
+        on = on[(xs[last] - x0[on] + k <= at[on] - at[on - 1]) & (ys[last] - y0[on] + k <= at[on + 1] - at[on])]
+        size = np.cumsum(at[on + 1] - at[on - 1] + BLOCK // CHAINS) // BLOCK
+        for u in np.split(on, np.flatnonzero(np.diff(size)) + 1):
+            if len(u):
+                place, of = _stretches(first[u], first[u + 1] - first[u])
+                found = _Chains(
+                    words, (at[u - 1], at[u]), (at[u], at[u + 1]), xs[place] - x0[u][of], ys[place] - y0[u][of], np.append(0, np.cumsum(np.bincount(of)))
+                )
+                yield (owner[u], x0[u], ref[u], y0[u]), found
 
 
 def _aligned(batches, k: int, min_words: int, identity: float):
     """The passages of the chains. Most chains cannot reach far enough and are not aligned at all."""
-    for held in _met(batches, k):
-        may = _may_hold([c for _, c in held], k, min_words * identity - 1e-6)
-        held = [c for c, on in zip(held, may) if on]
-        parts = [[]] * len(held)
+    for ids, found in _met(batches, k):
+        may, sides = _may_reach(found, k, min_words * identity - 1e-6)
         # An edit near an end may take a passage under the limit: reach further, if it is short.
         for cost in (2, 1):
-            none = [n for n, found in enumerate(parts) if not found]
-            for n, matched in zip(none, align_all([held[n][1] for n in none], k, cost) if none else []):
-                parts[n] = fuzzy_parts(matched, min_words, identity)
-        rows = [(owner, x0 + a, x0 + b, ref, y0 + c, y0 + d, share) for ((owner, x0, ref, y0), _), found in zip(held, parts) for a, b, c, d, share in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "identity" else pa.int64()) for n, c in zip(_PASSAGE, zip(*rows))], _PASSAGE)
+            if not len(may):
+                break
+            ids, found = [c[may] for c in ids], found.take(may)
+            own, a, b, c, d, share = _parts(*_align(found, sides, k, cost), min_words, identity)
+            owner, x0, ref, y0 = (v[own] for v in ids)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (owner, x0 + a, x0 + b, ref, y0 + c, y0 + d, share)], _PASSAGE)
+            may = np.setdiff1d(np.arange(len(may)), own)
+            sides = [side.take(may) for side in sides]
 
 
 def _clashing(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -581,18 +724,16 @@ def repeated_passages(
         shared.where(F.col("kind") != NUMBERED)
         .repartition(width, "key")
         .sortWithinPartitions("key", "at")
-        .mapInArrow(lambda b: _spans(b, k, window), "span long, key long, at long, far long")
+        .mapInArrow(lambda b: _spans(b, k, window), "span long, key long, at int, far int")
     )
     whole = spans.groupBy("span").agg(F.min(F.struct("key", "at")).alias("low"), F.max("key").alias("top")).where("low.key < top")
     whole = cut_lineage(whole.select("span", F.col("low.key").alias("ref"), F.col("low.at").alias("y")))
-    ends = F.explode(F.array(F.lit(0).cast("long"), "far")).alias("end")
-    found = spans.join(whole.hint("merge"), "span").where("key > ref").select("key", "ref", "at", "y", ends)
-    matches = shared.where("key > ref").select("key", "ref", F.col("at").cast("long").alias("x"), F.col("y").cast("long"))
-    matches = matches.union(found.select("key", "ref", F.expr("at + end"), F.expr("y + end")))
+    found = spans.join(whole.hint("merge"), "span").where("key > ref").select("key", "ref", "at", "y", "far")
+    matches = shared.where("key > ref").select("key", "ref", F.col("at").alias("x"), "y", F.lit(0).alias("far")).union(found)
     chained = cut_lineage(
         matches.repartition(width, "key", "ref")
-        .sortWithinPartitions("key", "ref", "x", "y")
-        .mapInArrow(lambda b: _chained(b, k), "key long, ref long, lo long, hi long, rlo long, rhi long, xs binary, ys binary")
+        .sortWithinPartitions("key", "ref")
+        .mapInArrow(lambda b: _chained(_with_ends(b), k), "key long, ref long, lo long, hi long, rlo long, rhi long, xs binary, ys binary")
     )
     both = F.inline(
         F.array(

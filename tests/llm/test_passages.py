@@ -233,3 +233,82 @@ def test_chains_left_unaligned_hold_no_passage():
         assert may or not found
         ruled_out, kept = ruled_out + (not may), kept + found
     assert ruled_out > 50 and kept > 20
+
+
+def best_stretches(x, y, cost):
+    """Matches of the stretches from the start that pay best: the equal start, then by a plain table; of equal ones the first."""
+    run = next((n for n, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    x, y = x[run:], y[run:]
+    best = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+    score = (1 + cost) * best - cost * np.maximum(*np.indices(best.shape))
+    i, j = np.unravel_index(score.argmax(), score.shape)
+    out = []
+    while best[i, j]:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((run + i, run + j))
+        elif best[i - 1, j] == best[i, j]:
+            i -= 1
+        else:
+            j -= 1
+    return [(n, n) for n in range(run)] + out[::-1]
+
+
+def edited(draw, n):
+    """Two stretches of up to 64 words, the second one with words replaced, added or left out."""
+    x = [draw.randrange(40) for _ in range(draw.randrange(65))]
+    y = []
+    for w in x:
+        how = draw.random() * 2 * n
+        y += [draw.randrange(40)] * (how > 1.2) + [w] * (how < 1 or how > 1.6)
+    return np.array(x, np.uint32), np.array(y[:64], np.uint32)
+
+
+def test_chains_are_aligned_together_as_one_by_one(monkeypatch):
+    """Stretches around many chains are compared in a few steps, and each one as by a plain table."""
+    draw, found, want = random.Random(41), [], {1: [], 2: []}
+    calls = []
+    monkeypatch.setattr(passages, "_common", lambda equal, run=passages._common: calls.append(len(equal)) or run(equal))
+    for n in range(300):
+        (before, ref_before), (after, ref_after) = edited(draw, n / 300), edited(draw, n / 300)
+        seed = np.arange(100, 105, dtype=np.uint32)
+        x, y = np.concatenate([before[::-1], seed, after]), np.concatenate([ref_before[::-1], seed, ref_after])
+        found.append((x, y, np.array([len(before)]), np.array([len(ref_before)])))
+        for cost in (1, 2):
+            back = [(len(before) - 1 - i, len(ref_before) - 1 - j) for i, j in best_stretches(before, ref_before, cost)]
+            on = [(len(before) + 5 + i, len(ref_before) + 5 + j) for i, j in best_stretches(after, ref_after, cost)]
+            want[cost].append(back[::-1] + [(len(before) + i, len(ref_before) + i) for i in range(5)] + on)
+    chains_ = passages._Chains.of(found)
+    for cost in (1, 2):
+        matched, first = passages._align(chains_, [passages._before(chains_), passages._after(chains_, 5)], 5, cost)
+        assert [list(map(tuple, matched[a:b].tolist())) for a, b in zip(first[:-1], first[1:])] == want[cost]
+    assert len(calls) <= 4 and max(calls) > 100
+
+
+def test_seeds_of_many_documents_are_those_of_each():
+    draw = random.Random(42)
+    texts = [" ".join(words(draw, draw.choice([0, 1, 4, 5, 6, 9, 10, 11, 80]), draw.choice([3, 10**6]))) for _ in range(200)]
+
+    def seeds(some):
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([t for _, t in some])], ["key", "text"])
+        return sorted(tuple(r.values()) for b in passages._seeds([batch], 5, 5) for r in b.to_pylist())
+
+    rows = list(enumerate(texts))
+    assert seeds(rows) == sorted(r for row in rows for r in seeds([row]))
+    for key, text in rows:
+        own = [r for r in seeds([(key, text)]) if r[3] != passages.NUMBERED]
+        hashes = passages.word_hashes(pa.array([text]))[0]
+        s = passages.shingle_hashes(hashes, 5) if len(hashes) >= 5 else hashes[:0]
+        assert sorted(r[2] for r in own) == sorted(minimizers(s, 5).tolist())
+
+
+def test_a_span_is_one_row_until_its_matches_are_chained():
+    """Both ends of a span and the seeds, each match once and in order, whatever the batches."""
+    rows = [(1, 0, 7, 3, 0), (1, 0, 7, 3, 4), (1, 0, 2, 1, 9), (1, 0, 11, 7, 0), (4, 2, 5, 5, 0), (4, 3, 5, 5, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "ref", "x", "y", "far"])
+    for cut in range(len(rows)):
+        found = [tuple(r.values()) for b in passages._with_ends([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
+        assert found == [(1, 0, 2, 1), (1, 0, 7, 3), (1, 0, 11, 7), (1, 0, 11, 10), (4, 2, 5, 5), (4, 3, 5, 5), (4, 3, 7, 7)]
