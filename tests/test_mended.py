@@ -138,3 +138,36 @@ def test_forest_flags_scores_each_row_once(spark, monkeypatch):
     monkeypatch.setattr(forest, "score", lambda df, *a, **k: scored.append(df.count()) or score(df, *a, **k))
     QUERIES["forest_flags"](spark, "/root/testdata/sf0.001").collect()
     assert sum(scored) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_eval_split_draws_each_row_once(spark, monkeypatch):
+    """Passes of the model read the drawn rows, without a digest for the split; the text of the key is kept for fitted rows."""
+    from authscope.functions.draws import key_text
+    from authscope.sources import adapters
+    from registry.queries import QUERIES
+
+    given, run = [], evaluation.split_flows
+    monkeypatch.setattr(evaluation, "split_flows", lambda train, test, *a, **k: given.extend([train, test]) or run(train, test, *a, **k))
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    sf = "/root/testdata/sf0.001"
+    QUERIES["eval_split"](spark, sf).collect()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    assert not any("md5" in x._jdf.queryExecution().optimizedPlan().toString() for x in given)
+    flows = adapters.flows(adapters.table(spark, sf, "lineitem"))
+    drawn = flows.where(adapters.train_draw() < 0.7)
+    assert given[0].count() == drawn.count() and given[1].count() == flows.count() - drawn.count()
+    fitted = drawn.where("label = 'BENIGN'").select(key_text(*adapters.FLOW_KEY).alias("row"))
+    kept = given[0].where("label = 0").select("row")
+    assert kept.count() == fitted.count() and kept.exceptAll(fitted).isEmpty()
+
+
+def test_draws_of_a_tree_are_those_of_the_division():
+    import numpy as np
+
+    from authscope.operators.forest import PRIME, _drawn
+
+    ends = [0, 1, 2, PRIME - 2, PRIME - 1]
+    x = np.concatenate([ends, np.random.default_rng(51).integers(0, PRIME, 5000)]).astype(np.int64)
+    for a in [1, 2, PRIME - 2, PRIME - 1, 1234567891]:
+        for b in [*ends, 987654321]:
+            assert np.array_equal(_drawn(x, a, b), (a * x + b) % PRIME)
