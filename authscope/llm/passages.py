@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
@@ -111,9 +112,10 @@ def _spans(batches, k: int, window: int):
     or nowhere.
     """
     for seed, key, at, ref, y in _groups(batches, ["seed", "key", "at", "ref", "y"], ["key"]):
+        order = np.lexsort((at, key))
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])  # repeated rows
-        seed, key, at, ref, y = (c[new] for c in (seed, key, at, ref, y))
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(at[order]) != 0)  # repeated rows
+        seed, key, at, ref, y = (c[order[new]] for c in (seed, key, at, ref, y))
         gap = at[1:] - at[:-1]
         next_to = (key[1:] == key[:-1]) & (gap <= window)
         held = next_to & (gap <= k) & (ref[1:] == ref[:-1]) & (y[1:] - y[:-1] == gap)
@@ -131,27 +133,60 @@ def _spans(batches, k: int, window: int):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["span", "key", "at", "far"])
 
 
-class _Fenwick:
-    """Largest value, and where it is, among the first so many places."""
+def _links(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int) -> tuple[list[float], list[int]]:
+    """For each match its chain's score up to there and the match before it there, or -1.
+
+    Pair n has the matches from ``starts[n]`` on, by x, those with equal x by y descending. A stair holds, of
+    the matches so far, the places in y where the largest score plus cost rises: a match up to there that a later
+    one with no higher y beats or equals is never taken again.
+    """
+    ys, costs, score, back = y.tolist(), (GAP_COST * (x + y) / 2).tolist(), [], []
+    for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        stair, best, at = [], [], []
+        for j in range(first, end):
+            place, cost = ys[j], costs[j]
+            u = bisect_left(stair, place)
+            linked = best[u - 1] - cost if u else 0
+            if linked > 0:
+                value = k + linked
+                back.append(at[u - 1])
+            else:
+                value = k
+                back.append(-1)
+            score.append(value)
+            value += cost
+            if u == len(stair):
+                stair.append(place)
+                best.append(value)
+                at.append(j)
+                continue
+            v = u
+            while v < len(stair) and best[v] <= value:
+                v += 1
+            if v > u or stair[u] > place:
+                stair[u:v], best[u:v], at[u:v] = (place,), (value,), (j,)
+    return score, back
 
-    def __init__(self, n: int) -> None:
-        self.best = [(-1e18, -1)] * (n + 1)
 
-    def put(self, place: int, value: tuple[float, int]) -> None:
-        best, place = self.best, place + 1
-        while place < len(best):
-            if value > best[place]:
-                best[place] = value
-            place += place & -place
+def _all_chains(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int, min_seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``chains`` of many pairs, see ``_links``: the numbers of their matches one after the other, and how many each chain has.
 
-    def up_to(self, place: int) -> tuple[float, int]:
-        """Over the places before ``place``."""
-        found = (-1e18, -1)
-        while place:
-            if self.best[place] > found:
-                found = self.best[place]
-            place &= place - 1
-        return found
+    A match belongs to the best of the chains that lead through it.
+    """
+    score, back = _links(x, y, starts, k)
+    rank = np.empty(len(x), np.int64)
+    rank[np.argsort(-np.array(score), kind="stable")] = np.arange(len(x))
+    end = rank.tolist()
+    for j in range(len(end) - 1, -1, -1):
+        i = back[j]
+        if i >= 0 and end[j] < end[i]:
+            end[i] = end[j]
+    end = np.array(end)
+    order = np.argsort(end, kind="stable")
+    new = np.ones(len(x), bool)
+    new[1:] = (np.diff(end[order]) != 0) | (np.diff(x[order]) > MAX_GAP + k) | (np.diff(y[order]) > MAX_GAP + k)
+    sizes = np.diff(np.append(np.flatnonzero(new), len(x)))
+    return order[np.repeat(sizes >= min_seeds, sizes)], sizes[sizes >= min_seeds]
 
 
 def chains(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, min_seeds: int = 2) -> list[np.ndarray]:
@@ -159,46 +194,21 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, min_seeds: int = 2
 
     A chain's score is the words of its seeds less a cost for each word that it bridges on
     either side. With a linear cost the best predecessor of a match is the largest score plus
-    cost so far among the matches before it on both sides, which a Fenwick tree over y gives.
+    cost so far among the matches before it on both sides, which a stair over y gives.
     Chains come out by score; a match belongs to one, and a gap over the limit ends one.
     """
     order = np.lexsort((-y, x))  # equal x: y descending, so that they do not chain
-    xs, ys = x[order].tolist(), y[order].tolist()
-    ranks = np.unique(y[order], return_inverse=True)[1].tolist()
-    tree, score, back = _Fenwick(len(xs)), [], []
-    for j, (a, b, r) in enumerate(zip(xs, ys, ranks)):
-        value, i = tree.up_to(r)
-        linked = value - GAP_COST * (a + b) / 2
-        good = i >= 0 and linked > 0
-        score.append(k + (linked if good else 0))
-        back.append(i if good else -1)
-        tree.put(r, (score[j] + GAP_COST * (a + b) / 2, j))
-    used, out = [False] * len(xs), []
-    for j in sorted(range(len(xs)), key=lambda n: (-score[n], n)):
-        chain = []
-        while j >= 0 and not used[j]:
-            used[j] = True
-            chain.append(j)
-            j = back[j]
-        chain.reverse()
-        part = chain[:1]
-        for i in chain[1:] + [-1]:
-            if i >= 0 and xs[i] - xs[part[-1]] <= MAX_GAP + k and ys[i] - ys[part[-1]] <= MAX_GAP + k:
-                part.append(i)
-                continue
-            if len(part) >= min_seeds:
-                out.append(order[part])
-            part = [i]
-    return out
+    found, sizes = _all_chains(x[order], y[order], np.array([0, len(x)]), k, min_seeds)
+    return np.split(order[found], np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def _with_ends(batches):
     """The matches of both ends of each span, and seeds as spans without a length, in order; each one once."""
-    for key, ref, x, y, far in _groups(batches, [*_CHAIN, "far"], _CHAIN[:2]):
+    for key, ref, x, y, far in _groups(batches, [*_CHAIN, "far"], ["key"]):
         long = np.flatnonzero(far)
         key, ref = (np.concatenate([c, c[long]]) for c in (key, ref))
         x, y = (np.concatenate([c, c[long] + far[long]]) for c in (x, y))
-        order = np.lexsort((y, x, ref, key))
+        order = np.lexsort(((x << 32) + y, ref, key))
         key, ref, x, y = (c[order] for c in (key, ref, x, y))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -221,13 +231,6 @@ def _chained(batches, k: int):
     Matches that all follow each other on one diagonal, without a gap over the limit, are one
     chain: a step costs less than a seed brings. All such pairs are taken together.
     """
-    rows = []
-
-    def out():
-        columns = list(zip(*rows))
-        arrays = [*(pa.array(c, pa.int64()) for c in columns[:6]), *(pa.array(c, pa.binary()) for c in columns[6:])]
-        return pa.RecordBatch.from_arrays(arrays, _CHAINED)
-
     for key, ref, x, y in _groups(batches, _CHAIN, _CHAIN[:2]):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -238,40 +241,37 @@ def _chained(batches, k: int):
         sizes, step = np.diff(starts), np.diff(x, prepend=0)
         odd = ~pair & ((step != np.diff(y, prepend=0)) | (step > MAX_GAP + k))
         plain = np.add.reduceat(odd, starts[:-1]) == 0
-        easy = np.flatnonzero((sizes > 1) & plain)
-        if len(easy):
-            on, u, v = np.repeat((sizes > 1) & plain, sizes), starts[easy], starts[easy + 1] - 1
+        easy, hard = (sizes > 1) & plain, (sizes > 1) & ~plain
+        at, size = np.flatnonzero(np.repeat(easy, sizes)), sizes[easy]
+        if hard.any():
+            on, of = _stretches(starts[:-1][hard], sizes[hard])
+            on = on[np.lexsort((-y[on], x[on], of))]
+            found, more = _all_chains(x[on], y[on], np.append(0, np.cumsum(sizes[hard])), k, 2)
+            at, size = np.append(at, on[found]), np.append(size, more)
+        if len(at):
+            u, v = at[np.cumsum(size) - size], at[np.cumsum(size) - 1]
             ends = [pa.array(c) for c in (key[u], ref[u], x[u], x[v] + k, y[u], y[v] + k)]
-            yield pa.RecordBatch.from_arrays([*ends, *(_binary(c[on], sizes[easy]) for c in (x, y))], _CHAINED)
-        for i in np.flatnonzero((sizes > 1) & ~plain):
-            a, b = starts[i], starts[i + 1]
-            xs, ys = x[a:b], y[a:b]
-            for c in chains(xs, ys, k):
-                cx, cy = xs[c], ys[c]
-                rows.append((key[a], ref[a], cx[0], cx[-1] + k, cy[0], cy[-1] + k, cx.astype(np.int32).tobytes(), cy.astype(np.int32).tobytes()))
-            if len(rows) >= 2000:
-                yield out()
-                rows = []
-    if rows:
-        yield out()
+            yield pa.RecordBatch.from_arrays([*ends, *(_binary(c[at], size) for c in (x, y))], _CHAINED)
 
 
 def _groups(batches, names, by):
     """Arrays of the columns ``names``; they end where one of the columns ``by`` changes."""
-    held = None
+    held = []
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [batch.column(n).to_numpy().astype(np.int64) for n in names]
-        if held is not None:
-            now = [np.concatenate(c) for c in zip(held, now)]
         last = np.flatnonzero(np.any([now[names.index(n)] != now[names.index(n)][-1] for n in by], axis=0))
         end = int(last[-1]) + 1 if len(last) else 0
-        if end:
+        if held and (end or any(now[names.index(n)][0] != held[-1][names.index(n)][0] for n in by)):
+            yield [np.concatenate(c) for c in zip(*held, [c[:end] for c in now])]
+            held, now = [], [c[end:] for c in now]
+        elif end:
             yield [c[:end] for c in now]
-        held = [c[end:] for c in now]
-    if held is not None:
-        yield held
+            now = [c[end:] for c in now]
+        held.append(now)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def _cut_out(batches):
@@ -723,7 +723,7 @@ def repeated_passages(
     spans = cut_lineage(
         shared.where(F.col("kind") != NUMBERED)
         .repartition(width, "key")
-        .sortWithinPartitions("key", "at")
+        .sortWithinPartitions("key")  # one number is sorted without comparisons
         .mapInArrow(lambda b: _spans(b, k, window), "span long, key long, at int, far int")
     )
     whole = spans.groupBy("span").agg(F.min(F.struct("key", "at")).alias("low"), F.max("key").alias("top")).where("low.key < top")
@@ -731,8 +731,8 @@ def repeated_passages(
     found = spans.join(whole.hint("merge"), "span").where("key > ref").select("key", "ref", "at", "y", "far")
     matches = shared.where("key > ref").select("key", "ref", F.col("at").alias("x"), "y", F.lit(0).alias("far")).union(found)
     chained = cut_lineage(
-        matches.repartition(width, "key", "ref")
-        .sortWithinPartitions("key", "ref")
+        matches.repartition(width, "key")  # no more rows than the document has seeds and spans
+        .sortWithinPartitions("key")
         .mapInArrow(lambda b: _chained(_with_ends(b), k), "key long, ref long, lo long, hi long, rlo long, rhi long, xs binary, ys binary")
     )
     both = F.inline(
