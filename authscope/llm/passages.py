@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from authscope.llm.text import mix, shingle_hashes, slices, text_buffer, word_hashes, word_spans
-from authscope.session import cut_lineage, shuffle_width
+from authscope.session import batches_by_rows, cut_lineage, shuffle_width
 
 SEED_WORDS = 5
 WINDOW = 5
@@ -75,12 +76,15 @@ def _all_minimizers(seeds: np.ndarray, first: np.ndarray, sizes: np.ndarray, win
 
 def _occurrences(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each seed how many equal ones of its document come before it."""
-    order = np.lexsort((seeds, doc))
-    ordered, of = seeds[order], doc[order]
-    new = np.ones(len(seeds), bool)
-    new[1:] = (ordered[1:] != ordered[:-1]) | (of[1:] != of[:-1])
-    nth = np.empty(len(seeds), np.int64)
-    nth[order] = np.arange(len(seeds)) - np.maximum.accumulate(np.where(new, np.arange(len(seeds)), 0))
+    nth, both = np.zeros(len(seeds), np.int64), seeds + mix(doc.astype(np.uint64))
+    order = np.argsort(both)
+    twin = np.zeros(len(seeds) + 1, bool)
+    twin[1:-1] = np.diff(both[order]) == 0
+    some = np.sort(order[twin[1:] | twin[:-1]])  # most seeds of a document are there once
+    order = some[np.lexsort((seeds[some], doc[some]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(seeds[order]) != 0) | (np.diff(doc[order]) != 0)
+    nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     return nth
 
 
@@ -142,7 +146,7 @@ def _links(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int) -> tuple[li
     """
     ys, costs, score, back = y.tolist(), (GAP_COST * (x + y) / 2).tolist(), [], []
     for first, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        stair, best, at = [], [], []
+        stair, best, at = [inf], [inf], [-1]
         for j in range(first, end):
             place, cost = ys[j], costs[j]
             u = bisect_left(stair, place)
@@ -155,16 +159,18 @@ def _links(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int) -> tuple[li
                 back.append(-1)
             score.append(value)
             value += cost
-            if u == len(stair):
-                stair.append(place)
-                best.append(value)
-                at.append(j)
+            if best[u] > value:
+                if stair[u] > place:
+                    stair.insert(u, place)
+                    best.insert(u, value)
+                    at.insert(u, j)
                 continue
-            v = u
-            while v < len(stair) and best[v] <= value:
+            v = u + 1
+            while best[v] <= value:
                 v += 1
-            if v > u or stair[u] > place:
-                stair[u:v], best[u:v], at[u:v] = (place,), (value,), (j,)
+            if v > u + 1:
+                del stair[u + 1 : v], best[u + 1 : v], at[u + 1 : v]
+            stair[u], best[u], at[u] = place, value, j
     return score, back
 
 
@@ -222,7 +228,8 @@ _CHAINED = ["key", "ref", "lo", "hi", "rlo", "rhi", "xs", "ys"]
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Successive stretches of 32-bit numbers, as many as ``sizes`` tells, as binaries."""
     offsets = np.concatenate([[0], np.cumsum(sizes) * 4]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(np.int32))])
+    values = values if values.dtype.itemsize == 4 else values.astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
 def _chained(batches, k: int):
@@ -274,33 +281,39 @@ def _groups(batches, names, by):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _cut_out(batches):
-    """The words of each request, with a margin on both sides, as 32-bit hashes.
+def _with_texts(batches):
+    """The requests, some at a time, with words as 32-bit hashes and the stretch of these that is each one's text.
 
     A text (role below 0) comes before the requests for it, once however many those are.
     """
-    held, held_key = np.zeros(0, np.uint32), None
+    held, held_keys = np.zeros(0, np.uint32), []
     for piece in slices(batches):
         key, role = piece.column("of").to_numpy(), piece.column("role").to_numpy()
         at, asked = np.flatnonzero(role < 0), np.flatnonzero(role >= 0)
         text = np.searchsorted(at, asked, "right") - 1  # -1: of the piece before
         used = np.unique(np.append(text[text >= 0], len(at) - 1)) if len(at) else at
-        texts, keys = {-1: held}, {-1: held_key}
-        if len(used):
-            words, first = word_hashes(piece.column("text").take(pa.array(at[used])))
-            words = (words >> np.uint64(32)).astype(np.uint32)
-            for n, a, b in zip(used.tolist(), first[:-1], first[1:]):
-                texts[n], keys[n] = words[a:b], key[at[n]]
-            held, held_key = texts[len(at) - 1].copy(), keys[len(at) - 1]
-        if not len(asked):
-            continue
-        asked = asked[[keys[n] == own for n, own in zip(text.tolist(), key[asked])]]
-        text = np.searchsorted(at, asked, "right") - 1
-        rows = piece.take(pa.array(asked))
-        spans = zip(text.tolist(), *(rows.column(c).to_numpy().tolist() for c in ("from", "to")))
-        own = [texts[n][max(0, p - MARGIN) : q + MARGIN].tobytes() for n, p, q in spans]
-        names = ["owner", "ref", "lo", "rlo", "xs", "ys", "role"]
-        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(own, pa.binary())], [*names, "words"])
+        words, first = word_hashes(piece.column("text").take(pa.array(at[used]))) if len(used) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        words = np.concatenate([held, (words >> np.uint64(32)).astype(np.uint32)])
+        first = np.append([0] if held_keys else [], first + len(held)).astype(np.int64)
+        keys = np.append(held_keys, key[at[used]]).astype(np.int64) if held_keys else key[at[used]]
+        number = np.where(text < 0, 0, np.searchsorted(used, text) + len(held_keys))
+        if len(keys):
+            fit = keys[number] == key[asked]
+            asked, number = asked[fit], number[fit]
+            held, held_keys = words[first[-2] :].copy(), [int(keys[-1])]
+            if len(asked):
+                yield piece.take(pa.array(asked)), words, first[number], first[number + 1]
+
+
+def _cut_out(batches):
+    """The words of each request, with a margin on both sides, as 32-bit hashes."""
+    names = ["owner", "ref", "lo", "rlo", "xs", "ys", "role"]
+    for rows, words, start, end in _with_texts(batches):
+        a = start + np.maximum(0, rows.column("from").to_numpy() - MARGIN)
+        b = np.maximum(a, np.minimum(end, start + rows.column("to").to_numpy() + MARGIN))
+        own = words.tobytes()
+        own = b"".join([own[4 * u : 4 * v] for u, v in zip(a.tolist(), b.tolist())])
+        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), _binary(np.frombuffer(own, np.uint32), b - a)], [*names, "words"])
 
 
 @dataclass(frozen=True)
@@ -355,9 +368,9 @@ class _Pairs:
         nx, ny = np.minimum(nx, MARGIN), np.minimum(ny, MARGIN)
         u, v = (words.take(s[:, None] + step * _PLACES, mode="clip") for s in (x, y))
         equal = np.empty(u.shape, np.uint64)
-        for i in range(0, len(u), 256):
-            same = u[i : i + 256, :, None] == v[i : i + 256, None, :]
-            equal[i : i + 256] = np.packbits(same, axis=2, bitorder="little").view("<u8")[:, :, 0]
+        for i in range(0, len(u), 64):  # bits in one row are packed fastest
+            same = u[i : i + 64, :, None] == v[i : i + 64, None, :]
+            equal[i : i + 64] = np.packbits(same.reshape(-1), bitorder="little").view("<u8").reshape(-1, MARGIN)
         equal[_PLACES >= nx[:, None]] = 0
         equal &= _LOW[ny][:, None]
         return cls(u, nx, v, ny, equal)
@@ -414,16 +427,20 @@ def _traced(equal: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray) -
     """Matches of a longest common subsequence of the first ``i`` and ``j`` words: rows pair, place in x, place in y."""
     left = np.bitwise_count(more[i, np.arange(len(i))] & _LOW[j]).astype(np.int64)
     u = np.flatnonzero(left)
-    p, q, left, out = i[u], j[u], left[u], [np.zeros((3, 0), np.int64)]
+    p, q, left, out = i[u], j[u], left[u], ([u[:0]], [u[:0]], [u[:0]])
     while len(u):
-        hit = (equal[u, p - 1] >> (q - 1).astype(np.uint64) & np.uint64(1)).astype(bool)
-        out.append(np.stack([u[hit], p[hit] - 1, q[hit] - 1]))
-        up = ~hit & (np.bitwise_count(more[p - 1, u] & _LOW[q]) == left)
-        p, q, left = p - (hit | up), q - (hit | ~up), left - hit
+        p = p - 1
+        on = equal[u, p] & _LOW[q]
+        # The number of the highest bit, from 1: as a float a number without bits side by side is not rounded beyond it.
+        last = np.frexp((on & ~(on >> np.uint64(1))).astype(np.float64))[1]
+        hit = (last == q) | (np.bitwise_count(more[p, u] & _LOW[q]) != left)  # else the words before have as many in common
+        for c, found in zip(out, (u, p, last - 1)):
+            c.append(found[hit])
+        q, left = np.where(hit, last - 1, q), left - hit
         if not left.all():
             on = left > 0
             u, p, q, left = u[on], p[on], q[on], left[on]
-    return np.concatenate(out, axis=1)
+    return np.stack([np.concatenate(c) for c in out])
 
 
 def _reach(pairs: _Pairs, cost: int) -> np.ndarray:
@@ -716,25 +733,31 @@ def repeated_passages(
     rows = _told_apart(rows, "key", "text").where("searched").drop("searched")
     seeds = rows.mapInArrow(lambda b: _seeds(b, k, window), "seed long, key long, at int, kind byte")
     # One deal by seed for its lowest document and for its rows: most seeds are of one document alone.
-    same, new = W.partitionBy("seed"), F.when(F.col("kind") != LATER, F.col("key"))
-    met = seeds.withColumns({"ref": F.min("key").over(same), "top": F.max("key").over(same), "y": F.min_by("at", new).over(same)})
-    shared = cut_lineage(met.where("ref < top").drop("top"))
+    seeds = seeds.select("seed", "key", (F.col("at") * 4 + F.col("kind")).alias("place"))  # a column less to deal
+    same, kind = W.partitionBy("seed"), F.col("place").bitwiseAND(3)
+    first = F.min_by("place", F.when(kind != LATER, F.col("key")))
+    met = seeds.withColumns({"ref": F.min("key").over(same), "top": F.max("key").over(same), "y": first.over(same)}).where("ref < top")
+    shared = cut_lineage(met.select("seed", "key", F.shiftright("place", 2).alias("at"), kind.alias("kind"), "ref", F.shiftright("y", 2).alias("y")))
     width = shuffle_width(docs.sparkSession)
-    spans = cut_lineage(
+    spans = (
         shared.where(F.col("kind") != NUMBERED)
         .repartition(width, "key")
         .sortWithinPartitions("key")  # one number is sorted without comparisons
         .mapInArrow(lambda b: _spans(b, k, window), "span long, key long, at int, far int")
     )
+    with batches_by_rows(docs.sparkSession):
+        spans = cut_lineage(spans)
     whole = spans.groupBy("span").agg(F.min(F.struct("key", "at")).alias("low"), F.max("key").alias("top")).where("low.key < top")
     whole = cut_lineage(whole.select("span", F.col("low.key").alias("ref"), F.col("low.at").alias("y")))
     found = spans.join(whole.hint("merge"), "span").where("key > ref").select("key", "ref", "at", "y", "far")
     matches = shared.where("key > ref").select("key", "ref", F.col("at").alias("x"), "y", F.lit(0).alias("far")).union(found)
-    chained = cut_lineage(
+    chained = (
         matches.repartition(width, "key")  # no more rows than the document has seeds and spans
         .sortWithinPartitions("key")
         .mapInArrow(lambda b: _chained(_with_ends(b), k), "key long, ref long, lo long, hi long, rlo long, rhi long, xs binary, ys binary")
     )
+    with batches_by_rows(docs.sparkSession):
+        chained = cut_lineage(chained)
     both = F.inline(
         F.array(
             F.struct(F.col("key").alias("of"), F.lit(0).alias("role"), F.col("lo").alias("from"), F.col("hi").alias("to")),

@@ -95,8 +95,8 @@ def word_spans(
     both = breaks[inside[breaks] & inside[breaks + 1]] if len(breaks) else breaks
     starts, ends = np.flatnonzero(flips & inside[1:]), np.flatnonzero(flips & inside[:-1])
     if len(both):
-        both = np.unique(both)
-        starts, ends = np.sort(np.concatenate([starts, both])), np.sort(np.concatenate([ends, both]))
+        both = np.unique(both)  # neither a start nor an end so far
+        starts, ends = (np.insert(c, np.searchsorted(c, both), both) for c in (starts, ends))
     return starts + lo, ends + lo, np.searchsorted(starts + lo, offsets)
 
 

@@ -312,3 +312,83 @@ def test_a_span_is_one_row_until_its_matches_are_chained():
     for cut in range(len(rows)):
         found = [tuple(r.values()) for b in passages._with_ends([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
         assert found == [(1, 0, 2, 1), (1, 0, 7, 3), (1, 0, 11, 7), (1, 0, 11, 10), (4, 2, 5, 5), (4, 3, 5, 5), (4, 3, 7, 7)]
+
+
+def plain_chains(x, y, k):
+    """The chains of one pair by a plain table: all matches before one are compared, of equal ones the last is taken."""
+    order = sorted(range(len(x)), key=lambda n: (x[n], -y[n]))
+    score, back = [], []
+    for j in order:
+        cost = GAP_COST * (x[j] + y[j]) / 2
+        value, n = max(((s + GAP_COST * (x[i] + y[i]) / 2, n) for n, (s, i) in enumerate(zip(score, order)) if x[i] < x[j] and y[i] < y[j]), default=(0, -1))
+        score.append(k + max(0, value - cost))
+        back.append(n if value > cost else -1)
+    left, out = set(range(len(order))), []
+    for n in sorted(left, key=lambda n: (-score[n], n)):
+        chain = []
+        while n in left:
+            left.remove(n)
+            chain.insert(0, order[n])
+            n = back[n]
+        part = chain[:1]
+        for i in chain[1:]:
+            if max(x[i] - x[part[-1]], y[i] - y[part[-1]]) > passages.MAX_GAP + k:
+                out, part = [*out, part], []
+            part.append(i)
+        out += [part] * bool(part)
+    return [c for c in out if len(c) > 1]
+
+
+def test_chains_of_many_pairs_are_found_together(monkeypatch):
+    """Pairs of many matches off one diagonal, in any order of the earlier documents, over batches."""
+    draw, rows, want, calls = random.Random(43), [], set(), []
+    monkeypatch.setattr(passages, "_links", lambda *a, run=passages._links: calls.append(len(a[2]) - 1) or run(*a))
+    for key in range(30):
+        for ref in draw.sample(range(100, 200), 6):
+            wide = draw.choice([8, 40, 300, 3000])
+            at = {(a := draw.randrange(wide), draw.choice([a, a + 3, draw.randrange(wide)])) for _ in range(draw.randrange(2, 60))}
+            x, y = zip(*at)
+            rows += [(key, ref, a, b, 0) for a, b in at]
+            for c in plain_chains(x, y, 5):
+                want.add((key, ref, tuple(x[i] for i in c), tuple(y[i] for i in c)))
+    rows.sort(key=lambda r: (r[0], draw.random()))  # by key alone
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "ref", "x", "y", "far"])
+    found = set()
+    for out in passages._chained(passages._with_ends(batch.slice(n, 700) for n in range(0, len(rows), 700)), 5):
+        for r in out.to_pylist():
+            xs, ys = (tuple(np.frombuffer(r[n], np.int32).tolist()) for n in ("xs", "ys"))
+            assert (r["lo"], r["hi"], r["rlo"], r["rhi"]) == (xs[0], xs[-1] + 5, ys[0], ys[-1] + 5)
+            found.add((r["key"], r["ref"], xs, ys))
+    assert found == want and len(want) > 300
+    assert len(calls) <= 2 * (len(rows) // 700 + 1) and sum(calls) > 100  # not once a pair
+
+
+def test_a_group_over_many_batches_is_put_together_once(monkeypatch):
+    joined = []
+    monkeypatch.setattr(passages.np, "concatenate", lambda c, *a, run=np.concatenate, **k: joined.append(sum(map(len, c))) or run(c, *a, **k))
+    key = np.repeat([1, 2, 3], [3, 900, 7])
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(910))], ["key", "n"])
+    found = list(passages._groups((batch.slice(n, 10) for n in range(0, 910, 10)), ["key", "n"], ["key"]))
+    assert sum(joined) < 3 * 910 * 2
+    monkeypatch.undo()
+    assert np.concatenate([n for _, n in found]).tolist() == list(range(910))
+    assert all(len(set(key[n].tolist()) & {2}) == 0 or (key[n] == 2).sum() == 900 for _, n in found)
+
+
+def test_rows_of_numbers_are_sorted_and_sent_without_a_look_at_each(spark, docs_of, monkeypatch):
+    """Steps on numbers sort by one of them, which takes no comparisons, and their Arrow batches end by rows; texts keep the limit in bytes."""
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    usual = spark.conf.get(limit)
+
+    def cut(df, run=passages.cut_lineage):
+        seen.append((df._jdf.queryExecution().optimizedPlan().toString(), spark.conf.get(limit)))
+        return run(df)
+
+    monkeypatch.setattr(passages, "cut_lineage", cut)
+    assert len(repeated_passages(docs_of(planted()[0])).collect()) > 5
+    assert spark.conf.get(limit) == usual
+    numbers = [(plan, now) for plan, now in seen if "_spans" in plan or "<lambda>" in plan and "text#" not in plan]
+    assert len(numbers) == 2
+    for plan, now in numbers:
+        assert now == str(2**31 - 1) and "Sort [key#" in plan and plan.count(" ASC ") == 1
+    assert all(now == usual for plan, now in seen if "text#" in plan) and any("text#" in plan for plan, _ in seen)
