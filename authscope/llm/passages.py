@@ -423,8 +423,8 @@ def _best_ends(more: np.ndarray, cost: int) -> tuple[np.ndarray, np.ndarray]:
     return i[first], j[first]
 
 
-def _traced(equal: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Matches of a longest common subsequence of the first ``i`` and ``j`` words: rows pair, place in x, place in y."""
+def _traced(equal: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray, whole: bool = True) -> np.ndarray:
+    """Matches of a longest common subsequence of the first ``i`` and ``j`` words, or its last one: rows pair, place in x, place in y."""
     left = np.bitwise_count(more[i, np.arange(len(i))] & _LOW[j]).astype(np.int64)
     u = np.flatnonzero(left)
     p, q, left, out = i[u], j[u], left[u], ([u[:0]], [u[:0]], [u[:0]])
@@ -436,22 +436,21 @@ def _traced(equal: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray) -
         hit = (last == q) | (np.bitwise_count(more[p, u] & _LOW[q]) != left)  # else the words before have as many in common
         for c, found in zip(out, (u, p, last - 1)):
             c.append(found[hit])
-        q, left = np.where(hit, last - 1, q), left - hit
+        q, left = np.where(hit, last - 1, q), left - (hit if whole else hit * left)
         if not left.all():
             on = left > 0
             u, p, q, left = u[on], p[on], q[on], left[on]
     return np.stack([np.concatenate(c) for c in out])
 
 
-def _reach(pairs: _Pairs, cost: int) -> np.ndarray:
-    """The matches of the stretches from the start that pay best: rows pair, place in x, place in y.
+def _best(pairs: _Pairs, cost: int) -> tuple[np.ndarray, ...]:
+    """The equal start of each pair; of those that go on after it which they are, equal words, ``_common`` and ``_best_ends`` there.
 
     An unmatched word on the longer side costs ``cost`` matches; words may be added, left out or
     replaced. After the equal start, stretches that cannot pay are not searched.
     """
     here = _PLACES < np.minimum(pairs.nx, pairs.ny)[:, None]
     run = np.logical_and.accumulate((pairs.x == pairs.y) & here, axis=1).sum(axis=1)
-    place, of = _stretches(np.zeros(len(run), np.int64), run)
     rest = np.flatnonzero((pairs.nx > run) & (pairs.ny > run))
     at = _PLACES + run[rest, None]
     equal = np.where(at < MARGIN, pairs.equal[rest[:, None], np.minimum(at, MARGIN - 1)], np.uint64(0))
@@ -459,10 +458,27 @@ def _reach(pairs: _Pairs, cost: int) -> np.ndarray:
     alive = _words_on(equal, pairs.nx[rest] - run[rest], pairs.ny[rest] - run[rest], cost) > 0
     rest, equal = rest[alive], equal[alive]
     more = _common(equal)
-    u, p, q = _traced(equal, more, *_best_ends(more, cost))
+    return run, rest, equal, more, *_best_ends(more, cost)
+
+
+def _reach(pairs: _Pairs, cost: int) -> np.ndarray:
+    """The matches of the stretches from the start that pay best, see ``_best``: rows pair, place in x, place in y."""
+    run, rest, *best = _best(pairs, cost)
+    place, of = _stretches(np.zeros(len(run), np.int64), run)
+    u, p, q = _traced(*best)
     return np.concatenate([[of, place, place], [rest[u], p + run[rest[u]], q + run[rest[u]]]], axis=1)
 
 
+def _reached(pairs: _Pairs, cost: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many matches ``_reach`` has for each pair, and the last one's place in x and in y, or -1."""
+    run, rest, equal, more, i, j = _best(pairs, cost)
+    count, x, y = run.astype(np.int64), run - 1, run - 1
+    count[rest] += np.bitwise_count(more[i, np.arange(len(i))] & _LOW[j])
+    u, p, q = _traced(equal, more, i, j, whole=False)
+    x[rest[u]], y[rest[u]] = p + run[rest[u]], q + run[rest[u]]
+    return count, x, y
+
+
 def _before(found: _Chains) -> _Pairs:
     """The words before a chain, backwards, on both sides."""
     a, b, _, _ = found.ends()
@@ -476,8 +492,8 @@ def _after(found: _Chains, k: int) -> _Pairs:
     return _Pairs.of(found.words, x, found.x[1] - x, y, found.y[1] - y)
 
 
-def _within(found: _Chains, k: int) -> np.ndarray:
-    """Matched words from the first seed of each chain to the end of its last one: rows chain, place in x, place in y."""
+def _within(found: _Chains, k: int, count: bool = False) -> np.ndarray:
+    """Matched words from the first seed of each chain to the end of its last one: rows chain, place in x, place in y; or how many."""
     xs, ys, chain = found.xs, found.ys, np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
     step = np.diff(xs)
     new = np.ones(len(xs), bool)
@@ -490,8 +506,12 @@ def _within(found: _Chains, k: int) -> np.ndarray:
     skip = np.maximum(0, np.maximum(a - p[later], b - q[later]))  # seeds may overlap, by less than one as both places rise
     p[later] += skip
     q[later] += skip
-    at, of = _stretches(p, end - p)
-    out = [np.stack([own[of], at, at + (q - p)[of]])]
+    if count:
+        total = np.zeros(len(found.first) - 1, np.int64)
+        np.add.at(total, own, end - p)
+    else:
+        at, of = _stretches(p, end - p)
+        out = [np.stack([own[of], at, at + (q - p)[of]])]
     m, n = p[later] - a, q[later] - b
     gap = np.flatnonzero((m > 0) & (n > 0))
     if len(gap):
@@ -501,13 +521,20 @@ def _within(found: _Chains, k: int) -> np.ndarray:
         u, v = (found.words.take(s[:, None] + _PLACES, mode="clip") for s in (x, y))
         same = (u == v) & (_PLACES < np.minimum(m, n)[:, None])
         plain = (m == n) & (2 * same.sum(axis=1) >= m)
-        on, at = np.nonzero(same & plain[:, None])
-        out.append(np.stack([own[on], a[on] + at, b[on] + at]))
+        if count:
+            np.add.at(total, own[plain], same[plain].sum(axis=1))
+        else:
+            on, at = np.nonzero(same & plain[:, None])
+            out.append(np.stack([own[on], a[on] + at, b[on] + at]))
         a, b, m, n, own, x, y = (c[~plain] for c in (a, b, m, n, own, x, y))
         equal = _Pairs.of(found.words, x + m - 1, m, y + n - 1, n, -1).equal
-        u, p, q = _traced(equal, _common(equal), m, n)
-        out.append(np.stack([own[u], (a + m - 1)[u] - p, (b + n - 1)[u] - q]))
-    return np.concatenate(out, axis=1)
+        more = _common(equal)
+        if count:
+            np.add.at(total, own, np.bitwise_count(more[m, np.arange(len(m))] & _LOW[n]))
+        else:
+            u, p, q = _traced(equal, more, m, n)
+            out.append(np.stack([own[u], (a + m - 1)[u] - p, (b + n - 1)[u] - q]))
+    return total if count else np.concatenate(out, axis=1)
 
 
 def _align(found: _Chains, sides: Sequence[_Pairs], k: int, cost: int) -> tuple[np.ndarray, np.ndarray]:
@@ -635,27 +662,50 @@ def _met(batches, k: int):
                 yield (owner[u], x0[u], ref[u], y0[u]), found
 
 
+def _passed(found: _Chains, within: np.ndarray, sides: Sequence[_Pairs], k: int, cost: int, min_words: int, identity: float) -> list[np.ndarray]:
+    """``_parts`` of the chains' alignments. Ends and counts tell of most that they pass as a whole or not at all; only the others are traced."""
+    a, b, c, d = found.ends()
+    (before, p, q), (after, r, s) = (_reached(side, cost) for side in sides)
+    start, ref_start, end, ref_end = a - 1 - p, b - 1 - q, c + k + r + 1, d + k + s + 1
+    length = np.maximum(end - start, ref_end - ref_start)
+    share = (before + within + after) / length
+    whole = np.flatnonzero((length >= min_words) & (share >= identity))
+    out = [whole, start[whole], end[whole], ref_start[whole], ref_end[whole], share[whole]]
+    some = np.flatnonzero((length >= min_words) & (share < identity))
+    if not len(some):
+        return out
+    own, *rest = _parts(*_align(found.take(some), [side.take(some) for side in sides], k, cost), min_words, identity)
+    return [np.concatenate(c) for c in zip(out, [some[own], *rest])]
+
+
 def _aligned(batches, k: int, min_words: int, identity: float):
     """The passages of the chains. Most chains cannot reach far enough and are not aligned at all."""
     for ids, found in _met(batches, k):
         may, sides = _may_reach(found, k, min_words * identity - 1e-6)
+        if not len(may):
+            continue
+        ids, found = [c[may] for c in ids], found.take(may)
+        within = _within(found, k, count=True)
         # An edit near an end may take a passage under the limit: reach further, if it is short.
         for cost in (2, 1):
-            if not len(may):
-                break
-            ids, found = [c[may] for c in ids], found.take(may)
-            own, a, b, c, d, share = _parts(*_align(found, sides, k, cost), min_words, identity)
+            own, a, b, c, d, share = _passed(found, within, sides, k, cost, min_words, identity)
             owner, x0, ref, y0 = (v[own] for v in ids)
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (owner, x0 + a, x0 + b, ref, y0 + c, y0 + d, share)], _PASSAGE)
-            may = np.setdiff1d(np.arange(len(may)), own)
-            sides = [side.take(may) for side in sides]
+            may = np.setdiff1d(np.arange(len(within)), own)
+            if not len(may):
+                break
+            ids, found, within, sides = [c[may] for c in ids], found.take(may), within[may], [side.take(may) for side in sides]
 
 
 def _clashing(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Keys that stand for different texts, with the least digest of those; seldom any."""
+    own = F.col(key).cast("long")
+    twice = cut_lineage(rows.where(own.isNotNull()).groupBy(own.alias("twice")).count().where("count > 1").select("twice"))
+    if twice.isEmpty():  # no text is read
+        return twice.withColumn("low", F.lit(""))
     of = F.md5(F.coalesce(text, F.lit("")))
-    both = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("twice"))
+    both = rows.join(twice.hint("merge"), own == F.col("twice")).groupBy("twice")
     return cut_lineage(both.agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").select("twice", "low"))
 
 

@@ -1,5 +1,6 @@
 """Repeated passages: planted ones are found, chains are the best ones."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -392,3 +393,40 @@ def test_rows_of_numbers_are_sorted_and_sent_without_a_look_at_each(spark, docs_
     for plan, now in numbers:
         assert now == str(2**31 - 1) and "Sort [key#" in plan and plan.count(" ASC ") == 1
     assert all(now == usual for plan, now in seen if "text#" in plan) and any("text#" in plan for plan, _ in seen)
+
+
+def test_only_chains_that_may_be_parted_are_traced(monkeypatch):
+    """Ends and counts of alignments are those of their matches; whole passages come without tracing all of these."""
+    draw, found, traced = random.Random(44), [], []
+    for n in range(400):
+        (before, ref_before), (middle, ref_middle), (after, ref_after) = (edited(draw, draw.random() / 2) for _ in range(3))
+        if n % 4 == 0:  # replaced between the seeds
+            ref_middle = middle + np.uint32(1000)
+        seed, end = np.arange(100, 105, dtype=np.uint32), np.arange(105, 110, dtype=np.uint32)
+        x, y = np.concatenate([before, seed, middle, end, after]), np.concatenate([ref_before, seed, ref_middle, end, ref_after])
+        places = [np.array([len(b), len(b) + 5 + len(m)]) for b, m in ((before, middle), (ref_before, ref_middle))]
+        found.append((x, y, *places))
+    found = passages._Chains.of(found)
+    sides = [passages._before(found), passages._after(found, 5)]
+    for cost in (1, 2):
+        want = passages._parts(*passages._align(found, sides, 5, cost), 40, 0.8)
+        with monkeypatch.context() as m:
+            m.setattr(passages, "_align", lambda some, *a, run=passages._align: traced.append(len(some.first) - 1) or run(some, *a))
+            got = passages._passed(found, passages._within(found, 5, count=True), sides, 5, cost, 40, 0.8)
+        rows = [sorted(zip(*(c.tolist() for c in parts))) for parts in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) > 50
+    assert len(traced) == 2 and max(traced) < 300
+
+
+def test_texts_are_compared_only_under_keys_met_twice(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(passages, "cut_lineage", lambda df, run=passages.cut_lineage: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or run(df))
+    texts = [(1, "one"), (2, "two"), (3, None), (None, "a"), (None, "b")]
+    assert passages._clashing(docs_of(texts), "doc_id", "text").collect() == [] and not any("md5" in plan for plan in seen)
+    clashing = passages._clashing(docs_of([*texts, (2, "two"), (1, "other"), (3, ""), (4, ""), (4, "x")]), "doc_id", "text")
+    low = {1: min(map(md5, ("one", "other"))), 4: min(map(md5, ("", "x")))}
+    assert {r.twice: r.low for r in clashing.collect()} == low
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
