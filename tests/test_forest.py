@@ -233,3 +233,70 @@ def test_a_row_goes_once_to_a_bundle_of_trees(points, monkeypatch):
     assert "bundle" in plan and plan.count("MapInArrow") == 2
     monkeypatch.setattr(fo, "BUNDLE_VALUES", 100)  # a tree each
     assert nodes(fo.fit_forest(points, COLUMNS, ["id"], 60, 1.0)) == nodes(whole)
+
+
+def test_samples_whose_rows_fit_a_bundle_are_grown_there(spark, monkeypatch):
+    """Not level by level with a row sent to each tree, however many rows a tree has."""
+    df = spark.range(70_000).select("id", (F.col("id") % 1009).cast("double").alias("a"))
+
+    def by_levels(*_):
+        raise AssertionError("rows go to every tree")
+
+    monkeypatch.setattr(fo, "_grow_large", by_levels)
+    t = fo.fit_forest(df, ["a"], ["id"], 3, 1.0).nodes.where("node = 0").toPandas()
+    assert len(t) == 3 and (t["size"] == 70_000).all()
+
+
+def test_rows_of_small_nodes_leave_a_batch_tree_by_tree():
+    """A batch of rows makes no batch larger than itself, whatever the number of trees that take them."""
+    trees, n = 6, 50
+
+    class Rows:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    class Sent:
+        value = [fo._Upper(np.array([0]), np.array([-1]), np.array([np.nan]))] * trees
+
+    class Members:
+        of = staticmethod(lambda batch: ((t, np.arange(batch.num_rows)) for t in range(trees)))
+
+    run = fo._small_rows(Rows, Members, Sent, ["f0"], {t: np.array([0]) for t in range(trees)}, 3)
+    batches = list(run([fo.pa.RecordBatch.from_arrays([fo.pa.array(np.arange(n, dtype=np.float64))], ["f0"])]))
+    assert sum(b.num_rows for b in batches) == trees * n and max(b.num_rows for b in batches) == n
+
+
+def _tree_by_rows(own, x, limit, seed):
+    """A tree's nodes row by row: {node: (depth, feature, threshold, size)}."""
+    import hashlib
+
+    def draw(purpose, node):
+        return int(hashlib.md5(f"{seed}:{purpose}:{own}:{node}".encode()).hexdigest()[:8], 16) / 2**32
+
+    found, left = {}, [(0, 0, x)]
+    while left:
+        node, depth, rows = left.pop()
+        usable = [f for f in range(x.shape[1]) if rows[:, f].max() > rows[:, f].min()]
+        if depth == limit or not usable:
+            found[node] = (depth, -1, None, len(rows))
+            continue
+        f = usable[int(draw("feature", node) * len(usable))]
+        low, high = rows[:, f].min(), rows[:, f].max()
+        cut = low + draw("threshold", node) * (high - low)
+        found[node] = (depth, f, cut, len(rows))
+        beyond = rows[:, f] > cut
+        left += [(node * 2 + 1 + s, depth + 1, rows[beyond == s]) for s in (0, 1) if (beyond == s).any()]
+    return found
+
+
+@pytest.mark.parametrize("values", ["real", "few", "late", "one"])
+def test_a_tree_is_that_of_its_rows(values):
+    """Also where the first rows of a node do not tell that a feature varies."""
+    rng = np.random.default_rng(3)
+    x = {
+        "real": rng.normal(size=(400, 6)), "few": rng.integers(0, 2, size=(400, 3)).astype(float),
+        "late": np.vstack([np.zeros((200, 3)), np.eye(3)]), "one": np.ones((9, 2)),
+    }[values]
+    taken = np.flatnonzero(rng.random(len(x)) < 0.9)
+    t = fo._subtree(8, 2, 0, x, 9, 42, taken)
+    got = {n: (d, f, None if f < 0 else c, s) for n, d, f, c, s in zip(*[t[c].tolist() for c in ("node", "depth", "feature", "threshold", "size")])}
+    assert got == _tree_by_rows(2, x[taken], 9, 42) and set(t["tree"].tolist()) == {8}
