@@ -142,3 +142,20 @@ def test_averaged_boundary_is_near_the_one_of_all_passes(spark):
         np.testing.assert_allclose(two.weights, three.weights, rtol=1e-6, atol=1e-9)
     with pytest.raises(ValueError, match="row key"):
         fit_one_class(df, ["a", "b", "c"], batch_rows=300)
+
+
+def test_the_forest_grid_has_the_trees_of_the_reference(spark, tmp_path):
+    """The registered query, on rows of its own: 100, 200 and 300 trees, every share and contamination."""
+    import __spark_entry__ as driver
+
+    rows = spark.range(240).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 7).alias("l_partkey"), (F.col("id") % 5).alias("l_suppkey"),
+        (F.col("id") % 50).cast("double").alias("l_quantity"), (F.col("id") * 37 % 1000).cast("double").alias("l_extendedprice"),
+        (F.col("id") % 11 / 100).alias("l_discount"), (F.col("id") % 9 / 100).alias("l_tax"),
+        F.when(F.col("id") % 4 == 0, "R").otherwise("N").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+        F.expr("timestamp'1995-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("l_shipdate"),
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = driver.queries()["grid_forest"](spark, str(tmp_path)).collect()
+    assert len(found) == 27 and {r["n_estimators"] for r in found} == {100, 200, 300}
+    assert {r["max_samples"] for r in found} == {0.5, 0.8, 1.0} and {r["contamination"] for r in found} == {0.3, 0.4, 0.499}
