@@ -33,6 +33,8 @@ BLOCK_ROWS = 1024
 MAX_PIVOTS = 2048
 PAIRS_PER_BATCH = 16
 SLACK = 1e-9  # relative room for rounding when a region is ruled out
+TALL, WIDE = 256, 2048  # products of points and candidates taken at once stay in the processor's cache
+FIRST_MET = 512
 MEET_ROWS = 32768  # asked points that a task holds at once with their lists
 RECALL_ROWS, RECALL_SHARE = 256, 0.94  # points whose exact lists tell how large buckets must be
 FEW_REGIONS = 8  # a point that asks for more regions than this on average shares them with its block
@@ -157,6 +159,44 @@ def _search(asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
         )
 
 
+class _Products:
+    """Candidates made ready for products with points: half the digits do where lengths leave them room.
+
+    One product a block gives the square of a distance without that of the point's own length, and is compared
+    once; rounding is allowed for.
+    """
+
+    def __init__(self, x: np.ndarray, size: np.ndarray, own: np.ndarray) -> None:
+        self.longest, most = np.fmax.reduce(size), np.fmax.reduce(own)
+        half = 1e-12 < self.longest < 1e12 and 1e-12 < most < 1e12 and np.isfinite(size).all() and np.isfinite(own).all()
+        self.kind, unit = (np.float32, 1.2e-7) if half else (np.float64, 2.3e-16)
+        self.unit = (x.shape[1] + 16) * unit
+        right = np.column_stack([-2.0 * x, size**2]).astype(self.kind).T
+        self.parts = [np.ascontiguousarray(right[:, j : j + WIDE]) for j in range(0, len(x), WIDE)]
+
+    def within(self, a: np.ndarray, own: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of ``a``, of lengths ``own``, and of candidates that may lie within the limit of the former."""
+        bound = (limit**2 * (1 + SLACK) + 2 * self.unit * (own + self.longest) ** 2 - own**2).astype(self.kind)
+        left = np.column_stack([a, np.ones(len(a))]).astype(self.kind)
+        row, at = [], []
+        for j, part in enumerate(self.parts):
+            near = np.flatnonzero(left @ part <= bound[:, None])
+            r, c = np.divmod(near, part.shape[1])
+            row.append(r)
+            at.append(c + j * WIDE)
+        return np.concatenate(row), np.concatenate(at)
+
+
+def _first(row: np.ndarray, name: np.ndarray, far: np.ndarray, weight: np.ndarray, k: int) -> tuple:
+    """Candidates in order by row until their weights reach k, ties by name, and which of them reach it."""
+    order = np.lexsort((name, far, row))
+    row, name, far, weight = row[order], name[order], far[order], weight[order]
+    before = np.cumsum(weight) - weight
+    before -= before[np.searchsorted(row, row)]
+    kept = before < k
+    return (row[kept], name[kept], far[kept], weight[kept]), (before + weight >= k)[kept]
+
+
 class _Lists:
     """The nearest candidates so far of a block of asked points, whose candidates come in pieces."""
 
@@ -170,40 +210,52 @@ class _Lists:
         centre = x.mean(axis=0)
         away, reach = _distances(self.x, centre[None, :])[:, 0], _distances(x, centre[None, :]).max()
         rows = np.flatnonzero(~(away - reach > self.limit + SLACK * (1.0 + away + reach)))  # undefined: not ruled out
+        first, end = 0, 0
+        while first < len(x) and len(rows):
+            # Points without a limit get one from a few candidates, and a nearer one from some more.
+            end = min(len(x), max(FIRST_MET, 4 * end)) if np.isinf(self.limit[rows]).any() or first else len(x)
+            self._add(rows, names[first:end], x[first:end], copies[first:end])
+            first = end
+
+    def _add(self, rows: np.ndarray, names: np.ndarray, x: np.ndarray, copies: np.ndarray) -> None:
+        """Lists of ``rows`` with some candidates more; only those that a candidate may enter are put in order anew."""
         size = np.sqrt(np.einsum("ij,ij->i", x, x))
-        step = max(1, 4_000_000 // len(x))
-        found = [self._near(rows[i : i + step], names, x, copies, size) for i in range(0, len(rows), step)]
-        if not sum(len(f[0]) for f in found):
-            return
+        products = _Products(x, size, self.size[rows]) if np.isfinite(self.limit[rows]).all() else None
+        step = max(1, TALL * WIDE * 4 // len(x))
+        found = [self._near(rows[i : i + step], names, x, copies, size, products) for i in range(0, len(rows), step)]
         new = [np.concatenate(c) for c in zip(*found)]
-        row, name, far, weight = (np.concatenate(c) for c in zip((self.row, self.name, self.far, self.weight), new))
-        order = np.lexsort((name, far, row))
-        row, name, far, weight = row[order], name[order], far[order], weight[order]
-        before = np.cumsum(weight) - weight
-        before -= before[np.searchsorted(row, row)]
-        kept = before < self.k
-        last = kept & (before + weight >= self.k)
-        self.limit[row[last]] = np.minimum(self.limit[row[last]], far[last])
-        self.row, self.name, self.far, self.weight = row[kept], name[kept], far[kept], weight[kept]
-
-    def _near(self, rows: np.ndarray, names: np.ndarray, x: np.ndarray, copies: np.ndarray, size: np.ndarray) -> tuple:
+        if not len(new[0]):
+            return
+        met = np.zeros(len(self.names), bool)
+        met[new[0]] = True
+        held = (self.row, self.name, self.far, self.weight)
+        again = met[self.row]
+        listed, full = _first(*(np.concatenate([c[again], n]) for c, n in zip(held, new)), self.k)
+        self.limit[listed[0][full]] = np.minimum(self.limit[listed[0][full]], listed[2][full])
+        self.row, self.name, self.far, self.weight = (np.concatenate([c[~again], n]) for c, n in zip(held, listed))
+
+    def _near(self, rows: np.ndarray, names: np.ndarray, x: np.ndarray, copies: np.ndarray, size: np.ndarray, products: _Products | None) -> tuple:
         """Candidates that may be among the k nearest by products of vectors, with their exact distances."""
         a, own = self.x[rows], self.size[rows]
-        square = own[:, None] ** 2 + size[None, :] ** 2 - 2.0 * (a @ x.T)
-        error = (x.shape[1] + 16) * 2.3e-16 * (own + np.fmax.reduce(size)) ** 2  # more than rounding can make of it
-        most = self.limit[rows] ** 2 * (1 + SLACK)
-        if len(x) > self.k + 1:  # the point itself may be one of them
-            most = np.fmin(most, np.partition(square, self.k, axis=1)[:, self.k] + error)
-        row, at = np.nonzero(square <= (most + error)[:, None])
+        if products is not None:
+            row, at = products.within(a, own, self.limit[rows])
+        else:
+            square = own[:, None] ** 2 + size[None, :] ** 2 - 2.0 * (a @ x.T)
+            error = (x.shape[1] + 16) * 2.3e-16 * (own + np.fmax.reduce(size)) ** 2  # more than rounding can make of it
+            most = self.limit[rows] ** 2 * (1 + SLACK)
+            if len(x) > self.k + 1:  # the point itself may be one of them
+                most = np.fmin(most, np.partition(square, self.k, axis=1)[:, self.k] + error)
+            row, at = np.nonzero(square <= (most + error)[:, None])
         weight = copies[at] - (names[at] == self.names[rows[row]])
         row, at, weight = row[weight > 0], at[weight > 0], weight[weight > 0]
         far = np.empty(len(row))
-        step = max(1, 4_000_000 // x.shape[1])
+        step = max(1, 1_000_000 // x.shape[1])
         for i in range(0, len(row), step):
             diff = a[row[i : i + step]] - x[at[i : i + step]]
             far[i : i + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        kept = np.isfinite(far)
-        return rows[row[kept]], names[at[kept]], far[kept], weight[kept]
+        kept = np.isfinite(far) & (far <= self.limit[rows[row]])
+        # Far limits let many pass: no more than the lists hold leave a block.
+        return _first(rows[row[kept]], names[at[kept]], far[kept], weight[kept], self.k)[0]
 
     def table(self) -> pa.RecordBatch:
         columns = [pa.array(self.names[self.row]), pa.array(self.name), pa.array(self.far), pa.array(self.weight)]
@@ -360,12 +412,18 @@ def _targets(
     @F.pandas_udf("found array<int>, limit double")
     def reachable(x: pd.Series, region: pd.Series, bound: pd.Series) -> pd.DataFrame:
         pivots, copies, low, high = sent.value
-        d = _distances(_matrix(x), pivots)
-        limit = np.minimum(_sure(d, copies, high, k), bound.fillna(np.inf).to_numpy())
-        ok = _open(d, pivots, copies, low, high, limit)
-        ok[np.arange(len(d)), region.to_numpy()] = own
-        return pd.DataFrame({"found": [np.flatnonzero(r).astype(np.int32) for r in ok], "limit": limit})
-
+        x, own_region, bound = _matrix(x), region.to_numpy(), bound.fillna(np.inf).to_numpy()
+        found, limits = [], []
+        for i in range(0, len(x), BLOCK_ROWS):  # rows times pivots several times over
+            d = _distances(x[i : i + BLOCK_ROWS], pivots)
+            limit = np.minimum(_sure(d, copies, high, k), bound[i : i + BLOCK_ROWS])
+            ok = _open(d, pivots, copies, low, high, limit)
+            ok[np.arange(len(d)), own_region[i : i + BLOCK_ROWS]] = own
+            found += [np.flatnonzero(r).astype(np.int32) for r in ok]
+            limits.append(limit)
+        return pd.DataFrame({"found": found, "limit": np.concatenate(limits) if limits else np.zeros(0)})
+
+    reachable = reachable.asNondeterministic()  # else it is taken once more for the rows that are kept
     met = points.join(bounds, "point", "left").withColumn("_r", reachable("x", "region", "bound"))
     return met.select("point", "x", "region", *kept, F.col("_r.limit").alias("limit"), F.col("_r.found").alias("found")).where(F.size("found") > 0)
 

@@ -171,3 +171,27 @@ def test_buckets_grow_until_nine_tenths_are_found(spark, monkeypatch):
     points = nb.cut_lineage(nb.fold_copies(table(spark, x), "vec_id", "x"))
     found = nb.cut_lineage(nb.approximate_neighbors(points, 10))
     assert nb.recall(found, nb.neighbors_of_points(points, 10)) >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e15])
+def test_points_with_a_limit_compare_products_once(scale, monkeypatch):
+    """No row of distances is parted once ten neighbours bound it; the lists are those of all distances."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8)) * scale
+    x[:40] = np.round(rng.normal(size=(40, 8))) * scale  # equal distances as well
+    names, copies = np.arange(3000), rng.integers(1, 4, size=3000)
+    lists = nb._Lists(names[:700], x[:700], np.full(700, np.inf), 10)
+    lists.meet(names[:1000], x[:1000], copies[:1000])
+    assert np.isfinite(lists.limit).all()
+
+    def parted(*_, **__):
+        raise AssertionError("a row of distances was parted")
+
+    monkeypatch.setattr(nb.np, "partition", parted)
+    lists.meet(names[1000:], x[1000:], copies[1000:])
+    monkeypatch.undo()
+    far = np.sqrt(((x[:700, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    row, at, want = nb._best(far, names[:700], names, copies, 10)
+    got = sorted(zip(*[c.to_pylist() for c in lists.table().columns[:2]]))
+    assert got == sorted(zip(row.tolist(), at.tolist()))
+    assert np.allclose(sorted(lists.far), sorted(want), rtol=1e-12)
