@@ -232,7 +232,9 @@ class _Lists:
         again = met[self.row]
         listed, full = _first(*(np.concatenate([c[again], n]) for c, n in zip(held, new)), self.k)
         self.limit[listed[0][full]] = np.minimum(self.limit[listed[0][full]], listed[2][full])
-        self.row, self.name, self.far, self.weight = (np.concatenate([c[~again], n]) for c, n in zip(held, listed))
+        both = [np.concatenate([c[~again], n]) for c, n in zip(held, listed)]
+        order = np.argsort(both[0], kind="stable")  # two runs in order
+        self.row, self.name, self.far, self.weight = (c[order] for c in both)
 
     def _near(self, rows: np.ndarray, names: np.ndarray, x: np.ndarray, copies: np.ndarray, size: np.ndarray, products: _Products | None) -> tuple:
         """Candidates that may be among the k nearest by products of vectors, with their exact distances."""
